@@ -151,3 +151,29 @@ def null_counts(df: DataFrame, columns: list[str]) -> dict:
         return {}
     row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
     return {c: row[c] for c in columns}
+
+
+def running_totals(df: DataFrame, order_cols: list, value_cols: list[str], prefix: str = "cum_",
+                   num_partitions: int | None = None) -> DataFrame:
+    """Inclusive running sums of ``value_cols`` in ``order_cols`` order, without a single-task window.
+
+    Range-partition on the order, sum inside each partition with a partition-local window, and add
+    the totals of all earlier partitions (one row per partition, broadcast). The range-partitioned
+    frame is checkpointed first so both passes see identical partition boundaries.
+    """
+    from pyspark.sql import Window
+
+    from postlab.session import cut_lineage
+
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(df.repartitionByRange(n, *order_cols).withColumn("__pid", F.spark_partition_id()))
+    w = Window.partitionBy("__pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumns({f"{prefix}{c}": F.sum(c).over(w) for c in value_cols})
+    tot = ranged.groupBy("__pid").agg(*[F.sum(c).alias(f"__t_{c}") for c in value_cols])
+    wo = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select("__pid", *[F.coalesce(F.sum(f"__t_{c}").over(wo), F.lit(0)).alias(f"__o_{c}")
+                                 for c in value_cols])
+    out = local.join(F.broadcast(offs), "__pid")
+    return (out.withColumns({f"{prefix}{c}": F.col(f"{prefix}{c}") + F.col(f"__o_{c}") for c in value_cols})
+            .drop("__pid", *[f"__o_{c}" for c in value_cols]))

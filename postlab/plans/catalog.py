@@ -327,3 +327,4 @@ register("fct_04_star_checks", fact_sql() + """SELECT count(*) AS fact_rows,
   count(DISTINCT post_id) AS distinct_post_ids, (SELECT count(*) FROM silver) AS silver_rows FROM fact""")(
     lambda s, d: star.star_checks(silver(s, d), star.build_fact(silver(s, d), star.build_dimensions(silver(s, d)))))
 
+from postlab.plans import catalog_ml  # noqa: E402,F401  (registers the ML-stage queries)

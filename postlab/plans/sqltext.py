@@ -105,3 +105,40 @@ def with_silver(select_sql: str, source: str = "posts") -> str:
 
 def with_posts(select_sql: str) -> str:
     return "WITH " + POSTS_CTE + "\n" + select_sql
+
+
+def scaled_cte(cols: list[str]) -> str:
+    """MLP-05 in SQL: exact-median imputation, then (x - mean) / population std (0 -> 1)."""
+    imp = ", ".join(f"coalesce(CAST({c} AS DOUBLE), (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM silver)) AS {c}"
+                    for c in cols)
+    mom = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in cols)
+    z = ", ".join(f"(imp.{c} - mom.m_{c}) / (CASE WHEN mom.s_{c} > 0 THEN mom.s_{c} ELSE 1 END) AS z_{c}" for c in cols)
+    return f""",
+imp AS (SELECT post_id, {imp} FROM silver),
+mom AS (SELECT {mom} FROM imp),
+scaled AS (SELECT imp.*, {z} FROM imp, mom)"""
+
+
+def cluster_metrics_cte(cols: list[str], source: str, label: str) -> str:
+    """CLU-05..08 in SQL over ``source`` with label column ``label``; ends in CTE ``cm``."""
+    zs = [f"z_{c}" for c in cols]
+    cents = ", ".join(f"avg({z}) AS c{i}" for i, z in enumerate(zs))
+    g = ", ".join(f"avg({z}) AS g{i}" for i, z in enumerate(zs))
+    d2 = " + ".join(f"(l.{z} - c.c{i}) * (l.{z} - c.c{i})" for i, z in enumerate(zs))
+    b2 = " + ".join(f"(c{i} - g{i}) * (c{i} - g{i})" for i in range(len(zs)))
+    dist = "sqrt(" + " + ".join(f"(a.c{i} - b.c{i}) * (a.c{i} - b.c{i})" for i in range(len(zs))) + ")"
+    return f""",
+cents AS (SELECT {label} AS lab, count(*) AS n, {cents} FROM {source} GROUP BY {label}),
+gm AS (SELECT {g} FROM {source}),
+within AS (SELECT lab, sum(d2) AS w, avg(sqrt(d2)) AS s FROM
+  (SELECT c.lab, {d2} AS d2 FROM {source} l JOIN cents c ON l.{label} = c.lab) GROUP BY lab),
+per AS (SELECT c.*, w.w, w.s FROM cents c JOIN within w ON c.lab = w.lab),
+tot AS (SELECT sum(n) AS n, count(*) AS k, sum(w) AS inertia, sum(n * ({b2})) AS b FROM per, gm),
+dbx AS (SELECT avg(r) AS dbi FROM (SELECT a.lab, max(CASE WHEN {dist} = 0 THEN 0 ELSE (a.s + b.s) / {dist} END) AS r
+        FROM per a JOIN per b ON a.lab <> b.lab GROUP BY a.lab)),
+cm AS (SELECT CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS k,
+  CASE WHEN k >= 2 AND n >= 4 THEN round(inertia, 3) END AS inertia,
+  CASE WHEN k >= 2 AND n >= 4 THEN round(CASE WHEN inertia = 0 THEN 1.0 ELSE (b / (k - 1)) / (inertia / (n - k)) END, 4) END
+    AS calinski_harabasz_score,
+  CASE WHEN k >= 2 AND n >= 4 THEN round(dbi, 6) END AS davies_bouldin_index
+  FROM tot, dbx)"""

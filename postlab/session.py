@@ -31,10 +31,37 @@ def get_spark(master: str | None = None, app: str = "postlab", shuffle_partition
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    prepare_session(spark)
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``postlab`` importable in Python workers (grouped pandas functions reference it).
+
+    The package is zipped once per SparkContext and distributed with ``addPyFile``.
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import shutil
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="postlab-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out, "postlab"), "zip", os.path.dirname(pkg_dir), "postlab")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
+
+
+def prepare_session(spark: SparkSession) -> str:
+    """Checkpoint folder + package shipping; idempotent. Returns the checkpoint folder."""
+    ship_package(spark)
+    return ensure_checkpoint_dir(spark)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
