@@ -59,3 +59,11 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def safe_corr(a, b) -> Column:
+    """Pairwise-complete Pearson correlation; a constant side gives null instead of an ANSI error."""
+    a, b = col_(a).cast("double"), col_(b).cast("double")
+    a2 = F.when(b.isNotNull(), a)
+    b2 = F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(a2, b2), F.stddev_pop(a2) * F.stddev_pop(b2))

@@ -12,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlab.functions.exprs import finite, round6
+from postlab.functions.exprs import finite, round6, safe_corr
 from postlab.operators.stats import exact_quantiles
 
 ENGAGEMENT_COLUMNS = ["likes", "shares", "comments", "engagement_velocity", "impressions_estimate", "reach_estimate"]
@@ -107,7 +107,7 @@ def correlation_matrix(df: DataFrame, columns: list[str] = CORR_COLUMNS) -> Data
     """AGG-11: pairwise-complete Pearson matrix in long form (x, y, r); one aggregate for all pairs."""
     pairs = list(combinations(columns, 2))
     vals = {c: finite(F.col(c).cast("double")) for c in columns}
-    row = df.agg(*[F.corr(vals[a], vals[b]).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    row = df.agg(*[safe_corr(vals[a], vals[b]).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     entries = [F.struct(F.lit(c).alias("x"), F.lit(c).alias("y"), F.lit(1.0).alias("r")) for c in columns]
     for i, (a, b) in enumerate(pairs):
         entries.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"c{i}").alias("r")))

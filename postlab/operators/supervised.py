@@ -18,7 +18,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlab.functions.exprs import round6
+from postlab.functions.exprs import round6, safe_corr
 from postlab.operators.prep import (feature_target_split, fold_column, preprocessing_stages,
                                     processed_feature_names, train_test_split)
 from postlab.operators.star import dense_index
@@ -132,8 +132,8 @@ def signed_drivers(model, test: DataFrame, importance: DataFrame, num: list[str]
         pred = pred.join(F.broadcast(vals), c, "left")
         codes[c] = f"__code_{c}"
 
-    exprs = [F.corr(F.col(c).cast("double"), F.col("prediction")).alias(c) for c in num]
-    exprs += [F.corr(F.col(codes[c]).cast("double"), F.col("prediction")).alias(c) for c in cat]
+    exprs = [safe_corr(c, "prediction").alias(c) for c in num]
+    exprs += [safe_corr(codes[c], "prediction").alias(c) for c in cat]
     row = pred.agg(*exprs).first()
     spark = test.sparkSession
     corr = spark.createDataFrame([(c, None if row[c] is None or row[c] != row[c] else float(row[c]), c in cat)
