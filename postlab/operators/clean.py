@@ -81,18 +81,39 @@ def fill_text_mode(df: DataFrame, exclude=(), values: dict | None = None) -> Dat
     return df.withColumns(repl) if repl else df
 
 
-def to_silver(bronze: DataFrame, approx: bool = False) -> DataFrame:
+def fill_values(df: DataFrame, approx: bool = False) -> tuple[dict, dict]:
+    """Median fill values of numeric columns and mode fill values of text columns that have nulls.
+
+    One aggregate counts the nulls of every column; only columns with nulls get a median / mode.
+    """
+    num, txt = numeric_columns(df), text_columns(df)
+    nulls = null_counts(df, num + txt)
+    need_num = [c for c in num if nulls[c]]
+    need_txt = [c for c in txt if nulls[c]]
+    if approx and need_num:
+        row = df.agg(*[F.percentile_approx(finite(F.col(c).cast("double")), 0.5, 10000).alias(c)
+                       for c in need_num]).first()
+        med = {c: row[c] for c in need_num}
+    else:
+        med = exact_medians(df, need_num)
+    return med, modes(df, need_txt)
+
+
+def to_silver(bronze: DataFrame, approx: bool = False, cache: bool = False) -> DataFrame:
     """Bronze -> silver: de-duplicate, calendar parts, parent fill, median fill, mode fill.
 
     The fill values are computed by bounded Spark jobs and enter the plan as literals, so the
-    returned plan is a single narrow projection over the de-duplicated scan.
+    returned plan is a single narrow projection over the de-duplicated scan. In the pipeline the
+    bronze input is a written table, so the statistics passes are pruned parquet scans; ``cache``
+    keeps the de-duplicated rows for callers that start from a derived (joined) bronze view.
     """
-    df = drop_exact_duplicates(bronze)
-    df = add_date_parts(df)
-    df = fill_parent(df)
-    df = fill_numeric_median(df, approx=approx)
-    df = fill_text_mode(df)
-    return df
+    from pyspark import StorageLevel
+
+    df = fill_parent(add_date_parts(drop_exact_duplicates(bronze)))
+    if cache:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    med, mo = fill_values(df, approx)
+    return fill_text_mode(fill_numeric_median(df, values=med), values=mo)
 
 
 def nonfinite_to_null(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

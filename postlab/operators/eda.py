@@ -12,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlab.functions.exprs import finite, round6, safe_corr
+from postlab.functions.exprs import finite, round6
 from postlab.operators.stats import exact_quantiles
 
 ENGAGEMENT_COLUMNS = ["likes", "shares", "comments", "engagement_velocity", "impressions_estimate", "reach_estimate"]
@@ -104,15 +104,27 @@ def value_counts(df: DataFrame, columns: list[str], k: int = 10, dropna: bool =
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] = CORR_COLUMNS) -> DataFrame:
-    """AGG-11: pairwise-complete Pearson matrix in long form (x, y, r); one aggregate for all pairs."""
+    """AGG-11: pairwise-complete Pearson matrix in long form (x, y, r).
+
+    Each row emits one (pair, a, b) entry per column pair (a fixed fan-out of k(k-1)/2), and a
+    three-function aggregate grouped by pair runs map-side combined - one small codegen'd aggregate
+    instead of hundreds of aggregate expressions in one operator. A constant column gives null.
+    """
+    spark = df.sparkSession
     pairs = list(combinations(columns, 2))
     vals = {c: finite(F.col(c).cast("double")) for c in columns}
-    row = df.agg(*[safe_corr(vals[a], vals[b]).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    entries = [F.struct(F.lit(c).alias("x"), F.lit(c).alias("y"), F.lit(1.0).alias("r")) for c in columns]
-    for i, (a, b) in enumerate(pairs):
-        entries.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"c{i}").alias("r")))
-        entries.append(F.struct(F.lit(b).alias("x"), F.lit(a).alias("y"), F.col(f"c{i}").alias("r")))
-    return row.select(F.explode(F.array(*entries)).alias("e")).select("e.x", "e.y", round6("e.r").alias("r"))
+    arr = F.array(*[F.struct(F.lit(i).alias("p"), vals[a].alias("a"), vals[b].alias("b"))
+                    for i, (a, b) in enumerate(pairs)])
+    long = (df.select(F.explode(arr).alias("e")).select("e.p", "e.a", "e.b")
+            .where(F.col("a").isNotNull() & F.col("b").isNotNull()))
+    r = long.groupBy("p").agg(F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")).alias("r"))
+    names = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "p int, x string, y string")
+    full = F.broadcast(names).join(r, "p", "left")  # k(k-1)/2 rows: bounded by the column list
+    diag = spark.createDataFrame([(c, c, 1.0) for c in columns], "x string, y string, r double")
+    both = (full.select("x", "y", "r")
+            .unionByName(full.select(F.col("y").alias("x"), F.col("x").alias("y"), "r"))
+            .unionByName(diag))
+    return both.select("x", "y", round6("r").alias("r"))
 
 
 def histogram(df: DataFrame, columns: list[str], bins: int = 20, log1p: bool = False) -> DataFrame:

@@ -110,8 +110,9 @@ def silhouette(sample: DataFrame, label: str, cols: list[str]) -> float | None:
                 out[s:s + CHUNK] = np.nan_to_num(val)
             yield pd.DataFrame({"s": out})
 
-    res = sample.select(F.col(label).cast("long").alias("l"), *cols).mapInPandas(score, "s double") \
-        .agg(F.avg("s")).first()[0]
+    parts = int(sample.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    res = (sample.select(F.col(label).cast("long").alias("l"), *cols).repartition(parts)
+           .mapInPandas(score, "s double").agg(F.avg("s")).first()[0])
     bc.unpersist()
     return float(res)
 
@@ -133,7 +134,7 @@ def n_restarts(n: int) -> int:
 
 
 def fit_kmeans(df: DataFrame, k: int, seed: int = 42, restarts: int = 3, features: str = "features_scaled",
-               max_iter: int = 50):
+               max_iter: int = 30):
     """Best of ``restarts`` seeded k-means|| fits by training cost (Spark KMeans has no n_init)."""
     best = None
     for r in range(restarts):
@@ -154,18 +155,24 @@ def renumber_by_size(df: DataFrame, label: str = "cluster") -> DataFrame:
 
 
 def k_scan(scaled: DataFrame, cols: list[str], seed: int = 42, max_k: int = 10, restarts: int = 3,
-           max_samples: int = CLUSTERING_EVAL_MAX_SAMPLES) -> DataFrame:
+           max_samples: int = CLUSTERING_EVAL_MAX_SAMPLES, parallelism: int = 4) -> DataFrame:
     """CLU-01: K = 2..min(max_k, n-1) on a <= max_samples hash subsample: inertia and silhouette per K."""
+    from concurrent.futures import ThreadPoolExecutor
+
     spark = scaled.sparkSession
     n = scaled.count()
-    sample = subsample(scaled, max_samples, seed) if n > max_samples else scaled
-    sample = sample.persist()
-    rows = []
-    for k in range(2, min(max_k, n - 1) + 1):
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sample = (subsample(scaled, max_samples, seed) if n > max_samples else scaled).repartition(parts).persist()
+
+    def one(k):
         model = fit_kmeans(sample, k, seed, restarts)
         labeled = model.transform(sample)
         sil, sampled, size = silhouette_sampled(labeled, "cluster", cols, seed)
-        rows.append((k, float(model.summary.trainingCost), sil, sampled, int(size)))
+        return (k, float(model.summary.trainingCost), sil, sampled, int(size))
+
+    # independent fits: run them as concurrent Spark jobs (small jobs are latency-bound)
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        rows = list(pool.map(one, range(2, min(max_k, n - 1) + 1)))
     sample.unpersist()
     return spark.createDataFrame(rows, "k int, inertia double, silhouette_score double, silhouette_sampled boolean, "
                                        "silhouette_sample_size int")
@@ -209,7 +216,9 @@ def dbscan(sample: DataFrame, cols: list[str], eps: float = 0.75, min_samples: i
     take the smallest adjacent core component. Components are numbered 0.. by their smallest key.
     """
     spark = sample.sparkSession
-    base = sample.select(F.col(key).cast("long").alias("k"), *[F.col(c).cast("double") for c in cols]).persist()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = (sample.select(F.col(key).cast("long").alias("k"), *[F.col(c).cast("double") for c in cols])
+            .repartition(parts).persist())
     rows = base.collect()
     m = len(rows)
     if min_samples is None:
@@ -299,7 +308,8 @@ def compare_models(scaled: DataFrame, cols: list[str], seed: int = 42, cluster_c
     if cluster_count is None:
         cluster_count = min(4, max(2, min(n - 1, 6)))
     subsampled = n > max_samples
-    ev = (subsample(scaled, max_samples, seed, key) if subsampled else scaled).persist()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ev = (subsample(scaled, max_samples, seed, key) if subsampled else scaled).repartition(parts).persist()
 
     def metrics_row(labeled, label, name, k, inertia=None):
         n_labels = labeled.select(label).distinct().count()

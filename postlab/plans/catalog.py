@@ -38,7 +38,7 @@ def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The silver plan for a table folder (fill values are computed once per session and folder)."""
     key = (id(spark), sf_dir)
     if key not in _SILVER_CACHE:
-        _SILVER_CACHE[key] = clean.to_silver(posts_view(spark, sf_dir))
+        _SILVER_CACHE[key] = clean.to_silver(posts_view(spark, sf_dir), cache=True)
     return _SILVER_CACHE[key]
 
 
@@ -264,9 +264,9 @@ register("agg_14_risk_hist", _hist_sql(eda.RISK_COLUMNS, 20, False))(
     lambda s, d: eda.histogram(silver(s, d), eda.RISK_COLUMNS, 20, False))
 
 
-def _scatter_sql(bins=20):
+def _scatter_sql(bins=20, views=None, source="silver"):
     parts = [f"SELECT '{v}' AS view, CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y, CAST({h} AS VARCHAR) AS hue "
-             f"FROM silver" for v, x, y, h in eda.SCATTER_VIEWS]
+             f"FROM {source}" for v, x, y, h in (views or eda.SCATTER_VIEWS)]
     u = " UNION ALL ".join(parts)
 
     def b(v, mn, mx):

@@ -194,15 +194,18 @@ def _stand_scored(s, d):
                                stand_truth().alias("truth"))
 
 
-register("agg_17_anomaly_summary", q(f"""
-, st AS (SELECT {SQL_SCORE} AS sc, {SQL_LABEL} AS lb FROM silver)
-SELECT CAST(count(*) FILTER (WHERE lb = -1) AS BIGINT) AS anomaly_count, CAST(count(*) AS BIGINT) AS total_records,
+ANO_SUMMARY_SELECT = """SELECT CAST(count(*) FILTER (WHERE lb = -1) AS BIGINT) AS anomaly_count,
+  CAST(count(*) AS BIGINT) AS total_records,
   round_even(count(*) FILTER (WHERE lb = -1) * 100.0 / count(*), 2)::DOUBLE AS anomaly_percentage,
   CAST(NULL AS DOUBLE) AS contamination_setting,
   round_even(count(*) FILTER (WHERE lb = -1) / count(*), 4)::DOUBLE AS anomaly_ratio,
   round(min(sc), 6) AS score_min, round(max(sc), 6) AS score_max, round(avg(sc), 6) AS score_mean,
   round(quantile_cont(sc, 0.5), 6) AS score_median, round(stddev_pop(sc), 6) AS score_std,
-  round(quantile_cont(sc, 0.25), 6) AS score_p25, round(quantile_cont(sc, 0.75), 6) AS score_p75 FROM st"""))(
+  round(quantile_cont(sc, 0.25), 6) AS score_p25, round(quantile_cont(sc, 0.75), 6) AS score_p75 FROM st"""
+STAND_CTE = f"""
+, st AS (SELECT {SQL_SCORE} AS sc, {SQL_LABEL} AS lb FROM silver)"""
+
+register("agg_17_anomaly_summary", q(STAND_CTE + "\n" + ANO_SUMMARY_SELECT))(
     lambda s, d: anomaly.summary(_stand_scored(s, d)))
 
 SUP_ANO_CTE = f"""
@@ -339,3 +342,80 @@ def _train(s, d, target="credibility_score"):
 
 
 register("sup_07_train_target")(_train)
+
+# ---------------------------------------------------------------- explanation (SUP-09/10/11) and reports
+_MODEL_CACHE: dict = {}
+
+
+def small_model(s, d, target="credibility_score", trees=20):
+    """A 20-tree boosted model of the target on the hash train split (explanation queries only)."""
+    key = (id(s), d, target, trees)
+    if key not in _MODEL_CACHE:
+        from pyspark.ml import Pipeline
+        frame, num, cat = prep.feature_target_split(featured(s, d), target)
+        train, _test = prep.train_test_split(frame)
+        model = Pipeline(stages=prep.preprocessing_stages(num, cat) + [supervised.make_regressor(
+            42, {"n_estimators": trees})]).fit(train)
+        _MODEL_CACHE[key] = (model, frame, num + cat)
+    return _MODEL_CACHE[key]
+
+
+def _shap(s, d):
+    from postlab.operators import explain
+    model, frame, feats = small_model(s, d)
+    contrib = explain.shapley_values(model, frame, feats, n_rows=200, n_background=50, permutations=8)
+    return explain.mean_abs_importance(contrib)
+
+
+def _dependence(s, d):
+    from postlab.operators import explain
+    model, frame, feats = small_model(s, d)
+    contrib = explain.shapley_values(model, frame, feats, n_rows=200, n_background=50, permutations=8)
+    top = explain.mean_abs_importance(contrib).first()["feature"]
+    return explain.dependence(contrib, frame, top).withColumn("feature", F.lit(top))
+
+
+register("sup_10_shapley_importance")(_shap)
+register("sup_11_shapley_dependence")(_dependence)
+
+
+def _avp_frame(s, d, t="credibility_score"):
+    return silver(s, d).where(F.col(t).isNotNull()).select(
+        F.col(t).alias("actual"), (0.9 * F.col(t) + 0.01).alias("predicted"), F.lit(t).alias("target"))
+
+
+AVP_VIEW = [("actual_vs_predicted", "actual", "predicted", "target")]
+
+
+def _avp_sql():
+    from postlab.plans.catalog import _scatter_sql
+    src = ("(SELECT credibility_score AS actual, 0.9 * credibility_score + 0.01 AS predicted, "
+           "'credibility_score' AS target FROM silver WHERE credibility_score IS NOT NULL)")
+    return _scatter_sql(views=AVP_VIEW, source=src)
+
+
+register("sup_09_actual_vs_predicted_bins", _avp_sql())(
+    lambda s, d: eda.scatter_bins(_avp_frame(s, d), AVP_VIEW))
+
+
+def _rep01(s, d):
+    from postlab.operators import report
+    parts = [report.long_metrics("regression", t, _reg_metrics(s, d, t).drop("target"))
+             for t in ("misinformation_probability", "credibility_score")]
+    parts.append(report.long_metrics("anomaly", "isolation_forest", anomaly.summary(_stand_scored(s, d))))
+    return report.union_all(parts)
+
+
+def _rep01_sql():
+    parts = []
+    for t in ("misinformation_probability", "credibility_score"):
+        for m in ("mae", "rmse", "r2"):
+            parts.append(f"SELECT 'regression' AS section, '{t}' AS model, '{m}' AS metric, "
+                         f"round(CAST({m} AS DOUBLE), 4) AS value FROM ({REG_SQL.format(t=t)})")
+    for m in ("anomaly_count", "total_records", "anomaly_percentage", "contamination_setting", "anomaly_ratio",
+              "score_min", "score_max", "score_mean", "score_median", "score_std", "score_p25", "score_p75"):
+        parts.append(f"SELECT 'anomaly', 'isolation_forest', '{m}', round(CAST({m} AS DOUBLE), 4) FROM an")
+    return q(STAND_CTE + f",\nan AS ({ANO_SUMMARY_SELECT})\n" + "\nUNION ALL\n".join(parts))
+
+
+register("rep_01_metric_table", _rep01_sql())(_rep01)

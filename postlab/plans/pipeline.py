@@ -58,11 +58,12 @@ def run_pipeline(spark: SparkSession, out_dir: str, sf_dir: str | None = None, b
             fp = sinks.input_fingerprint(src, params)
         except Exception:  # noqa: BLE001 - inputs without file metadata
             fp = "unfingerprinted"
-        if reuse("silver", ["silver"], fp):
+        if reuse("silver", ["bronze", "silver"], fp):
             st["value"] = "reused"
         else:
-            put("silver", clean.to_silver(src))
-            manifest.mark("silver", fp, ["silver"])
+            bronze_t = put("bronze", src)  # medallion bronze: the raw rows as a table
+            put("silver", clean.to_silver(bronze_t))
+            manifest.mark("silver", fp, ["bronze", "silver"])
     silver = tables["silver"]
 
     with timer.stage("gold_star_schema") as st:
