@@ -45,7 +45,8 @@ def main():
 
     def load():
         sinks.write_table(posts_view(spark, sf_dir), f"{out}/bronze")
-        sinks.write_table(clean.to_silver(spark.read.parquet(f"{out}/bronze")), f"{out}/silver")
+        sinks.write_table(clean.to_silver(spark.read.parquet(f"{out}/bronze"), cache=True), f"{out}/silver")
+        spark.catalog.clearCache()  # the de-duplicated rows were cached only for the statistics passes
         return spark.read.parquet(f"{out}/silver")
 
     silver = timed("data_loading_silver", load)

@@ -194,23 +194,22 @@ def top_reasons(scored: DataFrame, k: int = 10) -> DataFrame:
 def summary(scored: DataFrame, label: str = "anomaly_label", score: str = "anomaly_score",
             contamination=None) -> DataFrame:
     """AGG-17 / ANO-04: one-row summary; quantiles exact; std is the population std."""
-    spark = scored.sparkSession
     q = exact_quantiles(scored, [score], [0.25, 0.5, 0.75])
     base = scored.agg(F.count_if(F.col(label) == -1).alias("anomaly_count"), F.count(F.lit(1)).alias("total_records"),
                       F.min(score).alias("score_min"), F.max(score).alias("score_max"),
                       F.avg(score).alias("score_mean"), F.stddev_pop(score).alias("score_std"))
     cnt, tot = F.col("anomaly_count"), F.col("total_records")
     cont = float(contamination) if isinstance(contamination, (int, float)) else None
-    qs = spark.createDataFrame([tuple(None if q[(score, p)] is None else round(float(q[(score, p)]), 6)
-                                      for p in (0.25, 0.5, 0.75))], "score_p25 double, score_median double, score_p75 double")
-    return base.crossJoin(qs).select(
+    qv = [None if q[(score, p)] is None else round(float(q[(score, p)]), 6) for p in (0.25, 0.5, 0.75)]
+    return base.select(
         cnt.cast("bigint").alias("anomaly_count"), tot.cast("bigint").alias("total_records"),
         F.when(tot > 0, F.bround(cnt * 100.0 / tot, 2)).otherwise(F.lit(0.0)).alias("anomaly_percentage"),
         F.lit(cont).cast("double").alias("contamination_setting"),
         F.when(tot > 0, F.bround(cnt / tot, 4)).otherwise(F.lit(0.0)).alias("anomaly_ratio"),
         round6("score_min").alias("score_min"), round6("score_max").alias("score_max"),
-        round6("score_mean").alias("score_mean"), "score_median", round6("score_std").alias("score_std"),
-        "score_p25", "score_p75")
+        round6("score_mean").alias("score_mean"), F.lit(qv[1]).cast("double").alias("score_median"),
+        round6("score_std").alias("score_std"), F.lit(qv[0]).cast("double").alias("score_p25"),
+        F.lit(qv[2]).cast("double").alias("score_p75"))
 
 
 def normalise_labels(df: DataFrame, truth: str, pred: str) -> DataFrame:
@@ -240,21 +239,21 @@ def supervised_metrics(df: DataFrame, truth: str = "y_true", pred: str = "y_pred
     by_score = df.groupBy(risk).agg(F.sum(F.col(truth)).cast("bigint").alias("pos"),
                                     F.sum(1 - F.col(truth)).cast("bigint").alias("neg"))
     cum = running_totals(by_score, [F.desc(risk)], ["pos", "neg"])  # inclusive, highest score first
-    totals = by_score.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    rank = (cum.crossJoin(totals)
-            .agg(F.sum(F.col("pos") * ((F.col("N") - F.col("cum_neg")) + 0.5 * F.col("neg"))).alias("__auc_num"),
-                 F.sum(F.when(F.col("pos") > 0, (F.col("pos") / F.col("P")) *
-                              (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))))).alias("__ap"),
-                 F.first("P").alias("P"), F.first("N").alias("N")))
+    tot = by_score.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()  # scalars
+    big_p, big_n = F.lit(tot["P"] or 0), F.lit(tot["N"] or 0)
+    rank = cum.agg(F.sum(F.col("pos") * ((big_n - F.col("cum_neg")) + 0.5 * F.col("neg"))).alias("a"),
+                   F.sum(F.when(F.col("pos") > 0, (F.col("pos") / big_p) *
+                                (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))))).alias("ap")).first()
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     prec = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0)
     rec = F.when(tp + fn > 0, tp / (tp + fn)).otherwise(0.0)
-    valid = (F.col("P") > 0) & (F.col("N") > 0) & (F.col("n_scores") > 1)
-    out = counts.crossJoin(rank).select(
+    valid = (big_p > 0) & (big_n > 0) & (F.col("n_scores") > 1)
+    auc = F.lit(rank["a"]).cast("double") / (big_p * big_n).cast("double")
+    out = counts.select(
         round6(prec).alias("precision"), round6(rec).alias("recall"),
         round6(F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0)).alias("f1_score"),
-        F.when(valid, round6(F.col("__auc_num") / (F.col("P") * F.col("N")))).alias("roc_auc"),
-        F.when(valid, round6("__ap")).alias("average_precision"),
+        F.when(valid, round6(auc)).alias("roc_auc"),
+        F.when(valid, round6(F.lit(rank["ap"]).cast("double"))).alias("average_precision"),
         F.col("tn").cast("bigint").alias("tn"), F.col("fp").cast("bigint").alias("fp"),
         F.col("fn").cast("bigint").alias("fn"), F.col("tp").cast("bigint").alias("tp"))
     return out
@@ -265,14 +264,15 @@ def curves(df: DataFrame, truth: str = "y_true", risk: str = "risk_score") -> Da
     by_score = df.groupBy(risk).agg(F.sum(F.col(truth)).cast("bigint").alias("pos"),
                                     F.sum(1 - F.col(truth)).cast("bigint").alias("neg"))
     cum = running_totals(by_score, [F.desc(risk)], ["pos", "neg"])
-    totals = by_score.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    tot = by_score.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()  # scalars
+    big_p, big_n = F.lit(tot["P"] or 0), F.lit(tot["N"] or 0)
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
-    return cum.crossJoin(totals).select(
+    return cum.select(
         round6(F.col(risk)).alias("threshold"), tp.cast("bigint").alias("tp"), fp.cast("bigint").alias("fp"),
-        round6(F.when(F.col("P") > 0, tp / F.col("P"))).alias("tpr"),
-        round6(F.when(F.col("N") > 0, fp / F.col("N"))).alias("fpr"),
+        round6(F.when(big_p > 0, tp / big_p)).alias("tpr"),
+        round6(F.when(big_n > 0, fp / big_n)).alias("fpr"),
         round6(tp / (tp + fp)).alias("precision"),
-        round6(F.when(F.col("P") > 0, tp / F.col("P"))).alias("recall"))
+        round6(F.when(big_p > 0, tp / big_p)).alias("recall"))
 
 
 def find_truth_column(columns: list[str]) -> str | None:

@@ -63,9 +63,10 @@ def dependence(contrib: DataFrame, data: DataFrame, feature: str, bins: int = 20
     """SUP-11: binned (feature value, mean contribution) for one feature."""
     v = data.select(key, F.col(feature).cast("double").alias("value"))
     c = contrib.where(F.col("feature") == feature).join(v, key)
-    rng = c.agg(F.min("value").alias("mn"), F.max("value").alias("mx"))
-    b = F.when(F.col("mx") == F.col("mn"), F.lit(1)).otherwise(
-        F.least(F.floor((F.col("value") - F.col("mn")) / (F.col("mx") - F.col("mn")) * bins) + 1, F.lit(bins)))
-    return (c.crossJoin(rng).groupBy(b.cast("int").alias("bin"))
+    rng = c.agg(F.min("value").alias("mn"), F.max("value").alias("mx")).first()
+    mn, mx = rng["mn"], rng["mx"]
+    b = F.lit(1) if mn is None or mx == mn else F.least(
+        F.floor((F.col("value") - F.lit(mn)) / F.lit(mx - mn) * bins) + 1, F.lit(bins))
+    return (c.groupBy(b.cast("int").alias("bin"))
             .agg(round6(F.avg("value")).alias("value"), round6(F.avg("contribution")).alias("mean_contribution"),
                  F.count(F.lit(1)).alias("n")).orderBy("bin"))

@@ -130,8 +130,9 @@ def preprocessing_stages(num: list[str], cat: list[str], output: str = "features
                                     stringOrderType="alphabetAsc"))
         ohe_cols.append(f"{c}__ohe")
     if cat:
+        # the indexer's extra "unknown" index is the last category, which dropLast removes
         stages.append(OneHotEncoder(inputCols=[f"{c}__idx" for c in cat], outputCols=ohe_cols, dropLast=True,
-                                    handleInvalid="keep"))
+                                    handleInvalid="error"))
     stages.append(VectorAssembler(inputCols=num + ohe_cols, outputCol=output, handleInvalid="keep"))
     return stages
 

@@ -40,11 +40,10 @@ def cluster_metrics(df: DataFrame, label: str, cols: list[str]) -> DataFrame:
     within = (df.select(label, *cols).join(cents, label)
               .groupBy(label).agg(F.sum(d2).alias("__w"), F.avg(F.sqrt(d2)).alias("__s")))
     per = cents.join(within, label)
-    glob = df.agg(*[F.avg(v).alias(f"__g{i}") for i, v in enumerate(x)])
-    b2 = sum(((F.col(f"__c{i}") - F.col(f"__g{i}")) ** 2 for i in range(len(cols))), F.lit(0.0))
-    totals = (per.crossJoin(glob)  # glob is one row
-              .agg(F.sum("__n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("__w").alias("inertia"),
-                   F.sum(F.col("__n") * b2).alias("__b")))
+    glob = df.agg(*[F.avg(v).alias(f"__g{i}") for i, v in enumerate(x)]).first()  # one row of scalars
+    b2 = sum(((F.col(f"__c{i}") - F.lit(glob[f"__g{i}"])) ** 2 for i in range(len(cols))), F.lit(0.0))
+    totals = per.agg(F.sum("__n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("__w").alias("inertia"),
+                     F.sum(F.col("__n") * b2).alias("__b"))
     # Davies-Bouldin over pairs of clusters: a k x k join of the k-row centroid table
     a = per.select(F.col(label).alias("__la"), F.col("__s").alias("__sa"),
                    *[F.col(f"__c{i}").alias(f"__a{i}") for i in range(len(cols))])
@@ -53,10 +52,10 @@ def cluster_metrics(df: DataFrame, label: str, cols: list[str]) -> DataFrame:
     dist = F.sqrt(sum(((F.col(f"__a{i}") - F.col(f"__b{i}")) ** 2 for i in range(len(cols))), F.lit(0.0)))
     r = F.when(dist == 0, F.lit(0.0)).otherwise((F.col("__sa") + F.col("__sb")) / dist)
     db = (a.join(b, F.col("__la") != F.col("__lb")).groupBy("__la").agg(F.max(r).alias("__r"))
-          .agg(F.avg("__r").alias("davies_bouldin_index")))
+          .agg(F.avg("__r")).first()[0])
     ok = (F.col("k") >= 2) & (F.col("n") >= 4)
     ch = (F.col("__b") / (F.col("k") - 1)) / (F.col("inertia") / (F.col("n") - F.col("k")))
-    return totals.crossJoin(db).select(
+    return totals.withColumn("davies_bouldin_index", F.lit(db).cast("double")).select(
         F.col("n").cast("bigint").alias("n"), F.col("k").cast("bigint").alias("k"),
         F.when(ok, F.round("inertia", 3)).alias("inertia"),
         F.when(ok, F.round(F.when(F.col("inertia") == 0, F.lit(1.0)).otherwise(ch), 4)).alias("calinski_harabasz_score"),
@@ -197,13 +196,13 @@ def cluster_profile(clustered: DataFrame, label: str = "cluster") -> DataFrame:
 
 def narrative(profile: DataFrame, global_means: DataFrame) -> DataFrame:
     """CLU-12: segment description from strict '>' comparisons with the global means (one-row frame)."""
-    g = global_means.select(*[F.col(c).alias(f"__g_{c}") for c, _a, _b in CLUSTER_TRAITS])
+    g = global_means.first()  # one row of scalars
     traits = []
     for c, above, below in CLUSTER_TRAITS:
-        cond = F.col(c) > F.col(f"__g_{c}")
+        cond = F.col(c) > F.lit(g[c])
         traits.append(F.when(cond, F.lit(above)) if below is None else F.when(cond, F.lit(above)).otherwise(below))
     text = F.concat(F.lit(CLUSTER_NARRATIVE_PREFIX), F.concat_ws(", ", *traits), F.lit("."))
-    return profile.crossJoin(g).withColumn("interpretation", text).drop(*g.columns)
+    return profile.withColumn("interpretation", text)
 
 
 # ------------------------------------------------------------------ density clustering (capped sample)

@@ -164,12 +164,24 @@ def recommendation_column(target_col: str = "target", pos: str = "pos", neg: str
         F.concat(F.lit(c[0]), F.col(pos), F.lit(c2[0]), F.col(neg), F.lit(c2[1])))
 
 
+ROWS_PER_PARTITION = 1_000_000
+
+
 def train_target(data: DataFrame, target: str, seed: int = 42, n_draws: int = 8, folds: int = 2,
-                 exclude_leaky: bool = True, repeats: int = 5, parallelism: int = 4) -> dict:
-    """SUP-07: split, tune, predict, score and explain one target; returns tables keyed by ``target``."""
+                 exclude_leaky: bool = True, repeats: int = 5, parallelism: int | None = None) -> dict:
+    """SUP-07: split, tune, predict, score and explain one target; returns tables keyed by ``target``.
+
+    The training frame is cached in partitions of about one million rows: boosting runs one job
+    per tree level per iteration, so tiny partitions only add scheduling latency, while at scale
+    the partition count grows with the data. All draws of a fold are fitted concurrently.
+    """
+    import math
+
     t0 = time.time()
     frame, num, cat = feature_target_split(data, target, exclude_leaky)
-    frame = frame.persist()
+    n = frame.count()
+    frame = frame.repartition(max(1, math.ceil(n / ROWS_PER_PARTITION))).persist()
+    parallelism = parallelism or max(1, min(n_draws, 8))
     train, test = train_test_split(frame, seed)
     model, best_cv, _draws = tune(train, num, cat, seed, n_draws, folds, parallelism)
     scored = model.transform(test)

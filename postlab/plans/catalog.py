@@ -113,6 +113,20 @@ register("cln_09_nonfinite", q(
         "post_id", F.try_divide(F.col("likes").cast("double"), F.col("impressions_estimate").cast("double"))
         .alias("like_rate"))).where(F.col("like_rate").isNull()))
 
+register("cln_10_valid_target_rows", with_posts(
+    "SELECT post_id, misinformation_probability FROM posts WHERE misinformation_probability IS NOT NULL "
+    "AND NOT isnan(misinformation_probability)"))(
+    lambda s, d: clean.valid_target_rows(posts_view(s, d), "misinformation_probability")
+    .select("post_id", "misinformation_probability"))
+
+register("cln_11_drop_id_and_target", q(
+    "SELECT * EXCLUDE (post_id, parent_post_id, credibility_score, event_ts) FROM silver"))(
+    lambda s, d: clean.drop_id_and_target(silver(s, d), "credibility_score").drop("event_ts"))
+
+register("cln_12_behaviour_columns", with_posts("SELECT " + ", ".join(
+    f"CAST({c} AS DOUBLE) AS {c}" for c in CLUSTER_FEATURES) + " FROM posts"))(
+    lambda s, d: clean.coerce_behaviour_columns(posts_view(s, d), CLUSTER_FEATURES + ["not_a_column"]))
+
 # ---------------------------------------------------------------- features
 FEATURE_SQL = """
 SELECT post_id,

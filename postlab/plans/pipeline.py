@@ -62,7 +62,8 @@ def run_pipeline(spark: SparkSession, out_dir: str, sf_dir: str | None = None, b
             st["value"] = "reused"
         else:
             bronze_t = put("bronze", src)  # medallion bronze: the raw rows as a table
-            put("silver", clean.to_silver(bronze_t))
+            put("silver", clean.to_silver(bronze_t, cache=True))
+            spark.catalog.clearCache()  # de-duplicated rows were cached for the statistics passes only
             manifest.mark("silver", fp, ["bronze", "silver"])
     silver = tables["silver"]
 
