@@ -154,7 +154,7 @@ def renumber_by_size(df: DataFrame, label: str = "cluster") -> DataFrame:
 
 
 def k_scan(scaled: DataFrame, cols: list[str], seed: int = 42, max_k: int = 10, restarts: int = 3,
-           max_samples: int = CLUSTERING_EVAL_MAX_SAMPLES, parallelism: int = 4) -> DataFrame:
+           max_samples: int = CLUSTERING_EVAL_MAX_SAMPLES, parallelism: int = 8) -> DataFrame:
     """CLU-01: K = 2..min(max_k, n-1) on a <= max_samples hash subsample: inertia and silhouette per K."""
     from concurrent.futures import ThreadPoolExecutor
 
@@ -320,15 +320,22 @@ def compare_models(scaled: DataFrame, cols: list[str], seed: int = 42, cluster_c
         return (name, int(k), sil, met["davies_bouldin_index"], met["calinski_harabasz_score"], inertia,
                 bool(sampled), int(size), None)
 
-    rows = []
-    km = fit_kmeans(ev, cluster_count, seed, restarts)
-    rows.append(metrics_row(km.transform(ev), "cluster", "K-Means", cluster_count, float(km.summary.trainingCost)))
-    bk = BisectingKMeans(k=cluster_count, seed=seed, featuresCol="features_scaled", predictionCol="cluster").fit(ev)
-    rows.append(metrics_row(bk.transform(ev), "cluster", "Hierarchical (bisecting k-means)", cluster_count))
-    db = dbscan(ev, cols, 0.75, None, key)
-    labeled = ev.join(db, key)
-    k_db = labeled.select("dbscan_cluster").distinct().count()
-    rows.append(metrics_row(labeled, "dbscan_cluster", "DBSCAN", k_db))
+    def kmeans_row():
+        km = fit_kmeans(ev, cluster_count, seed, restarts)
+        return metrics_row(km.transform(ev), "cluster", "K-Means", cluster_count, float(km.summary.trainingCost))
+
+    def bisecting_row():
+        bk = BisectingKMeans(k=cluster_count, seed=seed, featuresCol="features_scaled", predictionCol="cluster").fit(ev)
+        return metrics_row(bk.transform(ev), "cluster", "Hierarchical (bisecting k-means)", cluster_count)
+
+    def dbscan_row():
+        labeled = ev.join(dbscan(ev, cols, 0.75, None, key), key)
+        k_db = labeled.select("dbscan_cluster").distinct().count()
+        return metrics_row(labeled, "dbscan_cluster", "DBSCAN", k_db)
+
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=3) as pool:  # three independent fits as concurrent Spark jobs
+        rows = [f.result() for f in [pool.submit(kmeans_row), pool.submit(bisecting_row), pool.submit(dbscan_row)]]
     ev.unpersist()
     comp = spark.createDataFrame(rows, "model_name string, cluster_count int, silhouette_score double, "
                                        "davies_bouldin_index double, calinski_harabasz_score double, inertia double, "

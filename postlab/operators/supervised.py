@@ -80,13 +80,19 @@ def feature_importance(model, scored: DataFrame) -> DataFrame:
 
 
 def permutation_importance(model, test: DataFrame, features: list[str], repeats: int = 5, seed: int = 42,
-                           key: str = "post_id") -> DataFrame:
+                           key: str = "post_id", max_rows: int | None = 100_000) -> DataFrame:
     """SUP-05: mean RMSE increase when one raw column is permuted, ``repeats`` times per column.
 
+    The scored copies number rows x features x repeats, so the estimate runs on at most ``max_rows``
+    hash-sampled test rows (all test rows at the sizes of the reference; ``None`` = no cap).
+
     Test rows get dense indexes 0..n-1; repeat r pairs row i with row (a_r * i + b_r) mod n
     (gcd(a_r, n) = 1, so each repeat is a permutation); the partner values arrive by equi-joins on
     the index. All (feature, repeat) copies are produced by one explode and scored by one transform.
     """
+    if max_rows is not None:
+        from postlab.operators.prep import subsample
+        test = subsample(test, max_rows, seed, key)
     idx = dense_index(test, [key], "__i", start=0)
     n = idx.count()
     rng = np.random.RandomState(seed)
@@ -165,22 +171,26 @@ def recommendation_column(target_col: str = "target", pos: str = "pos", neg: str
 
 
 ROWS_PER_PARTITION = 1_000_000
+MIN_ROWS_PER_TASK = 20_000
 
 
 def train_target(data: DataFrame, target: str, seed: int = 42, n_draws: int = 8, folds: int = 2,
                  exclude_leaky: bool = True, repeats: int = 5, parallelism: int | None = None) -> dict:
     """SUP-07: split, tune, predict, score and explain one target; returns tables keyed by ``target``.
 
-    The training frame is cached in partitions of about one million rows: boosting runs one job
-    per tree level per iteration, so tiny partitions only add scheduling latency, while at scale
-    the partition count grows with the data. All draws of a fold are fitted concurrently.
+    The training frame is cached in partitions of at most about one million rows and at least
+    ~20,000 rows: boosting runs one job per tree level per iteration, so tiny partitions only add
+    scheduling latency, while at scale the partition count grows with the data. All draws of a
+    fold are fitted concurrently.
     """
     import math
 
     t0 = time.time()
     frame, num, cat = feature_target_split(data, target, exclude_leaky)
     n = frame.count()
-    frame = frame.repartition(max(1, math.ceil(n / ROWS_PER_PARTITION))).persist()
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    parts = max(math.ceil(n / ROWS_PER_PARTITION), min(cores, math.ceil(n / MIN_ROWS_PER_TASK)), 1)
+    frame = frame.repartition(parts).persist()
     parallelism = parallelism or max(1, min(n_draws, 8))
     train, test = train_test_split(frame, seed)
     model, best_cv, _draws = tune(train, num, cat, seed, n_draws, folds, parallelism)

@@ -1,0 +1,18 @@
+import tempfile
+
+from postlab.plans.pipeline import run_pipeline
+
+
+def test_pipeline_runs_and_resumes(spark):
+    out = tempfile.mkdtemp(prefix="pipe-")
+    t1 = run_pipeline(spark, out, sf_dir="/root/testdata/sf0.001", skip=("model_training",), restarts=1,
+                      n_trees=50, default_year=2025)
+    status = {r["stage"]: r["status"] for r in t1["timings"].collect()}
+    assert all(v == "ok" for v in status.values()), status
+    for name in ("silver", "fact_posts", "clusters", "anomaly_scores", "forecasts", "report_metrics", "executive_facts"):
+        assert t1[name].count() > 0
+    assert t1["fact_posts"].count() == t1["silver"].count()
+    t2 = run_pipeline(spark, out, sf_dir="/root/testdata/sf0.001", skip=("model_training",), restarts=1,
+                      n_trees=50, default_year=2025)
+    status2 = {r["stage"]: r["status"] for r in t2["timings"].collect()}
+    assert status2["data_loading"] == "reused" and status2["clustering_training"] == "reused"
