@@ -18,13 +18,26 @@ from pyspark.sql import functions as F
 from postlab.operators import anomaly, clean, eda, features, forecast, prep, report, segment, star, supervised
 from postlab.operators import calendar as cal
 from postlab.schema import CLUSTER_FEATURES, TARGETS
-from postlab.session import prepare_session
+from postlab.session import cut_lineage, prepare_session
 from postlab.sources import sinks
 from postlab.sources.posts import posts_view
 
 Z = [f"z_{c}" for c in CLUSTER_FEATURES]
 
 
+def _saved_target_tables(spark: SparkSession, out_dir: str, target: str) -> dict | None:
+    """Tables of a target from an earlier run (partitioned by target), or None if absent."""
+    try:
+        out = {k: spark.read.parquet(os.path.join(out_dir, f"model_{k}")).where(F.col("target") == target)
+               for k in ("metrics", "importance", "drivers", "predictions")}
+        if not out["metrics"].limit(1).count():
+            return None
+        # checkpoint: the same folders are overwritten by this run's tables
+        return {k: cut_lineage(v) for k, v in out.items()}
+    except Exception:  # noqa: BLE001 - nothing saved yet
+        return None
+
+
 def run_pipeline(spark: SparkSession, out_dir: str, sf_dir: str | None = None, bronze: DataFrame | None = None,
                  seed: int = 42, resume: bool = True, targets: list[str] = TARGETS, n_draws: int = 8, folds: int = 2,
                  permutation_repeats: int = 5, restarts: int = 3, n_trees: int = 300, periods: int = 30,
@@ -89,14 +102,27 @@ def run_pipeline(spark: SparkSession, out_dir: str, sf_dir: str | None = None, b
             if reuse("model_training", outs, fp):
                 st["value"] = "reused"
             else:
-                res = {t: supervised.train_target(featured, t, seed, n_draws, folds, True, permutation_repeats)
-                       for t in targets}
-                for t, r in res.items():
-                    sinks.save_model(r["model"], path(f"models/gbt_{t}"))
-                    facts[f"recommendation_{t}"] = r["recommendation"]
+                res, status = {}, {}
+                for t in targets:  # SUP-08: one target failing does not stop the others
+                    try:
+                        r = supervised.train_target(featured, t, seed, n_draws, folds, True, permutation_repeats)
+                        sinks.save_model(r["model"], path(f"models/gbt_{t}"))
+                        facts[f"recommendation_{t}"] = r["recommendation"]
+                        res[t], status[t] = r, "trained"
+                    except Exception as exc:  # noqa: BLE001
+                        status[t] = "failed"
+                        facts[f"training_error_{t}"] = f"{type(exc).__name__}: {str(exc)[:200]}"
+                        saved = _saved_target_tables(spark, out_dir, t)
+                        if saved is not None:  # fall back to the last saved result of this target
+                            res[t], status[t] = saved, "reused"
                 for k in ("metrics", "importance", "drivers", "predictions"):
-                    put(f"model_{k}", report.union_all([r[k] for r in res.values()]), ["target"])
-                manifest.mark("model_training", fp, outs)
+                    frames = [r[k] for r in res.values()]
+                    if k == "metrics":
+                        frames = [f.withColumn("status", F.lit(status[t])) for t, f in zip(res, frames)]
+                    if frames:
+                        put(f"model_{k}", report.union_all(frames), ["target"])
+                if all(v == "trained" for v in status.values()):
+                    manifest.mark("model_training", fp, outs)
 
     with timer.stage("preprocessing"):
         scaled = put("scaled_matrix", prep.scaled_matrix(silver, CLUSTER_FEATURES,
