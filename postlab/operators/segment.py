@@ -161,7 +161,10 @@ def k_scan(scaled: DataFrame, cols: list[str], seed: int = 42, max_k: int = 10,
     spark = scaled.sparkSession
     n = scaled.count()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sample = (subsample(scaled, max_samples, seed) if n > max_samples else scaled).repartition(parts).persist()
+    # the sample is capped, so one partition per fit: each fit's jobs are single tasks and the
+    # concurrent fits share the cores instead of queueing many tiny tasks each
+    sample = (subsample(scaled, max_samples, seed) if n > max_samples else scaled).coalesce(1).persist()
+    sample.count()  # materialise once before the concurrent fits read it
 
     def one(k):
         model = fit_kmeans(sample, k, seed, restarts)
@@ -308,7 +311,8 @@ def compare_models(scaled: DataFrame, cols: list[str], seed: int = 42, cluster_c
         cluster_count = min(4, max(2, min(n - 1, 6)))
     subsampled = n > max_samples
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ev = (subsample(scaled, max_samples, seed, key) if subsampled else scaled).repartition(parts).persist()
+    ev = (subsample(scaled, max_samples, seed, key) if subsampled else scaled).coalesce(1).persist()
+    ev.count()  # materialise once before the concurrent fits read it (capped sample: one partition)
 
     def metrics_row(labeled, label, name, k, inertia=None):
         n_labels = labeled.select(label).distinct().count()
