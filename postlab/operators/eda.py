@@ -106,18 +106,34 @@ def value_counts(df: DataFrame, columns: list[str], k: int = 10, dropna: bool =
 def correlation_matrix(df: DataFrame, columns: list[str] = CORR_COLUMNS) -> DataFrame:
     """AGG-11: pairwise-complete Pearson matrix in long form (x, y, r).
 
-    Each row emits one (pair, a, b) entry per column pair (a fixed fan-out of k(k-1)/2), and a
-    three-function aggregate grouped by pair runs map-side combined - one small codegen'd aggregate
-    instead of hundreds of aggregate expressions in one operator. A constant column gives null.
+    Values are first shifted by their column means (one small aggregate; the formula is
+    shift-invariant and the shift keeps the sums well conditioned). Each row then emits one
+    (pair, x, y) entry per column pair (a fixed fan-out of k(k-1)/2) and plain sums grouped by pair
+    run map-side combined. A constant column gives null.
     """
     spark = df.sparkSession
     pairs = list(combinations(columns, 2))
     vals = {c: finite(F.col(c).cast("double")) for c in columns}
-    arr = F.array(*[F.struct(F.lit(i).alias("p"), vals[a].alias("a"), vals[b].alias("b"))
+    stats = df.agg(*[F.avg(vals[c]).alias(c) for c in columns],
+                   *[F.count_if(vals[c].isNull()).alias(f"__null_{c}") for c in columns]).first()
+    means = {c: stats[c] for c in columns}
+    # project the shifted columns once, so later expressions only reference plain columns
+    base = df.select(*[(vals[c] - F.lit(means[c] or 0.0)).alias(f"__v{i}") for i, c in enumerate(columns)])
+    pos = {c: f"__v{i}" for i, c in enumerate(columns)}
+    if not any(stats[f"__null_{c}"] for c in columns):
+        return _complete_correlation(base, columns, pos, pairs)
+    arr = F.array(*[F.struct(F.lit(i).alias("p"), F.col(pos[a]).alias("a"), F.col(pos[b]).alias("b"))
                     for i, (a, b) in enumerate(pairs)])
-    long = (df.select(F.explode(arr).alias("e")).select("e.p", "e.a", "e.b")
+    long = (base.select(F.explode(arr).alias("e")).select("e.p", "e.a", "e.b")
             .where(F.col("a").isNotNull() & F.col("b").isNotNull()))
-    r = long.groupBy("p").agg(F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")).alias("r"))
+    a, b = F.col("a"), F.col("b")
+    s = long.groupBy("p").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(a).alias("sa"), F.sum(b).alias("sb"),
+                              F.sum(a * a).alias("saa"), F.sum(b * b).alias("sbb"), F.sum(a * b).alias("sab"))
+    n = F.col("n")
+    cov = n * F.col("sab") - F.col("sa") * F.col("sb")
+    va = n * F.col("saa") - F.col("sa") * F.col("sa")
+    vb = n * F.col("sbb") - F.col("sb") * F.col("sb")
+    r = s.select("p", F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)).alias("r"))
     names = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "p int, x string, y string")
     full = F.broadcast(names).join(r, "p", "left")  # k(k-1)/2 rows: bounded by the column list
     diag = spark.createDataFrame([(c, c, 1.0) for c in columns], "x string, y string, r double")
@@ -127,6 +143,29 @@ def correlation_matrix(df: DataFrame, columns: list[str] = CORR_COLUMNS) -> Data
     return both.select("x", "y", round6("r").alias("r"))
 
 
+def _complete_correlation(base: DataFrame, columns: list[str], pos: dict, pairs: list) -> DataFrame:
+    """No nulls: every pair uses all rows, so n, sums and cross-product sums of the shifted columns
+    (k + k(k+1)/2 sums in one aggregate, no fan-out) give the whole matrix."""
+    spark = base.sparkSession
+    sq = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    row = base.agg(F.count(F.lit(1)).alias("n"), *[F.sum(pos[c]).alias(f"s_{c}") for c in columns],
+                   *[F.sum(F.col(pos[a]) * F.col(pos[b])).alias(f"p_{a}__{b}") for a, b in sq]).first()
+    n = float(row["n"])
+
+    def corr(a, b):
+        cov = n * row[f"p_{a}__{b}"] - row[f"s_{a}"] * row[f"s_{b}"]
+        va = n * row[f"p_{a}__{a}"] - row[f"s_{a}"] ** 2
+        vb = n * row[f"p_{b}__{b}"] - row[f"s_{b}"] ** 2
+        return cov / (va * vb) ** 0.5 if va > 0 and vb > 0 else None
+
+    out = [(c, c, 1.0) for c in columns]
+    for a, b in pairs:
+        r = corr(a, b)
+        r = None if r is None else round(r, 6)
+        out += [(a, b, r), (b, a, r)]
+    return spark.createDataFrame(out, "x string, y string, r double")  # k x k values: bounded by the column list
+
+
 def histogram(df: DataFrame, columns: list[str], bins: int = 20, log1p: bool = False) -> DataFrame:
     """AGG-13 / AGG-14: equal-width histogram per column (column, bucket, lo, hi, n), last bin closed.
 

@@ -70,15 +70,22 @@ class FillScale(Estimator, _FillScaleParams, DefaultParamsReadable, DefaultParam
     Text: mode fill (smallest value on ties). Stats are fitted per training set, so cross-validation
     refits them per fold."""
 
-    def __init__(self, numericCols=None, categoricalCols=None, scale=True):
+    def __init__(self, numericCols=None, categoricalCols=None, scale=True, onlyNullColumns=False):
         super().__init__()
         self._setDefault(numericCols=[], categoricalCols=[], scale=True)
         self._set(numericCols=numericCols or [], categoricalCols=categoricalCols or [], scale=scale)
+        self._only_null_columns = onlyNullColumns  # fit-and-apply on the same rows: skip complete columns
 
     def _fit(self, df: DataFrame):
         num = self.getOrDefault("numericCols")
         cat = self.getOrDefault("categoricalCols")
-        med = exact_medians(df, num) if num else {}
+        if getattr(self, "_only_null_columns", False) and num:
+            from postlab.operators.stats import null_counts
+            nulls = null_counts(df, num)
+            med = {c: 0.0 for c in num}
+            med.update(exact_medians(df, [c for c in num if nulls[c]]))
+        else:
+            med = exact_medians(df, num) if num else {}
         filled = {c: F.coalesce(finite(F.col(c).cast("double")), F.lit(med[c])) for c in num}
         row = df.select(*[filled[c].alias(c) for c in num]).agg(
             *[F.avg(c).alias(f"m{i}") for i, c in enumerate(num)],
@@ -158,7 +165,8 @@ def scaled_matrix(df: DataFrame, columns: list[str], key: str = "post_id", vecto
     present = [c for c in columns if c in df.columns]
     base = df.select(F.col(key), *[finite(F.expr(f"try_cast({c} as double)")).alias(c) for c in present],
                      *[c for c in (keep or []) if c not in present and c != key])
-    model = FillScale(present, [], scale=False).fit(base)
+    # the fill is applied to the rows it is fitted on, so only columns with nulls need a median
+    model = FillScale(present, [], scale=False, onlyNullColumns=True).fit(base)
     med, mu, sd = (model.getOrDefault("medians"), model.getOrDefault("means"), model.getOrDefault("stds"))
     imputed = {c: F.coalesce(F.col(c), F.lit(med[i])) for i, c in enumerate(present)}
     out = base.withColumns(imputed)
