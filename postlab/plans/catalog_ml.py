@@ -421,3 +421,22 @@ def _rep01_sql():
 
 
 register("rep_01_metric_table", _rep01_sql())(_rep01)
+
+
+def _bisecting(s, d):
+    from pyspark.ml.clustering import BisectingKMeans
+    ev = prep.subsample(scaled(s, d), 10_000, 42).coalesce(1)
+    model = BisectingKMeans(k=4, seed=42, featuresCol="features_scaled", predictionCol="cluster").fit(ev)
+    return model.transform(ev).select("post_id", "cluster")
+
+
+def _anomaly_stage(s, d):
+    sc = scaled(s, d)
+    nodes, psi = anomaly.fit_isolation_forest(sc, Z)
+    scored = anomaly.score_isolation_forest(sc, Z, nodes, psi, keep=CLUSTER_FEATURES)
+    return anomaly.reasons(scored, anomaly.reason_thresholds(sc)).select(
+        "post_id", "anomaly_score", "anomaly_label", "anomaly_reason")
+
+
+register("clu_10_bisecting_kmeans")(_bisecting)
+register("ano_08_anomaly_stage")(_anomaly_stage)
