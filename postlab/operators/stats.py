@@ -33,7 +33,7 @@ def _stack(df: DataFrame, exprs: list[tuple[int, F.Column]]) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], buckets: int = 4096,
-                    max_collect: int = 50_000, max_rounds: int = 40) -> dict:
+                    max_collect: int = 200_000, max_rounds: int = 40) -> dict:
     """{(column, p): value or None}; nulls, NaN and inf are skipped."""
     columns = list(dict.fromkeys(columns))
     if not columns:
