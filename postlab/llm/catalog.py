@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from postlab.llm import chat, licenses, mixing, packing, quality, warc
+from postlab.llm import chat, jaccard, langid, licenses, mixing, packing, quality, vectors, warc
 from postlab.llm.common import table
 
 QUERIES = {
     "op1_license_scan": lambda s, d: licenses.scan(table(s, d, "documents")).drop("matches"),
     "op2_quality_rules": lambda s, d: quality.quality(table(s, d, "documents")),
+    "op3_language_id": lambda s, d: langid.identify(table(s, d, "documents")),
     "op4_best_fit_packing": lambda s, d: packing.pack(table(s, d, "documents")),
+    "op5_vector_near_dup": lambda s, d: vectors.near_duplicates(table(s, d, "embeddings")),
     "op6_chat_format": lambda s, d: chat.digests(table(s, d, "conversations")),
     "op8_warc": lambda s, d: warc.round_trip(table(s, d, "pages")),
+    "op9_jaccard_join": lambda s, d: jaccard.near_duplicates(table(s, d, "documents")).drop("text_print"),
     "op10_mix": lambda s, d: mixing.mix(table(s, d, "documents")),
 }
 
 ORACLES = {
     "op2_quality_rules": quality.quality_sql(),
+    "op5_vector_near_dup": lambda s, d: vectors.near_duplicates(table(s, d, "embeddings")),
     "op6_chat_format": chat.DIGESTS_SQL,
     "op8_warc": warc.ROUND_TRIP_SQL,
     "op10_mix": mixing.MIX_SQL,
