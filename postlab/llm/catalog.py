@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postlab.llm import chat, jaccard, langid, licenses, mixing, packing, quality, vectors, warc
+from postlab.llm import chat, jaccard, langid, licenses, mixing, ngram_lm, packing, quality, vectors, warc
 from postlab.llm.common import table
 
 QUERIES = {
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_best_fit_packing": lambda s, d: packing.pack(table(s, d, "documents")),
     "op5_vector_near_dup": lambda s, d: vectors.near_duplicates(table(s, d, "embeddings")),
     "op6_chat_format": lambda s, d: chat.digests(table(s, d, "conversations")),
+    "op7_ngram_lm": lambda s, d: ngram_lm.score(table(s, d, "documents")),
     "op8_warc": lambda s, d: warc.round_trip(table(s, d, "pages")),
     "op9_jaccard_join": lambda s, d: jaccard.near_duplicates(table(s, d, "documents")).drop("text_print"),
     "op10_mix": lambda s, d: mixing.mix(table(s, d, "documents")),
