@@ -153,7 +153,8 @@ def verified(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, th
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("row_id"), F.xxhash64(text_col).alias("p"), F.col(text_col).cast("binary").alias("t"))
     hit = (texts.row_id == members.node) & (texts.p == members.text_print)
-    found = texts.join(members, hit).select("node", "root", "copies", "chunk_no", "chunks", "t")
+    # the same plan at every size: both sides shuffle by id, however few the members are
+    found = texts.join(members.hint("merge"), hit).select("node", "root", "copies", "chunk_no", "chunks", "t")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,6 +222,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     keep = written(keep.filter("keep_n > 0"), "jaccard-keep")
     rows = docs.select(F.struct("*").alias("row_all"), F.col(id_col).alias("row_id"), F.xxhash64(text_col).alias("row_print"))
     hit = F.col("row_id").eqNullSafe(F.col("keep_id")) & (F.col("row_print") == F.col("keep_print"))
-    rows = rows.join(keep, hit)
+    rows = rows.join(keep.hint("merge"), hit)
     once = rows.filter("keep_n < all_n").select("row_id", "row_print", "row_all").dropDuplicates(["row_id", "row_print"])
     return rows.filter("keep_n = all_n").select("row_all").unionByName(once.select("row_all")).select("row_all.*")
