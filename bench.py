@@ -78,10 +78,10 @@ def main():
     z = [f"z_{c}" for c in CLUSTER_FEATURES]
 
     def clustering():
-        scores = segment.k_scan(scaled, z, restarts=2)
+        scores = segment.k_scan(scaled, z)
         k = segment.best_k(scores) or 2
-        sinks.write_table(segment.final_clusters(scaled, k, restarts=2).select("post_id", "cluster"), f"{out}/clusters")
-        segment.compare_models(scaled, z, restarts=2).collect()
+        sinks.write_table(segment.final_clusters(scaled, z, k).select("post_id", "cluster"), f"{out}/clusters")
+        segment.compare_models(scaled, z).collect()
 
     timed("clustering_training", clustering)
 

@@ -27,10 +27,6 @@ def safe_div(a, b) -> Column:
     return finite(F.try_divide(col_(a).cast("double"), col_(b).cast("double")))
 
 
-def round6(c) -> Column:
-    return F.round(col_(c), 6)
-
-
 def month_number(c) -> Column:
     """English month name -> 1..12; unknown or null -> 1."""
     pairs = []

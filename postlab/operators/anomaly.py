@@ -23,7 +23,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlab.functions.exprs import round6
 from postlab.operators.stats import exact_quantiles, running_totals
 from postlab.schema import ANOMALY_REASON_CHECKS, ANOMALY_REASON_FALLBACK, NORMAL_REASON
 
@@ -200,15 +199,15 @@ def summary(scored: DataFrame, label: str = "anomaly_label", score: str = "anoma
                       F.avg(score).alias("score_mean"), F.stddev_pop(score).alias("score_std"))
     cnt, tot = F.col("anomaly_count"), F.col("total_records")
     cont = float(contamination) if isinstance(contamination, (int, float)) else None
-    qv = [None if q[(score, p)] is None else round(float(q[(score, p)]), 6) for p in (0.25, 0.5, 0.75)]
+    qv = [None if q[(score, p)] is None else float(q[(score, p)]) for p in (0.25, 0.5, 0.75)]
     return base.select(
         cnt.cast("bigint").alias("anomaly_count"), tot.cast("bigint").alias("total_records"),
         F.when(tot > 0, F.bround(cnt * 100.0 / tot, 2)).otherwise(F.lit(0.0)).alias("anomaly_percentage"),
         F.lit(cont).cast("double").alias("contamination_setting"),
         F.when(tot > 0, F.bround(cnt / tot, 4)).otherwise(F.lit(0.0)).alias("anomaly_ratio"),
-        round6("score_min").alias("score_min"), round6("score_max").alias("score_max"),
-        round6("score_mean").alias("score_mean"), F.lit(qv[1]).cast("double").alias("score_median"),
-        round6("score_std").alias("score_std"), F.lit(qv[0]).cast("double").alias("score_p25"),
+        F.col("score_min").alias("score_min"), F.col("score_max").alias("score_max"),
+        F.col("score_mean").alias("score_mean"), F.lit(qv[1]).cast("double").alias("score_median"),
+        F.col("score_std").alias("score_std"), F.lit(qv[0]).cast("double").alias("score_p25"),
         F.lit(qv[2]).cast("double").alias("score_p75"))
 
 
@@ -250,10 +249,10 @@ def supervised_metrics(df: DataFrame, truth: str = "y_true", pred: str = "y_pred
     valid = (big_p > 0) & (big_n > 0) & (F.col("n_scores") > 1)
     auc = F.lit(rank["a"]).cast("double") / (big_p * big_n).cast("double")
     out = counts.select(
-        round6(prec).alias("precision"), round6(rec).alias("recall"),
-        round6(F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0)).alias("f1_score"),
-        F.when(valid, round6(auc)).alias("roc_auc"),
-        F.when(valid, round6(F.lit(rank["ap"]).cast("double"))).alias("average_precision"),
+        prec.alias("precision"), rec.alias("recall"),
+        F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0).alias("f1_score"),
+        F.when(valid, auc).alias("roc_auc"),
+        F.when(valid, F.lit(rank["ap"]).cast("double")).alias("average_precision"),
         F.col("tn").cast("bigint").alias("tn"), F.col("fp").cast("bigint").alias("fp"),
         F.col("fn").cast("bigint").alias("fn"), F.col("tp").cast("bigint").alias("tp"))
     return out
@@ -268,11 +267,11 @@ def curves(df: DataFrame, truth: str = "y_true", risk: str = "risk_score") -> Da
     big_p, big_n = F.lit(tot["P"] or 0), F.lit(tot["N"] or 0)
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
     return cum.select(
-        round6(F.col(risk)).alias("threshold"), tp.cast("bigint").alias("tp"), fp.cast("bigint").alias("fp"),
-        round6(F.when(big_p > 0, tp / big_p)).alias("tpr"),
-        round6(F.when(big_n > 0, fp / big_n)).alias("fpr"),
-        round6(tp / (tp + fp)).alias("precision"),
-        round6(F.when(big_p > 0, tp / big_p)).alias("recall"))
+        F.col(risk).alias("threshold"), tp.cast("bigint").alias("tp"), fp.cast("bigint").alias("fp"),
+        F.when(big_p > 0, tp / big_p).alias("tpr"),
+        F.when(big_n > 0, fp / big_n).alias("fpr"),
+        (tp / (tp + fp)).alias("precision"),
+        F.when(big_p > 0, tp / big_p).alias("recall"))
 
 
 def find_truth_column(columns: list[str]) -> str | None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postlab.functions.exprs import bounded_broadcast, month_number, round6
+from postlab.functions.exprs import bounded_broadcast, month_number
 from postlab.schema import MONTH_NAMES, WEEKDAY_NAMES
 
 # bound for the broadcast of the "first 27 posts of each month" table
@@ -51,9 +51,9 @@ def daily_metrics(df: DataFrame, date_col: str = "analysis_date") -> DataFrame:
     """AGG-06: per-day means of three measures and the post volume; null dates are dropped."""
     return (df.where(F.col(date_col).isNotNull())
             .groupBy(F.col(date_col).alias("analysis_date"))
-            .agg(round6(F.avg("engagement_velocity")).alias("engagement_velocity"),
-                 round6(F.avg("misinformation_probability")).alias("misinformation_probability"),
-                 round6(F.avg("credibility_score")).alias("credibility_score"),
+            .agg(F.avg("engagement_velocity").alias("engagement_velocity"),
+                 F.avg("misinformation_probability").alias("misinformation_probability"),
+                 F.avg("credibility_score").alias("credibility_score"),
                  F.count("post_id").alias("post_volume"))
             .orderBy("analysis_date"))
 
@@ -70,8 +70,8 @@ def real_daily_metrics(silver: DataFrame, ts_col: str = "event_ts") -> DataFrame
 def calendar_summary(df: DataFrame, kind: str) -> DataFrame:
     """AGG-03 / AGG-04: posts and two means per month or weekday; empty categories kept (0 posts)."""
     agg = df.groupBy(kind).agg(F.count("post_id").alias("posts"),
-                               round6(F.avg("misinformation_probability")).alias("avg_misinformation"),
-                               round6(F.avg("engagement_velocity")).alias("avg_engagement"))
+                               F.avg("misinformation_probability").alias("avg_misinformation"),
+                               F.avg("engagement_velocity").alias("avg_engagement"))
     cal = calendar_frame(df.sparkSession, kind)
     return (F.broadcast(cal).join(agg, kind, "left")
             .select(kind, f"{kind}_ord", F.coalesce("posts", F.lit(0)).cast("bigint").alias("posts"),

@@ -105,13 +105,13 @@ def to_silver(bronze: DataFrame, approx: bool = False, cache: bool = False) -> D
     The fill values are computed by bounded Spark jobs and enter the plan as literals, so the
     returned plan is a single narrow projection over the de-duplicated scan. In the pipeline the
     bronze input is a written table, so the statistics passes are pruned parquet scans; ``cache``
-    keeps the de-duplicated rows for callers that start from a derived (joined) bronze view.
+    checkpoints the de-duplicated rows in the shared folder, so the passes do not repeat the shuffle.
     """
-    from pyspark import StorageLevel
+    from postlab.session import cut_lineage
 
     df = fill_parent(add_date_parts(drop_exact_duplicates(bronze)))
     if cache:
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        df = cut_lineage(df)
     med, mo = fill_values(df, approx)
     return fill_text_mode(fill_numeric_median(df, values=med), values=mo)
 

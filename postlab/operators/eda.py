@@ -12,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlab.functions.exprs import finite, round6
+from postlab.functions.exprs import finite, safe_corr
 from postlab.operators.stats import exact_quantiles
 
 ENGAGEMENT_COLUMNS = ["likes", "shares", "comments", "engagement_velocity", "impressions_estimate", "reach_estimate"]
@@ -35,9 +35,9 @@ def platform_engagement(df: DataFrame) -> DataFrame:
     """AGG-01."""
     return (df.groupBy("platform")
             .agg(F.count("post_id").alias("posts"),
-                 round6(F.avg("engagement_velocity")).alias("avg_engagement_velocity"),
-                 round6(F.avg("misinformation_probability")).alias("avg_misinformation"),
-                 round6(F.avg("credibility_score")).alias("avg_credibility"))
+                 F.avg("engagement_velocity").alias("avg_engagement_velocity"),
+                 F.avg("misinformation_probability").alias("avg_misinformation"),
+                 F.avg("credibility_score").alias("avg_credibility"))
             .orderBy(F.desc("avg_engagement_velocity"), "platform"))
 
 
@@ -45,9 +45,9 @@ def topic_risk(df: DataFrame, top: int | None = 15, order: str = "avg_misinforma
     """AGG-02: topic risk table sorted by ``order`` desc (head 15 in the report, top 10 per chart)."""
     out = (df.groupBy("topic")
            .agg(F.count("post_id").alias("posts"),
-                round6(F.avg("misinformation_probability")).alias("avg_misinformation"),
-                round6(F.avg("credibility_score")).alias("avg_credibility"),
-                round6(F.avg("toxicity_score")).alias("avg_toxicity"))
+                F.avg("misinformation_probability").alias("avg_misinformation"),
+                F.avg("credibility_score").alias("avg_credibility"),
+                F.avg("toxicity_score").alias("avg_toxicity"))
            .orderBy(F.desc(order), "topic"))
     return out.limit(top) if top else out
 
@@ -56,10 +56,10 @@ def share_summary(df: DataFrame) -> DataFrame:
     """AGG-05: original vs shared posts; label 0/1 -> text, any other value -> the value as text."""
     agg = (df.groupBy("is_share")
            .agg(F.count("post_id").alias("posts"),
-                round6(F.avg("engagement_velocity")).alias("avg_engagement"),
-                round6(F.avg("misinformation_probability")).alias("avg_misinformation"),
-                round6(F.avg("credibility_score")).alias("avg_credibility"),
-                round6(F.avg("toxicity_score")).alias("avg_toxicity")))
+                F.avg("engagement_velocity").alias("avg_engagement"),
+                F.avg("misinformation_probability").alias("avg_misinformation"),
+                F.avg("credibility_score").alias("avg_credibility"),
+                F.avg("toxicity_score").alias("avg_toxicity")))
     label = (F.when(F.col("is_share") == 0, "Original posts").when(F.col("is_share") == 1, "Shared posts")
              .otherwise(F.col("is_share").cast("string")))
     return agg.withColumn("post_type", label).orderBy("is_share")
@@ -67,7 +67,7 @@ def share_summary(df: DataFrame) -> DataFrame:
 
 def feature_means(df: DataFrame, columns: list[str]) -> DataFrame:
     """AGG-09: one-row table of column means."""
-    return df.agg(*[round6(F.avg(finite(F.col(c).cast("double")))).alias(c) for c in columns])
+    return df.agg(*[F.avg(finite(F.col(c).cast("double"))).alias(c) for c in columns])
 
 
 def feature_quantile_row(df: DataFrame, columns: list[str], p: float = 0.95) -> dict:
@@ -79,7 +79,7 @@ def feature_quantile_row(df: DataFrame, columns: list[str], p: float = 0.95) ->
 def feature_quantiles(df: DataFrame, columns: list[str], p: float = 0.95) -> DataFrame:
     """AGG-10 as a one-row table."""
     vals = feature_quantile_row(df, columns, p)
-    return df.sparkSession.createDataFrame([tuple(None if vals[c] is None else round(float(vals[c]), 6)
+    return df.sparkSession.createDataFrame([tuple(None if vals[c] is None else float(vals[c])
                                                   for c in columns)],
                                            ", ".join(f"{c} double" for c in columns))
 
@@ -103,67 +103,18 @@ def value_counts(df: DataFrame, columns: list[str], k: int = 10, dropna: bool =
             .where(F.col("rank") <= k).orderBy("column", "rank"))
 
 
-def correlation_matrix(df: DataFrame, columns: list[str] = CORR_COLUMNS) -> DataFrame:
-    """AGG-11: pairwise-complete Pearson matrix in long form (x, y, r).
+def correlation_matrix(df: DataFrame, columns: list[str] = CORR_COLUMNS, at_once: int = 40) -> DataFrame:
+    """AGG-11: pairwise-complete Pearson matrix in long form (x, y, r); a constant column gives null.
 
-    Values are first shifted by their column means (one small aggregate; the formula is
-    shift-invariant and the shift keeps the sums well conditioned). Each row then emits one
-    (pair, x, y) entry per column pair (a fixed fan-out of k(k-1)/2) and plain sums grouped by pair
-    run map-side combined. A constant column gives null.
-    """
-    spark = df.sparkSession
+    Plain aggregates over the pruned columns, ``at_once`` pairs per scan; no row is multiplied."""
     pairs = list(combinations(columns, 2))
-    vals = {c: finite(F.col(c).cast("double")) for c in columns}
-    stats = df.agg(*[F.avg(vals[c]).alias(c) for c in columns],
-                   *[F.count_if(vals[c].isNull()).alias(f"__null_{c}") for c in columns]).first()
-    means = {c: stats[c] for c in columns}
-    # project the shifted columns once, so later expressions only reference plain columns
-    base = df.select(*[(vals[c] - F.lit(means[c] or 0.0)).alias(f"__v{i}") for i, c in enumerate(columns)])
-    pos = {c: f"__v{i}" for i, c in enumerate(columns)}
-    if not any(stats[f"__null_{c}"] for c in columns):
-        return _complete_correlation(base, columns, pos, pairs)
-    arr = F.array(*[F.struct(F.lit(i).alias("p"), F.col(pos[a]).alias("a"), F.col(pos[b]).alias("b"))
-                    for i, (a, b) in enumerate(pairs)])
-    long = (base.select(F.explode(arr).alias("e")).select("e.p", "e.a", "e.b")
-            .where(F.col("a").isNotNull() & F.col("b").isNotNull()))
-    a, b = F.col("a"), F.col("b")
-    s = long.groupBy("p").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(a).alias("sa"), F.sum(b).alias("sb"),
-                              F.sum(a * a).alias("saa"), F.sum(b * b).alias("sbb"), F.sum(a * b).alias("sab"))
-    n = F.col("n")
-    cov = n * F.col("sab") - F.col("sa") * F.col("sb")
-    va = n * F.col("saa") - F.col("sa") * F.col("sa")
-    vb = n * F.col("sbb") - F.col("sb") * F.col("sb")
-    r = s.select("p", F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)).alias("r"))
-    names = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "p int, x string, y string")
-    full = F.broadcast(names).join(r, "p", "left")  # k(k-1)/2 rows: bounded by the column list
-    diag = spark.createDataFrame([(c, c, 1.0) for c in columns], "x string, y string, r double")
-    both = (full.select("x", "y", "r")
-            .unionByName(full.select(F.col("y").alias("x"), F.col("x").alias("y"), "r"))
-            .unionByName(diag))
-    return both.select("x", "y", round6("r").alias("r"))
-
-
-def _complete_correlation(base: DataFrame, columns: list[str], pos: dict, pairs: list) -> DataFrame:
-    """No nulls: every pair uses all rows, so n, sums and cross-product sums of the shifted columns
-    (k + k(k+1)/2 sums in one aggregate, no fan-out) give the whole matrix."""
-    spark = base.sparkSession
-    sq = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    row = base.agg(F.count(F.lit(1)).alias("n"), *[F.sum(pos[c]).alias(f"s_{c}") for c in columns],
-                   *[F.sum(F.col(pos[a]) * F.col(pos[b])).alias(f"p_{a}__{b}") for a, b in sq]).first()
-    n = float(row["n"])
-
-    def corr(a, b):
-        cov = n * row[f"p_{a}__{b}"] - row[f"s_{a}"] * row[f"s_{b}"]
-        va = n * row[f"p_{a}__{a}"] - row[f"s_{a}"] ** 2
-        vb = n * row[f"p_{b}__{b}"] - row[f"s_{b}"] ** 2
-        return cov / (va * vb) ** 0.5 if va > 0 and vb > 0 else None
-
+    vals = df.select(*[finite(F.col(c).cast("double")).alias(c) for c in columns])
     out = [(c, c, 1.0) for c in columns]
-    for a, b in pairs:
-        r = corr(a, b)
-        r = None if r is None else round(r, 6)
-        out += [(a, b, r), (b, a, r)]
-    return spark.createDataFrame(out, "x string, y string, r double")  # k x k values: bounded by the column list
+    for i in range(0, len(pairs), at_once):
+        row = vals.agg(*[safe_corr(a, b).alias(f"{a}__{b}") for a, b in pairs[i:i + at_once]]).first()
+        for a, b in pairs[i:i + at_once]:
+            out += [(a, b, row[f"{a}__{b}"]), (b, a, row[f"{a}__{b}"])]
+    return df.sparkSession.createDataFrame(out, "x string, y string, r double")  # k x k values: bounded by the column list
 
 
 def histogram(df: DataFrame, columns: list[str], bins: int = 20, log1p: bool = False) -> DataFrame:
@@ -184,8 +135,8 @@ def histogram(df: DataFrame, columns: list[str], bins: int = 20, log1p: bool = F
            .groupBy("column", "bucket", "mn", "mx")
            .agg(F.count(F.lit(1)).alias("n")))
     return (out.select("column", "bucket",
-                       round6(F.col("mn") + (F.col("bucket") - 1) * width).alias("lo"),
-                       round6(F.col("mn") + F.col("bucket") * width).alias("hi"), "n")
+                       (F.col("mn") + (F.col("bucket") - 1) * width).alias("lo"),
+                       (F.col("mn") + F.col("bucket") * width).alias("hi"), "n")
             .orderBy("column", "bucket"))
 
 

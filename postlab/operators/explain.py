@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlab.functions.exprs import bounded_broadcast, round6
+from postlab.functions.exprs import bounded_broadcast
 from postlab.operators.prep import subsample
 
 
@@ -55,7 +55,7 @@ def shapley_values(model, data: DataFrame, features: list[str], n_rows: int = 50
 
 def mean_abs_importance(contrib: DataFrame) -> DataFrame:
     """SUP-10 summary: mean |contribution| per feature, sorted."""
-    return (contrib.groupBy("feature").agg(round6(F.avg(F.abs("contribution"))).alias("mean_abs_shap"))
+    return (contrib.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs_shap"))
             .orderBy(F.desc("mean_abs_shap"), "feature"))
 
 
@@ -68,5 +68,5 @@ def dependence(contrib: DataFrame, data: DataFrame, feature: str, bins: int = 20
     b = F.lit(1) if mn is None or mx == mn else F.least(
         F.floor((F.col("value") - F.lit(mn)) / F.lit(mx - mn) * bins) + 1, F.lit(bins))
     return (c.groupBy(b.cast("int").alias("bin"))
-            .agg(round6(F.avg("value")).alias("value"), round6(F.avg("contribution")).alias("mean_contribution"),
+            .agg(F.avg("value").alias("value"), F.avg("contribution").alias("mean_contribution"),
                  F.count(F.lit(1)).alias("n")).orderBy("bin"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlab.functions.exprs import finite, round6, safe_div
+from postlab.functions.exprs import finite, safe_div
 
 ENGINEERED = ["total_engagement", "share_comment_ratio", "like_rate", "share_rate", "comment_rate", "reach_rate",
               "audience_size", "follower_following_ratio", "log_followers", "log_impressions",
@@ -41,7 +41,6 @@ def add_engineered_features(df: DataFrame) -> DataFrame:
 
 
 def feature_table(df: DataFrame) -> DataFrame:
-    """The 12 features per post, doubles rounded to 6 places (report / oracle form)."""
+    """The 12 features per post, in report form."""
     out = add_engineered_features(df)
-    cols = [F.col(n) if n in ("total_engagement", "audience_size") else round6(n).alias(n) for n in ENGINEERED]
-    return out.select("post_id", *cols)
+    return out.select("post_id", *ENGINEERED)

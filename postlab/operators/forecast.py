@@ -12,7 +12,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlab.functions.exprs import round6
 from postlab.schema import DAILY_METRICS
 
 FORECAST_SCHEMA = "metric string, analysis_date date, yhat double, yhat_lower double, yhat_upper double, is_future boolean"
@@ -99,9 +98,9 @@ def linear_trend_forecast(long: DataFrame, periods: int = 30, z: float = 1.96) -
                       .alias("analysis_date"), F.lit(True).alias("is_future"))
     allp = hist.unionByName(fut).join(coef, "metric")
     yhat = F.col("__a") + F.col("__b") * F.datediff("analysis_date", "__d0").cast("double")
-    return allp.select("metric", "analysis_date", round6(yhat).alias("yhat"),
-                       round6(yhat - z * F.col("__s")).alias("yhat_lower"),
-                       round6(yhat + z * F.col("__s")).alias("yhat_upper"), "is_future")
+    return allp.select("metric", "analysis_date", yhat.alias("yhat"),
+                       (yhat - z * F.col("__s")).alias("yhat_lower"),
+                       (yhat + z * F.col("__s")).alias("yhat_upper"), "is_future")
 
 
 def forest_forecast(long: DataFrame, periods: int = 30, num_trees: int = 180, seed: int = 42,
@@ -153,7 +152,7 @@ def directions(long: DataFrame, forecast: DataFrame, periods: int = 30, recent:
                                            F.max_by("yhat", "analysis_date").alias("__w1"))
     out = whole.join(rec, "metric", "left").join(fut, "metric", "left")
     return out.select(
-        "metric", round6("recent_mean").alias("recent_mean"), round6("forecast_mean").alias("forecast_mean"),
+        "metric", "recent_mean", "forecast_mean",
         F.when(F.col("forecast_mean") > F.col("recent_mean"), "increase").otherwise("decline").alias("direction_vs_recent"),
         F.when(F.col("__f0").isNull(), "stable").when(F.col("__f1") > F.col("__f0"), "upward")
         .otherwise("downward").alias("direction_in_horizon"),

@@ -37,16 +37,16 @@ def describe(df: DataFrame, columns: list[str] | None = None, approx: bool = Fal
     cols = columns or numeric_columns(df)
     spark = df.sparkSession
     moments = (_long(df, cols).groupBy("column_name")
-               .agg(F.count("v").alias("count"), F.round(F.avg("v"), 6).alias("mean"),
-                    F.round(F.stddev_samp("v"), 6).alias("std"), F.round(F.min("v"), 6).alias("min"),
-                    F.round(F.max("v"), 6).alias("max")))
+               .agg(F.count("v").alias("count"), F.avg("v").alias("mean"),
+                    F.stddev_samp("v").alias("std"), F.min("v").alias("min"),
+                    F.max("v").alias("max")))
     if approx:
         qs = (_long(df, cols).groupBy("column_name")
-              .agg(*[F.round(F.percentile_approx("v", p, 10000), 6).alias(n)
+              .agg(*[F.percentile_approx("v", p, 10000).alias(n)
                      for p, n in zip(QUARTILES, ["p25", "p50", "p75"])]))
     else:
         vals = exact_quantiles(df, cols, QUARTILES)
-        rows = [(c, *[None if vals[(c, p)] is None else round(float(vals[(c, p)]), 6) for p in QUARTILES])
+        rows = [(c, *[None if vals[(c, p)] is None else float(vals[(c, p)]) for p in QUARTILES])
                 for c in cols]
         qs = spark.createDataFrame(rows, "column_name string, p25 double, p50 double, p75 double")
     return moments.join(F.broadcast(qs), "column_name").select(
@@ -58,10 +58,10 @@ def describe_sql(cols: list[str]) -> str:
     for c in cols:
         v = f"CAST({c} AS DOUBLE)"
         parts.append(
-            f"SELECT '{c}' AS column_name, count({v}) AS count, round(avg({v}), 6) AS mean, "
-            f"round(stddev_samp({v}), 6) AS std, round(min({v}), 6) AS min, "
-            f"round(quantile_cont({v}, 0.25), 6) AS p25, round(quantile_cont({v}, 0.5), 6) AS p50, "
-            f"round(quantile_cont({v}, 0.75), 6) AS p75, round(max({v}), 6) AS max FROM silver")
+            f"SELECT '{c}' AS column_name, count({v}) AS count, avg({v}) AS mean, "
+            f"stddev_samp({v}) AS std, min({v}) AS min, "
+            f"quantile_cont({v}, 0.25) AS p25, quantile_cont({v}, 0.5) AS p50, "
+            f"quantile_cont({v}, 0.75) AS p75, max({v}) AS max FROM silver")
     return "\nUNION ALL\n".join(parts)
 
 
@@ -72,19 +72,26 @@ def null_count_table(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def schema_profile(df: DataFrame, approx: bool = False) -> DataFrame:
-    """PRF-03: column, type, non-null count, distinct count (nulls not counted) and the row count."""
-    cnt = F.approx_count_distinct if approx else F.count_distinct
-    aggs = [F.count(F.lit(1)).alias("__rows")]
-    for i, c in enumerate(df.columns):
-        aggs += [F.count(c).alias(f"nn{i}"), cnt(c).alias(f"u{i}")]
-    row = df.agg(*aggs)
+    """PRF-03: column, type, non-null count, distinct count (nulls not counted) and the row count.
+
+    Rows are unpivoted to (column, value) and counted by both, partly before the shuffle, then by column; ``approx``
+    replaces the exact distinct counts by sketches in one aggregate."""
     types = dict(df.dtypes)
-    arr = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(types[c]).alias("dtype"),
-                             F.col(f"nn{i}").cast("bigint").alias("non_null_count"),
-                             F.col(f"u{i}").cast("bigint").alias("unique_values"))
-                    for i, c in enumerate(df.columns)])
-    return (row.select(F.col("__rows").cast("bigint").alias("table_rows"), F.explode(arr).alias("p"))
-            .select("p.column_name", "p.dtype", "p.non_null_count", "p.unique_values", "table_rows"))
+    names = df.sparkSession.createDataFrame(list(enumerate(df.columns)), "i int, column_name string")
+    if approx:
+        row = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(f"nn{i}") for i, c in enumerate(df.columns)],
+                     *[F.approx_count_distinct(c).alias(f"u{i}") for i, c in enumerate(df.columns)])
+        per = row.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"nn{i}").alias("non_null_count"), F.col(f"u{i}").alias("unique_values"),
+                                                      F.col("rows").alias("table_rows")) for i in range(len(df.columns))])).alias("p")).select("p.*")
+    else:
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(df.columns)]))
+        counted = df.select(cells.alias("p")).select("p.i", "p.v").groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+        per = counted.groupBy("i").agg(F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null_count"),
+                                       F.count("v").alias("unique_values"), F.sum("n").alias("table_rows"))
+    kinds = F.create_map(*[F.lit(x) for c in df.columns for x in (c, types[c])])
+    # one row per column: bounded by the schema
+    return per.join(F.broadcast(names), "i").select("column_name", kinds[F.col("column_name")].alias("dtype"), F.col("non_null_count").cast("bigint").alias("non_null_count"),
+                                                    F.col("unique_values").cast("bigint").alias("unique_values"), F.col("table_rows").cast("bigint").alias("table_rows"))
 
 
 def schema_profile_sql() -> str:

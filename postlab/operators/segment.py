@@ -1,29 +1,31 @@
-"""Segmentation (CLU-01..13, AGG-08).
+"""Segmentation (CLU-01..13, AGG-08), on all rows.
 
-Cluster-quality measures that decompose over clusters (inertia, Calinski-Harabasz, Davies-Bouldin)
-are linear-time aggregates over the whole table. Euclidean silhouette and density clustering need
-point-to-point distances; they run on a capped hash sample (as the behaviour being reproduced does):
-the sample is broadcast (size bounded by the cap) and each task compares its own rows against it
-with vectorised numpy inside ``mapInPandas`` - no pair rows are ever materialised.
+Cluster-quality measures are linear-time: inertia, Calinski-Harabasz and Davies-Bouldin are aggregates, and the
+silhouette uses squared Euclidean distance, for which the mean distance of a row to a cluster follows from the
+cluster's size, mean and mean square norm. K-Means fits for every K and restart share each scan: one job per
+Lloyd iteration sums all models' clusters per task, and only the cluster sums reach the driver. Density
+clustering works on grid cells.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.clustering import BisectingKMeans
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlab.functions.exprs import bounded_broadcast, round6
+from postlab.functions.exprs import bounded_broadcast
 from postlab.operators.prep import subsample
-from postlab.schema import (CLUSTER_NARRATIVE_PREFIX, CLUSTER_TRAITS, CLUSTERING_EVAL_MAX_SAMPLES,
-                            KMEANS_N_INIT_LARGE, KMEANS_N_INIT_SMALL, SILHOUETTE_SAMPLE_SIZE,
-                            SILHOUETTE_SAMPLE_THRESHOLD)
+from postlab.schema import (CLUSTER_NARRATIVE_PREFIX, CLUSTER_TRAITS, KMEANS_N_INIT_LARGE, KMEANS_N_INIT_SMALL,
+                            KMEANS_N_INIT_ROWS)
+from postlab.session import cut_lineage
 
 MAX_LABELS_BROADCAST = 100_000
-CHUNK = 1024
+#: Rows drawn by hash from which all k-means++ starts are chosen; the fits themselves read every row.
+SEED_ROWS = 2_000
 
 
 # ------------------------------------------------------------------ linear-time metrics
@@ -59,91 +61,138 @@ def cluster_metrics(df: DataFrame, label: str, cols: list[str]) -> DataFrame:
         F.col("n").cast("bigint").alias("n"), F.col("k").cast("bigint").alias("k"),
         F.when(ok, F.round("inertia", 3)).alias("inertia"),
         F.when(ok, F.round(F.when(F.col("inertia") == 0, F.lit(1.0)).otherwise(ch), 4)).alias("calinski_harabasz_score"),
-        F.when(ok, round6("davies_bouldin_index")).alias("davies_bouldin_index"))
+        F.when(ok, F.col("davies_bouldin_index")).alias("davies_bouldin_index"))
 
 
 def metric_values(df: DataFrame, label: str, cols: list[str]) -> dict:
     return cluster_metrics(df, label, cols).first().asDict()
 
 
-# ------------------------------------------------------------------ silhouette (capped sample)
-def _pairwise_d(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * a @ b.T
-    return np.sqrt(np.maximum(d, 0.0))
+# ------------------------------------------------------------------ silhouette
+def silhouette(df: DataFrame, label: str, cols: list[str]) -> float | None:
+    """CLU-04: mean silhouette with squared Euclidean distance over all rows; rows of singleton clusters score 0,
+    fewer than 2 labels or 4 rows give None.
 
-
-def silhouette(sample: DataFrame, label: str, cols: list[str]) -> float | None:
-    """CLU-04: mean Euclidean silhouette of a (capped) sample; singleton clusters score 0;
-    fewer than 2 labels or 4 rows -> None."""
-    rows = sample.select(F.col(label).cast("long").alias("l"), *[F.col(c).cast("double") for c in cols]).collect()
-    if len(rows) < 4:
-        return None
-    lab = np.array([r[0] for r in rows])
-    mat = np.array([list(r[1:]) for r in rows], dtype=np.float64)
-    uniq, inv = np.unique(lab, return_inverse=True)
-    if len(uniq) < 2:
+    Two scans: cluster sums (one row per label reaches the driver), then the score of each row against them."""
+    x = [F.col(c).cast("double") for c in cols]
+    norm = sum((v * v for v in x), F.lit(0.0))
+    stats = df.groupBy(F.col(label).cast("long").alias("l")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(norm).alias("q"), *[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)])
+    rows = stats.orderBy("l").limit(MAX_LABELS_BROADCAST + 1).collect()
+    if len(rows) > MAX_LABELS_BROADCAST:
+        raise ValueError(f"more than {MAX_LABELS_BROADCAST} labels")
+    if len(rows) < 2 or sum(r["n"] for r in rows) < 4:
         return None
-    sc = sample.sparkSession.sparkContext
-    bc = sc.broadcast((mat, inv, np.bincount(inv)))
-
-    def score(it):
-        m, idx, sizes = bc.value
-        k = len(sizes)
-        for pdf in it:
-            own = np.searchsorted(uniq, pdf["l"].to_numpy())
-            x = pdf[cols].to_numpy(dtype=np.float64)
-            out = np.empty(len(pdf))
-            for s in range(0, len(pdf), CHUNK):
-                d = _pairwise_d(x[s:s + CHUNK], m)
-                sums = np.zeros((d.shape[0], k))
-                for c in range(k):
-                    sums[:, c] = d[:, idx == c].sum(1)
-                o = own[s:s + CHUNK]
-                rr = np.arange(d.shape[0])
-                a = sums[rr, o] / np.maximum(sizes[o] - 1, 1)
-                means = sums / sizes[None, :]
-                means[rr, o] = np.inf
-                b = means.min(1)
-                val = (b - a) / np.maximum(a, b)
-                val[sizes[o] == 1] = 0.0
-                out[s:s + CHUNK] = np.nan_to_num(val)
-            yield pd.DataFrame({"s": out})
-
-    parts = int(sample.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    res = (sample.select(F.col(label).cast("long").alias("l"), *cols).repartition(parts)
-           .mapInPandas(score, "s double").agg(F.avg("s")).first()[0])
-    bc.unpersist()
-    return float(res)
-
-
-def silhouette_sampled(df: DataFrame, label: str, cols: list[str], seed: int = 42, key: str = "post_id"):
-    """Silhouette on min(n, 5,000) hash-sampled rows when n > 10,000, else on all rows.
-    Returns (score, sampled, sample_size)."""
-    n = df.count()
-    if n <= SILHOUETTE_SAMPLE_THRESHOLD:
-        return silhouette(df, label, cols), False, n
-    size = min(SILHOUETTE_SAMPLE_SIZE, n)
-    return silhouette(subsample(df, size, seed, key), label, cols), True, size
+    labels = np.array([r["l"] for r in rows])
+    size, square = np.array([r["n"] for r in rows]), np.array([r["q"] for r in rows])
+    mean = np.array([[r[f"m{i}"] for i in range(len(cols))] for r in rows])
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own, pts = np.searchsorted(labels, pdf["l"].to_numpy()), pdf[cols].to_numpy(np.float64)
+            at = np.arange(len(pts))
+            dist = np.maximum((pts * pts).sum(1)[:, None] + square - 2 * pts @ mean.T, 0.0)
+            a = dist[at, own] * size[own] / np.maximum(size[own] - 1, 1)
+            dist[at, own] = np.inf
+            b = dist.min(1)
+            top = np.maximum(a, b)
+            yield pd.DataFrame({"s": np.where((size[own] == 1) | (top == 0), 0.0, (b - a) / np.where(top == 0, 1, top))})
+
+    picked = df.select(F.col(label).cast("long").alias("l"), *[v.alias(c) for v, c in zip(x, cols, strict=True)])
+    return float(picked.mapInPandas(score, "s double").agg(F.avg("s")).first()[0])
 
 
 # ------------------------------------------------------------------ K-Means
 def n_restarts(n: int) -> int:
     """CLU-02: restart count of the reference (10 above 10,000 rows, else 20)."""
-    return KMEANS_N_INIT_LARGE if n > SILHOUETTE_SAMPLE_THRESHOLD else KMEANS_N_INIT_SMALL
-
-
-def fit_kmeans(df: DataFrame, k: int, seed: int = 42, restarts: int = 3, features: str = "features_scaled",
-               max_iter: int = 30):
-    """Best of ``restarts`` seeded k-means|| fits by training cost (Spark KMeans has no n_init)."""
-    best = None
-    for r in range(restarts):
-        m = KMeans(k=k, seed=seed + r, featuresCol=features, predictionCol="cluster", initMode="k-means||",
-                   maxIter=max_iter, tol=1e-4).fit(df)
-        if best is None or m.summary.trainingCost < best.summary.trainingCost:
-            best = m
+    return KMEANS_N_INIT_LARGE if n > KMEANS_N_INIT_ROWS else KMEANS_N_INIT_SMALL
+
+
+def _spread_start(pool: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++ start from the pool."""
+    rng = np.random.default_rng(seed)
+    out = [pool[rng.integers(len(pool))]]
+    near = ((pool - out[0]) ** 2).sum(1)
+    for _ in range(1, k):
+        total = near.sum()
+        pick = rng.choice(len(pool), p=near / total) if total > 0 else rng.integers(len(pool))
+        out.append(pool[pick])
+        near = np.minimum(near, ((pool - pool[pick]) ** 2).sum(1))
+    return np.array(out)
+
+
+def _nearest(points: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    dist = np.maximum((points * points).sum(1)[:, None] + (centers * centers).sum(1) - 2 * points @ centers.T, 0.0)
+    label = dist.argmin(1)
+    return label, dist[np.arange(len(points)), label]
+
+
+def lloyd(df: DataFrame, cols: list[str], starts: list[np.ndarray], max_iter: int = 30, tol: float = 1e-4) -> list[tuple[np.ndarray, float]]:
+    """K-Means from each start over all rows: (centers, cost) per start.
+
+    All models still moving share one scan per iteration; a task returns one row per model and cluster."""
+    d, names = len(cols), [f"s{i}" for i in range(len(cols))]
+    points = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    centers, cost, moving = [s.copy() for s in starts], [float("inf")] * len(starts), list(range(len(starts)))
+    for step in range(max_iter + 1):
+        if not moving:
+            break
+        now = {m: centers[m] for m in moving}
+
+        def sums(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
+            held = {m: np.zeros((len(c), d + 2)) for m, c in now.items()}
+            for pdf in batches:
+                x = pdf.to_numpy(np.float64)
+                for m, c in now.items():
+                    label, dist = _nearest(x, c)
+                    held[m][:, 0] += np.bincount(label, minlength=len(c))
+                    held[m][:, 1] += np.bincount(label, dist, len(c))
+                    for i in range(d):
+                        held[m][:, 2 + i] += np.bincount(label, x[:, i], len(c))
+            for m, h in held.items():
+                yield pd.DataFrame(h, columns=["n", "cost", *names]).assign(model=m, cluster=np.arange(len(h)))
+
+        schema = "n double, cost double, " + ", ".join(f"{n} double" for n in names) + ", model int, cluster int"
+        total = points.mapInPandas(sums, schema).groupBy("model", "cluster").agg(*[F.sum(c).alias(c) for c in ("n", "cost", *names)])
+        got: dict[int, list] = {}
+        for r in total.collect():  # one row per model and cluster
+            got.setdefault(r["model"], []).append(r)
+        still = []
+        for m in moving:
+            cost[m] = sum(r["cost"] for r in got.get(m, []))
+            new = centers[m].copy()
+            for r in got.get(m, []):
+                if r["n"]:
+                    new[r["cluster"]] = [r[n] / r["n"] for n in names]
+            if step < max_iter and ((new - centers[m]) ** 2).sum(1).max() > tol ** 2:
+                centers[m] = new
+                still.append(m)
+        moving = still
+    return list(zip(centers, cost, strict=True))
+
+
+def fit_kmeans(df: DataFrame, cols: list[str], ks: list[int], seed: int = 42, restarts: int | None = None,
+               key: str = "post_id") -> dict[int, tuple[np.ndarray, float]]:
+    """CLU-01/03: per K the cheapest of ``restarts`` fits (rule CLU-02 by default), all on every row."""
+    n = df.count()
+    restarts = restarts or n_restarts(n)
+    pool = np.array([list(r) for r in subsample(df, SEED_ROWS, seed, key).select(*[F.col(c).cast("double") for c in cols]).collect()])
+    jobs = [(k, r) for k in ks for r in range(restarts)]
+    fits = lloyd(df, cols, [_spread_start(pool, k, seed * 1_000 + 31 * k + r) for k, r in jobs])
+    best: dict[int, tuple[np.ndarray, float]] = {}
+    for (k, _), fit in zip(jobs, fits, strict=True):
+        if k not in best or fit[1] < best[k][1]:
+            best[k] = fit
     return best
 
 
+def assign(df: DataFrame, cols: list[str], centers: np.ndarray, label: str = "cluster") -> DataFrame:
+    """``df`` with the number of the nearest center, as one projection."""
+    dist = [sum(((F.col(c).cast("double") - F.lit(float(v))) ** 2 for c, v in zip(cols, row, strict=True)), F.lit(0.0)) for row in centers]
+    pairs = F.array(*[F.struct(x.alias("d"), F.lit(i).alias("i")) for i, x in enumerate(dist)])
+    return df.withColumn(label, F.array_min(pairs)["i"])
+
+
 def renumber_by_size(df: DataFrame, label: str = "cluster") -> DataFrame:
     """Stable cluster ids: 0 = largest cluster (ties by old id)."""
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
@@ -153,31 +202,14 @@ def renumber_by_size(df: DataFrame, label: str = "cluster") -> DataFrame:
     return df.join(mapping, label).drop(label).withColumnRenamed("__new", label)
 
 
-def k_scan(scaled: DataFrame, cols: list[str], seed: int = 42, max_k: int = 10, restarts: int = 3,
-           max_samples: int = CLUSTERING_EVAL_MAX_SAMPLES, parallelism: int = 8) -> DataFrame:
-    """CLU-01: K = 2..min(max_k, n-1) on a <= max_samples hash subsample: inertia and silhouette per K."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    spark = scaled.sparkSession
-    n = scaled.count()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # the sample is capped, so one partition per fit: each fit's jobs are single tasks and the
-    # concurrent fits share the cores instead of queueing many tiny tasks each
-    sample = (subsample(scaled, max_samples, seed) if n > max_samples else scaled).coalesce(1).persist()
-    sample.count()  # materialise once before the concurrent fits read it
-
-    def one(k):
-        model = fit_kmeans(sample, k, seed, restarts)
-        labeled = model.transform(sample)
-        sil, sampled, size = silhouette_sampled(labeled, "cluster", cols, seed)
-        return (k, float(model.summary.trainingCost), sil, sampled, int(size))
-
-    # independent fits: run them as concurrent Spark jobs (small jobs are latency-bound)
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        rows = list(pool.map(one, range(2, min(max_k, n - 1) + 1)))
-    sample.unpersist()
+def k_scan(scaled: DataFrame, cols: list[str], seed: int = 42, max_k: int = 10, restarts: int | None = None) -> DataFrame:
+    """CLU-01: K = 2..min(max_k, n-1) on all rows: inertia and silhouette per K."""
+    spark, n = scaled.sparkSession, scaled.count()
+    rows = []
+    for k, (centers, cost) in sorted(fit_kmeans(scaled, cols, list(range(2, min(max_k, n - 1) + 1)), seed, restarts).items()):
+        rows.append((k, cost, silhouette(assign(scaled, cols, centers), "cluster", cols), False, n))
     return spark.createDataFrame(rows, "k int, inertia double, silhouette_score double, silhouette_sampled boolean, "
-                                       "silhouette_sample_size int")
+                                       "silhouette_sample_size long")
 
 
 def best_k(scores: DataFrame) -> int | None:
@@ -190,10 +222,10 @@ def cluster_profile(clustered: DataFrame, label: str = "cluster") -> DataFrame:
     """AGG-08: size and four means per cluster."""
     return (clustered.groupBy(label)
             .agg(F.count(F.lit(1)).alias("cluster_size"),
-                 round6(F.avg("engagement_velocity")).alias("engagement_velocity"),
-                 round6(F.avg("misinformation_probability")).alias("misinformation_probability"),
-                 round6(F.avg("credibility_score")).alias("credibility_score"),
-                 round6(F.avg("toxicity_score")).alias("toxicity_score"))
+                 F.avg("engagement_velocity").alias("engagement_velocity"),
+                 F.avg("misinformation_probability").alias("misinformation_probability"),
+                 F.avg("credibility_score").alias("credibility_score"),
+                 F.avg("toxicity_score").alias("toxicity_score"))
             .orderBy(label))
 
 
@@ -208,148 +240,82 @@ def narrative(profile: DataFrame, global_means: DataFrame) -> DataFrame:
     return profile.withColumn("interpretation", text)
 
 
-# ------------------------------------------------------------------ density clustering (capped sample)
-def dbscan(sample: DataFrame, cols: list[str], eps: float = 0.75, min_samples: int | None = None,
-           key: str = "post_id", max_rounds: int = 200) -> DataFrame:
-    """CLU-11: DBSCAN labels (noise = -1) for a capped sample.
+# ------------------------------------------------------------------ density clustering on grid cells
+#: Coordinates that make the grid; every further one multiplies the neighbours of a cell by three.
+DENSITY_AXES = 3
 
-    Degrees and the min-label propagation over core-core edges are computed per task against the
-    broadcast sample (bounded by the cap); each round moves only one label per point. Border points
-    take the smallest adjacent core component. Components are numbered 0.. by their smallest key.
-    """
-    spark = sample.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = (sample.select(F.col(key).cast("long").alias("k"), *[F.col(c).cast("double") for c in cols])
-            .repartition(parts).persist())
-    rows = base.collect()
-    m = len(rows)
+
+def density_cells(df: DataFrame, cols: list[str], eps: float = 0.75, min_samples: int | None = None) -> DataFrame:
+    """Cells of width ``eps`` over the first DENSITY_AXES columns: (g0, g1, g2, n, dense). A cell is dense with at least
+    ``min_samples`` rows (2 % of the rows, between 3 and 50, by default)."""
     if min_samples is None:
-        min_samples = min(max(3, int(m * 0.02)), 50)
-    keys = np.array([r[0] for r in rows], dtype=np.int64)
-    order = np.argsort(keys)
-    keys = keys[order]
-    mat = np.array([list(r[1:]) for r in rows], dtype=np.float64)[order] if m else np.zeros((0, len(cols)))
-    sc = spark.sparkContext
-    bmat = sc.broadcast((keys, mat))
-    e2 = eps * eps
-
-    def neigh(x, mm):
-        d = (x * x).sum(1)[:, None] + (mm * mm).sum(1)[None, :] - 2.0 * x @ mm.T
-        return d <= e2 + 1e-12
-
-    def degree(it):
-        ks, mm = bmat.value
-        for pdf in it:
-            x = pdf[cols].to_numpy(dtype=np.float64)
-            deg = np.concatenate([neigh(x[s:s + CHUNK], mm).sum(1) for s in range(0, len(x), CHUNK)]) \
-                if len(x) else np.zeros(0, dtype=np.int64)
-            yield pd.DataFrame({"k": pdf["k"].to_numpy(), "deg": deg.astype(np.int64)})
-
-    deg = base.mapInPandas(degree, "k long, deg long").persist()
-    core_keys = np.array(sorted(r[0] for r in deg.where(F.col("deg") >= min_samples).select("k").collect()),
-                         dtype=np.int64)
-    is_core = np.isin(keys, core_keys)
-    labels = np.where(is_core, keys, np.iinfo(np.int64).max)
-
-    def propagate(it):
-        ks, mm = bmat.value
-        lab, core = blab.value
-        for pdf in it:
-            x = pdf[cols].to_numpy(dtype=np.float64)
-            out = np.empty(len(x), dtype=np.int64)
-            for s in range(0, len(x), CHUNK):
-                nb = neigh(x[s:s + CHUNK], mm) & core[None, :]
-                cand = np.where(nb, lab[None, :], np.iinfo(np.int64).max)
-                out[s:s + CHUNK] = cand.min(1) if cand.shape[1] else np.iinfo(np.int64).max
-            yield pd.DataFrame({"k": pdf["k"].to_numpy(), "lab": out})
-
-    core_df = base.join(deg.where(F.col("deg") >= min_samples).select("k"), "k")
-    blab = None
+        min_samples = min(max(3, int(df.count() * 0.02)), 50)
+    axes = [F.floor(F.col(c).cast("double") / eps).cast("int").alias(f"g{i}") for i, c in enumerate(cols[:DENSITY_AXES])]
+    return df.groupBy(*axes).agg(F.count(F.lit(1)).alias("n")).withColumn("dense", F.col("n") >= min_samples)
+
+
+def density_clusters(df: DataFrame, cols: list[str], eps: float = 0.75, min_samples: int | None = None,
+                     key: str = "post_id", max_rounds: int = 500) -> DataFrame:
+    """CLU-11 (re-aimed to all rows): adjacent dense cells form a cluster; rows in other cells are noise (-1).
+
+    Rows are only counted by cell and joined to their cell's label; labels spread between neighbouring cells by
+    equi-joins over the 3**axes steps, checkpointed each round. Clusters are numbered by their smallest cell."""
+    grid = [f"g{i}" for i in range(min(DENSITY_AXES, len(cols)))]
+    cells = cut_lineage(density_cells(df, cols, eps, min_samples).filter("dense").select(*grid, F.struct(*grid).alias("label")))
+    steps = [[]]
+    for _ in grid:
+        steps = [[*s, x] for s in steps for x in (-1, 0, 1)]
+    around = F.explode(F.array(*[F.struct(*[F.lit(x).alias(f"d{i}") for i, x in enumerate(s)]) for s in steps])).alias("step")
     for _ in range(max_rounds):
-        blab = sc.broadcast((labels, is_core))
-        new = dict(core_df.mapInPandas(propagate, "k long, lab long").collect())
-        blab.unpersist()
-        nl = labels.copy()
-        for i in np.nonzero(is_core)[0]:
-            nl[i] = min(nl[i], new.get(int(keys[i]), nl[i]))
-        # pointer jumping: a label is a core key; take that core's label too
-        pos = {int(k): i for i, k in enumerate(keys)}
-        for i in np.nonzero(is_core)[0]:
-            nl[i] = min(nl[i], nl[pos[int(nl[i])]])
-        if np.array_equal(nl, labels):
+        sent = cells.select(*grid, "label", around).select(*[(F.col(g) + F.col(f"step.d{i}")).alias(g) for i, g in enumerate(grid)], "label")
+        heard = sent.groupBy(*grid).agg(F.min("label").alias("heard"))
+        new = cut_lineage(cells.join(heard, grid).withColumn("moved", F.col("heard") < F.col("label")).select(*grid, F.col("heard").alias("label"), "moved"))
+        cells = new.drop("moved")
+        if new.filter("moved").isEmpty():
             break
-        labels = nl
-    blab = sc.broadcast((labels, is_core))
-    final = base.mapInPandas(propagate, "k long, lab long")
-    blab_val = labels
-    res = final.join(deg, "k").select(
-        F.col("k").alias(key),
-        F.when(F.col("deg") >= min_samples, F.col("k")).otherwise(F.col("lab")).alias("__raw"))
-    core_label = spark.createDataFrame([(int(k), int(l)) for k, l, c in zip(keys, blab_val, is_core) if c],
-                                       "k long, comp long") if len(core_keys) else None
-    if core_label is None:
-        return res.select(key, F.lit(-1).cast("int").alias("dbscan_cluster"))
-    res = res.join(core_label, res["__raw"] == core_label["k"], "left").select(key, "comp")
-    comps = res.where(F.col("comp").isNotNull()).select("comp").distinct()
-    comps = comps.select("comp", (F.row_number().over(Window.orderBy("comp")) - 1).cast("int").alias("dbscan_cluster"))
-    out = res.join(F.broadcast(comps), "comp", "left").select(
-        key, F.coalesce("dbscan_cluster", F.lit(-1)).alias("dbscan_cluster"))
-    return out
+    else:
+        raise RuntimeError("cell labels did not settle")
+    names = cells.select("label").distinct()
+    # one row per cluster of cells
+    names = names.select("label", (F.row_number().over(Window.orderBy("label")) - 1).cast("int").alias("dbscan_cluster"))
+    cells = cells.join(names, "label").drop("label")
+    rows = df.select(F.col(key), *[F.floor(F.col(c).cast("double") / eps).cast("int").alias(g) for c, g in zip(cols, grid, strict=False)])
+    return rows.join(cells, grid, "left").select(key, F.coalesce("dbscan_cluster", F.lit(-1)).alias("dbscan_cluster"))
 
 
 # ------------------------------------------------------------------ comparison (CLU-09/10)
+def bisecting(scaled: DataFrame, k: int, seed: int = 42, features: str = "features_scaled") -> DataFrame:
+    """CLU-10 (re-aimed): top-down hierarchical clustering of all rows."""
+    return BisectingKMeans(k=k, seed=seed, featuresCol=features, predictionCol="cluster").fit(scaled).transform(scaled)
+
+
 def compare_models(scaled: DataFrame, cols: list[str], seed: int = 42, cluster_count: int | None = None,
-                   restarts: int = 3, max_samples: int = CLUSTERING_EVAL_MAX_SAMPLES,
-                   key: str = "post_id") -> DataFrame:
-    """K-Means, hierarchical (bisecting k-means, top-down) and DBSCAN on the evaluation subsample;
-    one row each; exactly one ``is_best`` when any silhouette exists."""
+                   restarts: int | None = None, key: str = "post_id") -> DataFrame:
+    """K-Means, hierarchical (bisecting k-means, top-down) and density clustering, each on all rows; one row each;
+    exactly one ``is_best`` when any silhouette exists."""
     from postlab.operators.eda import best_by_ranking
 
-    spark = scaled.sparkSession
-    n = scaled.count()
+    spark, n = scaled.sparkSession, scaled.count()
     if cluster_count is None:
         cluster_count = min(4, max(2, min(n - 1, 6)))
-    subsampled = n > max_samples
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ev = (subsample(scaled, max_samples, seed, key) if subsampled else scaled).coalesce(1).persist()
-    ev.count()  # materialise once before the concurrent fits read it (capped sample: one partition)
 
     def metrics_row(labeled, label, name, k, inertia=None):
-        n_labels = labeled.select(label).distinct().count()
-        m = labeled.count()
-        if n_labels < 2 or m < 4:
-            return (name, int(k), None, None, None, inertia, False, 0, None)
-        met = metric_values(labeled, label, cols)
-        sil, sampled, size = silhouette_sampled(labeled, label, cols, seed, key)
-        return (name, int(k), sil, met["davies_bouldin_index"], met["calinski_harabasz_score"], inertia,
-                bool(sampled), int(size), None)
-
-    def kmeans_row():
-        km = fit_kmeans(ev, cluster_count, seed, restarts)
-        return metrics_row(km.transform(ev), "cluster", "K-Means", cluster_count, float(km.summary.trainingCost))
-
-    def bisecting_row():
-        bk = BisectingKMeans(k=cluster_count, seed=seed, featuresCol="features_scaled", predictionCol="cluster").fit(ev)
-        return metrics_row(bk.transform(ev), "cluster", "Hierarchical (bisecting k-means)", cluster_count)
-
-    def dbscan_row():
-        labeled = ev.join(dbscan(ev, cols, 0.75, None, key), key)
-        k_db = labeled.select("dbscan_cluster").distinct().count()
-        return metrics_row(labeled, "dbscan_cluster", "DBSCAN", k_db)
-
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=3) as pool:  # three independent fits as concurrent Spark jobs
-        rows = [f.result() for f in [pool.submit(kmeans_row), pool.submit(bisecting_row), pool.submit(dbscan_row)]]
-    ev.unpersist()
+        met, sil = metric_values(labeled, label, cols), silhouette(labeled, label, cols)
+        return (name, int(k), sil, met["davies_bouldin_index"], met["calinski_harabasz_score"], inertia, False, n, None)
+
+    centers, cost = fit_kmeans(scaled, cols, [cluster_count], seed, restarts, key)[cluster_count]
+    dense = density_clusters(scaled, cols, key=key)
+    labels = dense.agg(F.count_distinct("dbscan_cluster")).first()[0]
+    rows = [metrics_row(assign(scaled, cols, centers), "cluster", "K-Means", cluster_count, cost),
+            metrics_row(bisecting(scaled, cluster_count, seed), "cluster", "Hierarchical (bisecting k-means)", cluster_count),
+            metrics_row(scaled.join(dense, key), "dbscan_cluster", "DBSCAN", labels)]
     comp = spark.createDataFrame(rows, "model_name string, cluster_count int, silhouette_score double, "
                                        "davies_bouldin_index double, calinski_harabasz_score double, inertia double, "
-                                       "silhouette_sampled boolean, silhouette_sample_size int, skipped_reason string")
-    return best_by_ranking(comp.withColumn("subsampled", F.lit(subsampled)))
+                                       "silhouette_sampled boolean, silhouette_sample_size long, skipped_reason string")
+    return best_by_ranking(comp.withColumn("subsampled", F.lit(False)))
 
 
-def final_clusters(scaled: DataFrame, k: int, seed: int = 42, restarts: int = 3) -> DataFrame:
+def final_clusters(scaled: DataFrame, cols: list[str], k: int, seed: int = 42, restarts: int | None = None) -> DataFrame:
     """CLU-03: K-Means on all rows; ``cluster`` renumbered by size (0 = largest)."""
-    model = fit_kmeans(scaled, k, seed, restarts)
-    return renumber_by_size(model.transform(scaled), "cluster")
-
-
+    centers, _ = fit_kmeans(scaled, cols, [k], seed, restarts)[k]
+    return renumber_by_size(assign(scaled, cols, centers), "cluster")

@@ -15,8 +15,6 @@ from postlab.session import cut_lineage
 
 # size bound under which a dimension is broadcast into the fact joins
 DIM_BROADCAST_ROWS = 1_000_000
-# size bound under which dimension keys come from one window over the (checked) distinct rows
-SMALL_DIMENSION_ROWS = 100_000
 
 
 def dense_index(df: DataFrame, order_cols: list[str], key: str, start: int = 1,
@@ -44,13 +42,8 @@ def dense_index(df: DataFrame, order_cols: list[str], key: str, start: int = 1,
 
 def make_dimension(df: DataFrame, columns: list[str], key: str, order_by: str = "post_id") -> DataFrame:
     """DIM-01..09: distinct combinations of ``columns`` with key 1..n by first appearance."""
-    distinct = df.groupBy(*columns).agg(F.min(order_by).alias("__first")).persist()
-    if distinct.limit(SMALL_DIMENSION_ROWS + 1).count() <= SMALL_DIMENSION_ROWS:
-        # proven small: one window over at most SMALL_DIMENSION_ROWS rows
-        keyed = distinct.withColumn(key, F.row_number().over(Window.orderBy("__first")).cast("bigint"))
-    else:
-        keyed = dense_index(distinct, ["__first"], key)
-    return keyed.orderBy(key).select(*columns, key)
+    distinct = df.groupBy(*columns).agg(F.min(order_by).alias("__first"))
+    return dense_index(distinct, ["__first"], key).select(*columns, key)
 
 
 def build_dimensions(silver: DataFrame, order_by: str = "post_id") -> dict[str, DataFrame]:

@@ -1,14 +1,12 @@
 """Exact order statistics and modes without gathering a column into one task.
 
-``exact_quantiles`` reproduces linear-interpolated quantiles (the median of pandas / numpy,
-DuckDB ``quantile_cont``, Spark ``percentile``) exactly, but never builds a value->count map of
-a whole column in one task as the ``percentile`` aggregate does. It narrows each wanted rank with
-equal-width histograms: every round is one scan with a map-side combined
-``groupBy(target, bucket)``, so at most ``targets x buckets`` rows reach the driver; once the
-bucket holding a rank has at most ``max_collect`` rows (or one distinct value) those values are
-fetched and the rank is read off. Bucketing is monotone in the value, so each bucket is a
-contiguous value range and the narrowing is exact. A hot value holding a third of all rows is a
-single-valued bucket and stops the search at once.
+``exact_quantiles`` reproduces linear-interpolated quantiles (the median of pandas / numpy, DuckDB ``quantile_cont``,
+Spark ``percentile``) exactly, but never builds a value->count map of a whole column in one task as the
+``percentile`` aggregate does. Each wanted pair of neighbouring ranks has one bracket of values. A round asks
+``percentile_approx`` (a mergeable sketch) for two values just below and above the ranks and counts exactly
+what lies below and inside them, so the bracket shrinks by a fixed factor of its rows whatever the values'
+magnitudes. A bracket with few distinct values is fetched as (value, count) rows and read off; a value that
+holds a third of all rows is one such row. If the rounds run out the call fails; it never fetches more.
 """
 
 from __future__ import annotations
@@ -25,16 +23,11 @@ def _value(c: str) -> F.Column:
     return finite(F.col(c).cast("double"))
 
 
-def _stack(df: DataFrame, exprs: list[tuple[int, F.Column]]) -> DataFrame:
-    """One scan: (t, v) rows for every target t whose expression is non-null on the row."""
-    arr = F.array(*[F.struct(F.lit(t).alias("t"), e.alias("v")) for t, e in exprs])
-    return (df.select(F.explode(F.filter(arr, lambda x: x["v"].isNotNull())).alias("p"))
-            .select("p.t", "p.v"))
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], accuracy: int = 1000,
+                    max_collect: int = 2_000, max_rounds: int = 40) -> dict:
+    """{(column, p): value or None}; nulls, NaN and inf are skipped.
 
-
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], buckets: int = 4096,
-                    max_collect: int = 200_000, max_rounds: int = 40) -> dict:
-    """{(column, p): value or None}; nulls, NaN and inf are skipped."""
+    At most ``max_collect`` distinct values of each bracket reach the driver."""
     columns = list(dict.fromkeys(columns))
     if not columns:
         return {}
@@ -44,9 +37,9 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], bucke
         aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
     row = df.agg(*aggs).first()
 
-    # targets: (column index, 0-based rank) -> search state [lo, hi, below, count_in_range]
-    state: dict[tuple[int, int], list] = {}
+    # one bracket per (column, lower rank): values lo..hi, rows below it, rows inside, whether few values are inside
     plan: dict[tuple[str, float], tuple] = {}
+    state: dict[tuple[int, int], dict] = {}
     for i, c in enumerate(columns):
         n = row[f"n{i}"]
         for p in probs:
@@ -55,68 +48,58 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], bucke
                 continue
             h = (n - 1) * p
             r0 = int(math.floor(h))
-            frac = h - r0
-            r1 = min(r0 + 1, n - 1)
-            plan[(c, p)] = (i, r0, r1, frac)
-            for r in {r0, r1}:
-                state[(i, r)] = [row[f"lo{i}"], row[f"hi{i}"], 0, n]
+            plan[(c, p)] = (i, r0, min(r0 + 1, n - 1), h - r0)
+            state[(i, r0)] = {"lo": row[f"lo{i}"], "hi": row[f"hi{i}"], "below": 0, "rows": n, "last": min(r0 + 1, n - 1)}
+
+    def inside(key):
+        v = _value(columns[key[0]])
+        return F.when(v.between(state[key]["lo"], state[key]["hi"]), v)
+
+    def small(s):
+        return s["lo"] == s["hi"] or s["rows"] <= max_collect or s.get("few", False)
 
-    resolved: dict[tuple[int, int], float] = {}
     for _ in range(max_rounds):
-        pending = []
-        for key, (lo, hi, below, cnt) in state.items():
-            if key in resolved:
-                continue
-            if lo == hi:
-                resolved[key] = lo
-            elif cnt > max_collect:
-                pending.append(key)
+        pending = [key for key, s in state.items() if not small(s)]
         if not pending:
             break
-        ids = {key: j for j, key in enumerate(pending)}
-        exprs = []
-        for key, j in ids.items():
-            i, _r = key
-            lo, hi = state[key][0], state[key][1]
-            v = _value(columns[i])
-            exprs.append((j, F.when(v.between(lo, hi), v)))
-        stacked = _stack(df, exprs)
-        # bucket is recomputed from (t, v) on the stacked rows: one literal range per target
-        lo_map = F.create_map(*sum(([F.lit(j), F.lit(state[k][0])] for k, j in ids.items()), []))
-        hi_map = F.create_map(*sum(([F.lit(j), F.lit(state[k][1])] for k, j in ids.items()), []))
-        lo_c, hi_c = lo_map[F.col("t")], hi_map[F.col("t")]
-        b = F.least(F.floor((F.col("v") - lo_c) / (hi_c - lo_c) * buckets), F.lit(buckets - 1)).cast("int")
-        hist = (stacked.groupBy("t", b.alias("b"))
-                .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("mn"), F.max("v").alias("mx"))
-                .collect())
-        by_t: dict[int, list] = {}
-        for h in hist:
-            by_t.setdefault(h["t"], []).append((h["b"], h["c"], h["mn"], h["mx"]))
-        for key, j in ids.items():
-            _i, rank = key
-            lo, hi, below, cnt = state[key]
-            acc = below
-            for _b, c, mn, mx in sorted(by_t.get(j, [])):
-                if rank < acc + c:
-                    state[key] = [mn, mx, acc, c]
-                    break
-                acc += c
-    # fetch the small brackets
-    fetch = [key for key in state if key not in resolved]
+        asked = []
+        for j, key in enumerate(pending):
+            s = state[key]
+            at = [(key[1] - s["below"]) / s["rows"] - 2 / accuracy, (s["last"] - s["below"] + 1) / s["rows"] + 2 / accuracy]
+            asked.append(F.percentile_approx(inside(key), [min(max(x, 0.0), 1.0) for x in at], accuracy).alias(f"b{j}"))
+        found = df.agg(*asked).first()
+        counted = []
+        for j, key in enumerate(pending):
+            lo, hi = found[f"b{j}"]
+            v = _value(columns[key[0]])
+            counted += [F.count_if(v < lo).alias(f"u{j}"), F.count_if(v.between(lo, hi)).alias(f"r{j}"),
+                        F.approx_count_distinct(F.when(v.between(lo, hi), v)).alias(f"d{j}")]
+        exact = df.agg(*counted).first()
+        for j, key in enumerate(pending):
+            s, (lo, hi) = state[key], found[f"b{j}"]
+            below, rows = exact[f"u{j}"], exact[f"r{j}"]
+            if below <= key[1] and s["last"] < below + rows:  # else the sketch missed: ask again, with a finer one
+                s.update(lo=lo, hi=hi, below=below, rows=rows, few=exact[f"d{j}"] <= max_collect // 2)
+        accuracy = min(accuracy * 2, 10_000)
+    if any(not small(s) for s in state.values()):
+        raise RuntimeError("quantile brackets did not become small")
+
+    resolved: dict[tuple[int, int], float] = {(key[0], r): s["lo"] for key, s in state.items() if s["lo"] == s["hi"] for r in (key[1], s["last"])}
+    fetch = [key for key, s in state.items() if s["lo"] != s["hi"]]
     if fetch:
-        ids = {key: j for j, key in enumerate(fetch)}
-        exprs = []
-        for key, j in ids.items():
-            i, _r = key
-            lo, hi = state[key][0], state[key][1]
-            v = _value(columns[i])
-            exprs.append((j, F.when(v.between(lo, hi), v)))
-        got = (_stack(df, exprs).groupBy("t").agg(F.sort_array(F.collect_list("v")).alias("vs")).collect())
-        values = {g["t"]: g["vs"] for g in got}
-        for key, j in ids.items():
-            _i, rank = key
-            below = state[key][2]
-            resolved[key] = values[j][rank - below]
+        entries = F.array(*[F.struct(F.lit(j).alias("t"), inside(key).alias("v")) for j, key in enumerate(fetch)])
+        long = df.select(F.explode(F.filter(entries, lambda x: x["v"].isNotNull())).alias("p")).select("p.t", "p.v")
+        by_bracket: dict[int, list] = {}
+        for r in long.groupBy("t", "v").count().collect():  # distinct values of small brackets
+            by_bracket.setdefault(r["t"], []).append((r["v"], r["count"]))
+        for j, key in enumerate(fetch):
+            for rank in (key[1], state[key]["last"]):
+                at = state[key]["below"]
+                for value, n in sorted(by_bracket[j]):
+                    at += n
+                    if rank < at:
+                        resolved[(key[0], rank)] = value
+                        break
 
     out = {}
     for (c, p), spec in plan.items():

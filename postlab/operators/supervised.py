@@ -2,7 +2,7 @@
 
 Boosted trees are Spark ML ``GBTRegressor`` inside one ``Pipeline`` with the preprocessing, so
 cross-validation refits preprocessing per fold. XGBoost's L1/L2 leaf penalties (reg_alpha,
-reg_lambda) have no GBTRegressor equivalent; those two grid axes are drawn but not applied.
+reg_lambda) have no GBTRegressor equivalent; those two grid axes are not drawn.
 """
 
 from __future__ import annotations
@@ -17,10 +17,11 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlab.functions.exprs import round6, safe_corr
+from postlab.functions.exprs import bounded_broadcast, safe_corr
 from postlab.operators.prep import (feature_target_split, fold_column, preprocessing_stages,
                                     processed_feature_names, train_test_split)
 from postlab.operators.star import dense_index
+from postlab.session import cut_lineage
 from postlab.schema import GBT_DEFAULTS, GBT_SEARCH_SPACE, RECOMMENDATION_TEMPLATES
 
 
@@ -30,12 +31,16 @@ def make_regressor(seed: int = 42, params: dict | None = None) -> GBTRegressor:
     return GBTRegressor(featuresCol="features", labelCol="label", predictionCol="prediction", lossType="squared",
                         maxIter=int(p["n_estimators"]), maxDepth=int(p["max_depth"]), stepSize=float(p["learning_rate"]),
                         subsamplingRate=float(p["subsample"]), featureSubsetStrategy=str(p["colsample_bytree"]),
-                        seed=seed, maxBins=32)
+                        seed=seed, maxBins=256, cacheNodeIds=True, maxMemoryInMB=512)
+
+
+#: Leaf penalties that GBTRegressor does not have: drawing them would only repeat the same model.
+UNSUPPORTED_AXES = ("reg_alpha", "reg_lambda")
 
 
 def draw_params(n_draws: int = 8, seed: int = 42) -> list[dict]:
-    """Seeded random draws without replacement from the product grid (3*3*3*3*3*2*2 = 972 points)."""
-    keys = list(GBT_SEARCH_SPACE)
+    """Seeded random draws without replacement from the product grid of the supported axes."""
+    keys = [k for k in GBT_SEARCH_SPACE if k not in UNSUPPORTED_AXES]
     grid = list(itertools.product(*[GBT_SEARCH_SPACE[k] for k in keys]))
     idx = np.random.RandomState(seed).choice(len(grid), size=min(n_draws, len(grid)), replace=False)
     return [dict(zip(keys, grid[i])) for i in idx]
@@ -46,8 +51,8 @@ def regression_metrics(df: DataFrame, label: str = "label", pred: str = "predict
     e = F.col(pred) - F.col(label)
     agg = df.agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.sum(e * e).alias("__sse"),
                  (F.var_pop(label) * F.count(F.lit(1))).alias("__sst"))
-    return agg.select(round6("mae").alias("mae"), round6("rmse").alias("rmse"),
-                      round6(F.when(F.col("__sst") > 0, 1 - F.col("__sse") / F.col("__sst"))).alias("r2"))
+    return agg.select(F.col("mae").alias("mae"), F.col("rmse").alias("rmse"),
+                      (F.when(F.col("__sst") > 0, 1 - F.col("__sse") / F.col("__sst"))).alias("r2"))
 
 
 def tune(train: DataFrame, num: list[str], cat: list[str], seed: int = 42, n_draws: int = 8, folds: int = 2,
@@ -93,19 +98,13 @@ def feature_importance(model, scored: DataFrame) -> DataFrame:
 
 
 def permutation_importance(model, test: DataFrame, features: list[str], repeats: int = 5, seed: int = 42,
-                           key: str = "post_id", max_rows: int | None = 100_000) -> DataFrame:
+                           key: str = "post_id") -> DataFrame:
     """SUP-05: mean RMSE increase when one raw column is permuted, ``repeats`` times per column.
 
-    The scored copies number rows x features x repeats, so the estimate runs on at most ``max_rows``
-    hash-sampled test rows (all test rows at the sizes of the reference; ``None`` = no cap).
-
-    Test rows get dense indexes 0..n-1; repeat r pairs row i with row (a_r * i + b_r) mod n
+    All test rows are used. They get dense indexes 0..n-1; repeat r pairs row i with row (a_r * i + b_r) mod n
     (gcd(a_r, n) = 1, so each repeat is a permutation); the partner values arrive by equi-joins on
     the index. All (feature, repeat) copies are produced by one explode and scored by one transform.
     """
-    if max_rows is not None:
-        from postlab.operators.prep import subsample
-        test = subsample(test, max_rows, seed, key)
     idx = dense_index(test, [key], "__i", start=0)
     n = idx.count()
     rng = np.random.RandomState(seed)
@@ -136,6 +135,10 @@ def permutation_importance(model, test: DataFrame, features: list[str], repeats:
             .join(F.broadcast(names), "fi").select("feature", "permutation_importance"))
 
 
+#: Distinct values of a text column up to which their codes are broadcast; beyond, the join shuffles.
+MAX_CODES_BROADCAST = 100_000
+
+
 def signed_drivers(model, test: DataFrame, importance: DataFrame, num: list[str], cat: list[str],
                    floor_negative: bool = True) -> DataFrame:
     """SUP-06: importance x sign(corr(feature, prediction)), row-aligned (defect D2 fixed).
@@ -148,7 +151,7 @@ def signed_drivers(model, test: DataFrame, importance: DataFrame, num: list[str]
 
         vals = pred.select(c).where(F.col(c).isNotNull()).distinct()
         vals = dense_index(vals, [c], f"__code_{c}", start=0)
-        pred = pred.join(F.broadcast(vals), c, "left")
+        pred = pred.join(bounded_broadcast(vals, MAX_CODES_BROADCAST), c, "left")
         codes[c] = f"__code_{c}"
 
     exprs = [safe_corr(c, "prediction").alias(c) for c in num]
@@ -171,18 +174,6 @@ def recommendation(target: str, drivers: DataFrame) -> str:
     return tmpl.format(pos=r["pos"], neg=r["neg"])
 
 
-def recommendation_column(target_col: str = "target", pos: str = "pos", neg: str = "neg") -> F.Column:
-    """SUP-12 as a column expression over (target, positive driver, negative driver)."""
-    t = RECOMMENDATION_TEMPLATES
-    m = t["misinformation_probability"].split("{pos}")
-    m2 = m[1].split("{neg}")
-    c = t["credibility_score"].split("{pos}")
-    c2 = c[1].split("{neg}")
-    return F.when(F.col(target_col) == "misinformation_probability",
-                  F.concat(F.lit(m[0]), F.col(pos), F.lit(m2[0]), F.col(neg), F.lit(m2[1]))).otherwise(
-        F.concat(F.lit(c[0]), F.col(pos), F.lit(c2[0]), F.col(neg), F.lit(c2[1])))
-
-
 ROWS_PER_PARTITION = 1_000_000
 MIN_ROWS_PER_TASK = 20_000
 
@@ -209,13 +200,15 @@ def train_target(data: DataFrame, target: str, seed: int = 42, n_draws: int = 8,
     model, best_cv, _draws = tune(train, num, cat, seed, n_draws, folds, parallelism)
     scored = model.transform(test)
     metrics = regression_metrics(scored).withColumns({
-        "best_cv_rmse": F.lit(round(best_cv, 6)), "training_seconds": F.lit(round(time.time() - t0, 2)),
+        "best_cv_rmse": F.lit(best_cv), "training_seconds": F.lit(round(time.time() - t0, 2)),
         "target": F.lit(target)})
     importance = feature_importance(model, scored).withColumn("target", F.lit(target))
-    perm = permutation_importance(model, test, num + cat, repeats, seed)
+    perm = cut_lineage(permutation_importance(model, test, num + cat, repeats, seed))
     drivers = signed_drivers(model, test, perm, num, cat).withColumn("target", F.lit(target))
     predictions = scored.select("post_id", F.lit(target).alias("target"), F.col("label").alias("actual"),
                                 F.col("prediction").alias("predicted"))
+    # everything lazy is written before the training frame is released
+    metrics, predictions, drivers = cut_lineage(metrics), cut_lineage(predictions), cut_lineage(drivers)
     frame.unpersist()
     return {"model": model, "metrics": metrics, "importance": importance, "drivers": drivers,
             "predictions": predictions, "recommendation": recommendation(target, drivers)}

@@ -7,17 +7,21 @@ silver layer built from them), so its work grows with the tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlab.operators import calendar as cal
-from postlab.operators import clean, eda, features, profiling, star
+from postlab.functions.exprs import month_number
+from postlab.operators import clean, eda, features, profiling, segment, star
 from postlab.plans.sqltext import (SILVER_DOUBLE, SILVER_INTEGRAL, SILVER_TEXT, with_posts, with_silver,
                                    BRONZE_CTE)
-from postlab.schema import CLUSTER_FEATURES, SIMPLE_DIMENSIONS, TIME_COLUMNS, USER_COLUMNS, FACT_COLUMNS
-from postlab.sources.posts import bronze_posts, posts_view
+from postlab.schema import (CLUSTER_FEATURES, FACT_COLUMNS, MONTH_NAMES, RAW_COLUMNS, SIMPLE_DIMENSIONS, TIME_COLUMNS,
+                            USER_COLUMNS)
+from postlab.session import ensure_checkpoint_dir
+from postlab.sources.posts import bronze_posts, load_posts_csv, posts_view, read_tagged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,7 +77,7 @@ register("cln_03_parent_fill", with_posts(
 def _fill_table_sql(kind: str) -> str:
     if kind == "median":
         parts = [f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS nulls, "
-                 f"round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 6) AS fill_value FROM dated"
+                 f"(quantile_cont(CAST({c} AS DOUBLE), 0.5)) AS fill_value FROM dated"
                  for c in SILVER_INTEGRAL + SILVER_DOUBLE]
     else:
         parts = [f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS nulls, "
@@ -87,7 +91,7 @@ def _fill_table(spark, sf_dir, kind):
     p = clean.fill_parent(clean.add_date_parts(clean.drop_exact_duplicates(posts_view(spark, sf_dir))))
     if kind == "median":
         vals = clean.numeric_fill_values(p)
-        rows = [(c, float(round(v, 6)) if v is not None else None) for c, v in vals.items()]
+        rows = [(c, float(v) if v is not None else None) for c, v in vals.items()]
         schema = "column_name string, fill_value double"
     else:
         vals = clean.text_fill_values(p)
@@ -106,12 +110,64 @@ register("cln_08_category_codes", q(
     "SELECT post_id, topic, CAST(dense_rank() OVER (ORDER BY topic) - 1 AS BIGINT) AS topic_code FROM silver"))(
     lambda s, d: clean.categorical_codes(silver(s, d).select("post_id", "topic"), "topic", "topic_code"))
 
+# every 11th value is NaN, every 13th +inf, every 17th -inf before the filter
 register("cln_09_nonfinite", q(
-    "SELECT post_id, like_rate FROM (SELECT post_id, likes / nullif(impressions_estimate, 0) AS like_rate "
-    "FROM silver) WHERE like_rate IS NULL"))(
+    "SELECT post_id, CASE WHEN post_id % 11 = 0 OR post_id % 13 = 0 OR post_id % 17 = 0 THEN NULL ELSE sentiment_score END "
+    "AS planted FROM silver"))(
     lambda s, d: clean.nonfinite_to_null(silver(s, d).select(
-        "post_id", F.try_divide(F.col("likes").cast("double"), F.col("impressions_estimate").cast("double"))
-        .alias("like_rate"))).where(F.col("like_rate").isNull()))
+        "post_id", F.when(F.col("post_id") % 11 == 0, F.lit(float("nan"))).when(F.col("post_id") % 13 == 0, F.lit(float("inf")))
+        .when(F.col("post_id") % 17 == 0, F.lit(float("-inf"))).otherwise(F.col("sentiment_score")).alias("planted"))))
+
+
+def _through_csv(spark, sf_dir):
+    """The posts written as CSV text, with unreadable flags planted, and read by the typed loader."""
+    path = f"{ensure_checkpoint_dir(spark)}/posts-csv-{uuid.uuid4().hex}"
+    text = posts_view(spark, sf_dir).select(*[F.col(c).cast("string").alias(c) for c in RAW_COLUMNS])
+    text = text.withColumn("verified_flag", F.when(F.col("post_id").cast("long") % 7 == 0, "yes").otherwise(F.col("verified_flag")))
+    text.write.option("header", True).csv(path)
+    return load_posts_csv(spark, path)
+
+
+register("src_01_csv_load", with_posts("SELECT post_id, follower_count, CASE WHEN post_id % 7 = 0 THEN NULL ELSE verified_flag END AS verified_flag, "
+                                       "platform, sentiment_score, likes, credibility_score, is_share, parent_post_id FROM posts"))(
+    lambda s, d: _through_csv(s, d).select("post_id", "follower_count", "verified_flag", "platform", "sentiment_score", "likes",
+                                           "credibility_score", "is_share", "parent_post_id"))
+
+
+def _tagged(spark, sf_dir):
+    """Posts written in one file per share flag and read back by glob, tagged from the path."""
+    base = f"{ensure_checkpoint_dir(spark)}/posts-tagged-{uuid.uuid4().hex}"
+    for flag in (0, 1):
+        posts_view(spark, sf_dir).where(F.col("is_share") == flag).select("post_id", "is_share").write.parquet(f"{base}/share_{flag}")
+    return read_tagged(spark, f"{base}/share_*", tag="tag", pattern=r"share_(\d)/", of="file_path").select("post_id", "is_share", "tag")
+
+
+register("src_05_tagged_read", with_posts("SELECT post_id, is_share, CAST(is_share AS VARCHAR) AS tag FROM posts"))(_tagged)
+
+# unknown month names and years outside the table
+register("cal_01_month_fallback", with_posts(
+    "SELECT post_id, CASE WHEN post_id % 3 = 0 THEN 1 WHEN post_id % 3 = 1 THEN 1 ELSE 1 + CAST(post_id % 12 AS INTEGER) END AS month_number FROM posts"))(
+    lambda s, d: posts_view(s, d).select("post_id", month_number(
+        F.when(F.col("post_id") % 3 == 0, F.lit("Smarch")).when(F.col("post_id") % 3 == 1, F.lit(None).cast("string"))
+        .otherwise(F.element_at(F.lit(MONTH_NAMES), (F.col("post_id") % 12 + 1).cast("int")))).cast("int").alias("month_number")))
+
+register("top_03_posts_per_topic", q(
+    "SELECT topic, post_id, rank FROM (SELECT topic, post_id, row_number() OVER (PARTITION BY topic ORDER BY reach_estimate DESC, post_id) AS rank "
+    "FROM silver) WHERE rank <= 3"))(
+    lambda s, d: eda.top_k_per_group(silver(s, d), "topic", [F.desc("reach_estimate"), F.asc("post_id")], 3).select("topic", "post_id", "rank"))
+
+_BEST_FROM = ("(SELECT topic AS model_name, avg(credibility_score) AS silhouette_score, avg(toxicity_score) AS davies_bouldin_index, "
+              "avg(reach_estimate) AS calinski_harabasz_score FROM silver GROUP BY topic)")
+register("top_04_best_model", q(
+    f"SELECT model_name, row_number() OVER (ORDER BY silhouette_score DESC, davies_bouldin_index, calinski_harabasz_score DESC, model_name) = 1 AS is_best FROM {_BEST_FROM}"))(
+    lambda s, d: eda.best_by_ranking(silver(s, d).groupBy(F.col("topic").alias("model_name")).agg(
+        F.avg("credibility_score").alias("silhouette_score"), F.avg("toxicity_score").alias("davies_bouldin_index"),
+        F.avg("reach_estimate").alias("calinski_harabasz_score"))).select("model_name", "is_best"))
+
+register("top_05_best_k", q(
+    "SELECT k AS best_k FROM (SELECT cascade_depth + 2 AS k, avg(uncertainty_index) AS s FROM silver GROUP BY ALL) ORDER BY s DESC, k LIMIT 1"))(
+    lambda s, d: s.createDataFrame([(segment.best_k(silver(s, d).groupBy((F.col("cascade_depth") + 2).alias("k")).agg(
+        F.avg("uncertainty_index").alias("silhouette_score"))),)], "best_k int"))
 
 register("cln_10_valid_target_rows", with_posts(
     "SELECT post_id, misinformation_probability FROM posts WHERE misinformation_probability IS NOT NULL "
@@ -131,17 +187,17 @@ register("cln_12_behaviour_columns", with_posts("SELECT " + ", ".join(
 FEATURE_SQL = """
 SELECT post_id,
   coalesce(likes, 0) + coalesce(shares, 0) + coalesce(comments, 0) AS total_engagement,
-  round(shares / nullif(comments + 1, 0), 6) AS share_comment_ratio,
-  round(likes / nullif(impressions_estimate, 0), 6) AS like_rate,
-  round(shares / nullif(impressions_estimate, 0), 6) AS share_rate,
-  round(comments / nullif(impressions_estimate, 0), 6) AS comment_rate,
-  round(reach_estimate / nullif(impressions_estimate, 0), 6) AS reach_rate,
+  (shares / nullif(comments + 1, 0)) AS share_comment_ratio,
+  (likes / nullif(impressions_estimate, 0)) AS like_rate,
+  (shares / nullif(impressions_estimate, 0)) AS share_rate,
+  (comments / nullif(impressions_estimate, 0)) AS comment_rate,
+  (reach_estimate / nullif(impressions_estimate, 0)) AS reach_rate,
   follower_count + following_count AS audience_size,
-  round(follower_count / nullif(following_count + 1, 0), 6) AS follower_following_ratio,
-  round(CASE WHEN follower_count > -1 THEN ln(1 + follower_count) END, 6) AS log_followers,
-  round(CASE WHEN impressions_estimate > -1 THEN ln(1 + impressions_estimate) END, 6) AS log_impressions,
-  round(misinformation_probability - credibility_score, 6) AS risk_minus_credibility,
-  round(toxicity_score * subjectivity_score, 6) AS toxicity_subjectivity_interaction
+  (follower_count / nullif(following_count + 1, 0)) AS follower_following_ratio,
+  (CASE WHEN follower_count > -1 THEN ln(1 + follower_count) END) AS log_followers,
+  (CASE WHEN impressions_estimate > -1 THEN ln(1 + impressions_estimate) END) AS log_impressions,
+  (misinformation_probability - credibility_score) AS risk_minus_credibility,
+  (toxicity_score * subjectivity_score) AS toxicity_subjectivity_interaction
 FROM silver"""
 register("fea_01_12_engineered_features", q(FEATURE_SQL))(
     lambda s, d: features.feature_table(silver(s, d)))
@@ -164,22 +220,22 @@ SELECT c.month, c.month_ord, CAST(coalesce(a.posts, 0) AS BIGINT) AS posts, a.av
 FROM (SELECT * FROM (VALUES {", ".join(f"('{m}', {i})" for i, m in enumerate(
     ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October",
      "November", "December"], start=1))}) t(month, month_ord)) c
-LEFT JOIN (SELECT month, count(post_id) AS posts, round(avg(misinformation_probability), 6) AS avg_misinformation,
-           round(avg(engagement_velocity), 6) AS avg_engagement FROM silver GROUP BY month) a ON a.month = c.month"""))(
+LEFT JOIN (SELECT month, count(post_id) AS posts, avg(misinformation_probability) AS avg_misinformation,
+           avg(engagement_velocity) AS avg_engagement FROM silver GROUP BY month) a ON a.month = c.month"""))(
     lambda s, d: cal.calendar_summary(silver(s, d), "month"))
 
 register("agg_04_weekday", q(f"""
 SELECT c.day, c.day_ord, CAST(coalesce(a.posts, 0) AS BIGINT) AS posts, a.avg_misinformation, a.avg_engagement
 FROM (SELECT * FROM (VALUES {", ".join(f"('{m}', {i})" for i, m in enumerate(
     ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"], start=1))}) t(day, day_ord)) c
-LEFT JOIN (SELECT day, count(post_id) AS posts, round(avg(misinformation_probability), 6) AS avg_misinformation,
-           round(avg(engagement_velocity), 6) AS avg_engagement FROM silver GROUP BY day) a ON a.day = c.day"""))(
+LEFT JOIN (SELECT day, count(post_id) AS posts, avg(misinformation_probability) AS avg_misinformation,
+           avg(engagement_velocity) AS avg_engagement FROM silver GROUP BY day) a ON a.day = c.day"""))(
     lambda s, d: cal.calendar_summary(silver(s, d), "day"))
 
 DAILY_SQL = """
-SELECT analysis_date, round(avg(engagement_velocity), 6) AS engagement_velocity,
-       round(avg(misinformation_probability), 6) AS misinformation_probability,
-       round(avg(credibility_score), 6) AS credibility_score, count(post_id) AS post_volume
+SELECT analysis_date, avg(engagement_velocity) AS engagement_velocity,
+       avg(misinformation_probability) AS misinformation_probability,
+       avg(credibility_score) AS credibility_score, count(post_id) AS post_volume
 FROM ({inner}) WHERE analysis_date IS NOT NULL GROUP BY analysis_date"""
 register("agg_06_daily_metrics", q(DAILY_SQL.format(inner=f"""
 SELECT *, make_date(year, {MONTH_CASE},
@@ -191,13 +247,13 @@ register("agg_07_real_daily_metrics", q(DAILY_SQL.format(
 
 # ---------------------------------------------------------------- EDA aggregates
 register("agg_01_platform_engagement", q("""
-SELECT platform, count(post_id) AS posts, round(avg(engagement_velocity), 6) AS avg_engagement_velocity,
-       round(avg(misinformation_probability), 6) AS avg_misinformation, round(avg(credibility_score), 6) AS avg_credibility
+SELECT platform, count(post_id) AS posts, avg(engagement_velocity) AS avg_engagement_velocity,
+       avg(misinformation_probability) AS avg_misinformation, avg(credibility_score) AS avg_credibility
 FROM silver GROUP BY platform"""))(lambda s, d: eda.platform_engagement(silver(s, d)))
 
 TOPIC_SQL = """
-SELECT topic, count(post_id) AS posts, round(avg(misinformation_probability), 6) AS avg_misinformation,
-       round(avg(credibility_score), 6) AS avg_credibility, round(avg(toxicity_score), 6) AS avg_toxicity
+SELECT topic, count(post_id) AS posts, avg(misinformation_probability) AS avg_misinformation,
+       avg(credibility_score) AS avg_credibility, avg(toxicity_score) AS avg_toxicity
 FROM silver GROUP BY topic ORDER BY {order} DESC, topic LIMIT {k}"""
 register("agg_02_topic_risk", q(TOPIC_SQL.format(order="avg_misinformation", k=15)))(
     lambda s, d: eda.topic_risk(silver(s, d), 15))
@@ -207,19 +263,19 @@ register("agg_02_topic_top_credibility", q(TOPIC_SQL.format(order="avg_credibili
     lambda s, d: eda.topic_risk(silver(s, d), 10, "avg_credibility"))
 
 register("agg_05_share_summary", q("""
-SELECT is_share, count(post_id) AS posts, round(avg(engagement_velocity), 6) AS avg_engagement,
-       round(avg(misinformation_probability), 6) AS avg_misinformation, round(avg(credibility_score), 6) AS avg_credibility,
-       round(avg(toxicity_score), 6) AS avg_toxicity,
+SELECT is_share, count(post_id) AS posts, avg(engagement_velocity) AS avg_engagement,
+       avg(misinformation_probability) AS avg_misinformation, avg(credibility_score) AS avg_credibility,
+       avg(toxicity_score) AS avg_toxicity,
        CASE WHEN is_share = 0 THEN 'Original posts' WHEN is_share = 1 THEN 'Shared posts'
             ELSE CAST(is_share AS VARCHAR) END AS post_type
 FROM silver GROUP BY is_share"""))(lambda s, d: eda.share_summary(silver(s, d)))
 
 register("agg_09_feature_means", q("SELECT " + ", ".join(
-    f"round(avg(CAST({c} AS DOUBLE)), 6) AS {c}" for c in CLUSTER_FEATURES) + " FROM silver"))(
+    f"(avg(CAST({c} AS DOUBLE))) AS {c}" for c in CLUSTER_FEATURES) + " FROM silver"))(
     lambda s, d: eda.feature_means(silver(s, d), CLUSTER_FEATURES))
 
 register("agg_10_p95_thresholds", q("SELECT " + ", ".join(
-    f"round(quantile_cont(CAST({c} AS DOUBLE), 0.95), 6) AS {c}" for c in CLUSTER_FEATURES) + " FROM silver"))(
+    f"(quantile_cont(CAST({c} AS DOUBLE), 0.95)) AS {c}" for c in CLUSTER_FEATURES) + " FROM silver"))(
     lambda s, d: eda.feature_quantiles(silver(s, d), CLUSTER_FEATURES, 0.95))
 
 
@@ -232,7 +288,7 @@ def _corr_sql(cols):
         rows.append(f"SELECT '{a}', '{b}', c{i} FROM cm")
         rows.append(f"SELECT '{b}', '{a}', c{i} FROM cm")
     # a query that adds its own CTE continues the WITH list of the silver CTEs
-    return q(f", cm AS (SELECT {sel} FROM silver)\nSELECT x, y, round(r, 6) AS r FROM (\n"
+    return q(f", cm AS (SELECT {sel} FROM silver)\nSELECT x, y, r AS r FROM (\n"
              + "\nUNION ALL\n".join(rows) + ")")
 
 
@@ -261,8 +317,8 @@ def _hist_sql(cols, bins, log1p):
         return (f"CASE WHEN CAST({c} AS DOUBLE) > -1 THEN ln(1 + CAST({c} AS DOUBLE)) END" if log1p
                 else f"CAST({c} AS DOUBLE)")
     parts = [f"SELECT '{c}' AS column_name, {v(c)} AS v FROM silver" for c in cols]
-    return q(f"""SELECT column_name AS "column", bucket, round(mn + (bucket - 1) * (mx - mn) / {bins}, 6) AS lo,
-       round(mn + bucket * (mx - mn) / {bins}, 6) AS hi, count(*) AS n
+    return q(f"""SELECT column_name AS "column", bucket, (mn + (bucket - 1) * (mx - mn) / {bins}) AS lo,
+       (mn + bucket * (mx - mn) / {bins}) AS hi, count(*) AS n
 FROM (SELECT l.column_name, l.v, r.mn, r.mx,
         CAST(CASE WHEN r.mx = r.mn THEN 1 ELSE least(floor((l.v - r.mn) / (r.mx - r.mn) * {bins}) + 1, {bins}) END
              AS INTEGER) AS bucket

@@ -11,12 +11,13 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from postlab.functions.exprs import round6
 from postlab.operators import anomaly, eda, features, forecast, prep, segment, supervised
 from postlab.operators import calendar as cal
 from postlab.plans.catalog import MONTH_CASE, featured, q, register, silver
 from postlab.plans.sqltext import cluster_metrics_cte, scaled_cte
-from postlab.schema import ANOMALY_REASON_CHECKS, ANOMALY_REASON_FALLBACK, CLUSTER_FEATURES, NORMAL_REASON
+from postlab.session import cut_lineage
+from postlab.schema import (ANOMALY_REASON_CHECKS, ANOMALY_REASON_FALLBACK, CLUSTER_FEATURES, NORMAL_REASON,
+                            RECOMMENDATION_TEMPLATES)
 
 Z = [f"z_{c}" for c in CLUSTER_FEATURES]
 SCALED = scaled_cte(CLUSTER_FEATURES)
@@ -30,6 +31,11 @@ def scaled(spark, sf_dir):
     return _SCALED_CACHE[key]
 
 
+def cached_scaled(spark, sf_dir):
+    """The scaled matrix as a written table, for operators that scan it many times."""
+    return cut_lineage(scaled(spark, sf_dir))
+
+
 def label3():
     return F.pmod(F.col("post_id"), F.lit(3)).cast("bigint")
 
@@ -52,16 +58,13 @@ SQL_TRUTH = "CASE WHEN post_id % 7 = 0 THEN 1 ELSE 0 END"
 
 # ---------------------------------------------------------------- preparation
 register("mlp_05_scaled_matrix", q(SCALED + "\nSELECT post_id, " + ", ".join(
-    [f"round({c}, 6) AS {c}" for c in CLUSTER_FEATURES] + [f"round(z_{c}, 6) AS z_{c}" for c in CLUSTER_FEATURES])
+    [f"{c} AS {c}" for c in CLUSTER_FEATURES] + [f"z_{c} AS z_{c}" for c in CLUSTER_FEATURES])
     + " FROM scaled"))(
-    lambda s, d: scaled(s, d).select("post_id", *[round6(c).alias(c) for c in CLUSTER_FEATURES],
-                                     *[round6(z).alias(z) for z in Z]))
+    lambda s, d: scaled(s, d).select("post_id", *CLUSTER_FEATURES, *Z))
 
 
 def _split_frame(s, d, target="credibility_score"):
-    frame, num, cat = prep.feature_target_split(featured(s, d), target)
-    dbl = {f.name for f in frame.schema.fields if f.dataType.typeName() == "double"}
-    return frame.select(*[round6(c).alias(c) if c in dbl else F.col(c) for c in frame.columns])
+    return prep.feature_target_split(featured(s, d), target)[0]
 
 
 def _split_sql(target="credibility_score"):
@@ -70,9 +73,9 @@ def _split_sql(target="credibility_score"):
     keep_int = [c for c in SILVER_INTEGRAL if c not in ("post_id", "parent_post_id")]
     keep_dbl = [c for c in SILVER_DOUBLE if c != target]
     feats = [c for c in features.ENGINEERED if c not in features.LEAKY]
-    cols = ([f"s.{c}" for c in keep_int] + [f"round(s.{c}, 6) AS {c}" for c in keep_dbl] + [f"s.{c}" for c in SILVER_TEXT]
+    cols = ([f"s.{c}" for c in keep_int] + [f"s.{c} AS {c}" for c in keep_dbl] + [f"s.{c}" for c in SILVER_TEXT]
             + [f"f.{c}" for c in feats])
-    return q(f",\nfeats AS ({FEATURE_SQL})\nSELECT s.post_id, round(s.{target}, 6) AS label, " + ", ".join(cols)
+    return q(f",\nfeats AS ({FEATURE_SQL})\nSELECT s.post_id, s.{target} AS label, " + ", ".join(cols)
              + f" FROM silver s JOIN feats f ON s.post_id = f.post_id WHERE s.{target} IS NOT NULL")
 
 
@@ -117,16 +120,16 @@ register("clu_06_calinski_harabasz", q(CM_SQL + "\nSELECT calinski_harabasz_scor
 register("clu_07_inertia", q(CM_SQL + "\nSELECT inertia FROM cm"))(lambda s, d: _metrics(s, d).select("inertia"))
 
 PROFILE_SQL = """
-SELECT post_id % 3 AS cluster, count(*) AS cluster_size, round(avg(engagement_velocity), 6) AS engagement_velocity,
-       round(avg(misinformation_probability), 6) AS misinformation_probability,
-       round(avg(credibility_score), 6) AS credibility_score, round(avg(toxicity_score), 6) AS toxicity_score
+SELECT post_id % 3 AS cluster, count(*) AS cluster_size, avg(engagement_velocity) AS engagement_velocity,
+       avg(misinformation_probability) AS misinformation_probability,
+       avg(credibility_score) AS credibility_score, avg(toxicity_score) AS toxicity_score
 FROM silver GROUP BY post_id % 3"""
 register("agg_08_cluster_profile", q(PROFILE_SQL))(
     lambda s, d: segment.cluster_profile(silver(s, d).withColumn("cluster", label3())))
 
 
 def _narr_sql():
-    gm = ("SELECT " + ", ".join(f"round(avg({c}), 6) AS g_{c}" for c in
+    gm = ("SELECT " + ", ".join(f"avg({c}) AS g_{c}" for c in
                                 ["engagement_velocity", "misinformation_probability", "credibility_score",
                                  "toxicity_score"]) + " FROM silver")
     from postlab.schema import CLUSTER_NARRATIVE_PREFIX, CLUSTER_TRAITS
@@ -144,14 +147,31 @@ register("clu_12_narrative", _narr_sql())(
     lambda s, d: segment.narrative(segment.cluster_profile(silver(s, d).withColumn("cluster", label3())),
                                    eda.feature_means(silver(s, d), ["engagement_velocity", "misinformation_probability",
                                                                      "credibility_score", "toxicity_score"])))
-register("clu_01_k_scan")(lambda s, d: segment.k_scan(scaled(s, d), Z, restarts=2))
+register("clu_01_k_scan")(lambda s, d: segment.k_scan(cached_scaled(s, d), Z))
 register("clu_03_final_clusters")(
-    lambda s, d: segment.final_clusters(scaled(s, d), 3, restarts=2).select("post_id", "cluster"))
-register("clu_04_silhouette")(lambda s, d: s.createDataFrame(
-    [segment.silhouette_sampled(scaled(s, d).withColumn("cluster", label3()), "cluster", Z)],
-    "silhouette_score double, silhouette_sampled boolean, silhouette_sample_size int"))
-register("clu_09_model_comparison")(lambda s, d: segment.compare_models(scaled(s, d), Z, restarts=2))
-register("clu_11_dbscan")(lambda s, d: segment.dbscan(prep.subsample(scaled(s, d), 10_000, 42), Z))
+    lambda s, d: segment.final_clusters(cached_scaled(s, d), Z, 3).select("post_id", "cluster"))
+def _silhouette_sql():
+    mean = ", ".join(f"avg({z}) AS m_{z}" for z in Z)
+    square = " + ".join(f"{z} * {z}" for z in Z)
+    dot = " + ".join(f"l.{z} * st.m_{z}" for z in Z)
+    return q(SCALED + f""",
+lab AS (SELECT *, post_id % 3 AS cluster, {square} AS sq FROM scaled),
+st AS (SELECT cluster AS c, count(*) AS n, avg(sq) AS q, {mean} FROM lab GROUP BY cluster),
+pr AS (SELECT l.post_id, l.cluster = st.c AS own, st.n, greatest(l.sq + st.q - 2 * ({dot}), 0) AS dist FROM lab l, st),
+per AS (SELECT post_id, max(CASE WHEN own THEN dist * n / greatest(n - 1, 1) END) AS a, min(CASE WHEN NOT own THEN dist END) AS b,
+        max(CASE WHEN own THEN n END) AS own_n FROM pr GROUP BY post_id)
+SELECT avg(CASE WHEN own_n = 1 OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette_score FROM per""")
+
+
+register("clu_04_silhouette", _silhouette_sql())(lambda s, d: s.createDataFrame(
+    [(segment.silhouette(scaled(s, d).withColumn("cluster", label3()), "cluster", Z),)], "silhouette_score double"))
+register("clu_09_model_comparison")(lambda s, d: segment.compare_models(cached_scaled(s, d), Z))
+register("clu_11_dbscan")(lambda s, d: segment.density_clusters(cached_scaled(s, d), Z))
+register("clu_11_density_cells", q(SCALED + f"""
+SELECT CAST(floor({Z[0]} / 0.75) AS INTEGER) AS g0, CAST(floor({Z[1]} / 0.75) AS INTEGER) AS g1,
+       CAST(floor({Z[2]} / 0.75) AS INTEGER) AS g2, count(*) AS n,
+       count(*) >= least(greatest(3, CAST(floor((SELECT count(*) FROM scaled) * 0.02) AS BIGINT)), 50) AS dense
+FROM scaled GROUP BY ALL"""))(lambda s, d: segment.density_cells(scaled(s, d), Z))
 
 # ---------------------------------------------------------------- anomalies
 def _forest(s, d):
@@ -199,9 +219,9 @@ ANO_SUMMARY_SELECT = """SELECT CAST(count(*) FILTER (WHERE lb = -1) AS BIGINT) A
   round_even(count(*) FILTER (WHERE lb = -1) * 100.0 / count(*), 2)::DOUBLE AS anomaly_percentage,
   CAST(NULL AS DOUBLE) AS contamination_setting,
   round_even(count(*) FILTER (WHERE lb = -1) / count(*), 4)::DOUBLE AS anomaly_ratio,
-  round(min(sc), 6) AS score_min, round(max(sc), 6) AS score_max, round(avg(sc), 6) AS score_mean,
-  round(quantile_cont(sc, 0.5), 6) AS score_median, round(stddev_pop(sc), 6) AS score_std,
-  round(quantile_cont(sc, 0.25), 6) AS score_p25, round(quantile_cont(sc, 0.75), 6) AS score_p75 FROM st"""
+  min(sc) AS score_min, max(sc) AS score_max, avg(sc) AS score_mean,
+  quantile_cont(sc, 0.5) AS score_median, stddev_pop(sc) AS score_std,
+  quantile_cont(sc, 0.25) AS score_p25, quantile_cont(sc, 0.75) AS score_p75 FROM st"""
 STAND_CTE = f"""
 , st AS (SELECT {SQL_SCORE} AS sc, {SQL_LABEL} AS lb FROM silver)"""
 
@@ -232,31 +252,31 @@ rk AS (SELECT sum(pos * ((N - cn) + 0.5 * neg)) AS auc_num,
        FROM cum, tt),
 pr AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS prec,
               CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS rec FROM cnt, rk)
-SELECT round(prec, 6) AS precision, round(rec, 6) AS recall,
-  round(CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0 END, 6) AS f1_score,
-  CASE WHEN P > 0 AND N > 0 AND ns > 1 THEN round(auc_num / (P * N), 6) END AS roc_auc,
-  CASE WHEN P > 0 AND N > 0 AND ns > 1 THEN round(ap, 6) END AS average_precision,
+SELECT prec AS precision, rec AS recall,
+  (CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0 END) AS f1_score,
+  CASE WHEN P > 0 AND N > 0 AND ns > 1 THEN (auc_num / (P * N)) END AS roc_auc,
+  CASE WHEN P > 0 AND N > 0 AND ns > 1 THEN ap END AS average_precision,
   CAST(tn AS BIGINT) AS tn, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tp AS BIGINT) AS tp FROM pr"""))(
     lambda s, d: anomaly.supervised_metrics(_sup_ano(s, d)))
 
 register("ano_07_curves", q(SUP_ANO_CTE + """
-SELECT round(risk, 6) AS threshold, CAST(cp AS BIGINT) AS tp, CAST(cn AS BIGINT) AS fp,
-  round(CASE WHEN P > 0 THEN cp / P END, 6) AS tpr, round(CASE WHEN N > 0 THEN cn / N END, 6) AS fpr,
-  round(cp / (cp + cn), 6) AS precision, round(CASE WHEN P > 0 THEN cp / P END, 6) AS recall FROM cum, tt"""))(
+SELECT risk AS threshold, CAST(cp AS BIGINT) AS tp, CAST(cn AS BIGINT) AS fp,
+  (CASE WHEN P > 0 THEN cp / P END) AS tpr, (CASE WHEN N > 0 THEN cn / N END) AS fpr,
+  (cp / (cp + cn)) AS precision, (CASE WHEN P > 0 THEN cp / P END) AS recall FROM cum, tt"""))(
     lambda s, d: anomaly.curves(_sup_ano(s, d)))
 
 register("top_02_anomalies_sorted", q(
-    f"\nSELECT post_id, round({SQL_SCORE}, 6) AS anomaly_score FROM silver WHERE {SQL_LABEL} = -1"))(
-    lambda s, d: anomaly.anomalies_sorted(_stand_scored(s, d)).select("post_id", round6("anomaly_score")
+    f"\nSELECT post_id, {SQL_SCORE} AS anomaly_score FROM silver WHERE {SQL_LABEL} = -1"))(
+    lambda s, d: anomaly.anomalies_sorted(_stand_scored(s, d)).select("post_id", F.col("anomaly_score")
                                                                       .alias("anomaly_score")))
 
 # ---------------------------------------------------------------- forecasting
 DAILY_LONG_SQL = f""",
 ad AS (SELECT *, make_date(year, {MONTH_CASE},
   least(row_number() OVER (PARTITION BY year, {MONTH_CASE} ORDER BY post_id), 28)) AS analysis_date FROM silver),
-daily AS (SELECT analysis_date, round(avg(engagement_velocity), 6) AS engagement_velocity,
-       round(avg(misinformation_probability), 6) AS misinformation_probability,
-       round(avg(credibility_score), 6) AS credibility_score, CAST(count(post_id) AS DOUBLE) AS post_volume
+daily AS (SELECT analysis_date, avg(engagement_velocity) AS engagement_velocity,
+       avg(misinformation_probability) AS misinformation_probability,
+       avg(credibility_score) AS credibility_score, CAST(count(post_id) AS DOUBLE) AS post_volume
   FROM ad WHERE analysis_date IS NOT NULL GROUP BY analysis_date),
 lng AS (SELECT * FROM (UNPIVOT daily ON engagement_velocity, misinformation_probability, credibility_score, post_volume
         INTO NAME metric VALUE value) WHERE value IS NOT NULL AND NOT isnan(value))"""
@@ -271,10 +291,10 @@ SELECT metric, analysis_date, CAST(row_number() OVER (PARTITION BY metric ORDER
   AS time_index FROM lng"""))(lambda s, d: forecast.time_index(_long(s, d)).select("metric", "analysis_date", "time_index"))
 
 register("win_03_recent_mean", q(DAILY_LONG_SQL + """
-SELECT metric, round(avg(value), 6) AS recent_mean FROM (SELECT *, row_number() OVER (PARTITION BY metric
+SELECT metric, avg(value) AS recent_mean FROM (SELECT *, row_number() OVER (PARTITION BY metric
   ORDER BY analysis_date DESC) AS r FROM lng) WHERE r <= 7 GROUP BY metric"""))(
     lambda s, d: eda.top_k_per_group(_long(s, d), "metric", [F.desc("analysis_date")], 7)
-    .groupBy("metric").agg(round6(F.avg("value")).alias("recent_mean")))
+    .groupBy("metric").agg(F.avg("value").alias("recent_mean")))
 
 TREND_SQL = DAILY_LONG_SQL + """,
 f0 AS (SELECT metric, min(analysis_date) AS d0, max(analysis_date) AS d1 FROM lng GROUP BY metric),
@@ -292,8 +312,8 @@ fc AS (SELECT p.metric, p.analysis_date, p.is_future,
        FROM pts p JOIN cf ON p.metric = cf.metric JOIN f0 ON p.metric = f0.metric JOIN rs ON p.metric = rs.metric)"""
 
 register("for_01_trend_forecast", q(TREND_SQL + """
-SELECT metric, analysis_date, round(y, 6) AS yhat, round(y - 1.96 * sd, 6) AS yhat_lower,
-       round(y + 1.96 * sd, 6) AS yhat_upper, is_future FROM fc"""))(
+SELECT metric, analysis_date, y AS yhat, (y - 1.96 * sd) AS yhat_lower,
+       (y + 1.96 * sd) AS yhat_upper, is_future FROM fc"""))(
     lambda s, d: forecast.linear_trend_forecast(_long(s, d)))
 
 register("for_03_future_frame", q(TREND_SQL + "\nSELECT metric, analysis_date, is_future FROM pts"))(
@@ -302,11 +322,11 @@ register("for_03_future_frame", q(TREND_SQL + "\nSELECT metric, analysis_date, i
 register("for_05_07_directions", q(TREND_SQL + """,
 rec AS (SELECT metric, avg(value) AS recent_mean FROM (SELECT *, row_number() OVER (PARTITION BY metric
         ORDER BY analysis_date DESC) AS r FROM lng) WHERE r <= 7 GROUP BY metric),
-fut AS (SELECT metric, avg(round(y, 6)) AS forecast_mean, arg_min(round(y, 6), analysis_date) AS f0,
-        arg_max(round(y, 6), analysis_date) AS f1 FROM fc WHERE is_future GROUP BY metric),
-wh AS (SELECT metric, arg_min(round(y, 6), analysis_date) AS w0, arg_max(round(y, 6), analysis_date) AS w1
+fut AS (SELECT metric, avg(y) AS forecast_mean, arg_min(y, analysis_date) AS f0,
+        arg_max(y, analysis_date) AS f1 FROM fc WHERE is_future GROUP BY metric),
+wh AS (SELECT metric, arg_min(y, analysis_date) AS w0, arg_max(y, analysis_date) AS w1
        FROM fc GROUP BY metric)
-SELECT wh.metric, round(rec.recent_mean, 6) AS recent_mean, round(fut.forecast_mean, 6) AS forecast_mean,
+SELECT wh.metric, rec.recent_mean AS recent_mean, fut.forecast_mean AS forecast_mean,
   CASE WHEN fut.forecast_mean > rec.recent_mean THEN 'increase' ELSE 'decline' END AS direction_vs_recent,
   CASE WHEN fut.f0 IS NULL THEN 'stable' WHEN fut.f1 > fut.f0 THEN 'upward' ELSE 'downward' END AS direction_in_horizon,
   CASE WHEN wh.w1 > wh.w0 THEN 'upward' ELSE 'downward' END AS direction_whole_series
@@ -318,8 +338,8 @@ register("for_02_forest_forecast")(lambda s, d: forecast.forest_forecast(_long(s
 
 # ---------------------------------------------------------------- supervised
 REG_SQL = """
-SELECT '{t}' AS target, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse,
-       round(CASE WHEN var_pop(y) * count(*) > 0 THEN 1 - sum(e * e) / (var_pop(y) * count(*)) END, 6) AS r2
+SELECT '{t}' AS target, (avg(abs(e))) AS mae, (sqrt(avg(e * e))) AS rmse,
+       (CASE WHEN var_pop(y) * count(*) > 0 THEN 1 - sum(e * e) / (var_pop(y) * count(*)) END) AS r2
 FROM (SELECT {t} AS y, (0.9 * {t} + 0.01) - {t} AS e FROM silver WHERE {t} IS NOT NULL)"""
 
 
@@ -345,6 +365,42 @@ def _train(s, d, target="credibility_score"):
 
 register("sup_07_train_target")(_train)
 
+
+class LinearStandIn:
+    """``prediction = 0.9 * credibility_score + 0.01``: a model whose explanation SQL can repeat."""
+
+    def transform(self, df):
+        return df.withColumn("prediction", 0.9 * F.col("credibility_score") + 0.01)
+
+
+DRIVER_NUM = ["follower_count", "sentiment_score", "toxicity_score", "credibility_score", "reach_estimate"]
+DRIVER_CAT = ["topic", "region"]
+
+
+def _drivers(s, d):
+    """Importances rise by a tenth from feature to feature, the first one negative and so floored."""
+    imp = s.createDataFrame([(c, i / 10 - 0.1) for i, c in enumerate(DRIVER_NUM + DRIVER_CAT)], "feature string, permutation_importance double")
+    return supervised.signed_drivers(LinearStandIn(), silver(s, d), imp, DRIVER_NUM, DRIVER_CAT)
+
+
+def _drivers_sql():
+    codes = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN dense_rank() OVER (ORDER BY {c}) - 1 END AS code_{c}" for c in DRIVER_CAT)
+    parts = [f"SELECT '{c}' AS feature, {i / 10 - 0.1!r}::DOUBLE AS permutation_importance, corr(CAST({v} AS DOUBLE), p) AS correlation, "
+             f"{str(c in DRIVER_CAT).lower()} AS is_nominal FROM pr"
+             for i, (c, v) in enumerate([(c, c) for c in DRIVER_NUM] + [(c, f"code_{c}") for c in DRIVER_CAT])]
+    return q(f""",
+pr AS (SELECT *, 0.9 * credibility_score + 0.01 AS p, {codes} FROM silver),
+dr AS ({' UNION ALL '.join(parts)}),
+drivers AS (SELECT *, greatest(permutation_importance, 0) * coalesce(sign(correlation), 0) AS directional_effect FROM dr)
+""")
+
+
+register("sup_06_signed_drivers", _drivers_sql() + "SELECT * FROM drivers")(_drivers)
+register("sup_12_recommendation", _drivers_sql() + "SELECT '" + RECOMMENDATION_TEMPLATES["credibility_score"].replace("'", "''").replace(
+    "{pos}", "' || (SELECT arg_max(feature, directional_effect) FROM drivers) || '").replace(
+    "{neg}", "' || (SELECT arg_min(feature, directional_effect) FROM drivers) || '") + "' AS recommendation")(
+    lambda s, d: s.createDataFrame([(supervised.recommendation("credibility_score", _drivers(s, d)),)], "recommendation string"))
+
 # ---------------------------------------------------------------- explanation (SUP-09/10/11) and reports
 _MODEL_CACHE: dict = {}
 
@@ -365,14 +421,14 @@ def small_model(s, d, target="credibility_score", trees=20):
 def _shap(s, d):
     from postlab.operators import explain
     model, frame, feats = small_model(s, d)
-    contrib = explain.shapley_values(model, frame, feats, n_rows=200, n_background=50, permutations=8)
+    contrib = explain.shapley_values(model, frame, feats, n_rows=500, n_background=100, permutations=20)
     return explain.mean_abs_importance(contrib)
 
 
 def _dependence(s, d):
     from postlab.operators import explain
     model, frame, feats = small_model(s, d)
-    contrib = explain.shapley_values(model, frame, feats, n_rows=200, n_background=50, permutations=8)
+    contrib = explain.shapley_values(model, frame, feats, n_rows=500, n_background=100, permutations=20)
     top = explain.mean_abs_importance(contrib).first()["feature"]
     return explain.dependence(contrib, frame, top).withColumn("feature", F.lit(top))
 
@@ -424,10 +480,7 @@ register("rep_01_metric_table", _rep01_sql())(_rep01)
 
 
 def _bisecting(s, d):
-    from pyspark.ml.clustering import BisectingKMeans
-    ev = prep.subsample(scaled(s, d), 10_000, 42).coalesce(1)
-    model = BisectingKMeans(k=4, seed=42, featuresCol="features_scaled", predictionCol="cluster").fit(ev)
-    return model.transform(ev).select("post_id", "cluster")
+    return segment.bisecting(cached_scaled(s, d), 4).select("post_id", "cluster")
 
 
 def _anomaly_stage(s, d):

@@ -40,7 +40,7 @@ def _saved_target_tables(spark: SparkSession, out_dir: str, target: str) -> dict
 
 def run_pipeline(spark: SparkSession, out_dir: str, sf_dir: str | None = None, bronze: DataFrame | None = None,
                  seed: int = 42, resume: bool = True, targets: list[str] = TARGETS, n_draws: int = 8, folds: int = 2,
-                 permutation_repeats: int = 5, restarts: int = 3, n_trees: int = 300, periods: int = 30,
+                 permutation_repeats: int = 5, restarts: int | None = None, n_trees: int = 300, periods: int = 30,
                  default_year: int | None = None, skip: tuple = ()) -> dict:
     """Run every stage; returns {table name: DataFrame read back from ``out_dir``} plus ``timings``."""
     prepare_session(spark)
@@ -48,7 +48,8 @@ def run_pipeline(spark: SparkSession, out_dir: str, sf_dir: str | None = None, b
     manifest = sinks.StageManifest(spark, out_dir)
     tables: dict[str, DataFrame] = {}
     facts: dict = {}
-    params = dict(seed=seed, n_draws=n_draws, folds=folds, restarts=restarts, n_trees=n_trees, periods=periods)
+    params = dict(seed=seed, n_draws=n_draws, folds=folds, restarts=restarts, n_trees=n_trees, periods=periods,
+                  targets=list(targets), permutation_repeats=permutation_repeats, default_year=default_year)
 
     def path(name):
         return os.path.join(out_dir, name)
@@ -59,7 +60,7 @@ def run_pipeline(spark: SparkSession, out_dir: str, sf_dir: str | None = None, b
         return tables[name]
 
     def reuse(stage, names, fp):
-        if resume and manifest.is_fresh(stage, fp):
+        if resume and fp is not None and manifest.is_fresh(stage, fp):
             for n in names:
                 tables[n] = spark.read.parquet(path(n))
             return True
@@ -67,16 +68,12 @@ def run_pipeline(spark: SparkSession, out_dir: str, sf_dir: str | None = None, b
 
     with timer.stage("data_loading") as st:
         src = bronze if bronze is not None else posts_view(spark, sf_dir)
-        try:
-            fp = sinks.input_fingerprint(src, params)
-        except Exception:  # noqa: BLE001 - inputs without file metadata
-            fp = "unfingerprinted"
+        fp = sinks.input_fingerprint(src, params)  # None for inputs without files: nothing is reused
         if reuse("silver", ["bronze", "silver"], fp):
             st["value"] = "reused"
         else:
             bronze_t = put("bronze", src)  # medallion bronze: the raw rows as a table
             put("silver", clean.to_silver(bronze_t, cache=True))
-            spark.catalog.clearCache()  # de-duplicated rows were cached for the statistics passes only
             manifest.mark("silver", fp, ["bronze", "silver"])
     silver = tables["silver"]
 
@@ -136,7 +133,7 @@ def run_pipeline(spark: SparkSession, out_dir: str, sf_dir: str | None = None, b
         else:
             scores = put("kmeans_scores", segment.k_scan(scaled, Z, seed, restarts=restarts))
             k = segment.best_k(scores) or 2
-            clustered = put("clusters", segment.final_clusters(scaled, k, seed, restarts)
+            clustered = put("clusters", segment.final_clusters(scaled, Z, k, seed, restarts)
                             .select("post_id", "cluster"))
             joined = silver.join(clustered, "post_id")
             profile = segment.cluster_profile(joined)

@@ -140,5 +140,5 @@ cm AS (SELECT CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS k,
   CASE WHEN k >= 2 AND n >= 4 THEN round(inertia, 3) END AS inertia,
   CASE WHEN k >= 2 AND n >= 4 THEN round(CASE WHEN inertia = 0 THEN 1.0 ELSE (b / (k - 1)) / (inertia / (n - k)) END, 4) END
     AS calinski_harabasz_score,
-  CASE WHEN k >= 2 AND n >= 4 THEN round(dbi, 6) END AS davies_bouldin_index
+  CASE WHEN k >= 2 AND n >= 4 THEN dbi END AS davies_bouldin_index
   FROM tot, dbx)"""

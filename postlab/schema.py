@@ -73,9 +73,7 @@ CLUSTER_FEATURES = [
 DAILY_METRICS = ["engagement_velocity", "misinformation_probability", "credibility_score", "post_volume"]
 
 # Sampling limits and restart counts of the segmentation stage.
-SILHOUETTE_SAMPLE_THRESHOLD = 10_000
-SILHOUETTE_SAMPLE_SIZE = 5_000
-CLUSTERING_EVAL_MAX_SAMPLES = 10_000
+KMEANS_N_INIT_ROWS = 10_000
 KMEANS_N_INIT_LARGE = 10
 KMEANS_N_INIT_SMALL = 20
 

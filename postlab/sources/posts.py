@@ -130,7 +130,7 @@ def read_stage(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tagged(spark: SparkSession, glob_path: str, fmt: str = "parquet", tag: str = "model",
-                pattern: str = r"([^/]+?)(\.[a-z]+)?$") -> DataFrame:
-    """SRC-05: read many files by glob and tag each row with (part of) its file name."""
+                pattern: str = r"([^/]+?)(\.[a-z]+)?$", of: str = "file_name") -> DataFrame:
+    """SRC-05: read many files by glob and tag each row with (part of) its file's name, or of its path."""
     df = spark.read.format(fmt).option("header", True).load(glob_path)
-    return df.withColumn(tag, F.regexp_extract(F.col("_metadata.file_name"), pattern, 1))
+    return df.withColumn(tag, F.regexp_extract(F.col(f"_metadata.{of}"), pattern, 1))

@@ -41,7 +41,7 @@ def load_pipeline_model(path: str):
     return PipelineModel.load(path)
 
 
-def input_fingerprint(df: DataFrame, params: dict | None = None) -> str:
+def input_fingerprint(df: DataFrame, params: dict | None = None) -> str | None:
     """Fingerprint of a file-based input: (path, size, mtime) of every file the plan reads, plus params.
 
     File metadata is listed by Spark (``binaryFile`` without content) and folded into one
@@ -50,7 +50,7 @@ def input_fingerprint(df: DataFrame, params: dict | None = None) -> str:
     spark = df.sparkSession
     files = df.inputFiles()
     if not files:
-        raise ValueError("input has no files to fingerprint")
+        return None  # rows from memory have no identity that a later run could check
     meta = spark.read.format("binaryFile").load(files).select("path", "length", "modificationTime")
     h = meta.agg(F.sum(F.xxhash64("path", "length", F.col("modificationTime").cast("long")).cast("decimal(38,0)"))
                  .alias("h"), F.count(F.lit(1)).alias("n")).first()
@@ -77,10 +77,11 @@ class StageManifest:
     def is_fresh(self, stage: str, fingerprint: str) -> bool:
         return any(r.get("stage") == stage and r.get("fingerprint") == fingerprint for r in self._rows())
 
-    def mark(self, stage: str, fingerprint: str, outputs: list[str]) -> None:
+    def mark(self, stage: str, fingerprint: str | None, outputs: list[str]) -> None:
         rows = [r for r in self._rows() if r.get("stage") != stage]
-        rows.append({"stage": stage, "fingerprint": fingerprint, "outputs": ",".join(outputs),
-                     "updated_at": time.strftime("%Y-%m-%dT%H:%M:%S")})
+        if fingerprint is not None:
+            rows.append({"stage": stage, "fingerprint": fingerprint, "outputs": ",".join(outputs),
+                         "updated_at": time.strftime("%Y-%m-%dT%H:%M:%S")})
         self.spark.createDataFrame(rows, "stage string, fingerprint string, outputs string, updated_at string") \
             .coalesce(1).write.mode("overwrite").json(self.path)
 

@@ -18,9 +18,9 @@ def daily_metrics_stream(stream: DataFrame, ts_col: str = "event_ts", watermark:
     ts = F.col(ts_col).cast("timestamp")
     agg = (stream.withColumn("__ts", ts).withWatermark("__ts", watermark)
            .groupBy(F.window("__ts", "1 day").alias("w"))
-           .agg(F.round(F.avg("engagement_velocity"), 6).alias("engagement_velocity"),
-                F.round(F.avg("misinformation_probability"), 6).alias("misinformation_probability"),
-                F.round(F.avg("credibility_score"), 6).alias("credibility_score"),
+           .agg(F.avg("engagement_velocity").alias("engagement_velocity"),
+                F.avg("misinformation_probability").alias("misinformation_probability"),
+                F.avg("credibility_score").alias("credibility_score"),
                 F.count("post_id").alias("post_volume")))
     return agg.select(F.to_date(F.col("w.start")).alias("analysis_date"), "engagement_velocity",
                       "misinformation_probability", "credibility_score", "post_volume")

@@ -1,32 +1,17 @@
 """The driver contract: entry() smoke run, and every SQL-checked query equals its DuckDB oracle at sf0.001."""
 
-import math
 import os
 
 import duckdb
 import pytest
 
 import __spark_entry__ as E
+from tools.compare import difference
 
 SF = "/root/testdata/sf0.001"
 SLOW = {"clu_01_k_scan", "clu_09_model_comparison", "for_02_forest_forecast", "sup_07_train_target"}
 
 
-def _norm(v):
-    if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 5)
-    if hasattr(v, "isoformat"):
-        return str(v)[:19]
-    if type(v).__name__ == "Decimal":
-        return round(float(v), 5)
-    return v
-
-
-def _canon(rows, cols):
-    order = sorted(range(len(cols)), key=lambda i: cols[i])
-    return sorted((tuple(_norm(r[i]) for i in order) for r in rows), key=lambda t: tuple((x is None, str(x)) for x in t))
-
-
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -53,10 +38,10 @@ def test_query_matches_oracle(spark, duck, name):
     s_rows, s_cols = [tuple(r) for r in df.collect()], df.columns
     res = duck.execute(E.oracle_sql()[name])
     d_cols = [d[0] for d in res.description]
-    assert sorted(s_cols) == sorted(d_cols)
-    assert _canon(s_rows, s_cols) == _canon(res.fetchall(), d_cols)
+    assert difference(s_rows, s_cols, res.fetchall(), d_cols) is None
 
 
 @pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql()) - SLOW))
 def test_rows_only_queries_run(spark, name):
-    assert E.queries()[name](spark, SF).count() >= 0
+    df = E.queries()[name](spark, SF)
+    assert df.columns and df.count() > 0
