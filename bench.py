@@ -46,7 +46,6 @@ def main():
     def load():
         sinks.write_table(posts_view(spark, sf_dir), f"{out}/bronze")
         sinks.write_table(clean.to_silver(spark.read.parquet(f"{out}/bronze"), cache=True), f"{out}/silver")
-        spark.catalog.clearCache()  # the de-duplicated rows were cached only for the statistics passes
         return spark.read.parquet(f"{out}/silver")
 
     silver = timed("data_loading_silver", load)
@@ -68,7 +67,8 @@ def main():
             df.collect()
 
     timed("eda_aggregates", eda_queries)
-    featured = timed("feature_engineering", lambda: features.add_engineered_features(silver))
+    featured = features.add_engineered_features(silver)
+    timed("feature_engineering", lambda: featured.write.format("noop").mode("overwrite").save())
 
     def scale():
         sinks.write_table(prep.scaled_matrix(silver, CLUSTER_FEATURES), f"{out}/scaled")

@@ -142,13 +142,10 @@ def histogram(df: DataFrame, columns: list[str], bins: int = 20, log1p: bool = F
 
 def scatter_bins(df: DataFrame, views=SCATTER_VIEWS, bins: int = 20) -> DataFrame:
     """AGG-15: 2-D binned counts per scatter view and hue (never the raw points)."""
-    parts = []
-    for view, x, y, hue in views:
-        parts.append(df.select(F.lit(view).alias("view"), finite(F.col(x).cast("double")).alias("x"),
-                               finite(F.col(y).cast("double")).alias("y"), F.col(hue).cast("string").alias("hue")))
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
+    points = F.array(*[F.struct(F.lit(view).alias("view"), finite(F.col(x).cast("double")).alias("x"),
+                                finite(F.col(y).cast("double")).alias("y"), F.col(hue).cast("string").alias("hue"))
+                       for view, x, y, hue in views])
+    long = df.select(F.explode(points).alias("p")).select("p.*")  # one scan for all views
     long = long.where(F.col("x").isNotNull() & F.col("y").isNotNull())
     rng = long.groupBy("view").agg(F.min("x").alias("xmn"), F.max("x").alias("xmx"),
                                    F.min("y").alias("ymn"), F.max("y").alias("ymx"))

@@ -135,6 +135,31 @@ def forest_forecast(long: DataFrame, periods: int = 30, num_trees: int = 180, se
     return out
 
 
+#: Fewest points of a series for the seasonal fit; shorter ones get the forest.
+MIN_SEASONAL_POINTS = 10
+
+
+def method_choice(long: DataFrame) -> DataFrame:
+    """FOR-01/02: (metric, points, method), one row per series."""
+    return long.groupBy("metric").agg(F.count("value").alias("points")).withColumn(
+        "method", F.when(F.col("points") >= MIN_SEASONAL_POINTS, "seasonal").otherwise("forest"))
+
+
+def forecast_series(long: DataFrame, periods: int = 30) -> DataFrame:
+    """Every series by its method."""
+    methods = {r["metric"]: r["method"] for r in method_choice(long).collect()}  # one row per series
+    parts = []
+    for method, fit in (("seasonal", seasonal_forecast), ("forest", forest_forecast)):
+        mine = [m for m, x in methods.items() if x == method]
+        if mine:
+            parts.append(fit(long.where(F.col("metric").isin(mine)), periods).select(
+                "metric", F.col("analysis_date").cast("date").alias("analysis_date"), "yhat", "yhat_lower", "yhat_upper", "is_future"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def directions(long: DataFrame, forecast: DataFrame, periods: int = 30, recent: int = 7) -> DataFrame:
     """FOR-05/06/07 per metric, one column per definition (they can disagree):
 

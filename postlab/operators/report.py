@@ -26,6 +26,23 @@ def union_all(frames: list[DataFrame]) -> DataFrame | None:
     return out
 
 
+def forecast_section(directions: DataFrame) -> DataFrame:
+    """REP-01: recent and forecast means of every series as metric rows."""
+    return directions.unpivot("metric", ["recent_mean", "forecast_mean"], "name", "value").select(
+        F.lit("forecast").alias("section"), F.col("metric").alias("model"), F.col("name").alias("metric"), F.round("value", 4).alias("value"))
+
+
+def findings(forecasts: DataFrame, drivers: DataFrame) -> DataFrame:
+    """REP-03: (kind, subject, value): mean of the forecast days per series, strongest driver of either sign per target."""
+    ahead = forecasts.where("is_future").groupBy(F.col("metric").alias("subject")).agg(F.avg("yhat").alias("value"))
+    ahead = ahead.select(F.lit("mean_forecast").alias("kind"), "subject", "value")
+    top = drivers.groupBy("target").agg(F.max_by("feature", "directional_effect").alias("up"), F.max("directional_effect").alias("up_effect"),
+                                        F.min_by("feature", "directional_effect").alias("down"), F.min("directional_effect").alias("down_effect"))
+    rows = F.explode(F.array(*[F.struct(F.concat(F.lit(f"{k}_driver_of_"), "target").alias("kind"), F.col(n).alias("subject"), F.col(f"{n}_effect").alias("value"))
+                               for k, n in (("positive", "up"), ("negative", "down"))]))
+    return ahead.unionByName(top.select(rows.alias("p")).select("p.*"))
+
+
 def executive_facts(spark: SparkSession, facts: dict) -> DataFrame:
     """REP-02/03: one-row summary from scalar facts gathered by the stages."""
     keys = sorted(facts)
@@ -33,8 +50,12 @@ def executive_facts(spark: SparkSession, facts: dict) -> DataFrame:
                                  ", ".join(f"`{k}` string" for k in keys))
 
 
+class StageSkipped(Exception):
+    """Raised inside a stage that the caller left out."""
+
+
 class StageTimer:
-    """REP-05: wall-clock seconds per stage, with a status (ok / failed / reused)."""
+    """REP-05: wall-clock seconds per stage, with a status (ok / failed / reused / skipped)."""
 
     def __init__(self):
         self.rows: list[tuple] = []
@@ -45,6 +66,8 @@ class StageTimer:
         status = {"value": "ok", "error": None}
         try:
             yield status
+        except StageSkipped:
+            status["value"] = "skipped"
         except Exception as exc:  # noqa: BLE001 - a failed stage must not stop the pipeline
             status["value"], status["error"] = "failed", f"{type(exc).__name__}: {str(exc)[:300]}"
         self.rows.append((name, round(time.perf_counter() - t0, 2), status["value"], status["error"]))

@@ -383,18 +383,19 @@ def _drivers(s, d):
     return supervised.signed_drivers(LinearStandIn(), silver(s, d), imp, DRIVER_NUM, DRIVER_CAT)
 
 
-def _drivers_sql():
+def _drivers_sql(before=""):
     codes = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN dense_rank() OVER (ORDER BY {c}) - 1 END AS code_{c}" for c in DRIVER_CAT)
     parts = [f"SELECT '{c}' AS feature, {i / 10 - 0.1!r}::DOUBLE AS permutation_importance, corr(CAST({v} AS DOUBLE), p) AS correlation, "
              f"{str(c in DRIVER_CAT).lower()} AS is_nominal FROM pr"
              for i, (c, v) in enumerate([(c, c) for c in DRIVER_NUM] + [(c, f"code_{c}") for c in DRIVER_CAT])]
-    return q(f""",
+    return q(before + f""",
 pr AS (SELECT *, 0.9 * credibility_score + 0.01 AS p, {codes} FROM silver),
 dr AS ({' UNION ALL '.join(parts)}),
 drivers AS (SELECT *, greatest(permutation_importance, 0) * coalesce(sign(correlation), 0) AS directional_effect FROM dr)
 """)
 
 
+TREND_AND_DRIVERS_SQL = _drivers_sql(TREND_SQL)
 register("sup_06_signed_drivers", _drivers_sql() + "SELECT * FROM drivers")(_drivers)
 register("sup_12_recommendation", _drivers_sql() + "SELECT '" + RECOMMENDATION_TEMPLATES["credibility_score"].replace("'", "''").replace(
     "{pos}", "' || (SELECT arg_max(feature, directional_effect) FROM drivers) || '").replace(
@@ -456,6 +457,58 @@ register("sup_09_actual_vs_predicted_bins", _avp_sql())(
     lambda s, d: eda.scatter_bins(_avp_frame(s, d), AVP_VIEW))
 
 
+CLUSTER_VIEWS = [("clusters_by_risk", "misinformation_probability", "engagement_velocity", "cluster")]
+ANOMALY_VIEWS = [("anomalies_by_score", "anomaly_score", "toxicity_score", "anomaly_label")]
+
+
+def _stand_view_sql(views):
+    from postlab.plans.catalog import _scatter_sql
+    return _scatter_sql(views=views, source=f"(SELECT *, post_id % 3 AS cluster, {SQL_SCORE} AS anomaly_score, {SQL_LABEL} AS anomaly_label FROM silver)")
+
+
+def _stand_view(s, d):
+    return silver(s, d).withColumns({"cluster": label3(), "anomaly_score": stand_score(), "anomaly_label": stand_label()})
+
+
+register("agg_15_cluster_bins", _stand_view_sql(CLUSTER_VIEWS))(lambda s, d: eda.scatter_bins(_stand_view(s, d), CLUSTER_VIEWS))
+register("agg_15_anomaly_bins", _stand_view_sql(ANOMALY_VIEWS))(lambda s, d: eda.scatter_bins(_stand_view(s, d), ANOMALY_VIEWS))
+
+
+def _score_hist_sql():
+    from postlab.plans.catalog import _hist_sql
+    return _hist_sql(["anomaly_score"], 20, False).replace("FROM silver", f"FROM (SELECT {SQL_SCORE} AS anomaly_score FROM silver)")
+
+
+register("agg_14_anomaly_hist", _score_hist_sql())(lambda s, d: eda.histogram(_stand_view(s, d), ["anomaly_score"], 20, False))
+
+register("for_01_method_choice", q(DAILY_LONG_SQL + """
+SELECT metric, count(*) AS points, CASE WHEN count(*) >= 10 THEN 'seasonal' ELSE 'forest' END AS method FROM lng GROUP BY metric"""))(
+    lambda s, d: forecast.method_choice(_long(s, d)))
+
+
+def _findings(s, d):
+    from postlab.operators import report
+    return report.findings(forecast.linear_trend_forecast(_long(s, d)), _drivers(s, d).withColumn("target", F.lit("credibility_score")))
+
+
+register("rep_03_findings", TREND_AND_DRIVERS_SQL + """
+SELECT 'mean_forecast' AS kind, metric AS subject, avg(y) AS value FROM fc WHERE is_future GROUP BY metric
+UNION ALL SELECT 'positive_driver_of_credibility_score', arg_max(feature, directional_effect), max(directional_effect) FROM drivers
+UNION ALL SELECT 'negative_driver_of_credibility_score', arg_min(feature, directional_effect), min(directional_effect) FROM drivers""")(_findings)
+
+
+def _forecast_section(s, d):
+    from postlab.operators import report
+    return report.forecast_section(forecast.directions(_long(s, d), forecast.linear_trend_forecast(_long(s, d))))
+
+
+register("rep_01_forecast_section", q(TREND_SQL + """,
+rec AS (SELECT metric, avg(value) AS v FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY analysis_date DESC) AS r FROM lng)
+        WHERE r <= 7 GROUP BY metric)
+SELECT 'forecast' AS section, metric AS model, 'recent_mean' AS metric, round(v, 4) AS value FROM rec
+UNION ALL SELECT 'forecast', metric, 'forecast_mean', round(avg(y), 4) FROM fc WHERE is_future GROUP BY metric"""))(_forecast_section)
+
+
 def _rep01(s, d):
     from postlab.operators import report
     parts = [report.long_metrics("regression", t, _reg_metrics(s, d, t).drop("target"))

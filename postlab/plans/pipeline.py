@@ -15,29 +15,16 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlab.operators import anomaly, clean, eda, features, forecast, prep, report, segment, star, supervised
+from postlab.operators import anomaly, clean, eda, explain, features, forecast, prep, report, segment, star, supervised
 from postlab.operators import calendar as cal
 from postlab.schema import CLUSTER_FEATURES, TARGETS
-from postlab.session import cut_lineage, prepare_session
+from postlab.session import prepare_session
 from postlab.sources import sinks
 from postlab.sources.posts import posts_view
 
 Z = [f"z_{c}" for c in CLUSTER_FEATURES]
 
 
-def _saved_target_tables(spark: SparkSession, out_dir: str, target: str) -> dict | None:
-    """Tables of a target from an earlier run (partitioned by target), or None if absent."""
-    try:
-        out = {k: spark.read.parquet(os.path.join(out_dir, f"model_{k}")).where(F.col("target") == target)
-               for k in ("metrics", "importance", "drivers", "predictions")}
-        if not out["metrics"].limit(1).count():
-            return None
-        # checkpoint: the same folders are overwritten by this run's tables
-        return {k: cut_lineage(v) for k, v in out.items()}
-    except Exception:  # noqa: BLE001 - nothing saved yet
-        return None
-
-
 def run_pipeline(spark: SparkSession, out_dir: str, sf_dir: str | None = None, bronze: DataFrame | None = None,
                  seed: int = 42, resume: bool = True, targets: list[str] = TARGETS, n_draws: int = 8, folds: int = 2,
                  permutation_repeats: int = 5, restarts: int | None = None, n_trees: int = 300, periods: int = 30,
@@ -59,6 +46,10 @@ def run_pipeline(spark: SparkSession, out_dir: str, sf_dir: str | None = None, b
         tables[name] = spark.read.parquet(path(name))
         return tables[name]
 
+    def unless_skipped(stage):
+        if stage in skip:
+            raise report.StageSkipped(stage)
+
     def reuse(stage, names, fp):
         if resume and fp is not None and manifest.is_fresh(stage, fp):
             for n in names:
@@ -78,6 +69,7 @@ def run_pipeline(spark: SparkSession, out_dir: str, sf_dir: str | None = None, b
     silver = tables["silver"]
 
     with timer.stage("gold_star_schema") as st:
+        unless_skipped("gold_star_schema")
         names = ["dim_users"] + [f"dim_{c}" for c in ("platform", "crisis_phase", "topic", "sentiment_label",
                                                       "emotion", "region", "language", "time")] + ["fact_posts"]
         if reuse("gold", names, fp):
@@ -109,10 +101,10 @@ def run_pipeline(spark: SparkSession, out_dir: str, sf_dir: str | None = None, b
                     except Exception as exc:  # noqa: BLE001
                         status[t] = "failed"
                         facts[f"training_error_{t}"] = f"{type(exc).__name__}: {str(exc)[:200]}"
-                        saved = _saved_target_tables(spark, out_dir, t)
+                        saved = sinks.load_model_result(spark, out_dir, t)
                         if saved is not None:  # fall back to the last saved result of this target
                             res[t], status[t] = saved, "reused"
-                for k in ("metrics", "importance", "drivers", "predictions"):
+                for k in sinks.RESULT_TABLES:
                     frames = [r[k] for r in res.values()]
                     if k == "metrics":
                         frames = [f.withColumn("status", F.lit(status[t])) for t, f in zip(res, frames)]
@@ -121,12 +113,29 @@ def run_pipeline(spark: SparkSession, out_dir: str, sf_dir: str | None = None, b
                 if all(v == "trained" for v in status.values()):
                     manifest.mark("model_training", fp, outs)
 
+    if "model_training" not in skip and "explanation" not in skip:
+        with timer.stage("explanation") as st:
+            if reuse("explanation", ["shap_importance"], fp):
+                st["value"] = "reused"
+            else:
+                parts = []
+                for t in targets:
+                    saved = sinks.load_model_result(spark, out_dir, t)
+                    if saved is not None:
+                        frame, num, cat = prep.feature_target_split(featured, t)
+                        contrib = explain.shapley_values(saved["model"], frame, num + cat, seed=seed)
+                        parts.append(explain.mean_abs_importance(contrib).withColumn("target", F.lit(t)))
+                if parts:
+                    put("shap_importance", report.union_all(parts))
+                    manifest.mark("explanation", fp, ["shap_importance"])
+
     with timer.stage("preprocessing"):
         scaled = put("scaled_matrix", prep.scaled_matrix(silver, CLUSTER_FEATURES,
                                                          keep=["engagement_velocity", "misinformation_probability",
                                                                "credibility_score", "toxicity_score"]))
 
     with timer.stage("clustering_training") as st:
+        unless_skipped("clustering_training")
         outs = ["kmeans_scores", "clusters", "cluster_profile", "cluster_comparison"]
         if reuse("clustering", outs, fp):
             st["value"] = "reused"
@@ -144,6 +153,7 @@ def run_pipeline(spark: SparkSession, out_dir: str, sf_dir: str | None = None, b
         facts["cluster_count"] = tables["clusters"].select("cluster").distinct().count()
 
     with timer.stage("anomaly_detection") as st:
+        unless_skipped("anomaly_detection")
         outs = ["forest_nodes", "anomaly_scores", "anomalies", "anomaly_metrics"]
         if reuse("anomaly", outs, fp):
             st["value"] = "reused"
@@ -165,13 +175,14 @@ def run_pipeline(spark: SparkSession, out_dir: str, sf_dir: str | None = None, b
         facts["anomaly_count"] = tables["anomaly_metrics"].first()["anomaly_count"]
 
     with timer.stage("forecasting") as st:
+        unless_skipped("forecasting")
         outs = ["daily_metrics", "forecasts", "forecast_directions"]
         if reuse("forecasting", outs, fp):
             st["value"] = "reused"
         else:
             daily = put("daily_metrics", cal.synthetic_daily_metrics(silver, default_year))
             long = forecast.long_series(daily)
-            fc = put("forecasts", forecast.seasonal_forecast(long, periods), ["metric"])
+            fc = put("forecasts", forecast.forecast_series(long, periods), ["metric"])
             put("forecast_directions", forecast.directions(long, fc, periods))
             manifest.mark("forecasting", fp, outs)
         for r in tables["forecast_directions"].collect():  # one row per metric
@@ -192,6 +203,12 @@ def run_pipeline(spark: SparkSession, out_dir: str, sf_dir: str | None = None, b
             for t in targets:
                 parts.append(report.long_metrics("regression", t, mm.where(F.col("target") == t)
                                                  .select("mae", "rmse", "r2", "best_cv_rmse")))
+        if "anomaly_supervised_metrics" in tables:
+            parts.append(report.long_metrics("classification", "isolation_forest", tables["anomaly_supervised_metrics"]))
+        if "forecast_directions" in tables:
+            parts.append(report.forecast_section(tables["forecast_directions"]))
+        if "forecasts" in tables and "model_drivers" in tables:
+            put("report_findings", report.findings(tables["forecasts"], tables["model_drivers"]))
         if parts:
             put("report_metrics", report.union_all(parts))
         put("executive_facts", report.executive_facts(spark, {k: v for k, v in facts.items()

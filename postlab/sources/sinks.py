@@ -41,6 +41,28 @@ def load_pipeline_model(path: str):
     return PipelineModel.load(path)
 
 
+RESULT_TABLES = ("metrics", "importance", "drivers", "predictions")
+
+
+def load_model_result(spark: SparkSession, out_dir: str, target: str) -> dict | None:
+    """SNK-07: a target's saved model and its four tables, or None unless all five are there and hold the target.
+
+    The metrics are sanitised; the tables are checkpointed, as a run may overwrite their folders."""
+    from postlab.session import cut_lineage
+
+    store = spark._jvm.org.apache.hadoop.fs.Path(out_dir).getFileSystem(spark._jsc.hadoopConfiguration())
+    model_dir = f"{out_dir}/models/gbt_{target}"
+    folders = {k: f"{out_dir}/model_{k}/target={target}" for k in RESULT_TABLES}
+    if not all(store.exists(spark._jvm.org.apache.hadoop.fs.Path(p)) for p in [model_dir, *folders.values()]):
+        return None
+    found = {k: cut_lineage(spark.read.parquet(p).withColumn("target", F.lit(target))) for k, p in folders.items()}
+    if any(t.isEmpty() for t in found.values()):
+        return None
+    keys = ["mae", "rmse", "r2", "best_cv_rmse", "training_seconds"]
+    found["metrics"] = sanitize_metrics(found["metrics"], keys).withColumn("target", F.lit(target))
+    return found | {"model": load_pipeline_model(model_dir)}
+
+
 def input_fingerprint(df: DataFrame, params: dict | None = None) -> str | None:
     """Fingerprint of a file-based input: (path, size, mtime) of every file the plan reads, plus params.
 
