@@ -110,6 +110,24 @@ def test_mix_targets_epochs_and_reruns(spark):
     assert sum(len(r.text.split()) for r in out.collect()) == sum(taken.values())
 
 
+def test_mix_sql_twin_with_stopped_sources(spark):
+    import duckdb
+
+    rows = [(i, "w " * (i % 37), ["big", "big", "big", "b", "c", None, "tiny"][0 if i % 50 else i // 50 % 7]) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    cur = con.execute(mixing.MIX_SQL)
+    names = [c[0] for c in cur.description]
+    want = [dict(zip(names, r)) for r in cur.fetchall()]
+    assert len(want) == len(got) and any(w["target"] == pytest.approx(3 * w["source_size"]) for w in want)
+    for w in want:
+        r = got[w["doc_id"]]
+        assert (r.size, r.taken, r.source_size, r.source) == (w["size"], w["taken"], w["source_size"], w["source"])
+        assert r.target == pytest.approx(w["target"], rel=1e-12)
+
+
 def test_mix_prefers_better_documents(spark):
     docs = spark.createDataFrame([(i, ("good words here " * 20) if i % 2 else ("x " * 60), "s" if i < 3000 else "t") for i in range(6000)],
                                  "doc_id long, text string, source string")
