@@ -120,6 +120,15 @@ def _pack(nodes_pdf: pd.DataFrame, n_trees: int):
     return feat, thr, left, right, plen
 
 
+def score_columns(df: DataFrame, path: str, psi: int) -> DataFrame:
+    """ANO-02: ``anomaly_score`` = 0.5 - 2 ** (-mean path / c(psi)), ``anomaly_label`` (-1 below 0) and ``risk_score``."""
+    denom = float(c_factor([psi])[0]) or 1.0
+    score = 0.5 - F.pow(F.lit(2.0), -F.col(path) / denom)
+    df = df.withColumn("anomaly_score", score)
+    return df.withColumns({"anomaly_label": F.when(F.col("anomaly_score") < 0, -1).otherwise(1).cast("int"),
+                           "risk_score": -F.col("anomaly_score")})
+
+
 def score_isolation_forest(df: DataFrame, cols: list[str], nodes: DataFrame, psi: int, key: str = "post_id",
                            keep: list[str] | None = None) -> DataFrame:
     """ANO-02: ``anomaly_score``, ``anomaly_label`` (-1 / 1) and ``risk_score`` for every row."""
@@ -128,7 +137,6 @@ def score_isolation_forest(df: DataFrame, cols: list[str], nodes: DataFrame, psi
     n_trees = int(nodes_pdf["tree_id"].max()) + 1
     packed = spark.sparkContext.broadcast(_pack(nodes_pdf, n_trees))
     max_depth = int(nodes_pdf["depth"].max())
-    denom = float(c_factor([psi])[0]) or 1.0
     keep = keep or []
 
     def walk(it):
@@ -152,15 +160,11 @@ def score_isolation_forest(df: DataFrame, cols: list[str], nodes: DataFrame, psi
                     nxt = np.where(v <= th[node], lf[node], rt[node])
                     node = np.where(inner, nxt, node)
                 total += plen[t][node]
-            score = 0.5 - np.power(2.0, -(total / feat.shape[0]) / denom)
-            out = pdf[[key] + keep].copy()
-            out["anomaly_score"] = score
-            out["anomaly_label"] = np.where(score < 0, -1, 1).astype(np.int32)
-            yield out
+            yield pdf[[key] + keep].assign(mean_path=total / feat.shape[0])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(key, *keep).schema.fields)
-    scored = df.select(key, *keep, *cols).mapInPandas(walk, f"{fields}, anomaly_score double, anomaly_label int")
-    return scored.withColumn("risk_score", -F.col("anomaly_score"))
+    scored = df.select(key, *keep, *cols).mapInPandas(walk, f"{fields}, mean_path double")
+    return score_columns(scored, "mean_path", psi).drop("mean_path")
 
 
 def reasons(df: DataFrame, thresholds: dict, label: str = "anomaly_label") -> DataFrame:

@@ -63,6 +63,8 @@ class _FillScaleParams(Params):
     numericCols = Param(Params._dummy(), "numericCols", "numeric input columns", TypeConverters.toListString)
     categoricalCols = Param(Params._dummy(), "categoricalCols", "text input columns", TypeConverters.toListString)
     scale = Param(Params._dummy(), "scale", "standardise numerics", TypeConverters.toBoolean)
+    onlyNullColumns = Param(Params._dummy(), "onlyNullColumns", "medians only of columns with nulls, as fit and apply see the "
+                            "same rows", TypeConverters.toBoolean)
 
 
 class FillScale(Estimator, _FillScaleParams, DefaultParamsReadable, DefaultParamsWritable):
@@ -72,14 +74,14 @@ class FillScale(Estimator, _FillScaleParams, DefaultParamsReadable, DefaultParam
 
     def __init__(self, numericCols=None, categoricalCols=None, scale=True, onlyNullColumns=False):
         super().__init__()
-        self._setDefault(numericCols=[], categoricalCols=[], scale=True)
-        self._set(numericCols=numericCols or [], categoricalCols=categoricalCols or [], scale=scale)
-        self._only_null_columns = onlyNullColumns  # fit-and-apply on the same rows: skip complete columns
+        self._setDefault(numericCols=[], categoricalCols=[], scale=True, onlyNullColumns=False)
+        self._set(numericCols=numericCols or [], categoricalCols=categoricalCols or [], scale=scale,
+                  onlyNullColumns=onlyNullColumns)
 
     def _fit(self, df: DataFrame):
         num = self.getOrDefault("numericCols")
         cat = self.getOrDefault("categoricalCols")
-        if getattr(self, "_only_null_columns", False) and num:
+        if self.getOrDefault("onlyNullColumns") and num:
             from postlab.operators.stats import null_counts
             nulls = null_counts(df, num)
             med = {c: 0.0 for c in num}
@@ -126,6 +128,19 @@ class FillScaleModel(Model, _FillScaleModelParams, DefaultParamsReadable, Defaul
         return df.withColumns(out) if out else df
 
 
+#: Distinct values of a text column up to which it is one-hot encoded; the indexer holds them on the driver.
+MAX_CATEGORIES = 10_000
+
+
+def check_categories(df: DataFrame, cat: list[str]) -> None:
+    """Raise if a text column has too many values to be one-hot encoded."""
+    if cat:
+        row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cat]).first()
+        wide = [c for c in cat if row[c] > MAX_CATEGORIES]
+        if wide:
+            raise ValueError(f"more than {MAX_CATEGORIES} values in {', '.join(wide)}")
+
+
 def preprocessing_stages(num: list[str], cat: list[str], output: str = "features") -> list:
     """MLP-03: fill/scale, then alphabetical one-hot with an unseen-category slot that is dropped
     (unseen -> all zeros), then one assembled vector. Feature names are kept in the vector's ML

@@ -11,14 +11,14 @@ import itertools
 import time
 
 import numpy as np
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlab.functions.exprs import bounded_broadcast, safe_corr
-from postlab.operators.prep import (feature_target_split, fold_column, preprocessing_stages,
+from postlab.operators.prep import (check_categories, feature_target_split, fold_column, preprocessing_stages,
                                     processed_feature_names, train_test_split)
 from postlab.operators.star import dense_index
 from postlab.session import cut_lineage
@@ -60,31 +60,38 @@ def tune(train: DataFrame, num: list[str], cat: list[str], seed: int = 42, n_dra
     """SUP-02: random search with k-fold CV on hash folds; returns (refit best PipelineModel, best CV RMSE, draws).
 
     Same result as ``CrossValidator`` with these folds (mean validation RMSE per draw, best draw
-    refitted on the whole training split), but every (draw, fold) fit runs concurrently - boosting
-    on small folds is bound by per-iteration job latency, so overlapping fits share the cores.
-    With a single draw the refit runs alongside the fold fits.
+    refitted on the whole training split), but the preprocessing is fitted once per fold and its vectors are
+    checkpointed and shared by all draws, and the (draw, fold) fits run concurrently - boosting on small folds is
+    bound by per-iteration job latency, so overlapping fits share the cores.
     """
     from concurrent.futures import ThreadPoolExecutor
 
+    check_categories(train, cat)
     draws = draw_params(n_draws, seed)
     data = fold_column(train, folds, seed)
     evaluator = RegressionEvaluator(metricName="rmse")
 
-    def pipeline(d: dict) -> Pipeline:
-        return Pipeline(stages=preprocessing_stages(num, cat) + [make_regressor(seed, d)])
+    def vectors(fit_on: DataFrame, *frames: DataFrame):
+        fitted = Pipeline(stages=preprocessing_stages(num, cat)).fit(fit_on)
+        return fitted, [cut_lineage(fitted.transform(f).select("label", "features")) for f in frames]
+
+    by_fold = []
+    for f in range(folds):
+        rest, held = data.where(F.col("fold") != f), data.where(F.col("fold") == f)
+        by_fold.append(vectors(rest, rest, held)[1])
 
     def fold_rmse(job):
         i, f = job
-        model = pipeline(draws[i]).fit(data.where(F.col("fold") != f))
-        return i, evaluator.evaluate(model.transform(data.where(F.col("fold") == f)))
+        rest, held = by_fold[f]
+        return i, evaluator.evaluate(make_regressor(seed, draws[i]).fit(rest).transform(held))
 
     jobs = [(i, f) for i in range(len(draws)) for f in range(folds)]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        refit = pool.submit(lambda: pipeline(draws[0]).fit(train)) if len(draws) == 1 else None
         scores = list(pool.map(fold_rmse, jobs))
     avg = [sum(r for i, r in scores if i == k) / folds for k in range(len(draws))]
     best = min(range(len(draws)), key=lambda k: (avg[k], k))
-    model = refit.result() if refit is not None else pipeline(draws[best]).fit(train)
+    fitted, (whole,) = vectors(train, train)
+    model = PipelineModel(stages=[*fitted.stages, make_regressor(seed, draws[best]).fit(whole)])
     return model, float(avg[best]), draws
 
 

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from postlab.operators import anomaly, eda, features, forecast, prep, segment, supervised
 from postlab.operators import calendar as cal
 from postlab.plans.catalog import MONTH_CASE, featured, q, register, silver
-from postlab.plans.sqltext import cluster_metrics_cte, scaled_cte
+from postlab.plans.sqltext import cluster_metrics_cte, scaled_cte, with_posts
+from postlab.sources.posts import posts_view
 from postlab.session import cut_lineage
 from postlab.schema import (ANOMALY_REASON_CHECKS, ANOMALY_REASON_FALLBACK, CLUSTER_FEATURES, NORMAL_REASON,
                             RECOMMENDATION_TEMPLATES)
@@ -94,6 +95,24 @@ def _preprocessed(s, d):
 register("mlp_03_preprocess")(_preprocessed)
 
 
+FILL_COLUMNS = ["likes", "shares", "impressions_estimate", "credibility_score", "follower_count"]
+
+
+def _filled(s, d):
+    rows = posts_view(s, d).select("post_id", *[F.col(c).cast("double").alias(c) for c in FILL_COLUMNS])
+    return prep.FillScale(FILL_COLUMNS).fit(rows).transform(rows)
+
+
+def _filled_sql():
+    imp = ", ".join(f"coalesce(CAST({c} AS DOUBLE), (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM posts)) AS {c}" for c in FILL_COLUMNS)
+    mom = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in FILL_COLUMNS)
+    z = ", ".join(f"({c} - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1 END AS {c}" for c in FILL_COLUMNS)
+    return with_posts(f"SELECT post_id, {z} FROM (SELECT post_id, {imp} FROM posts), (SELECT {mom} FROM (SELECT {imp} FROM posts))")
+
+
+register("mlp_03_numeric_fill_scale", _filled_sql())(_filled)
+
+
 def _feature_names(s, d):
     frame, num, cat = prep.feature_target_split(featured(s, d), "credibility_score")
     out = prep.fit_pipeline(prep.preprocessing_stages(num, cat), frame).transform(frame.limit(1))
@@ -180,6 +199,12 @@ def _forest(s, d):
     return anomaly.score_isolation_forest(sc, Z, nodes, psi)
 
 
+register("ano_02_score_from_path", q("""
+SELECT post_id, 0.5 - pow(2, -path / c) AS anomaly_score, CASE WHEN 0.5 - pow(2, -path / c) < 0 THEN -1 ELSE 1 END AS anomaly_label,
+       pow(2, -path / c) - 0.5 AS risk_score
+FROM (SELECT post_id, 2.0::DOUBLE + ((post_id * 37) % 100) / 5.0::DOUBLE AS path, 2 * (ln(255) + 0.5772156649) - 2 * 255 / 256.0::DOUBLE AS c FROM silver)"""))(
+    lambda s, d: anomaly.score_columns(silver(s, d).select(
+        "post_id", (2.0 + F.pmod(F.col("post_id") * 37, F.lit(100)) / 5.0).alias("path")), "path", 256).drop("path"))
 register("ano_01_02_isolation_forest")(
     lambda s, d: _forest(s, d).select("post_id", "anomaly_score", "anomaly_label", "risk_score"))
 
