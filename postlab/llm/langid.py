@@ -7,7 +7,7 @@ trained by stochastic gradient descent in numpy on a bounded sample of labelled
 all, drawn evenly over the ``MAX_LANGS`` most frequent languages by a hash of the id); each gives its whole text and a
 fragment of a few words, so short texts are learned too. A fifth of the sample is set aside to calibrate: a
 temperature by likelihood, and the rejection threshold below which ``REJECT_SHARE`` of its right answers fall
-(never above one half).
+(never above ``MOST_REJECTED``, so a clean text in two languages is kept).
 
 Prediction is one map over all documents with no shuffle; a long text is read in blocks, whole. Only text and
 label of learning documents (``crc32(id) mod 3 <> 1``) are used; label, source and id are no input of a prediction.
@@ -33,7 +33,7 @@ from postlab.llm.common import id_remainder
 BUCKETS, DIM = 1 << 14, 16
 MAX_LANGS, SAMPLE_DOCS = 64, 2400
 EPOCHS, BATCH, RATE, SEED = 8, 32, 60.0, 7
-REJECT_SHARE = 0.001
+REJECT_SHARE, MOST_REJECTED = 0.001, 0.4
 #: Bytes of a text looked at at once.
 BLOCK = 1 << 20
 UNKNOWN = "und"
@@ -170,7 +170,7 @@ def fit(examples: list[tuple[str, int, int, bytes, bytes]]) -> Model:
     model.temperature = float(grid[int(np.argmin(nll))])
     p = chances(model.temperature)
     right = p.max(1)[p.argmax(1) == truth]
-    model.threshold = float(min(0.5, np.quantile(right, REJECT_SHARE))) if len(right) else 0.5
+    model.threshold = float(min(MOST_REJECTED, np.quantile(right, REJECT_SHARE))) if len(right) else MOST_REJECTED
     return model
 
 
