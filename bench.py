@@ -78,10 +78,11 @@ def main():
     z = [f"z_{c}" for c in CLUSTER_FEATURES]
 
     def clustering():
-        scores = segment.k_scan(scaled, z)
+        fits = segment.fit_kmeans(scaled, z, segment.scan_range(scaled.count()))  # shared by the three steps
+        scores = segment.k_scan(scaled, z, fits=fits)
         k = segment.best_k(scores) or 2
-        sinks.write_table(segment.final_clusters(scaled, z, k).select("post_id", "cluster"), f"{out}/clusters")
-        segment.compare_models(scaled, z).collect()
+        sinks.write_table(segment.final_clusters(scaled, z, k, fits=fits).select("post_id", "cluster"), f"{out}/clusters")
+        segment.compare_models(scaled, z, fits=fits).collect()
 
     timed("clustering_training", clustering)
 

@@ -121,12 +121,6 @@ def _spread_start(pool: np.ndarray, k: int, seed: int) -> np.ndarray:
     return np.array(out)
 
 
-def _nearest(points: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    dist = np.maximum((points * points).sum(1)[:, None] + (centers * centers).sum(1) - 2 * points @ centers.T, 0.0)
-    label = dist.argmin(1)
-    return label, dist[np.arange(len(points)), label]
-
-
 def lloyd(df: DataFrame, cols: list[str], starts: list[np.ndarray], max_iter: int = 30, tol: float = 1e-4) -> list[tuple[np.ndarray, float]]:
     """K-Means from each start over all rows: (centers, cost) per start.
 
@@ -140,17 +134,23 @@ def lloyd(df: DataFrame, cols: list[str], starts: list[np.ndarray], max_iter: in
         now = {m: centers[m] for m in moving}
 
         def sums(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
-            held = {m: np.zeros((len(c), d + 2)) for m, c in now.items()}
+            every = np.concatenate(list(now.values()))
+            ends = np.cumsum([len(c) for c in now.values()])
+            held, spent = np.zeros((len(every), d + 1)), np.zeros(len(now))
             for pdf in batches:
                 x = pdf.to_numpy(np.float64)
-                for m, c in now.items():
-                    label, dist = _nearest(x, c)
-                    held[m][:, 0] += np.bincount(label, minlength=len(c))
-                    held[m][:, 1] += np.bincount(label, dist, len(c))
-                    for i in range(d):
-                        held[m][:, 2 + i] += np.bincount(label, x[:, i], len(c))
-            for m, h in held.items():
-                yield pd.DataFrame(h, columns=["n", "cost", *names]).assign(model=m, cluster=np.arange(len(h)))
+                row, square = np.arange(len(x)), (x * x).sum(1)
+                dist = x @ (-2.0 * every.T) + (every * every).sum(1)  # all models' centers in one product, short of |x|^2
+                hot = np.zeros((len(x), len(every)))
+                for j, (start, end) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+                    label = start + dist[:, start:end].argmin(1)
+                    hot[row, label] = 1.0
+                    spent[j] += np.maximum(dist[row, label] + square, 0.0).sum()
+                held += hot.T @ np.column_stack([np.ones(len(x)), x])
+            for j, (m, start, end) in enumerate(zip(now, [0, *ends[:-1]], ends, strict=True)):
+                out = pd.DataFrame(held[start:end], columns=["n", *names]).assign(cost=0.0, model=m, cluster=np.arange(end - start))
+                out.loc[0, "cost"] = spent[j]
+                yield out[["n", "cost", *names, "model", "cluster"]]
 
         schema = "n double, cost double, " + ", ".join(f"{n} double" for n in names) + ", model int, cluster int"
         total = points.mapInPandas(sums, schema).groupBy("model", "cluster").agg(*[F.sum(c).alias(c) for c in ("n", "cost", *names)])
@@ -202,11 +202,17 @@ def renumber_by_size(df: DataFrame, label: str = "cluster") -> DataFrame:
     return df.join(mapping, label).drop(label).withColumnRenamed("__new", label)
 
 
-def k_scan(scaled: DataFrame, cols: list[str], seed: int = 42, max_k: int = 10, restarts: int | None = None) -> DataFrame:
-    """CLU-01: K = 2..min(max_k, n-1) on all rows: inertia and silhouette per K."""
+def scan_range(n: int, max_k: int = 10) -> list[int]:
+    return list(range(2, min(max_k, n - 1) + 1))
+
+
+def k_scan(scaled: DataFrame, cols: list[str], seed: int = 42, max_k: int = 10, restarts: int | None = None,
+           fits: dict | None = None) -> DataFrame:
+    """CLU-01: K = 2..min(max_k, n-1) on all rows: inertia and silhouette per K. ``fits`` are models of
+    :func:`fit_kmeans` that the scan, the final labels and the comparison may share."""
     spark, n = scaled.sparkSession, scaled.count()
     rows = []
-    for k, (centers, cost) in sorted(fit_kmeans(scaled, cols, list(range(2, min(max_k, n - 1) + 1)), seed, restarts).items()):
+    for k, (centers, cost) in sorted((fits or fit_kmeans(scaled, cols, scan_range(n, max_k), seed, restarts)).items()):
         rows.append((k, cost, silhouette(assign(scaled, cols, centers), "cluster", cols), False, n))
     return spark.createDataFrame(rows, "k int, inertia double, silhouette_score double, silhouette_sampled boolean, "
                                        "silhouette_sample_size long")
@@ -290,7 +296,7 @@ def bisecting(scaled: DataFrame, k: int, seed: int = 42, features: str = "featur
 
 
 def compare_models(scaled: DataFrame, cols: list[str], seed: int = 42, cluster_count: int | None = None,
-                   restarts: int | None = None, key: str = "post_id") -> DataFrame:
+                   restarts: int | None = None, key: str = "post_id", fits: dict | None = None) -> DataFrame:
     """K-Means, hierarchical (bisecting k-means, top-down) and density clustering, each on all rows; one row each;
     exactly one ``is_best`` when any silhouette exists."""
     from postlab.operators.eda import best_by_ranking
@@ -300,11 +306,12 @@ def compare_models(scaled: DataFrame, cols: list[str], seed: int = 42, cluster_c
         cluster_count = min(4, max(2, min(n - 1, 6)))
 
     def metrics_row(labeled, label, name, k, inertia=None):
+        labeled = cut_lineage(labeled.select(label, *cols))  # read by several scans
         met, sil = metric_values(labeled, label, cols), silhouette(labeled, label, cols)
         return (name, int(k), sil, met["davies_bouldin_index"], met["calinski_harabasz_score"], inertia, False, n, None)
 
-    centers, cost = fit_kmeans(scaled, cols, [cluster_count], seed, restarts, key)[cluster_count]
-    dense = density_clusters(scaled, cols, key=key)
+    centers, cost = (fits or fit_kmeans(scaled, cols, [cluster_count], seed, restarts, key))[cluster_count]
+    dense = cut_lineage(density_clusters(scaled, cols, key=key))
     labels = dense.agg(F.count_distinct("dbscan_cluster")).first()[0]
     rows = [metrics_row(assign(scaled, cols, centers), "cluster", "K-Means", cluster_count, cost),
             metrics_row(bisecting(scaled, cluster_count, seed), "cluster", "Hierarchical (bisecting k-means)", cluster_count),
@@ -315,7 +322,8 @@ def compare_models(scaled: DataFrame, cols: list[str], seed: int = 42, cluster_c
     return best_by_ranking(comp.withColumn("subsampled", F.lit(False)))
 
 
-def final_clusters(scaled: DataFrame, cols: list[str], k: int, seed: int = 42, restarts: int | None = None) -> DataFrame:
+def final_clusters(scaled: DataFrame, cols: list[str], k: int, seed: int = 42, restarts: int | None = None,
+                   fits: dict | None = None) -> DataFrame:
     """CLU-03: K-Means on all rows; ``cluster`` renumbered by size (0 = largest)."""
-    centers, _ = fit_kmeans(scaled, cols, [k], seed, restarts)[k]
+    centers, _ = (fits or fit_kmeans(scaled, cols, [k], seed, restarts))[k]
     return renumber_by_size(assign(scaled, cols, centers), "cluster")

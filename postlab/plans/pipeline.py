@@ -140,15 +140,16 @@ def run_pipeline(spark: SparkSession, out_dir: str, sf_dir: str | None = None, b
         if reuse("clustering", outs, fp):
             st["value"] = "reused"
         else:
-            scores = put("kmeans_scores", segment.k_scan(scaled, Z, seed, restarts=restarts))
+            fits = segment.fit_kmeans(scaled, Z, segment.scan_range(scaled.count()), seed, restarts)
+            scores = put("kmeans_scores", segment.k_scan(scaled, Z, seed, fits=fits))
             k = segment.best_k(scores) or 2
-            clustered = put("clusters", segment.final_clusters(scaled, Z, k, seed, restarts)
+            clustered = put("clusters", segment.final_clusters(scaled, Z, k, seed, fits=fits)
                             .select("post_id", "cluster"))
             joined = silver.join(clustered, "post_id")
             profile = segment.cluster_profile(joined)
             put("cluster_profile", segment.narrative(profile, eda.feature_means(
                 silver, ["engagement_velocity", "misinformation_probability", "credibility_score", "toxicity_score"])))
-            put("cluster_comparison", segment.compare_models(scaled, Z, seed, restarts=restarts))
+            put("cluster_comparison", segment.compare_models(scaled, Z, seed, fits=fits))
             manifest.mark("clustering", fp, outs)
         facts["cluster_count"] = tables["clusters"].select("cluster").distinct().count()
 
