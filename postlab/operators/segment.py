@@ -236,11 +236,12 @@ def cluster_profile(clustered: DataFrame, label: str = "cluster") -> DataFrame:
 
 
 def narrative(profile: DataFrame, global_means: DataFrame) -> DataFrame:
-    """CLU-12: segment description from strict '>' comparisons with the global means (one-row frame)."""
+    """CLU-12: segment description from strict '>' comparisons with the global means (one-row frame); means that differ
+    by less than 1e-9 are equal, as the order of summation decides no more than that."""
     g = global_means.first()  # one row of scalars
     traits = []
     for c, above, below in CLUSTER_TRAITS:
-        cond = F.col(c) > F.lit(g[c])
+        cond = F.round(c, 9) > F.round(F.lit(g[c]), 9)
         traits.append(F.when(cond, F.lit(above)) if below is None else F.when(cond, F.lit(above)).otherwise(below))
     text = F.concat(F.lit(CLUSTER_NARRATIVE_PREFIX), F.concat_ws(", ", *traits), F.lit("."))
     return profile.withColumn("interpretation", text)

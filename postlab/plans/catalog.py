@@ -165,9 +165,9 @@ register("top_04_best_model", q(
         F.avg("reach_estimate").alias("calinski_harabasz_score"))).select("model_name", "is_best"))
 
 register("top_05_best_k", q(
-    "SELECT k AS best_k FROM (SELECT cascade_depth + 2 AS k, avg(uncertainty_index) AS s FROM silver GROUP BY ALL) ORDER BY s DESC, k LIMIT 1"))(
+    "SELECT k AS best_k FROM (SELECT cascade_depth + 2 AS k, round(avg(uncertainty_index), 9) AS s FROM silver GROUP BY ALL) ORDER BY s DESC, k LIMIT 1"))(
     lambda s, d: s.createDataFrame([(segment.best_k(silver(s, d).groupBy((F.col("cascade_depth") + 2).alias("k")).agg(
-        F.avg("uncertainty_index").alias("silhouette_score"))),)], "best_k int"))
+        F.round(F.avg("uncertainty_index"), 9).alias("silhouette_score"))),)], "best_k int"))
 
 register("cln_10_valid_target_rows", with_posts(
     "SELECT post_id, misinformation_probability FROM posts WHERE misinformation_probability IS NOT NULL "

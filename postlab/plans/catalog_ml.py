@@ -155,9 +155,9 @@ def _narr_sql():
     parts = []
     for c, above, below in CLUSTER_TRAITS:
         if below is None:
-            parts.append(f"CASE WHEN p.{c} > g.g_{c} THEN '{above}' END")
+            parts.append(f"CASE WHEN round(p.{c}, 9) > round(g.g_{c}, 9) THEN '{above}' END")
         else:
-            parts.append(f"CASE WHEN p.{c} > g.g_{c} THEN '{above}' ELSE '{below}' END")
+            parts.append(f"CASE WHEN round(p.{c}, 9) > round(g.g_{c}, 9) THEN '{above}' ELSE '{below}' END")
     text = f"'{CLUSTER_NARRATIVE_PREFIX}' || concat_ws(', ', {', '.join(parts)}) || '.'"
     return q(f",\nprof AS ({PROFILE_SQL}),\ng AS ({gm})\nSELECT p.*, {text} AS interpretation FROM prof p, g")
 
