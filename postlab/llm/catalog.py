@@ -20,7 +20,6 @@ QUERIES = {
 
 ORACLES = {
     "op2_quality_rules": quality.quality_sql(),
-    "op5_vector_near_dup": lambda s, d: vectors.near_duplicates(table(s, d, "embeddings")),
     "op6_chat_format": chat.DIGESTS_SQL,
     "op8_warc": warc.ROUND_TRIP_SQL,
     "op10_mix": mixing.MIX_SQL,
