@@ -29,7 +29,7 @@ def test_entry_smoke(spark):
 
 
 def test_every_oracle_has_a_query():
-    assert set(E.oracle_sql()) <= set(E.queries())
+    assert set(E.oracle_sql()) <= set(E.queries()) and all(isinstance(v, str) for v in E.oracle_sql().values())
 
 
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
