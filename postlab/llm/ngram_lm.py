@@ -2,18 +2,23 @@
 
 Words are maximal runs without ASCII white space, A-Z lowered; an end mark closes each text and is also the first
 word's context. Level 1 of the trie is the vocabulary: sorted 64-bit word hashes as Elias-Fano sequences with exact
-counts; a word's id is its rank. Level 2 holds the bigrams seen at least ``MIN_COUNT`` times: sorted contexts,
-monotone pointers to their ranges, and successors made monotone by adding the last value of the range before, so a
-successor is found by one search relative to its context. Smoothed probabilities and context weights are
-quantised to one byte. All levels are cut into shards, written as files into the shared folder and memory-mapped.
+counts; a word's id is its rank. Level 2 holds every bigram, its context the id of the word before; level 3 every
+trigram, its context the id (rank) of the bigram before. Both keep sorted contexts, monotone pointers to their ranges,
+and successors made monotone by adding the last value of the range before, so a successor is found by one search
+relative to its context. Counts and numbers of different successors are exact, as places in a book of the shard's
+values, one byte for most. All levels are cut into shards, written as files into the shared folder and memory-mapped.
 
-    p(w)      = (c(w) + 0.1) / (N + 0.1 (V + 1))
-    p(w | u)  = max(c(u w) - D, 0) / c(u) + g(u) p(w),  g(u) = 1 - sum of the first terms
+    p(w)       = (c(w) + 0.1) / (N + 0.1 (V + 1))
+    p(w | u)   = (max(c(u w) - D, 0) + D k(u) p(w)) / c(u)
+    p(w | t u) = (max(c(t u w) - D, 0) + D k(t u) p(w | u)) / c(t u)
 
-Counting is by Spark: tasks count what they read, hashes and id pairs are summed by key. A bigram seen
-``MIN_COUNT`` times has words seen that often, so pairs with rarer words are left out before the shuffle, which
-loses none. Each shard is built by one task from one group of evenly dealt keys (vocabulary by hash range,
-bigrams by a hash of the pair), so a very frequent word is spread over all shards. Scoring is one map over all texts.
+k is the number of different successors; an unseen context leaves the shorter one. A text's first word has the end
+mark alone as its context, the second the end mark and the first word.
+
+Counting is by Spark: tasks count what they read and send the keys of each shard in one piece; the task that builds a
+shard sums them, so no n-gram is left out and each is shuffled once a batch. A context's successors share a shard,
+except that one seen often is dealt over several by its successors; k of those is summed in one small file.
+Scoring is one map over all texts.
 
 Defined results: a null or empty text is the end mark alone; repeated rows are counted and scored one by one;
 without training documents N = V = 0 and every base probability is 1 (score 0); an empty table gives an empty
@@ -32,11 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlab.llm.common import id_remainder, shared_path, written
-from postlab.llm.eliasfano import U64, EliasFano, mapped, quantised, save
+from postlab.llm.eliasfano import U64, EliasFano, mapped, save
 
-MIN_COUNT, DISCOUNT = 2, 0.5
+DISCOUNT = 0.5
 ADD = 0.1
 SHARD_ROWS = 1 << 17
+#: A context seen more often than a shard's rows divided by this is dealt over several shards.
+CONTEXT_PARTS = 8
 #: Words looked at together while counting and while scoring.
 COUNT_WORDS, SCORE_WORDS = 2_000_000, 500_000
 END = xxhash.xxh3_64_intdigest(b"\n")
@@ -75,30 +82,43 @@ def shard_base(shard: int, shards: int) -> int:
     return -(-(shard << 32) // shards) << 32
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = x.astype(U64) * U64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> U64(32))) * U64(0xD6E8FEB86659FD93)
+    return x ^ (x >> U64(29))
+
+
+def coded(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
+    """Values as places in the sorted book of all that occur, as narrow as their number allows."""
+    book, codes = np.unique(values, return_inverse=True)
+    return {f"{name}.book": book.astype(np.int64), f"{name}.codes": codes.astype(np.min_scalar_type(len(book)))}
+
+
 class Trie:
-    """What a task needs to read the levels: folder, shard counts, first word id of each vocabulary shard, totals."""
+    """What a task needs to read the levels: folder, first id of each shard of each level (and the end), totals."""
 
-    def __init__(self, folder: str, firsts: list[int], n: int, v: int, backoff_shards: int = 0, bigram_shards: int = 0):
-        self.folder, self.firsts, self.n, self.v = folder, firsts, n, v
-        self.backoff_shards, self.bigram_shards = backoff_shards, bigram_shards
+    def __init__(self, folder: str, n: int, v: int, shard_rows: int = SHARD_ROWS):
+        self.folder, self.n, self.v = folder, n, v
+        self.part, self.bits = max(1, shard_rows // CONTEXT_PARTS), int(v + 1).bit_length()
+        self.firsts: dict[str, np.ndarray] = {}
 
     def __getstate__(self):
         return {k: x for k, x in self.__dict__.items() if k != "open"}
 
-    def _shard(self, level: str, number: int) -> dict:
+    def _file(self, name: str) -> dict:
         cache = self.__dict__.setdefault("open", {})
-        if (level, number) not in cache:
-            arrays = mapped(f"{self.folder}/{level}-{number:06d}")
-            found = dict(arrays) | {x[:-5]: EliasFano.of(arrays, x[:-5]) for x in arrays if x.endswith(".head")}
-            cache[level, number] = found
-        return cache[level, number]
-
-    @staticmethod
-    def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        if name not in cache:
+            arrays = mapped(f"{self.folder}/{name}")
+            cache[name] = dict(arrays) | {x[:-5]: EliasFano.of(arrays, x[:-5]) for x in arrays if x.endswith(".head")}
+        return cache[name]
+
+    def _by_shard(self, level: str, shard: np.ndarray) -> Iterator[tuple[int, dict, np.ndarray]]:
+        """(first id, arrays, places) of each shard that has rows."""
         order = np.argsort(shard, kind="stable")
         numbers, first = np.unique(shard[order], return_index=True)
         for number, at in zip(numbers.tolist(), np.split(order, first[1:]), strict=True):
-            yield number, at
+            if self.firsts[level][number + 1] > self.firsts[level][number]:
+                yield int(self.firsts[level][number]), self._file(f"{level}-{number:06d}"), at
 
     def probability(self, counts: np.ndarray) -> np.ndarray:
         return (counts + ADD) / (self.n + ADD * (self.v + 1))
@@ -106,48 +126,50 @@ class Trie:
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (NO_ID if unknown) and counts of word hashes."""
         ids, counts = np.full(len(hashes), NO_ID, np.int64), np.zeros(len(hashes), np.int64)
-        for number, at in self._by_shard(shard_of(hashes, len(self.firsts))) if self.v else ():
-            level = self._shard("vocabulary", number)
-            place, hit = level["hashes"].successor(hashes[at] - U64(shard_base(number, len(self.firsts))))
-            ids[at[hit]] = place[hit] + self.firsts[number]
+        if not self.v:
+            return ids, counts
+        shards = len(self.firsts["vocabulary"]) - 1
+        shard = shard_of(hashes, shards)
+        for first, level, at in self._by_shard("vocabulary", shard):
+            place, hit = level["hashes"].successor(hashes[at] - U64(shard_base(int(shard[at[0]]), shards)))
+            ids[at[hit]] = place[hit] + first
             counts[at[hit]] = level["counts"][place[hit]]
         return ids, counts
 
-    def counts(self, ids: np.ndarray) -> np.ndarray:
-        out = np.empty(len(ids), np.int64)
-        for number, at in self._by_shard(np.searchsorted(self.firsts, ids, side="right") - 1):
-            out[at] = self._shard("vocabulary", number)["counts"][ids[at] - self.firsts[number]]
-        return out
-
-    def weights(self, contexts: np.ndarray) -> np.ndarray:
-        """log10 of g(u) of context ids; 0 for contexts without bigrams."""
-        out = np.zeros(len(contexts), np.float64)
-        known = np.flatnonzero(contexts != NO_ID)
-        for number, at in self._by_shard(contexts[known] % self.backoff_shards) if self.backoff_shards else ():
-            level = self._shard("backoff", number)
-            place, hit = level["contexts"].successor((contexts[known[at]] // self.backoff_shards).astype(U64))
-            out[known[at[hit]]] = level["book"][level["codes"][place[hit]]]
-        return out
-
-    def bigrams(self, keys: np.ndarray) -> np.ndarray:
-        """log10 p(w | u) of pairs (context id in the upper half, word id in the lower); nan if not in the trie."""
-        out = np.full(len(keys), np.nan)
-        for number, at in self._by_shard(pair_shard(keys, self.bigram_shards)) if self.bigram_shards else ():
-            level = self._shard("bigram", number)
-            context, word = (keys[at] >> 32).astype(U64), (keys[at] & 0xFFFFFFFF).astype(U64)
-            k, hit = level["contexts"].successor(context)
-            at, word, k = at[hit], word[hit], k[hit]
-            begin, end = level["pointers"].access(k).astype(np.int64), level["pointers"].access(k + 1).astype(np.int64)
-            base = np.where(begin > 0, level["words"].access(np.maximum(begin - 1, 0)), U64(0))
-            place, hit = level["words"].successor(base + word + U64(1))
-            hit &= place < end
-            out[at[hit]] = level["book"][level["codes"][place[hit]]]
-        return out
-
-
-def pair_shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    mixed = keys.astype(U64) * U64(0x9E3779B97F4A7C15)
-    return shard_of(mixed ^ (mixed >> U64(29)), shards)
+    def dealt(self, context: np.ndarray, word: np.ndarray, seen: np.ndarray, shards: int) -> np.ndarray:
+        """Shard of each pair of context and word; ``seen`` is the context's count."""
+        return shard_of(mixed(context.astype(U64) + mixed(mixed(word) % (seen // self.part + 1).astype(U64))), shards)
+
+    def find(self, level: str, context: np.ndarray, word: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids (NO_ID if not in the trie) and counts of n-grams, and the number of different successors of their contexts."""
+        ids, counts, kinds = np.full(len(word), NO_ID, np.int64), np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
+        known = np.flatnonzero(seen)
+        if level not in self.firsts or not len(known):
+            return ids, counts, kinds
+        _, some, place = np.unique(context[known] << self.bits | (word[known] + 1), return_index=True, return_inverse=True)
+        some = known[some]
+        found = self._find(level, context[some], word[some], seen[some])
+        for out, x in zip((ids, counts, kinds), found, strict=True):
+            out[known] = x[place]
+        return ids, counts, kinds
+
+    def _find(self, level: str, context: np.ndarray, word: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, counts, kinds = np.full(len(word), NO_ID, np.int64), np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
+        for first, arrays, at in self._by_shard(level, self.dealt(context, word, seen, len(self.firsts[level]) - 1)):
+            k, hit = arrays["contexts"].successor(context[at].astype(U64))
+            at, k = at[hit], k[hit]
+            kinds[at] = arrays["kinds.book"][arrays["kinds.codes"][k]]
+            begin, end = arrays["pointers"].access(k).astype(np.int64), arrays["pointers"].access(k + 1).astype(np.int64)
+            base = np.where(begin > 0, arrays["words"].access(np.maximum(begin - 1, 0)), U64(0))
+            place, hit = arrays["words"].successor(base + (word[at] + 1).astype(U64))
+            hit &= (place < end) & (word[at] != NO_ID)
+            ids[at[hit]] = place[hit] + first
+            counts[at[hit]] = arrays["counts.book"][arrays["counts.codes"][place[hit]]]
+        often = np.flatnonzero(seen >= self.part)
+        if len(often):
+            arrays = self._file(f"{level}-often")
+            kinds[often] = arrays["kinds"][np.searchsorted(arrays["contexts"], context[often])]
+        return ids, counts, kinds
 
 
 def _counted(docs: DataFrame, keys_of, name: str) -> DataFrame:
@@ -161,26 +183,93 @@ def _counted(docs: DataFrame, keys_of, name: str) -> DataFrame:
     return written(docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), name)
 
 
-def _pairs(trie: Trie, hashes: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per word: context id, word id, count, and whether both were seen ``least`` times; the words' unique numbers."""
+def _shifted(values: np.ndarray, starts: np.ndarray, first: int) -> np.ndarray:
+    """What stands one word before, ``first`` at the first word of a text."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[starts] = first
+    return out
+
+
+def _bigrams(trie: Trie, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per word: context id, word id, context's count and word's count."""
     unique, place = np.unique(hashes, return_inverse=True)
     ids, counts = trie.words(unique)
     word, count = ids[place], counts[place]
     end = int(np.searchsorted(unique, U64(END)))
-    context, before = np.empty_like(word), np.empty_like(count)
-    context[1:], before[1:] = word[:-1], count[:-1]
-    context[starts], before[starts] = ids[end], counts[end]
-    return context, word, count, (count >= least) & (before >= least), place
+    return _shifted(word, starts, ids[end]), word, _shifted(count, starts, counts[end]), count
+
+
+def _trigrams(trie: Trie, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per word: id of the bigram before, word id, count of the bigram before (0 at the first word of a text)."""
+    context, word, seen, _ = _bigrams(trie, hashes, starts)
+    ids, counts, _ = trie.find("bigram", context, word, seen)
+    return _shifted(ids, starts, NO_ID), word, _shifted(counts, starts, 0)
 
 
-def train(docs: DataFrame, text_col: str, min_count: int = MIN_COUNT, shard_rows: int = SHARD_ROWS, folder: str | None = None) -> Trie:
+def _add_level(docs: DataFrame, trie: Trie, level: str, grams_of, shard_rows: int) -> None:
+    """Count the n-grams (context, word, context's count) that ``grams_of`` gives and write them as a level."""
+    shards = -(-trie.n // shard_rows)  # at most one key a word
+    bits, folder = trie.bits, trie.folder
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, hashes, starts in _texts(batches, 0, COUNT_WORDS):
+            context, word, seen, *_ = grams_of(hashes, starts)
+            known = np.flatnonzero(seen)
+            keys, some, n = np.unique(context[known] << bits | word[known], return_index=True, return_counts=True)
+            seen = seen[known[some]]
+            shard = trie.dealt(keys >> bits, keys & ((1 << bits) - 1), seen, shards)
+            order = np.argsort(shard, kind="stable")
+            numbers, first = np.unique(shard[order], return_index=True)
+            pieces = np.split(order, first[1:]) if len(numbers) else []
+            yield pa.RecordBatch.from_arrays([
+                pa.array(numbers, pa.int64()), pa.array([keys[at].tobytes() for at in pieces], pa.binary()),
+                pa.array([n[at].astype(np.int32).tobytes() for at in pieces], pa.binary()),
+                pa.array([np.unique(keys[at][seen[at] >= trie.part] >> bits).tobytes() for at in pieces], pa.binary())],
+                names=["shard", "keys", "n", "often"])
+
+    def shard_file(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        all_keys = np.frombuffer(b"".join(pdf["keys"]), np.int64)
+        order = np.argsort(all_keys, kind="stable")
+        all_keys = all_keys[order]
+        first = np.flatnonzero(np.concatenate([[True], all_keys[1:] != all_keys[:-1]]))
+        n = np.add.reduceat(np.frombuffer(b"".join(pdf["n"]), np.int32)[order].astype(np.int64), first)
+        u, w = all_keys[first] >> bits, all_keys[first] & ((1 << bits) - 1)
+        new = np.concatenate([[True], u[1:] != u[:-1]])
+        first = np.flatnonzero(new)
+        pointers = np.append(first, len(u))
+        base = np.concatenate([[0], np.cumsum(w[pointers[1:] - 1] + 1)[:-1]])  # the last value of the range before
+        words = (w + 1 + base[np.cumsum(new) - 1]).astype(U64)
+        kinds = np.diff(pointers)
+        save(f"{folder}/{level}-{int(key[0]):06d}", EliasFano.build(u[first].astype(U64)).parts("contexts")
+             | EliasFano.build(pointers.astype(U64)).parts("pointers") | EliasFano.build(words).parts("words")
+             | coded(n, "counts") | coded(kinds, "kinds"))
+        often = np.unique(np.frombuffer(b"".join(pdf["often"]), np.int64))
+        return pd.DataFrame({"shard": key[0], "context": [NO_ID, *often.tolist()],
+                             "rows": [len(u), *kinds[np.searchsorted(u[first], often)].tolist()]})
+
+    made = docs.mapInArrow(run, "shard long, keys binary, n binary, often binary").groupBy("shard").applyInPandas(
+        shard_file, "shard long, context long, rows long").toPandas()  # one row per file, and CONTEXT_PARTS at most
+    if made.empty:
+        return
+    whole = made["context"] == NO_ID
+    sizes = np.zeros(shards, np.int64)
+    sizes[made["shard"][whole]] = made["rows"][whole]
+    often = made[~whole].groupby("context")["rows"].sum()
+    save(f"{folder}/{level}-often", {"contexts": often.index.to_numpy(np.int64), "kinds": often.to_numpy(np.int64)})
+    trie.firsts[level] = np.concatenate([[0], np.cumsum(sizes)])
+    if int(trie.firsts[level][-1]).bit_length() + bits > 63:
+        raise ValueError("n-gram and word id share 63 bits")
+
+
+def train(docs: DataFrame, text_col: str, shard_rows: int = SHARD_ROWS, folder: str | None = None) -> Trie:
     """Count, smooth and write the trie over all given documents."""
     docs = docs.select(F.col(text_col).cast("binary").alias("t"))
     folder = folder or shared_path(docs.sparkSession, "ngram-trie")
     vocabulary = _counted(docs, lambda hashes, starts: hashes, "lm-words")
     v, n = vocabulary.agg(F.count(F.lit(1)), F.sum("n")).first()
     if not v:
-        return Trie(folder, [0], 0, 0)
+        return Trie(folder, 0, 0)
     if v >= 1 << 32:
         raise ValueError("word ids of a pair share 64 bits: at most 2**32 words")
     shards = -(-v // shard_rows)
@@ -196,80 +285,27 @@ def train(docs: DataFrame, text_col: str, min_count: int = MIN_COUNT, shard_rows
     number = F.shiftright(F.shiftrightunsigned("key", 32) * shards, 32)
     sizes = {r["shard"]: r["rows"] for r in vocabulary.groupBy(number.alias("shard")).applyInPandas(
         vocabulary_shard, "shard long, rows long, bytes long").collect()}  # one row per file
-    if len(sizes) < shards:  # a shard without words still needs its file
-        for k in set(range(shards)) - set(sizes):
-            save(f"{folder}/vocabulary-{k:06d}", EliasFano.build(np.empty(0, U64)).parts("hashes") | {"counts": np.empty(0, np.int64)})
-    firsts = np.cumsum([0] + [sizes.get(k, 0) for k in range(shards - 1)]).tolist()
-    trie = Trie(folder, firsts, int(n), int(v))
-
-    def pair_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        context, word, _, frequent, _ = _pairs(trie, hashes, starts, min_count)
-        return (context[frequent] << 32) | word[frequent]
-
-    pairs = _counted(docs, pair_keys, "lm-pairs").filter(F.col("n") >= min_count)
-    total = pairs.count()
-    if not total:
-        return trie
-    trie.backoff_shards = trie.bigram_shards = -(-total // shard_rows)
-    spread = trie.bigram_shards
-
-    def backoff_shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("context")
-        contexts = pdf["context"].to_numpy()
-        share = pdf["taken"].to_numpy() / trie.counts(contexts)
-        codes, book = quantised(np.log10(np.maximum(1 - share, 1e-9)))
-        size = save(f"{folder}/backoff-{int(key[0]):06d}", EliasFano.build((contexts // spread).astype(U64)).parts("contexts") | {"codes": codes, "book": book})
-        return pd.DataFrame({"shard": [key[0]], "rows": [len(pdf)], "bytes": [size]})
-
-    context = F.shiftrightunsigned("key", 32)
-    taken = pairs.groupBy(context.alias("context")).agg(F.sum(F.col("n") - DISCOUNT).alias("taken"))
-    made = taken.groupBy(F.pmod("context", F.lit(spread)).alias("shard")).applyInPandas(backoff_shard, "shard long, rows long, bytes long").collect()
-    have = {r["shard"] for r in made}
-    for k in set(range(spread)) - have:
-        save(f"{folder}/backoff-{k:06d}", EliasFano.build(np.empty(0, U64)).parts("contexts") | {"codes": np.empty(0, np.uint8), "book": np.zeros(1, np.float32)})
-
-    def bigram_shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key")
-        keys, n = pdf["key"].to_numpy(), pdf["n"].to_numpy()
-        u, w = keys >> 32, keys & 0xFFFFFFFF
-        p = (n - DISCOUNT) / trie.counts(u) + 10 ** trie.weights(u) * trie.probability(trie.counts(w))
-        codes, book = quantised(np.log10(p))
-        new = np.concatenate([[True], u[1:] != u[:-1]])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(u)) - 1
-        base = np.concatenate([[0], np.cumsum(w[last] + 1)[:-1]])  # the last value of the range before
-        words = (w + 1 + base[np.cumsum(new) - 1]).astype(U64)
-        arrays = (EliasFano.build(u[first].astype(U64)).parts("contexts") | EliasFano.build(np.append(first, len(u)).astype(U64)).parts("pointers")
-                  | EliasFano.build(words).parts("words") | {"codes": codes, "book": book})
-        return pd.DataFrame({"shard": [key[0]], "rows": [len(pdf)], "bytes": [save(f"{folder}/bigram-{int(key[0]):06d}", arrays)]})
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = b.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pair_shard(keys, spread))], names=["key", "n", "shard"])
-
-    made = pairs.select("key", "n").mapInArrow(dealt, "key long, n long, shard long").groupBy("shard").applyInPandas(
-        bigram_shard, "shard long, rows long, bytes long").collect()
-    have = {r["shard"] for r in made}
-    for k in set(range(spread)) - have:
-        empty = EliasFano.build(np.empty(0, U64))
-        save(f"{folder}/bigram-{k:06d}", empty.parts("contexts") | empty.parts("pointers") | empty.parts("words") | {"codes": np.empty(0, np.uint8), "book": np.zeros(1, np.float32)})
+    trie = Trie(folder, int(n), int(v), shard_rows)
+    trie.firsts["vocabulary"] = np.cumsum([0] + [sizes.get(k, 0) for k in range(shards)])
+    _add_level(docs, trie, "bigram", lambda hashes, starts: _bigrams(trie, hashes, starts), shard_rows)
+    _add_level(docs, trie, "trigram", lambda hashes, starts: _trigrams(trie, hashes, starts), shard_rows)
     return trie
 
 
-def scored(docs: DataFrame, id_col: str, text_col: str, trie: Trie, min_count: int = MIN_COUNT) -> DataFrame:
+def scored(docs: DataFrame, id_col: str, text_col: str, trie: Trie) -> DataFrame:
     """One row per document: n_tokens, n_known, base_score and score under the trie."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, hashes, starts in _texts(batches, 1, SCORE_WORDS):
-            context, word, count, frequent, _ = _pairs(trie, hashes, starts, min_count)
-            alone = np.log10(trie.probability(count)) if trie.v else np.zeros(len(count))
-            contexts, place = np.unique(context, return_inverse=True)
-            together = alone + trie.weights(contexts)[place]
-            keys, place = np.unique((context[frequent] << 32) | word[frequent], return_inverse=True)
-            seen = trie.bigrams(keys)[place]
-            together[frequent] = np.where(np.isnan(seen), together[frequent], seen)
+            context, word, seen, count = _bigrams(trie, hashes, starts)
+            p = trie.probability(count) if trie.v else np.ones(len(count))
+            alone = np.log10(p)
+            for level in ("bigram", "trigram"):
+                ids, n, kinds = trie.find(level, context, word, seen)
+                p = np.where(seen > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * p) / np.maximum(seen, 1), p)
+                context, seen = _shifted(ids, starts, NO_ID), _shifted(n, starts, 0)
+            together = np.log10(p)
             ends = np.append(starts[1:], len(hashes))
             columns = [pa.array(ends - starts), pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)),
                        pa.array(np.add.reduceat(alone, starts)), pa.array(np.add.reduceat(together, starts))]

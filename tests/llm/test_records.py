@@ -196,6 +196,39 @@ def test_lm_matches_brute_force(spark):
     assert held[1] > held[0]  # the bigrams help on texts not learned from
 
 
+def test_lm_counts_every_bigram_and_trigram(spark):
+    """Also with n-grams seen once, contexts dealt over several shards, and texts not learned from."""
+    rows = [(r.doc_id, r.text) for r in table(spark, SF, "documents").limit(150).collect()] + [(-1, ""), (-2, None), (-3, "x"), (-4, "zz zz yy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = {i: [w.decode() for w in (t or "").encode().lower().split()] + ["\n"] for i, t in rows}
+    learned = docs.filter("doc_id % 3 <> 0")
+    c: list[Counter] = [Counter(), Counter(), Counter()]
+    for i, t in words.items():
+        if i % 3:
+            long = ["\n", *t]
+            c[0].update(t)
+            c[1].update(zip(long, t))
+            c[2].update(zip(long, t, t[1:]))
+    kinds: Counter = Counter()
+    for grams in c[1:]:
+        kinds.update(g[:-1] for g in grams)
+    n, v = sum(c[0].values()), len(c[0])
+
+    def chance(*g):
+        low = (c[0][g[-1]] + 0.1) / (n + 0.1 * (v + 1)) if len(g) == 1 else chance(*g[1:])
+        seen = 0 if len(g) == 1 else c[0][g[0]] if len(g) == 2 else c[1][g[:-1]]
+        return (max(c[len(g) - 1][g] - 0.5, 0) + 0.5 * kinds[g[:-1]] * low) / seen if seen else low
+
+    assert sum(x == 1 for x in c[1].values()) and sum(x == 1 for x in c[2].values())
+    for shard_rows in (1 << 17, 2000):
+        trie = ngram_lm.train(learned, "text", shard_rows)
+        assert (trie.firsts["bigram"][-1], trie.firsts["trigram"][-1]) == (len(c[1]), len(c[2]))
+        for r in ngram_lm.scored(docs, "doc_id", "text", trie).collect():
+            t = words[r.doc_id]
+            want = math.log10(chance("\n", t[0])) + sum(math.log10(chance(*g)) for g in zip(["\n", *t], t, t[1:]))
+            assert r.score == pytest.approx(want, rel=1e-9)
+
+
 def test_lm_edges(spark):
     odd = odd_docs(spark)
     rows = ngram_lm.score(odd).collect()
