@@ -55,7 +55,7 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, capacity: int, path:
         for batch in batches:
             n, crcs = [], []
             for text in batch.column(1):
-                ids = encoder.text_ids(text.as_py() or "") + end
+                ids = encoder.ids(text.as_py() or "") + end
                 n.append(len(ids) // 4)
                 crcs.append([zlib.crc32(p) for p in pieces_of(ids, capacity)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))],

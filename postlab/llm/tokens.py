@@ -5,11 +5,16 @@ follows it, and a single space joins the word behind it. So a text in which ever
 characters is the concatenation of its pieces between spaces, each but the first with its space, and every
 piece can be encoded by itself. Other texts are cut in front of every run of blanks, which holds for the same
 reason. A line feed between visible characters is a word of its own and begins a piece. The tests compare the ids with those of the tokenizers library.
+
+The added tokens of the JSON file beside the vocabulary are no text: each is its own id, wherever it stands, and what
+lies between is encoded by itself.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import os
 import re
 import sys
 from array import array
@@ -32,6 +37,18 @@ def encoding(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Added tokens of the JSON file of the same vocabulary, if there is one."""
+    path = f"{os.path.splitext(path)[0]}.json"
+    if not os.path.exists(path):
+        return {}
+    with open(path, "rb") as f:
+        found = json.load(f).get("added_tokens") or []
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in found):
+        raise ValueError("added tokens that take in blanks or need a word's bounds are not handled")
+    return {t["content"]: t["id"] for t in found}
+
+
 def packed(ids: list[int]) -> bytes:
     """Ids as little-endian 32-bit integers."""
     out = array("I", ids)
@@ -49,6 +66,8 @@ class PieceIds(dict):
         self.encode, self.word, self.limit = encoder.encode_ordinary, encoder._encode_single_piece, limit
         self.marks = {m: packed(self.encode(m)) for m in MARKS}
         self.line = packed(self.encode("\n"))
+        self.added = {t: packed([i]) for t, i in added_tokens(path).items()}
+        self.cut = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})")
 
     def __missing__(self, piece: str) -> bytes:
         if piece.isalpha():  # one word of the pattern, and so the space and a word
@@ -63,8 +82,14 @@ class PieceIds(dict):
             self[piece] = ids
         return ids
 
+    def ids(self, text: str) -> bytes:
+        """All ids of a text with its added tokens, as little-endian 32-bit integers."""
+        if not any(t in text for t in self.added):
+            return self.text_ids(text)
+        return b"".join(self.added[part] if k % 2 else self.text_ids(part) for k, part in enumerate(self.cut.split(text)))
+
     def text_ids(self, text: str) -> bytes:
-        """All ids of a text, as little-endian 32-bit integers."""
+        """All ids of a text in which no string is special, as little-endian 32-bit integers."""
         pieces = text.replace("\n", " \n").split(" ")
         if "" in pieces or "\n" in pieces or any(
                 b in text and (f" {b}" in text or f"{b} " in text or f"{b}\n" in text or f"\n{b}" in text

@@ -196,3 +196,16 @@ def test_piece_cache_equals_tokenizer(text):
     tok.encode_special_tokens = True
     got = np.frombuffer(PieceIds(public_tokenizers.path("byte_bpe_50k.tiktoken")).text_ids(text), "<u4").tolist()
     assert got == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_takes_added_tokens_as_the_tokenizer_does(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|><|endoftext|>b c.", " <|endoftext|>\n\nx  <|endoftext|> ", "<|endoftext| >", "plain text"]
+    got = {r.doc_id: r for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        ids = tok.encode(t, add_special_tokens=False).ids + [0]
+        assert (got[i].length, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert got[0].length == 5 and got[1].length == 2
