@@ -4,6 +4,9 @@ Every figure is a built-in expression over the text (split, slice, hash, sort of
 is judged where it is read: no user function, no shuffle. Ratios compare integers
 (``1000 * numerator`` against ``threshold * denominator``), so no rounding decides a verdict.
 
+The stop words are of four languages in Latin script, and word lengths are known for such scripts, so these two
+rules judge only a text without more letters of other scripts than Latin ones. The SQL twin has no such condition.
+
 Defined results: a null text counts as empty; an empty text has zero words and fails; repeated rows are
 judged one by one; an empty table gives an empty result; other columns, whatever their names, are ignored
 by :func:`quality` and passed through untouched by :func:`keep_good`.
@@ -39,6 +42,8 @@ RULES = [
     ("ellipsis_line_share", "n_ellipsis_lines", "<=", 300, "n_lines"),
     ("repeated_word_share", "n_repeat_words", "<=", 300, "n_words"),
 ]
+#: Rules that say nothing about a text mostly in other scripts.
+LATIN_RULES = ("word_length_high", "stop_word_share")
 BASE_FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -102,14 +107,16 @@ def figures(df: DataFrame, text: str) -> DataFrame:
         "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint"),
         "n_ellipsis_lines": F.size(F.filter("lines", lambda x: x.endswith("...") | x.endswith("…"))).cast("bigint"),
         "n_repeat_words": _covered(F.col("repeats")).cast("bigint"),
+        "other_script": F.length(F.regexp_replace("txt", r"\P{L}+|\p{IsLatin}+", "")) > F.length(F.regexp_replace("txt", r"\P{IsLatin}+", "")),
     })
 
 
 def _verdict(rules) -> Column:
     out = F.lit(True)
-    for _, num, op, thousandths, den in rules:
+    for name, num, op, thousandths, den in rules:
         left, right = F.col(num) * 1000, F.col(den) * thousandths
-        out = out & (left >= right if op == ">=" else left <= right)
+        holds = left >= right if op == ">=" else left <= right
+        out = out & (F.col("other_script") | holds if name in LATIN_RULES else holds)
     return out
 
 

@@ -87,6 +87,17 @@ def test_clean_documents_are_kept_and_junk_goes(spark):
     assert sum(r.kept for r in junk) <= 0.1 * len(junk)
 
 
+def test_other_scripts_are_not_judged_by_latin_rules(spark):
+    words = {1: "быстрая лиса прыгает через ленивую собаку у реки", 2: "η γρήγορη αλεπού πηδά πάνω από τον σκύλο",
+             3: "الثعلب السريع يقفز فوق الكلب الكسول قرب النهر", 4: "빠른 갈색 여우가 게으른 개를 뛰어넘어 강으로 간다",
+             5: "qzx vrtk plom grunt xyzzy", 6: "123 456 789 000 111"}
+    rows = [(i, " ".join(w + w[::-1] + sorted(w) + w[1::2] + w[::2])) for i, w in ((i, t.split()) for i, t in words.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.quality(docs).collect()}
+    assert [got[i].kept for i in (1, 2, 3, 4)] == [True] * 4 and not any(got[i].kept for i in (5, 6))
+    assert {r.doc_id for r in quality.keep_good(docs).collect()} == {1, 2, 3, 4}
+
+
 def test_quality_runs_without_python(spark):
     plan = quality.quality(table(spark, SF, "documents"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
