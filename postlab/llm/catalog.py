@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postlab.llm import chat, jaccard, langid, licenses, mixing, ngram_lm, packing, quality, vectors, warc
+from postlab.llm import chat, decontaminate, jaccard, langid, licenses, mixing, ngram_lm, packing, quality, vectors, warc
 from postlab.llm.common import table
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_warc": lambda s, d: warc.round_trip(table(s, d, "pages")),
     "op9_jaccard_join": lambda s, d: jaccard.near_duplicates(table(s, d, "documents")).drop("text_print"),
     "op10_mix": lambda s, d: mixing.mix(table(s, d, "documents")),
+    "op11_decontaminate": lambda s, d: decontaminate.report(table(s, d, "documents"), table(s, d, "benchmark")).drop("items"),
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op6_chat_format": chat.DIGESTS_SQL,
     "op8_warc": warc.ROUND_TRIP_SQL,
     "op10_mix": mixing.MIX_SQL,
+    "op11_decontaminate": decontaminate.REPORT_SQL,
 }
