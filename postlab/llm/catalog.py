@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postlab.llm import alignment, chat, decontaminate, jaccard, langid, licenses, mixing, ngram_lm, packing, quality, vectors, warc
+from postlab.llm import alignment, chat, decontaminate, jaccard, langid, licenses, mixing, ngram_lm, packing, quality, spelling, vectors, warc
 from postlab.llm.common import table
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_jaccard_join": lambda s, d: jaccard.near_duplicates(table(s, d, "documents")).drop("text_print"),
     "op10_mix": lambda s, d: mixing.mix(table(s, d, "documents")),
     "op11_decontaminate": lambda s, d: decontaminate.report(table(s, d, "documents"), table(s, d, "benchmark")).drop("items"),
+    "op12_spelling_variants": lambda s, d: spelling.variants(table(s, d, "documents")),
     "op13_token_alignment": lambda s, d: alignment.align(table(s, d, "documents")),
 }
 
