@@ -112,7 +112,8 @@ def nodes(words: DataFrame) -> DataFrame:
 
 
 def edges(found: DataFrame) -> DataFrame:
-    """(key, other, node, below, one): where a state arrives; ``other`` is the character that a replacement puts in."""
+    """(key, other, to, ends): where a state arrives, a node or, with ``ends``, the only word below it; ``other`` is the
+    character that a replacement puts in."""
     def edge(key: Column, other: Column) -> Column:
         return F.struct(key.alias("key"), other.cast("int").alias("other"))
 
@@ -120,7 +121,12 @@ def edges(found: DataFrame) -> DataFrame:
     all_nodes = F.array(edge(F.xxhash64("up", F.lit(STEP), "c"), none), edge(F.xxhash64("up2", F.lit(SKIP), "c"), F.col("c2")))
     ends = F.array(edge(F.xxhash64("up", F.lit(LAST)), F.col("c")), edge(F.xxhash64("node", F.lit(SELF)), none))
     arrivals = F.when(F.col("is_word"), F.concat(all_nodes, ends)).otherwise(all_nodes)
-    return found.select(F.explode(arrivals).alias("e"), "node", "below", "one").select("e.*", "node", "below", "one")
+    return found.select(F.explode(arrivals).alias("e"), *_arrival()).select("e.*", "to", "ends")
+
+
+def _arrival() -> list[Column]:
+    ends = F.col("below") == 1
+    return [F.when(ends, F.col("one")).otherwise(F.col("node")).alias("to"), ends.alias("ends")]
 
 
 def first_edits(words: DataFrame) -> DataFrame:
@@ -143,19 +149,19 @@ def candidates(words: DataFrame) -> DataFrame:
     # from the second level on, states stand on nodes with several words below
     inner = found.filter("below > 1").select(F.col("node").alias("inner"))
     deeper = found.join(inner, F.col("up") == F.col("inner"), "left_semi").select(
-        F.xxhash64("up", F.lit(STEP), "c").alias("key"), F.lit(None).cast("int").alias("other"), "node", "below", "one")
+        F.xxhash64("up", F.lit(STEP), "c").alias("key"), F.lit(None).cast("int").alias("other"), *_arrival())
     for level in range(LONG + 2):
-        moved = states.join(all_edges, "key").filter("other IS NULL OR other <> own").select("word", "back", "place", "node", "below", "one")
+        moved = states.join(all_edges, "key").filter("other IS NULL OR other <> own").select("word", "back", "place", "to", "ends")
         moved = written(moved, "spelling-states")
-        done = moved.filter("below = 1").select("word", "one")
+        done = moved.filter("ends").select("word", F.col("to").alias("one"))
         ended = done if ended is None else ended.unionByName(done)
-        states = moved.filter("below > 1")
+        states = moved.filter("NOT ends")
         if states.isEmpty():
             return ended
         if level == 0:
             all_edges = written(deeper, "spelling-edges")
         t = _read(F.col("word"), F.col("back"))
-        states = states.select("word", "back", (F.col("place") + 1).alias("place"), F.xxhash64("node", F.lit(STEP), _char(t, F.col("place"))).alias("key"),
+        states = states.select("word", "back", (F.col("place") + 1).alias("place"), F.xxhash64("to", F.lit(STEP), _char(t, F.col("place"))).alias("key"),
                                F.lit(-1).alias("own"))
     raise RuntimeError("the frontier did not end")
 
@@ -176,7 +182,7 @@ def long_pairs(words: DataFrame) -> DataFrame:
 def near_pairs(words: DataFrame) -> DataFrame:
     """(word, near), both ways, of all words one edit apart."""
     ids = words.select(F.xxhash64("word").alias("id"), F.col("word").alias("near"))
-    found = candidates(words.filter(F.length("word") <= LONG)).distinct()
+    found = candidates(words.filter(F.length("word") <= LONG))
     found = found.join(ids, F.col("one") == F.col("id")).select("word", "near")
     found = found.unionByName(long_pairs(words.filter(F.length("word") >= LONG)))
     found = found.filter(F.levenshtein("word", "near", 1) == 1)
