@@ -16,8 +16,11 @@ bytes of its id. Texts whose decoded bytes differ from space+text have no tokens
    of its A id, and the counts go back to the blocks by a join on the pair. Both are shuffles of a row per block and pair.
 3. Each block meets its counts, and its documents look their pairs up by place.
 
-Long texts are encoded in parts, cut at a single space between visible characters, where neither tokenizer joins: A's
-words begin at a space, and no piece of B has one behind another character (checked when the model is loaded).
+Texts are encoded in units, each distinct one once while a worker remembers it: a text is cut in front of a space
+between visible characters, in front of a line feed between them, and in front of a mark that ends a unit of letters.
+Neither tokenizer joins there: A's words begin at these places, and no piece of B crosses one (checked when the model is
+loaded; otherwise texts stay whole). So both have a token end there, groups never cross it, and a text's groups, links and
+digest are put together from its units'. A worker keeps ``CACHE_UNITS`` units; rarer ones are encoded again.
 A group whose links are many is counted by its distinct ids, not link by link.
 
 Defined results: null and empty texts, and texts that do not decode to themselves, have zeros and an empty
@@ -28,8 +31,10 @@ empty table gives an empty result; other columns are ignored, whatever their nam
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -42,13 +47,18 @@ from postlab.llm.common import written
 
 #: Distinct pairs of a document, summed over the documents of a block.
 BLOCK_PAIRS = 2_000_000
-#: Bytes of text aligned together, and most bytes that are encoded at once.
-TOGETHER, LONG = 1 << 19, 1 << 16
+#: Characters of text aligned together.
+TOGETHER = 1 << 21
+#: Units kept by a worker, and distinct pairs of a unit on average.
+CACHE_UNITS, UNIT_PAIRS = 400_000, 16
 #: A group with more links is counted by its distinct ids.
 MANY_LINKS = 1 << 12
 #: Bits of an id.
 ID_BITS = 20
-CUT = re.compile(r"(?<=\S) (?=\S)")
+FIGURES = ["n_a", "n_b", "n_groups", "n_links"]
+CUT = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
+BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+MARKS = frozenset(".,!?;:")
 
 
 def tokenizer_paths() -> tuple[str, str]:
@@ -72,6 +82,7 @@ class Encoders:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
@@ -84,44 +95,48 @@ class Encoders:
         self.length_a, self.length_b = (np.array([len(x) for x in found], np.int64) for found in (self.bytes_a, self.bytes_b))
         if max(len(self.bytes_a), len(self.bytes_b)) >> ID_BITS:
             raise ValueError(f"ids need {ID_BITS} bits")
-        self.parts = not any(re.search("[^▁]▁", p) for p in pieces)
-
-    def cut(self, text: str) -> list[str]:
-        """Parts of a long text that are encoded by themselves; the space between two parts is the one that both
-        tokenizers put in front."""
-        if len(text) <= LONG or not self.parts:
+        plain = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i))]
+        self.cuts = not any(re.search("[^▁]▁|\n", p) for p in plain)
+        #: Marks that no piece holds behind a letter.
+        self.marks = MARKS - {m for p in plain for c, m in zip(p, p[1:], strict=False) if c.isalpha()} if self.cuts else frozenset()
+
+    def units(self, text: str) -> list[str]:
+        """The text's units: the first and those behind a space without that space, a line's first with its line feed."""
+        if not self.cuts:
             return [text]
-        out, at = [], 0
-        while len(text) - at > LONG:
-            m = CUT.search(text, at + LONG // 2)
-            if not m:
-                break
-            out.append(text[at:m.start()])
-            at = m.end()
-        return [*out, text[at:]]
-
-    def encoded(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-        """Ids and byte ends in space+text of the tokens of A, then of B; None if a tokenizer changes the text."""
-        found, base = [], 0
-        for part in self.cut(text):
-            spaced = f" {part}"
-            raw = spaced.encode()
-            one = self.a.encode(spaced, add_special_tokens=False)
-            ids_a = one.ids
-            if b"".join(map(self.bytes_a.__getitem__, ids_a)) != raw:
-                return None
-            pieces = self.b.encode(part, return_type="proto").pieces
-            ids_b = [p.id for p in pieces]
-            if b"".join(map(self.bytes_b.__getitem__, ids_b)) != raw:
-                return None
-            ids_a, ids_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
-            ends_a = np.fromiter((end for _, end in one.offsets), np.int64, len(ids_a))
-            if len(raw) > len(spaced):
-                ends_a = _byte_places(spaced)[ends_a]
-            ends_b = np.fromiter((p.end for p in pieces), np.int64, len(ids_b)) + 1
-            found.append((ids_a, _refined(ends_a, self.length_a[ids_a]) + base, ids_b, _refined(ends_b, self.length_b[ids_b]) + base))
-            base += len(raw)
-        return found[0] if len(found) == 1 else tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        if ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n"
+                or any(b in text for b in BLANKS)):
+            return CUT.split(text)
+        return text.replace("\n", " \n").split(" ")
+
+    def encoded(self, units: list[tuple[str, str]]) -> tuple[list[bool], list[np.ndarray]]:
+        """Whether both tokenizers leave each unit's bytes as they are; ids, ends and unit numbers of the tokens of A and B of
+        those units, the ends in the units' joined bytes. A unit comes with what stands in front of it: a space, nothing (a
+        line feed begins it) or a line feed that is not its own."""
+        spelled = [f" {u}" if front == " " else u for u, front in units]
+        a = self.a.encode_batch(spelled, add_special_tokens=False)
+        b = [x.pieces for x in self.b.encode([f"\n{u}" if front == "\n" else u for u, front in units], return_type="proto", num_threads=1)]
+        # B begins with its own space, then the line feed put in front
+        skip = {" ": 0, "": 1, "\n": 2}
+        ids_a, ids_b = [x.ids for x in a], [[p.id for p in x[skip[front]:]] for x, (_, front) in zip(b, units, strict=True)]
+        raw = [t.encode() for t in spelled]
+        together = (b"".join(map(found.__getitem__, chain.from_iterable(ids))) for found, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b)))
+        whole = [True] * len(units)
+        if any(x != b"".join(raw) for x in together):
+            whole = [b"".join(map(self.bytes_a.__getitem__, i)) == r == b"".join(map(self.bytes_b.__getitem__, j))
+                     for i, j, r in zip(ids_a, ids_b, raw, strict=True)]
+        good = [k for k, ok in enumerate(whole) if ok]
+        joined = "".join(spelled[k] for k in good)
+        n_a, n_b = np.array([len(ids_a[k]) for k in good], np.int64), np.array([len(ids_b[k]) for k in good], np.int64)
+        unit_a, unit_b = np.repeat(np.arange(len(good)), n_a), np.repeat(np.arange(len(good)), n_b)
+        all_a, all_b = (np.fromiter(chain.from_iterable(x[k] for k in good), np.int64) for x in (ids_a, ids_b))
+        first_char = np.cumsum([0, *(len(spelled[k]) for k in good)])
+        ends_a = np.fromiter((end for k in good for _, end in a[k].offsets), np.int64, len(all_a)) + first_char[unit_a]
+        if not joined.isascii():
+            ends_a = _byte_places(joined)[ends_a]
+        first_byte = np.cumsum([0, *(len(raw[k]) for k in good)]) + np.array([1 - skip[units[k][1]] for k in good] + [0])
+        ends_b = np.fromiter((p.end for k in good for p in b[k][skip[units[k][1]]:]), np.int64, len(all_b)) + first_byte[unit_b]
+        return whole, [all_a, _refined(ends_a, self.length_a[all_a]), unit_a, all_b, _refined(ends_b, self.length_b[all_b]), unit_b]
 
 
 def _byte_places(text: str) -> np.ndarray:
@@ -148,43 +163,115 @@ def _digits(most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(text).encode(), np.uint8).reshape(most, width), np.array([len(t.lstrip("\0")) for t in text])
 
 
+class Growing:
+    """Numbers in one array that grows at its end."""
+
+    def __init__(self):
+        self.data, self.n = np.zeros(1 << 10, np.int64), 0
+
+    def add(self, values) -> None:
+        while self.n + len(values) > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros_like(self.data)])
+        self.data[self.n:self.n + len(values)] = values
+        self.n += len(values)
+
+
 class Aligner:
-    """Groups, links and digests of many documents at once."""
+    """Groups, links and digests of texts, put together from their units."""
 
-    def __init__(self, encoders: Encoders):
-        self.encoders = encoders
+    def __init__(self, encoders: Encoders, limit: int = CACHE_UNITS):
+        self.encoders, self.limit = encoders, limit
         self.digits, self.n_digits = _digits(max(len(encoders.bytes_a), len(encoders.bytes_b)))
+        #: Unit with its front -> number; by number: its groups spelled out (None if a tokenizer changes it) and figures.
+        self.number: dict[tuple[str, str], int] = {}
+        self.text: list[str | None] = []
+        self.figures = {x: Growing() for x in FIGURES}
+        self.first, self.pairs, self.times = Growing(), Growing(), Growing()
+        self.first.add([0])
 
     def __call__(self, texts: list[str | None]) -> dict[str, np.ndarray | list]:
         """Per document: n_a, n_b, n_groups, n_links, digest, and its sorted distinct pairs with their numbers."""
-        n = len(texts)
-        found = [self.encoders.encoded(t) if t else None for t in texts]
-        sizes = [(0, 0, 0) if f is None else (len(f[0]), len(f[2]), int(f[1][-1])) for f in found]
-        n_a, n_b, length = np.array(sizes, np.int64).reshape(n, 3).T
-        base = np.cumsum(length) - length
-        here = [f for f in found if f is not None]
-        out = {"n_a": n_a, "n_b": n_b, "n_groups": np.zeros(n, np.int64), "n_links": np.zeros(n, np.int64), "digest": [""] * n,
-               "pairs": [np.empty(0, np.int64)] * n, "times": [np.empty(0, np.int64)] * n}
-        if not here:
-            return out
-        ids_a, ends_a, ids_b, ends_b = (np.concatenate(x) for x in zip(*here, strict=True))
-        doc_a, doc_b = np.repeat(np.arange(n), n_a), np.repeat(np.arange(n), n_b)
-        ends_a, ends_b = ends_a + base[doc_a], ends_b + base[doc_b]
+        n, kept = len(texts), (len(self.text), self.first.n, self.pairs.n)
+        keys = [self._keys(t) if t else [] for t in texts]
+        wanted = dict.fromkeys(k for doc in keys for k in doc if k not in self.number)
+        self._learn(list(wanted))
+        numbers = [list(map(self.number.__getitem__, doc)) for doc in keys]
+        words = [list(map(self.text.__getitem__, doc)) for doc in numbers]
+        changed = [None in w for w in words]
+        digest = [hashlib.sha256(";".join(w).encode()).hexdigest() if w and not bad else "" for w, bad in zip(words, changed, strict=True)]
+        numbers = [[] if bad else x for x, bad in zip(numbers, changed, strict=True)]
+        doc = np.repeat(np.arange(n), [len(x) for x in numbers])
+        unit = np.fromiter(chain.from_iterable(numbers), np.int64, len(doc))
+        out: dict[str, np.ndarray | list] = {"digest": digest}
+        for x in FIGURES:
+            out[x] = np.zeros(n, np.int64)
+            np.add.at(out[x], doc, self.figures[x].data[unit])
+        some, seen = np.unique(doc << 40 | unit, return_counts=True)
+        doc, unit = some >> 40, some & ((1 << 40) - 1)
+        first, size = self.first.data[unit], self.first.data[unit + 1] - self.first.data[unit]
+        at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        pairs, place = np.unique(np.repeat(doc, size) << 2 * ID_BITS | self.pairs.data[at], return_inverse=True)
+        times = np.zeros(len(pairs), np.int64)
+        np.add.at(times, place, self.times.data[at] * np.repeat(seen, size))
+        bounds = np.searchsorted(pairs, np.arange(n + 1) << (2 * ID_BITS))
+        pairs &= (1 << 2 * ID_BITS) - 1
+        out["pairs"] = [pairs[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+        out["times"] = [times[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+        if len(self.text) > self.limit or self.pairs.n > self.limit * UNIT_PAIRS:
+            self._forget(wanted, *kept)
+        return out
+
+    def _keys(self, text: str) -> list[tuple[str, str]]:
+        """A text's units with what stands in front: letters and a closing mark are two units."""
+        units = self.encoders.units(text)
+        out = [(units[0], " ")]
+        marks = self.encoders.marks
+        for u in units[1:]:
+            front = "" if u[0] == "\n" else " "
+            if u[-1] in marks and u[:-1].isalpha():
+                out += [(u[:-1], front), (u[-1], "\n")]
+            else:
+                out.append((u, front))
+        return out
+
+    def _learn(self, keys: list[tuple[str, str]]) -> None:
+        """Encode new units, all at once."""
+        if not keys:
+            return
+        whole, (ids_a, ends_a, unit_a, ids_b, ends_b, unit_b) = self.encoders.encoded(keys)
+        n = sum(whole)
         cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
         group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
         first_a, first_b = np.searchsorted(group_a, np.arange(len(cuts))), np.searchsorted(group_b, np.arange(len(cuts)))
         count_a, count_b = np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts))
-        doc = doc_a[first_a]
-        out["n_groups"] = np.bincount(doc, minlength=n)
+        unit = unit_a[first_a] if len(cuts) else np.empty(0, np.int64)
         links = count_a * count_b
-        np.add.at(out["n_links"], doc, links)
-        out["digest"] = self._digests(ids_a, group_a, ids_b, group_b, doc_a, doc_b, n)
-        keys, times = self._pairs(ids_a, group_a, first_a, count_a, ids_b, first_b, count_b, doc, links)
-        bounds = np.searchsorted(keys, np.arange(n + 1) << (2 * ID_BITS))
-        keys = keys & ((1 << 2 * ID_BITS) - 1)
-        out["pairs"] = [keys[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
-        out["times"] = [times[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
-        return out
+        n_links = np.zeros(n, np.int64)
+        np.add.at(n_links, unit, links)
+        pairs, times = self._pairs(ids_a, group_a, first_a, count_a, ids_b, first_b, count_b, unit, links)
+        bounds = np.searchsorted(pairs, np.arange(n + 1) << (2 * ID_BITS))
+        found = {"n_a": np.bincount(unit_a, minlength=n), "n_b": np.bincount(unit_b, minlength=n), "n_groups": np.bincount(unit, minlength=n),
+                 "n_links": n_links, "size": np.diff(bounds)}
+        place = np.cumsum(whole) - 1
+        ok = np.array(whole)
+        for x in (*FIGURES, "size"):  # units that a tokenizer changes have zeros
+            every = np.where(ok, found[x][place], 0) if n else np.zeros(len(keys), np.int64)
+            self.figures[x].add(every) if x != "size" else self.first.add(self.first.data[self.first.n - 1] + np.cumsum(every))
+        self.pairs.add(pairs & ((1 << 2 * ID_BITS) - 1))
+        self.times.add(times)
+        texts = iter(self._texts(ids_a, group_a, ids_b, group_b, unit_a, unit_b, n))
+        for key, good in zip(keys, whole, strict=True):
+            self.number[key] = len(self.text)
+            self.text.append(next(texts) if good else None)
+
+    def _forget(self, keys, units: int, firsts: int, pairs: int) -> None:
+        """Go back to what was known before the given keys."""
+        for key in keys:
+            del self.number[key]
+        del self.text[units:]
+        self.first.n, self.pairs.n, self.times.n = firsts, pairs, pairs
+        for x in self.figures.values():
+            x.n = units
 
     def _pairs(self, ids_a, group_a, first_a, count_a, ids_b, first_b, count_b, doc, links) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (document, A id, B id) in one number, and how many links each stands for."""
@@ -207,8 +294,8 @@ class Aligner:
         np.add.at(times, place, np.concatenate(all_times))
         return keys, times
 
-    def _digests(self, ids_a, group_a, ids_b, group_b, doc_a, doc_b, n) -> list[str]:
-        """SHA-256 of ``a1,a2|b1;a3|b2,b3``: the tokens in order of group and tokenizer, each with what follows it."""
+    def _texts(self, ids_a, group_a, ids_b, group_b, unit_a, unit_b, n) -> list[str]:
+        """``a1,a2|b1;a3|b2,b3`` of each unit: the tokens in order of group and tokenizer, each with what follows it."""
         side = np.concatenate([2 * group_a, 2 * group_b + 1])
         order = np.argsort(side, kind="stable")
         ids, side = np.concatenate([ids_a, ids_b])[order], side[order]
@@ -217,11 +304,11 @@ class Aligner:
         after[:-1][step == 0] = ord(",")
         after[:-1][(step == 1) & (side[:-1] % 2 == 0)] = ord("|")
         rows = np.concatenate([self.digits[ids], after[:, None]], axis=1)
-        text = rows[rows != 0].tobytes()
-        per_doc = np.zeros(n + 1, np.int64)
-        np.add.at(per_doc, np.concatenate([doc_a, doc_b])[order] + 1, self.n_digits[ids] + 1)
-        at = np.cumsum(per_doc)
-        return [hashlib.sha256(text[i:j - 1]).hexdigest() if j > i else "" for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        text = rows[rows != 0].tobytes().decode()
+        per_unit = np.zeros(n + 1, np.int64)
+        np.add.at(per_unit, np.concatenate([unit_a, unit_b])[order] + 1, self.n_digits[ids] + 1)
+        at = np.cumsum(per_unit).tolist()
+        return [text[i:j - 1] for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
 def _narrow(values: np.ndarray) -> bytes:
@@ -233,7 +320,14 @@ def _wide(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, f"u{len(data) // n}").astype(np.int64) if n else np.empty(0, np.int64)
 
 
-DOC = ["n_a", "n_b", "n_groups", "n_links"]
+_ALIGNERS: dict[tuple[str, str], Aligner] = {}
+
+
+def aligner(paths: tuple[str, str]) -> Aligner:
+    """The worker's aligner, with the units it has seen in earlier tasks."""
+    if paths not in _ALIGNERS:
+        _ALIGNERS[paths] = Aligner(Encoders(*paths))
+    return _ALIGNERS[paths]
 
 
 def encoded(docs: DataFrame, id_col: str, text_col: str, paths: tuple[str, str], block_pairs: int) -> DataFrame:
@@ -242,7 +336,7 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, paths: tuple[str, str],
     id_type = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        align, number = Aligner(Encoders(*paths)), TaskContext.get().partitionId() << 32
+        align, number = aligner(tuple(paths)), TaskContext.get().partitionId() << 32
         ids, parts, held = [], [], 0
 
         def block() -> pa.RecordBatch:
@@ -254,10 +348,10 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, paths: tuple[str, str],
             lists = [[x.astype("<i8").tobytes()] + [None] * (len(pairs) - 1) for x in (whole, np.bincount(place, minlength=len(whole)))]
             out = pa.RecordBatch.from_arrays(
                 [pa.array([number] * len(pairs)), pa.chunked_array(ids).combine_chunks(),
-                 *(pa.array(np.concatenate([p[x] for p in parts])) for x in DOC), pa.array(sum((p["digest"] for p in parts), [])),
+                 *(pa.array(np.concatenate([p[x] for p in parts])) for x in FIGURES), pa.array(sum((p["digest"] for p in parts), [])),
                  pa.array([len(p) for p in pairs]), pa.array(steps, pa.binary()), pa.array([_narrow(t) for t in times], pa.binary()),
                  *(pa.array(x, pa.binary()) for x in lists)],
-                names=["block", "row_id", *DOC, "groups_sha256", "n_pairs", "steps", "times", "pairs", "holders"])
+                names=["block", "row_id", *FIGURES, "groups_sha256", "n_pairs", "steps", "times", "pairs", "holders"])
             number, ids, parts, held = number + 1, [], [], 0
             return out
 
@@ -312,7 +406,7 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paths
             place, links = np.cumsum(_wide(steps, k)), _wide(times, k)
             n_best.append(int(links[best[place]].sum()))
             count_sum.append(int((links * n[place]).sum()))
-        return pd.DataFrame({id_col: documents["row_id"], **{x: documents[x] for x in DOC}, "n_best": n_best, "count_sum": count_sum,
+        return pd.DataFrame({id_col: documents["row_id"], **{x: documents[x] for x in FIGURES}, "n_best": n_best, "count_sum": count_sum,
                              "groups_sha256": documents["groups_sha256"]})
 
     return rows.drop("pairs", "holders").groupBy("block").cogroup(told.groupBy("block")).applyInPandas(
