@@ -8,12 +8,13 @@ the budget, so better documents come first more often. A document is taken whole
 words come within half a document of the target: the last one is taken if that comes nearer.
 
 At scale: sizes are summed per source, then per (source, key bucket), both with map-side sums. The budget falls
-into one bucket of each source; only that bucket's documents are sorted row by row (a ``1 / BUCKETS`` part of
-the source), all others are taken or left by their bucket alone. So no source, however large, is sorted in
-one task. ``u`` is a hash of the id: a rerun takes the same documents.
+into one bucket of each source; only the documents of these buckets are sorted, by ranges of (source, key) dealt over
+all tasks, and summed along them with the ranges' totals added. So neither a large source nor rows that share a key
+meet in one task. ``u`` is a hash of id, text and source: a rerun takes the same documents, however they are dealt.
 
-Defined results: a null text has size 0 and is taken zero words; a null source is a source; repeated rows of one
-id share their key and are ordered among themselves arbitrarily, being equal; a table without words has targets 0;
+Defined results: a null text has size 0 and is taken zero words; a null source is a source; rows that are equal in id,
+text and source share their key, and it makes no difference which of them are taken (:func:`mixed_rows` orders them by
+a hash of all columns first); rows that share only an id have keys of their own; a table without words has targets 0;
 an empty table gives an empty result; other columns are ignored by :func:`mix` and kept by :func:`mixed_rows`.
 """
 
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from postlab.llm.common import written
 from postlab.operators.star import dense_index
+from postlab.operators.stats import running_totals
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -46,10 +48,12 @@ def quality_weight(text: Column, size: Column) -> Column:
     return F.when(mean.between(3, 12), F.lit(1.0)).otherwise(F.lit(0.5)) * F.when(size >= 50, F.lit(2.0)).otherwise(F.lit(0.5))
 
 
-def sampling_key(id_col: Column, weight: Column) -> Column:
+def sampling_key(id_col: Column, text: Column, source: Column, weight: Column) -> Column:
     """``u ** (1 / weight)`` counted from above: 1 - u ** (1 / w) grows with the exponential key -ln(u) / w and lies in
     [0, 1], so equal steps of it make even buckets."""
-    number = F.conv(F.substring(F.md5(F.concat(F.lit(SEED), F.coalesce(id_col.cast("string"), F.lit("")))), 1, DIGITS), 16, 10)
+    row = F.concat_ws("|", F.concat(F.lit(SEED), F.coalesce(id_col.cast("string"), F.lit(""))), F.md5(F.coalesce(text, F.lit("")).cast("binary")),
+                      F.coalesce(source, F.lit("")))
+    number = F.conv(F.substring(F.md5(row.cast("binary")), 1, DIGITS), 16, 10)
     u = (number.cast("bigint").cast("double") + 0.5) / float(16 ** DIGITS)
     return 1.0 - F.exp(F.ln(u) / weight)
 
@@ -87,9 +91,10 @@ def chosen(docs: DataFrame, share: float = 1.0, weights=WEIGHTS, max_epochs: int
     """Add size, source_size, target and copies to ``docs`` (row_id, row_text, source, and what else it holds)."""
     spark = docs.sparkSession
     docs = docs.withColumn("size", _size(F.col("row_text")))
-    docs = docs.withColumn("key", sampling_key(F.col("row_id"), quality_weight(F.coalesce(F.col("row_text"), F.lit("")), F.col("size"))))
+    docs = docs.withColumn("key", sampling_key(F.col("row_id"), F.col("row_text"), F.col("source"), quality_weight(F.coalesce(F.col("row_text"), F.lit("")), F.col("size"))))
     docs = docs.drop("row_text").withColumn("bucket", F.least(F.floor(F.col("key") * buckets), F.lit(buckets - 1)).cast("int"))
-    docs = written(docs, "mix-docs")
+    whole = F.xxhash64("row_all") if "row_all" in docs.columns else F.lit(0).cast("bigint")
+    docs = written(docs.withColumns({"row_print": whole, "uid": F.monotonically_increasing_id()}), "mix-docs")
 
     by_bucket = written(docs.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
     targets = source_targets(by_bucket.groupBy("source").agg(F.sum("words").alias("source_size")), share, weights, max_epochs)
@@ -104,15 +109,18 @@ def chosen(docs: DataFrame, share: float = 1.0, weights=WEIGHTS, max_epochs: int
 
     docs = docs.join(plan, _same(F.col("source"), F.col("plan_source"))).drop("plan_source")
     inside = docs.filter("bucket = edge")
-    along = Window.partitionBy("source").orderBy("key", "row_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.col("before") + F.sum("size").over(along)
+    inside = written(running_totals(inside.withColumn("no_source", F.col("source").isNull()),
+                                    ["no_source", "source", "key", "row_print", "uid"], ["size"]), "mix-inside")
+    begins = inside.groupBy(F.col("source").alias("begin_source")).agg(F.min(F.col("cum_size") - F.col("size")).alias("begin"))
+    inside = inside.join(begins, _same(F.col("source"), F.col("begin_source")))
+    end = F.col("before") + F.col("cum_size") - F.col("begin")
     nearer = end - F.col("rest") <= F.col("rest") - (end - F.col("size"))
-    inside = inside.withColumn("extra", nearer.cast("int"))
+    inside = inside.withColumn("extra", nearer.cast("int")).drop("no_source", "cum_size", "begin_source", "begin")
     below = docs.filter("edge IS NULL OR bucket <> edge").withColumn(
         "extra", F.coalesce((F.col("bucket") < F.col("edge")).cast("int"), F.lit(0)))
     out = below.unionByName(inside)
     return out.withColumn("copies", F.when(F.col("size") > 0, F.col("epochs") + F.col("extra")).otherwise(0).cast("bigint")).drop(
-        "key", "bucket", "epochs", "rest", "before", "edge", "extra")
+        "key", "bucket", "epochs", "rest", "before", "edge", "extra", "row_print", "uid")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
@@ -135,7 +143,7 @@ def mix_ctes(source: str, share: float = 1.0, weights=WEIGHTS, max_epochs: int =
     return f"""
 m0 AS (SELECT *, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM {source}),
 m1 AS (SELECT *, length(coalesce(text, '')) / CAST(greatest(size, 1) AS DOUBLE) AS mean,
-         (CAST('0x' || substr(md5('{SEED}' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, {DIGITS}) AS BIGINT) + 0.5e0) / {float(16 ** DIGITS)!r}::DOUBLE AS u
+         (CAST('0x' || substr(md5('{SEED}' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, '')) || '|' || coalesce(source, '')), 1, {DIGITS}) AS BIGINT) + 0.5e0) / {float(16 ** DIGITS)!r}::DOUBLE AS u
        FROM m0),
 m2 AS (SELECT *, 1.0e0 - exp(ln(u) / ((CASE WHEN mean BETWEEN 3 AND 12 THEN 1.0e0 ELSE 0.5e0 END) * (CASE WHEN size >= 50 THEN 2.0e0 ELSE 0.5e0 END))) AS key FROM m1),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM m2 GROUP BY source),

@@ -6,13 +6,13 @@ pack at most. Packing follows the sum-of-squares rule: with N(g) open sequences
 where the sum of N(g)**2 becomes smallest (ties: the smallest gap); a perfect fit closes its sequence.
 
 At scale: tokenization is one map over the documents; what is shuffled is one narrow row per document
-(id, length, checksums of its pieces). Documents are dealt evenly by a hash of their id into groups of about
-``group_docs`` rows, and each group is packed by itself, longest piece first. A group leaves few open
+(id, length, checksums of its pieces), written with a number. Documents are dealt evenly by a hash of that number, so
+equal rows spread too, into groups of about ``group_docs`` rows, and each group is packed by itself, longest piece first. A group leaves few open
 sequences, so the loss against packing everything at once is a fraction of a percent, and no task ever
 holds more than a group. The number of groups follows the number of documents.
 
-Defined results: a null or empty text is the end id alone; repeated rows are packed one by one; an empty table
-gives an empty result; columns other than id and text are ignored, whatever their names.
+Defined results: a null or empty text is the end id alone; repeated rows and null ids are packed one by one, ids may have
+any type that reads back from its text; an empty table gives an empty result; columns other than id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postlab.llm.common import written
+
 CAPACITY = 2048
 END_ID = 0
 GROUP_DOCS = 3072
@@ -98,14 +100,16 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
          group_docs: int = GROUP_DOCS, path: str | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    groups = max(1, -(-docs.count() // group_docs))
-    rows = tokenized(docs, id_col, text_col, capacity, path or tokenizer_path())
-    rows = rows.withColumn("pack_group", F.pmod(F.xxhash64("row_id", "n", F.col("crcs")[0]), F.lit(groups)))
+    named = docs.select(F.col(id_col).cast("string").alias("row_id"), F.col(text_col).alias("row_text"))
+    rows = tokenized(named, "row_id", "row_text", capacity, path or tokenizer_path())
+    rows = written(rows.withColumn("uid", F.monotonically_increasing_id()), "pack-rows")
+    groups = max(1, -(-rows.count() // group_docs))
+    rows = rows.withColumn("pack_group", F.pmod(F.xxhash64("uid"), F.lit(groups)))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         n = pdf["n"].to_numpy()
         first = (n - 1) % capacity + 1
-        order = np.lexsort((pdf["row_id"].fillna(-1).to_numpy(), -first))
+        order = np.lexsort((pdf["uid"].to_numpy(), -first))
         sequence, offset = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
         sequence[order], offset[order] = pack_lengths(first[order], capacity)
         pieces = (n - first) // capacity + 1
@@ -122,5 +126,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             "sequence_id": (np.int64(key[0]) << 32) + number,
             "offset": np.where(is_first, offset[doc], 0)})
 
-    return rows.groupBy("pack_group").applyInPandas(
-        run, f"`{id_col}` {id_type}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    packed = rows.groupBy("pack_group").applyInPandas(
+        run, f"`{id_col}` string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return packed.withColumn(id_col, F.col(id_col).cast(id_type))

@@ -162,17 +162,24 @@ q2 AS (SELECT doc_id, CAST(1 AS BIGINT) AS one, CAST(len(words) AS BIGINT) AS n_
          CAST(len(lines) AS BIGINT) AS n_lines,
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
          CAST(len(list_filter(lines, lambda x: x LIKE '%...' OR x LIKE '%…')) AS BIGINT) AS n_ellipsis_lines,
-         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+         length(regexp_replace(txt, '\\P{{L}}+|\\p{{Latin}}+', '', 'g')) > length(regexp_replace(txt, '\\P{{Latin}}+', '', 'g')) AS other_script
        FROM q1 LEFT JOIN cov USING (doc_id))"""
 
 
+def _holds_sql(rule) -> str:
+    name, num, op, thousandths, den = rule
+    holds = f"{num} * 1000 {op} {den} * {thousandths}"
+    return f"(other_script OR {holds})" if name in LATIN_RULES else f"({holds})"
+
+
 def verdict_sql(rules=RULES) -> str:
-    holds = " AND ".join(f"{num} * 1000 {op} {den} * {t}" for _, num, op, t, den in rules)
+    holds = " AND ".join(_holds_sql(rule) for rule in rules)
     return f"(NOT (n_words < 20 OR n_repeat_words * 100 > n_words * 30) AND {holds})"
 
 
 def quality_sql(rules=RULES) -> str:
-    failed = ", ".join(f"CASE WHEN NOT ({n} * 1000 {op} {d} * {t}) THEN '{name}' END" for name, n, op, t, d in rules)
+    failed = ", ".join(f"CASE WHEN NOT {_holds_sql(rule)} THEN '{rule[0]}' END" for rule in rules)
     return f"""WITH {figures_sql('documents')}
 SELECT doc_id, {', '.join(BASE_FIGURES)}, (n_words < 20 OR n_repeat_words * 100 > n_words * 30) AS base_failed,
        {verdict_sql(rules)} AS kept, n_stop_words, n_lines, concat_ws(',', {failed}) AS failed_rules

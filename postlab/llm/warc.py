@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from postlab.llm import storage
 from postlab.llm.common import shared_path, written
 
+#: Compressed bytes of frames that a task reads back.
+READ_BYTES = 64 << 20
 FRAME_BYTES = 1 << 20
 LEVEL = 3
 #: Fixed values of the seekable Zstandard format.
@@ -202,7 +204,11 @@ def round_trip(pages: DataFrame, out_dir: str | None = None, min_bytes: int = 0)
     """Write the archives, then read every frame back."""
     out_dir = out_dir or shared_path(pages.sparkSession, "warc")
     index = written(write_bundles(pages, out_dir, min_bytes=min_bytes), "warc-index")
-    return read_frames(index.filter("offset = 0").repartition("file", "frame_start"))
+    frames = index.filter("offset = 0")
+    n, size = frames.agg(F.count(F.lit(1)), F.coalesce(F.sum("frame_bytes"), F.lit(0))).first()
+    # the rows are tiny and their frames are not: tasks by the bytes they will read, and enough for every core
+    tasks = max(-(-size // READ_BYTES), min(n, 4 * pages.sparkSession.sparkContext.defaultParallelism), 1)
+    return read_frames(frames.repartition(int(tasks), "file", "frame_start"))
 
 
 def read_one(row) -> tuple[dict[str, str], bytes]:
