@@ -13,6 +13,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postlab.functions.exprs import finite
 from postlab.schema import FLAG_COLUMNS, RAW_SCHEMA
@@ -111,7 +112,7 @@ def load_posts_csv(spark: SparkSession, path: str, corrupt_column: str | None =
     schema = RAW_SCHEMA
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
     if corrupt_column:
-        schema = RAW_SCHEMA.add(corrupt_column, "string")
+        schema = T.StructType([*RAW_SCHEMA.fields, T.StructField(corrupt_column, T.StringType())])
         reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
     df = reader.schema(schema).csv(path)
     return coerce_flags(df)
