@@ -4,7 +4,7 @@ Cluster-quality measures are linear-time: inertia, Calinski-Harabasz and Davies-
 silhouette uses squared Euclidean distance, for which the mean distance of a row to a cluster follows from the
 cluster's size, mean and mean square norm. K-Means fits for every K and restart share each scan: one job per
 Lloyd iteration sums all models' clusters per task, and only the cluster sums reach the driver. Density
-clustering works on grid cells.
+clustering is in ``density``; a table of grid cells gives an overview of where the rows are.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlab.functions.exprs import bounded_broadcast
+from postlab.operators.density import dbscan, default_min_samples
 from postlab.operators.prep import subsample
 from postlab.schema import (CLUSTER_NARRATIVE_PREFIX, CLUSTER_TRAITS, KMEANS_N_INIT_LARGE, KMEANS_N_INIT_SMALL,
                             KMEANS_N_INIT_ROWS)
@@ -247,8 +248,8 @@ def narrative(profile: DataFrame, global_means: DataFrame) -> DataFrame:
     return profile.withColumn("interpretation", text)
 
 
-# ------------------------------------------------------------------ density clustering on grid cells
-#: Coordinates that make the grid; every further one multiplies the neighbours of a cell by three.
+# ------------------------------------------------------------------ overview of dense cells
+#: Coordinates that make the overview grid.
 DENSITY_AXES = 3
 
 
@@ -256,40 +257,11 @@ def density_cells(df: DataFrame, cols: list[str], eps: float = 0.75, min_samples
     """Cells of width ``eps`` over the first DENSITY_AXES columns: (g0, g1, g2, n, dense). A cell is dense with at least
     ``min_samples`` rows (2 % of the rows, between 3 and 50, by default)."""
     if min_samples is None:
-        min_samples = min(max(3, int(df.count() * 0.02)), 50)
+        min_samples = default_min_samples(df.count())
     axes = [F.floor(F.col(c).cast("double") / eps).cast("int").alias(f"g{i}") for i, c in enumerate(cols[:DENSITY_AXES])]
     return df.groupBy(*axes).agg(F.count(F.lit(1)).alias("n")).withColumn("dense", F.col("n") >= min_samples)
 
 
-def density_clusters(df: DataFrame, cols: list[str], eps: float = 0.75, min_samples: int | None = None,
-                     key: str = "post_id", max_rounds: int = 500) -> DataFrame:
-    """CLU-11 (re-aimed to all rows): adjacent dense cells form a cluster; rows in other cells are noise (-1).
-
-    Rows are only counted by cell and joined to their cell's label; labels spread between neighbouring cells by
-    equi-joins over the 3**axes steps, checkpointed each round. Clusters are numbered by their smallest cell."""
-    grid = [f"g{i}" for i in range(min(DENSITY_AXES, len(cols)))]
-    cells = cut_lineage(density_cells(df, cols, eps, min_samples).filter("dense").select(*grid, F.struct(*grid).alias("label")))
-    steps = [[]]
-    for _ in grid:
-        steps = [[*s, x] for s in steps for x in (-1, 0, 1)]
-    around = F.explode(F.array(*[F.struct(*[F.lit(x).alias(f"d{i}") for i, x in enumerate(s)]) for s in steps])).alias("step")
-    for _ in range(max_rounds):
-        sent = cells.select(*grid, "label", around).select(*[(F.col(g) + F.col(f"step.d{i}")).alias(g) for i, g in enumerate(grid)], "label")
-        heard = sent.groupBy(*grid).agg(F.min("label").alias("heard"))
-        new = cut_lineage(cells.join(heard, grid).withColumn("moved", F.col("heard") < F.col("label")).select(*grid, F.col("heard").alias("label"), "moved"))
-        cells = new.drop("moved")
-        if new.filter("moved").isEmpty():
-            break
-    else:
-        raise RuntimeError("cell labels did not settle")
-    names = cells.select("label").distinct()
-    # one row per cluster of cells
-    names = names.select("label", (F.row_number().over(Window.orderBy("label")) - 1).cast("int").alias("dbscan_cluster"))
-    cells = cells.join(names, "label").drop("label")
-    rows = df.select(F.col(key), *[F.floor(F.col(c).cast("double") / eps).cast("int").alias(g) for c, g in zip(cols, grid, strict=False)])
-    return rows.join(cells, grid, "left").select(key, F.coalesce("dbscan_cluster", F.lit(-1)).alias("dbscan_cluster"))
-
-
 # ------------------------------------------------------------------ comparison (CLU-09/10)
 def bisecting(scaled: DataFrame, k: int, seed: int = 42, features: str = "features_scaled") -> DataFrame:
     """CLU-10 (re-aimed): top-down hierarchical clustering of all rows."""
@@ -312,7 +284,7 @@ def compare_models(scaled: DataFrame, cols: list[str], seed: int = 42, cluster_c
         return (name, int(k), sil, met["davies_bouldin_index"], met["calinski_harabasz_score"], inertia, False, n, None)
 
     centers, cost = (fits or fit_kmeans(scaled, cols, [cluster_count], seed, restarts, key))[cluster_count]
-    dense = cut_lineage(density_clusters(scaled, cols, key=key))
+    dense = cut_lineage(dbscan(scaled, cols, key=key))
     labels = dense.agg(F.count_distinct("dbscan_cluster")).first()[0]
     rows = [metrics_row(assign(scaled, cols, centers), "cluster", "K-Means", cluster_count, cost),
             metrics_row(bisecting(scaled, cluster_count, seed), "cluster", "Hierarchical (bisecting k-means)", cluster_count),

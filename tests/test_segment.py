@@ -3,7 +3,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from postlab.operators import segment
+from postlab.operators import density, segment
 
 
 @pytest.fixture(scope="module")
@@ -77,8 +77,8 @@ def test_blobs_recovered_and_one_best(blobs):
 
 def test_dbscan_two_blobs(blobs):
     df, _ = blobs
-    lab = segment.density_clusters(df, ["x", "y"], eps=0.75, min_samples=3)
+    lab = density.dbscan(df, ["x", "y"], eps=0.75, min_samples=3)
     got = lab.join(df, "post_id").groupBy("truth").agg(F.collect_set("dbscan_cluster").alias("s")).collect()
-    sets = sorted(tuple(sorted(set(r["s"]) - {-1})) for r in got)  # rows in thin cells are noise
+    sets = sorted(tuple(sorted(set(r["s"]) - {-1})) for r in got)  # thin rows are noise
     assert sets == [(0,), (1,)]
     assert lab.count() == 60 and lab.filter("dbscan_cluster >= 0").count() >= 45
