@@ -2,10 +2,10 @@
 
 Isolation forest (Liu, Ting and Zhou, 2008) as a Spark job:
 
-1. *Sampling* - rows are thinned by one hash to about ``thin_rows`` candidates (a uniform sample,
-   independent of n), then each candidate joins the trees whose per-tree hash puts it in a small
-   window; ``row_number() <= psi`` per tree keeps exactly psi = min(256, n) rows per tree. Only
-   about trees x 2psi rows are shuffled, whatever the table size.
+1. *Sampling* - every row of the table takes part in the draw of every tree: a hash of its key and the tree orders the
+   rows, and a tree takes the psi = min(256, n) smallest. Each task keeps the psi smallest it meets per tree, of those
+   below a bound that about 2 psi rows of the table pass, and the tree's group keeps the psi smallest of what the tasks
+   send: a mergeable sketch, one pass, about trees x 2 psi rows shuffled whatever the table's size.
 2. *Fitting* - ``groupBy("tree_id").applyInPandas`` grows one isolation tree per group (psi rows).
 3. *Scoring* - the node table (at most trees x (2psi - 1) rows, a bound fixed by the parameters)
    is broadcast and ``mapInPandas`` walks every row through all trees, vectorised per batch.
@@ -77,21 +77,39 @@ def _grow(pdf: pd.DataFrame, cols: list[str], seed: int, max_depth: int) -> pd.D
                        "right_child": "int32", "size": "int32", "depth": "int32"})
 
 
+def _tree_hashes(keys: np.ndarray, seed: int, tree: int) -> np.ndarray:
+    """A 64-bit hash of each (hashed) key for one tree."""
+    x = keys ^ np.uint64((seed * 0x9E3779B97F4A7C15 + (tree + 1) * 0xD1B54A32D192ED03) % (1 << 64))
+    for multiply in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(multiply)
+    return x ^ (x >> np.uint64(31))
+
+
 def tree_samples(df: DataFrame, cols: list[str], n_trees: int = 300, max_samples: int = 256, seed: int = 42,
-                 key: str = "post_id", thin_rows: int = 200_000):
-    """Per-tree samples without replacement: (tree_id, cols...) with psi rows per tree, and psi."""
+                 key: str = "post_id"):
+    """Candidates of every tree's sample (tree_id, draw, cols...), the psi smallest draws of which are the sample, and psi."""
     n = df.count()
     psi = min(max_samples, n)
-    m = min(n, max(thin_rows, 4 * psi))
-    h0 = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(n))
-    cand = df.where(h0 < m) if m < n else df
-    window = min(m, 2 * psi) if m > psi else m
-    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                     lambda t: F.pmod(F.xxhash64(F.col(key), F.lit(seed), t), F.lit(m)) < window)
-    exploded = cand.select(F.explode(trees).alias("tree_id"), F.col(key), *cols)
-    w = Window.partitionBy("tree_id").orderBy(F.xxhash64(F.col(key), F.lit(seed + 7), F.col("tree_id")), key)
-    picked = exploded.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= psi).drop("__r")
-    return picked, psi
+    bound = np.uint64(min((1 << 64) - 1, (1 << 64) * 2 * psi // max(n, 1)))
+
+    def run(batches):
+        held: list[pd.DataFrame | None] = [None] * n_trees
+        for pdf in batches:
+            keys = pdf["key_hash"].to_numpy(np.int64).view(np.uint64)
+            for tree in range(n_trees):
+                h = _tree_hashes(keys, seed, tree)
+                at = np.flatnonzero(h <= bound)
+                if not len(at):
+                    continue
+                one = pdf.iloc[at].drop(columns="key_hash").assign(draw=(h[at] >> np.uint64(1)).astype(np.int64))
+                one = one if held[tree] is None else pd.concat([held[tree], one])
+                held[tree] = one.nsmallest(psi, "draw") if len(one) > psi else one
+        for tree, one in enumerate(held):
+            if one is not None:
+                yield one.assign(tree_id=np.int32(tree))[["tree_id", "draw", *cols]]
+
+    rows = df.select(F.xxhash64(key).alias("key_hash"), *[F.col(c).cast("double").alias(c) for c in cols])
+    return rows.mapInPandas(run, "tree_id int, draw long, " + ", ".join(f"`{c}` double" for c in cols)), psi
 
 
 def fit_isolation_forest(df: DataFrame, cols: list[str], n_trees: int = 300, max_samples: int = 256,
@@ -99,7 +117,8 @@ def fit_isolation_forest(df: DataFrame, cols: list[str], n_trees: int = 300, max
     """ANO-01: node table of the forest (a DataFrame) and psi."""
     samples, psi = tree_samples(df, cols, n_trees, max_samples, seed, key)
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
-    nodes = samples.groupBy("tree_id").applyInPandas(lambda pdf: _grow(pdf, cols, seed, max_depth), NODE_SCHEMA)
+    nodes = samples.groupBy("tree_id").applyInPandas(
+        lambda pdf: _grow(pdf.nsmallest(psi, "draw"), cols, seed, max_depth), NODE_SCHEMA)
     return nodes, psi
 
 

@@ -54,3 +54,24 @@ def test_reasons_and_summary_without_anomalies(spark):
     assert out2[1] == "abnormal engagement spike; high misinformation probability"
     s = anomaly.summary(df.withColumn("anomaly_label", F.lit(1)).withColumn("anomaly_score", F.lit(0.1))).first()
     assert s["anomaly_count"] == 0 and s["anomaly_percentage"] == 0.0
+
+
+def test_every_tree_draws_psi_rows_from_all_rows(spark):
+    n = 5_000
+    df = spark.range(n).selectExpr("id as post_id", "cast(id as double) as x")
+    samples, psi = anomaly.tree_samples(df, ["x"], n_trees=60, max_samples=64)
+    parts = {}
+    for r in samples.collect():
+        parts.setdefault(r["tree_id"], []).append((r["draw"], r["x"]))
+    assert psi == 64 and len(parts) == 60
+    drawn = {t: sorted(v)[:psi] for t, v in parts.items()}
+    assert all(len({x for _, x in v}) == psi for v in drawn.values())
+    every = {x for v in drawn.values() for _, x in v}
+    assert len(every) > 0.45 * n  # 60 x 64 draws out of 5,000 rows leave about 46 % of them out
+    again, _ = anomaly.tree_samples(df.repartition(11), ["x"], n_trees=60, max_samples=64)
+    other = {}
+    for r in again.collect():
+        other.setdefault(r["tree_id"], []).append((r["draw"], r["x"]))
+    assert {t: sorted(v)[:psi] for t, v in other.items()} == drawn
+    small, psi = anomaly.tree_samples(df.limit(10), ["x"], n_trees=3)
+    assert psi == 10 and small.count() == 30
