@@ -5,14 +5,16 @@ word's context. Level 1 of the trie is the vocabulary: sorted 64-bit word hashes
 counts; a word's id is its rank. Level 2 holds every bigram, its context the id of the word before; level 3 every
 trigram, its context the id (rank) of the bigram before. Both keep sorted contexts, monotone pointers to their ranges,
 and successors made monotone by adding the last value of the range before, so a successor is found by one search
-relative to its context. Counts and numbers of different successors are exact, as places in a book of the shard's
-values, one byte for most. All levels are cut into shards, written as files into the shared folder and memory-mapped.
+relative to its context. An n-gram stores its discounted probability and a context its back-off weight, both quantised: one
+byte each, a bin of the logarithm in the shard's book. The bigram level also keeps exact counts, from which the trigram
+level's contexts are dealt. All levels are cut into shards, written as files into the shared folder and memory-mapped.
 
     p(w)       = (c(w) + 0.1) / (N + 0.1 (V + 1))
-    p(w | u)   = (max(c(u w) - D, 0) + D k(u) p(w)) / c(u)
-    p(w | t u) = (max(c(t u w) - D, 0) + D k(t u) p(w | u)) / c(t u)
+    p(w | u)   = a(u w) + b(u) p(w),           a(u w) = (c(u w) - D) / c(u),          b(u) = D k(u) / c(u)
+    p(w | t u) = a(t u w) + b(t u) p(w | u),   a(t u w) = (c(t u w) - D) / c(t u),    b(t u) = D k(t u) / c(t u)
 
-k is the number of different successors; an unseen context leaves the shorter one. A text's first word has the end
+a and b are what is stored; a is 0 for n-grams not in the trie, k is the number of different successors, and an unseen
+context leaves the shorter one. The base score uses exact counts. A text's first word has the end
 mark alone as its context, the second the end mark and the first word.
 
 Counting is by Spark: tasks count what they read and send the keys of each shard in one piece; the task that builds a
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlab.llm.common import id_remainder, shared_path, written
-from postlab.llm.eliasfano import U64, EliasFano, mapped, save
+from postlab.llm.eliasfano import U64, EliasFano, mapped, quantised, save
 
 DISCOUNT = 0.5
 ADD = 0.1
@@ -94,6 +96,16 @@ def coded(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
     return {f"{name}.book": book.astype(np.int64), f"{name}.codes": codes.astype(np.min_scalar_type(len(book)))}
 
 
+def chances(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
+    """Positive numbers, quantised by their logarithms."""
+    codes, book = quantised(np.log10(values))
+    return {f"{name}.book": (10.0 ** book.astype(np.float64)), f"{name}.codes": codes}
+
+
+def _nothing(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return np.full(n, NO_ID, np.int64), np.zeros(n, np.int64), np.zeros(n), np.ones(n)
+
+
 class Trie:
     """What a task needs to read the levels: folder, first id of each shard of each level (and the end), totals."""
 
@@ -140,36 +152,39 @@ class Trie:
         """Shard of each pair of context and word; ``seen`` is the context's count."""
         return shard_of(mixed(context.astype(U64) + mixed(mixed(word) % (seen // self.part + 1).astype(U64))), shards)
 
-    def find(self, level: str, context: np.ndarray, word: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids (NO_ID if not in the trie) and counts of n-grams, and the number of different successors of their contexts."""
-        ids, counts, kinds = np.full(len(word), NO_ID, np.int64), np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
+    def find(self, level: str, context: np.ndarray, word: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Ids (NO_ID if not in the trie), counts (bigrams only) and discounted probabilities (0 if not in the trie) of
+        n-grams, and the back-off weights of their contexts (1 if unseen)."""
+        out = _nothing(len(word))
         known = np.flatnonzero(seen)
         if level not in self.firsts or not len(known):
-            return ids, counts, kinds
+            return out
         _, some, place = np.unique(context[known] << self.bits | (word[known] + 1), return_index=True, return_inverse=True)
         some = known[some]
         found = self._find(level, context[some], word[some], seen[some])
-        for out, x in zip((ids, counts, kinds), found, strict=True):
-            out[known] = x[place]
-        return ids, counts, kinds
+        for whole, x in zip(out, found, strict=True):
+            whole[known] = x[place]
+        return out
 
-    def _find(self, level: str, context: np.ndarray, word: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids, counts, kinds = np.full(len(word), NO_ID, np.int64), np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
+    def _find(self, level: str, context: np.ndarray, word: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, ...]:
+        ids, counts, own, weight = _nothing(len(word))
         for first, arrays, at in self._by_shard(level, self.dealt(context, word, seen, len(self.firsts[level]) - 1)):
             k, hit = arrays["contexts"].successor(context[at].astype(U64))
             at, k = at[hit], k[hit]
-            kinds[at] = arrays["kinds.book"][arrays["kinds.codes"][k]]
+            weight[at] = arrays["weights.book"][arrays["weights.codes"][k]]
             begin, end = arrays["pointers"].access(k).astype(np.int64), arrays["pointers"].access(k + 1).astype(np.int64)
             base = np.where(begin > 0, arrays["words"].access(np.maximum(begin - 1, 0)), U64(0))
             place, hit = arrays["words"].successor(base + (word[at] + 1).astype(U64))
             hit &= (place < end) & (word[at] != NO_ID)
             ids[at[hit]] = place[hit] + first
-            counts[at[hit]] = arrays["counts.book"][arrays["counts.codes"][place[hit]]]
+            own[at[hit]] = arrays["own.book"][arrays["own.codes"][place[hit]]]
+            if "counts.codes" in arrays:
+                counts[at[hit]] = arrays["counts.book"][arrays["counts.codes"][place[hit]]]
         often = np.flatnonzero(seen >= self.part)
         if len(often):
             arrays = self._file(f"{level}-often")
-            kinds[often] = arrays["kinds"][np.searchsorted(arrays["contexts"], context[often])]
-        return ids, counts, kinds
+            weight[often] = arrays["weights"][np.searchsorted(arrays["contexts"], context[often])]
+        return ids, counts, own, weight
 
 
 def _counted(docs: DataFrame, keys_of, name: str) -> DataFrame:
@@ -203,10 +218,16 @@ def _bigrams(trie: Trie, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.nda
 def _trigrams(trie: Trie, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per word: id of the bigram before, word id, count of the bigram before (0 at the first word of a text)."""
     context, word, seen, _ = _bigrams(trie, hashes, starts)
-    ids, counts, _ = trie.find("bigram", context, word, seen)
+    ids, counts, *_ = trie.find("bigram", context, word, seen)
     return _shifted(ids, starts, NO_ID), word, _shifted(counts, starts, 0)
 
 
+def _often(contexts: np.ndarray, seen: np.ndarray, part: int) -> bytes:
+    """The contexts seen so often that their successors are dealt over several shards, and their counts."""
+    often = seen >= part
+    return np.unique(np.column_stack([contexts[often], seen[often]]), axis=0).astype(np.int64).tobytes()
+
+
 def _add_level(docs: DataFrame, trie: Trie, level: str, grams_of, shard_rows: int) -> None:
     """Count the n-grams (context, word, context's count) that ``grams_of`` gives and write them as a level."""
     shards = -(-trie.n // shard_rows)  # at most one key a word
@@ -225,7 +246,7 @@ def _add_level(docs: DataFrame, trie: Trie, level: str, grams_of, shard_rows: in
             yield pa.RecordBatch.from_arrays([
                 pa.array(numbers, pa.int64()), pa.array([keys[at].tobytes() for at in pieces], pa.binary()),
                 pa.array([n[at].astype(np.int32).tobytes() for at in pieces], pa.binary()),
-                pa.array([np.unique(keys[at][seen[at] >= trie.part] >> bits).tobytes() for at in pieces], pa.binary())],
+                pa.array([_often(keys[at] >> bits, seen[at], trie.part) for at in pieces], pa.binary())],
                 names=["shard", "keys", "n", "often"])
 
     def shard_file(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -241,22 +262,28 @@ def _add_level(docs: DataFrame, trie: Trie, level: str, grams_of, shard_rows: in
         base = np.concatenate([[0], np.cumsum(w[pointers[1:] - 1] + 1)[:-1]])  # the last value of the range before
         words = (w + 1 + base[np.cumsum(new) - 1]).astype(U64)
         kinds = np.diff(pointers)
+        # a context's count is the sum over its successors, unless they are dealt over several shards
+        total = np.add.reduceat(n, first)
+        often = np.unique(np.frombuffer(b"".join(pdf["often"]), np.int64).reshape(-1, 2), axis=0)
+        place = np.searchsorted(u[first], often[:, 0])
+        total[place] = often[:, 1]
         save(f"{folder}/{level}-{int(key[0]):06d}", EliasFano.build(u[first].astype(U64)).parts("contexts")
              | EliasFano.build(pointers.astype(U64)).parts("pointers") | EliasFano.build(words).parts("words")
-             | coded(n, "counts") | coded(kinds, "kinds"))
-        often = np.unique(np.frombuffer(b"".join(pdf["often"]), np.int64))
-        return pd.DataFrame({"shard": key[0], "context": [NO_ID, *often.tolist()],
-                             "rows": [len(u), *kinds[np.searchsorted(u[first], often)].tolist()]})
+             | chances((n - DISCOUNT) / np.repeat(total, kinds), "own") | chances(DISCOUNT * kinds / total, "weights")
+             | (coded(n, "counts") if level == "bigram" else {}))
+        return pd.DataFrame({"shard": key[0], "context": [NO_ID, *often[:, 0].tolist()], "rows": [len(u), *kinds[place].tolist()],
+                             "seen": [0, *often[:, 1].tolist()]})
 
     made = docs.mapInArrow(run, "shard long, keys binary, n binary, often binary").groupBy("shard").applyInPandas(
-        shard_file, "shard long, context long, rows long").toPandas()  # one row per file, and CONTEXT_PARTS at most
+        shard_file, "shard long, context long, rows long, seen long").toPandas()  # one row per file, and CONTEXT_PARTS at most
     if made.empty:
         return
     whole = made["context"] == NO_ID
     sizes = np.zeros(shards, np.int64)
     sizes[made["shard"][whole]] = made["rows"][whole]
-    often = made[~whole].groupby("context")["rows"].sum()
-    save(f"{folder}/{level}-often", {"contexts": often.index.to_numpy(np.int64), "kinds": often.to_numpy(np.int64)})
+    often = made[~whole].groupby("context").agg({"rows": "sum", "seen": "first"})
+    save(f"{folder}/{level}-often", {"contexts": often.index.to_numpy(np.int64),
+                                     "weights": DISCOUNT * often["rows"].to_numpy(np.float64) / often["seen"].to_numpy(np.float64)})
     trie.firsts[level] = np.concatenate([[0], np.cumsum(sizes)])
     if int(trie.firsts[level][-1]).bit_length() + bits > 63:
         raise ValueError("n-gram and word id share 63 bits")
@@ -302,8 +329,8 @@ def scored(docs: DataFrame, id_col: str, text_col: str, trie: Trie) -> DataFrame
             p = trie.probability(count) if trie.v else np.ones(len(count))
             alone = np.log10(p)
             for level in ("bigram", "trigram"):
-                ids, n, kinds = trie.find(level, context, word, seen)
-                p = np.where(seen > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * p) / np.maximum(seen, 1), p)
+                ids, n, own, weight = trie.find(level, context, word, seen)
+                p = own + weight * p
                 context, seen = _shifted(ids, starts, NO_ID), _shifted(n, starts, 0)
             together = np.log10(p)
             ends = np.append(starts[1:], len(hashes))
