@@ -98,6 +98,21 @@ def test_other_scripts_are_not_judged_by_latin_rules(spark):
     assert {r.doc_id for r in quality.keep_good(docs).collect()} == {1, 2, 3, 4}
 
 
+def test_quality_sql_twin_judges_other_scripts_alike(spark):
+    import duckdb
+
+    rows = [(1, "быстрая лиса прыгает через ленивую собаку у реки " * 2), (2, "αβγ δεζ ηθι κλμ νξο " * 1 + " ".join(f"ωψ{chr(0x3b1 + i)}" for i in range(20))),
+            (3, " ".join(f"qzx{chr(97 + i)} das" for i in range(20))), (4, None), (5, " ".join(f"w{i} лис" for i in range(20)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    cur = con.execute(quality.quality_sql())
+    names = [c[0] for c in cur.description]
+    want = {r[0]: dict(zip(names, r)) for r in cur.fetchall()}
+    for r in quality.quality(docs).collect():
+        assert {c: r[c] for c in names} == want[r.doc_id]
+
+
 def test_quality_runs_without_python(spark):
     plan = quality.quality(table(spark, SF, "documents"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
@@ -125,6 +140,43 @@ def test_language_held_out_accuracy_and_edges(spark):
     assert {r.lang_pred for r in langid.identify(unlabelled).collect()} == {"und"}
 
 
+FOREIGN = [
+    "la volpe marrone salta sopra il cane pigro vicino al fiume mentre gli altri animali della foresta dormono sotto gli alberi alti",
+    "быстрая лиса прыгает через ленивую собаку у реки пока другие животные спят в лесу", "素早い茶色の狐は怠け者の犬を飛び越えて川のそばで静かに眠る",
+    "η γρήγορη αλεπού πηδά πάνω από τον τεμπέλη σκύλο δίπλα στο ποτάμι", "الثعلب البني السريع يقفز فوق الكلب الكسول قرب النهر في الغابة",
+    "hızlı kahverengi tilki nehrin yanındaki tembel köpeğin üzerinden atlar ve ormandaki arkadaşlarına doğru koşar",
+    "szybki brązowy lis przeskakuje nad leniwym psem obok rzeki podczas gdy inne zwierzęta śpią w lesie",
+]
+
+
+def test_language_rejects_foreign_text_and_noise_and_keeps_mixtures(spark):
+    rng = np.random.default_rng(5)
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    model = langid.train(docs, "doc_id", "text", "lang")
+    assert not any(model.predict(t)[2] for t in FOREIGN)
+    noise = [" ".join("".join(map(chr, rng.integers(97, 123, rng.integers(2, 11)))) for _ in range(rng.integers(8, 60))) for _ in range(300)]
+    noise += [rng.bytes(int(n)).hex(" ", 16) for n in rng.integers(100, 2000, 100)]
+    assert sum(model.predict(t)[2] for t in noise) <= 0.1 * len(noise)
+    known = [r for r in docs.filter("lang is not null and text is not null").collect() if crc(r.doc_id, 3) == 1]
+    two = [(a.text[:1500] + "\n" + b.text[:1500]) for a, b in zip(known, known[1:]) if a.lang != b.lang]
+    assert sum(model.predict(t)[2] for t in two) >= 0.99 * len(two)
+    assert sum(model.predict(r.text)[2] for r in known) >= 0.998 * len(known)
+
+
+def test_language_sample_is_bounded_and_holds_every_language(spark):
+    rows = [(None, f"the same words of {la}", la) for la in ("aa", "bb") for _ in range(2000)]
+    rows += [(i, f"{chr(97 + i % 26) * 5} lang number {i} tt", f"l{i:03d}") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    langid_fit, langid.fit = langid.fit, lambda e: seen.append(e) or langid_fit(e)
+    try:
+        model = langid.train(docs, "doc_id", "text", "lang", 100)
+    finally:
+        langid.fit = langid_fit
+    assert set(model.langs) == {la for i, _, la in rows if i is None or crc(i, 3) != 1}
+    assert len({(e[0], e[1]) for e in seen[0]}) <= 100
+
+
 def test_long_text_in_blocks_counts_like_one_piece(monkeypatch):
     text = ("abc déf ghij " * 400).encode().translate(langid.FOLD)
     whole = langid.gram_counts(text)
@@ -151,7 +203,6 @@ def test_packing_query_holds_every_token_once(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     docs = {r.doc_id: r.text or "" for r in table(spark, SF, "documents").collect()}
     rows = QUERIES["op4_best_fit_packing"](spark, SF).collect()
     by_doc = {}
@@ -170,6 +221,16 @@ def test_packing_query_holds_every_token_once(spark):
     assert len(sequences) <= 1.02 * -(-sum(r.length for r in rows) // 2048)
 
 
+def test_packing_any_ids_and_hot_rows(spark):
+    rows = packing.pack(spark.createDataFrame([("a", "x y"), (None, "z"), (None, "z"), ("b", None)], "doc_id string, text string")).collect()
+    assert Counter(r.doc_id for r in rows) == Counter({"a": 1, None: 2, "b": 1})
+    same = [(None, "the same")] * 7000 + [(2 ** 60 + 1, "z")]
+    rows = packing.pack(spark.createDataFrame(same, "doc_id long, text string")).collect()
+    groups = Counter(r.sequence_id >> 32 for r in rows)
+    assert len(groups) == 3 and max(groups.values()) < 0.4 * len(rows)  # copies don't meet in one group
+    assert [r.doc_id for r in rows if r.doc_id is not None] == [2 ** 60 + 1]
+
+
 def test_packing_edges(spark):
     docs = odd_docs(spark)
     rows = packing.pack(docs).collect()
@@ -204,8 +265,7 @@ def test_piece_cache_equals_tokenizer(text):
     from postlab.llm.tokens import PieceIds
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
-    got = np.frombuffer(PieceIds(public_tokenizers.path("byte_bpe_50k.tiktoken")).text_ids(text), "<u4").tolist()
+    got = np.frombuffer(PieceIds(public_tokenizers.path("byte_bpe_50k.tiktoken")).ids(text), "<u4").tolist()
     assert got == tok.encode(text, add_special_tokens=False).ids
 
 
