@@ -17,10 +17,10 @@ bytes of its id. Texts whose decoded bytes differ from space+text have no tokens
 3. Each block meets its counts, and its documents look their pairs up by place.
 
 Texts are encoded in units, each distinct one once while a worker remembers it: a text is cut in front of a space
-between visible characters, in front of a line feed between them, and in front of a mark that ends a unit of letters.
+between visible characters, in front of a line feed between them, and in front of the marks that end a unit of letters.
 Neither tokenizer joins there: A's words begin at these places, and no piece of B crosses one (checked when the model is
 loaded; otherwise texts stay whole). So both have a token end there, groups never cross it, and a text's groups, links and
-digest are put together from its units'. A worker keeps ``CACHE_UNITS`` units; rarer ones are encoded again.
+digest are put together from its units'. A worker keeps at most about ``CACHE_UNITS`` units, and when there are more, those met most often.
 A group whose links are many is counted by its distinct ids, not link by link.
 
 Defined results: null and empty texts, and texts that do not decode to themselves, have zeros and an empty
@@ -99,6 +99,7 @@ class Encoders:
         self.cuts = not any(re.search("[^▁]▁|\n", p) for p in plain)
         #: Marks that no piece holds behind a letter.
         self.marks = MARKS - {m for p in plain for c, m in zip(p, p[1:], strict=False) if c.isalpha()} if self.cuts else frozenset()
+        self.stripped = "".join(sorted(self.marks))
 
     def units(self, text: str) -> list[str]:
         """The text's units: the first and those behind a space without that space, a line's first with its line feed."""
@@ -175,6 +176,11 @@ class Growing:
         self.data[self.n:self.n + len(values)] = values
         self.n += len(values)
 
+    def put(self, values) -> None:
+        """Hold these numbers alone."""
+        self.n = 0
+        self.add(values)
+
 
 class Aligner:
     """Groups, links and digests of texts, put together from their units."""
@@ -186,12 +192,12 @@ class Aligner:
         self.number: dict[tuple[str, str], int] = {}
         self.text: list[str | None] = []
         self.figures = {x: Growing() for x in FIGURES}
-        self.first, self.pairs, self.times = Growing(), Growing(), Growing()
+        self.first, self.pairs, self.times, self.uses = Growing(), Growing(), Growing(), Growing()
         self.first.add([0])
 
     def __call__(self, texts: list[str | None]) -> dict[str, np.ndarray | list]:
         """Per document: n_a, n_b, n_groups, n_links, digest, and its sorted distinct pairs with their numbers."""
-        n, kept = len(texts), (len(self.text), self.first.n, self.pairs.n)
+        n = len(texts)
         keys = [self._keys(t) if t else [] for t in texts]
         wanted = dict.fromkeys(k for doc in keys for k in doc if k not in self.number)
         self._learn(list(wanted))
@@ -206,6 +212,7 @@ class Aligner:
         for x in FIGURES:
             out[x] = np.zeros(n, np.int64)
             np.add.at(out[x], doc, self.figures[x].data[unit])
+        self.uses.data[np.unique(unit)] += 1
         some, seen = np.unique(doc << 40 | unit, return_counts=True)
         doc, unit = some >> 40, some & ((1 << 40) - 1)
         first, size = self.first.data[unit], self.first.data[unit + 1] - self.first.data[unit]
@@ -218,20 +225,22 @@ class Aligner:
         out["pairs"] = [pairs[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
         out["times"] = [times[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
         if len(self.text) > self.limit or self.pairs.n > self.limit * UNIT_PAIRS:
-            self._forget(wanted, *kept)
+            self._trim()
         return out
 
     def _keys(self, text: str) -> list[tuple[str, str]]:
-        """A text's units with what stands in front: letters and a closing mark are two units."""
+        """A text's units with what stands in front: letters and closing marks are two units."""
         units = self.encoders.units(text)
         out = [(units[0], " ")]
         marks = self.encoders.marks
         for u in units[1:]:
             front = "" if u[0] == "\n" else " "
-            if u[-1] in marks and u[:-1].isalpha():
-                out += [(u[:-1], front), (u[-1], "\n")]
-            else:
-                out.append((u, front))
+            if u[-1] in marks:
+                letters = u.rstrip(self.encoders.stripped)
+                if letters.isalpha():
+                    out += [(letters, front), (u[len(letters):], "\n")]
+                    continue
+            out.append((u, front))
         return out
 
     def _learn(self, keys: list[tuple[str, str]]) -> None:
@@ -259,19 +268,30 @@ class Aligner:
             self.figures[x].add(every) if x != "size" else self.first.add(self.first.data[self.first.n - 1] + np.cumsum(every))
         self.pairs.add(pairs & ((1 << 2 * ID_BITS) - 1))
         self.times.add(times)
+        self.uses.add(np.zeros(len(keys), np.int64))
         texts = iter(self._texts(ids_a, group_a, ids_b, group_b, unit_a, unit_b, n))
         for key, good in zip(keys, whole, strict=True):
             self.number[key] = len(self.text)
             self.text.append(next(texts) if good else None)
 
-    def _forget(self, keys, units: int, firsts: int, pairs: int) -> None:
-        """Go back to what was known before the given keys."""
-        for key in keys:
-            del self.number[key]
-        del self.text[units:]
-        self.first.n, self.pairs.n, self.times.n = firsts, pairs, pairs
-        for x in self.figures.values():
-            x.n = units
+    def _trim(self) -> None:
+        """Keep the units met in most batches, half as many as allowed at most, and at least two batches each."""
+        uses = self.uses.data[:len(self.text)]
+        least = 2
+        while (uses >= least).sum() > self.limit // 2:
+            least += 1
+        keep = np.flatnonzero(uses >= least)
+        first, size = self.first.data[keep], self.first.data[keep + 1] - self.first.data[keep]
+        at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        keys = list(self.number)  # in the order of their numbers
+        self.number = {keys[i]: k for k, i in enumerate(keep.tolist())}
+        self.text = [self.text[i] for i in keep.tolist()]
+        for x in (*self.figures.values(), self.uses):
+            x.put(x.data[keep])
+        for x in (self.pairs, self.times):
+            x.put(x.data[at])
+        self.first.put(np.concatenate([[0], np.cumsum(size)]))
+        self.uses.data[:self.uses.n] //= 2
 
     def _pairs(self, ids_a, group_a, first_a, count_a, ids_b, first_b, count_b, doc, links) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (document, A id, B id) in one number, and how many links each stands for."""
