@@ -43,11 +43,23 @@ def findings(forecasts: DataFrame, drivers: DataFrame) -> DataFrame:
     return ahead.unionByName(top.select(rows.alias("p")).select("p.*"))
 
 
+def fact_type(value) -> str:
+    """SQL type of a scalar fact; whatever is no number or flag is text."""
+    return "boolean" if isinstance(value, bool) else "bigint" if isinstance(value, int) else "double" if isinstance(value, float) else "string"
+
+
 def executive_facts(spark: SparkSession, facts: dict) -> DataFrame:
-    """REP-02/03: one-row summary from scalar facts gathered by the stages."""
+    """REP-02/03: one-row summary from scalar facts gathered by the stages; numbers and flags keep their type."""
     keys = sorted(facts)
-    return spark.createDataFrame([tuple(None if facts[k] is None else str(facts[k]) for k in keys)],
-                                 ", ".join(f"`{k}` string" for k in keys))
+    row = tuple(v if v is None or fact_type(v) != "string" else str(v) for v in map(facts.get, keys))
+    return spark.createDataFrame([row], ", ".join(f"`{k}` {fact_type(facts[k])}" for k in keys))
+
+
+def top_drivers(drivers: DataFrame) -> DataFrame:
+    """REP-02: per target the feature of largest absolute directional effect (ties: the first by name)."""
+    size = F.abs("directional_effect")
+    return drivers.groupBy("target").agg(F.min_by("feature", F.struct((-size).alias("less"), "feature")).alias("top_driver"),
+                                         F.max(size).alias("effect"))
 
 
 class StageSkipped(Exception):

@@ -8,6 +8,7 @@ reg_lambda) have no GBTRegressor equivalent; those two grid axes are not drawn.
 from __future__ import annotations
 
 import itertools
+import math
 import time
 
 import numpy as np
@@ -104,27 +105,35 @@ def feature_importance(model, scored: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def permutation_importance(model, test: DataFrame, features: list[str], repeats: int = 5, seed: int = 42,
-                           key: str = "post_id") -> DataFrame:
+def permutation_steps(n: int, repeats: int) -> list[tuple[int, int]]:
+    """(a, b) per repeat: row i takes the value of row (a i + b) mod n. ``a`` is the first number from 1 + 7919 (r + 1) mod n
+    without a common factor with n, so every repeat is a permutation; b = 104729 (r + 1) mod n."""
+    out = []
+    for r in range(1, repeats + 1):
+        a = 1 + 7919 * r % n
+        while math.gcd(a, n) != 1:
+            a += 1
+        out.append((a, 104729 * r % n))
+    return out
+
+
+def permutation_importance(model, test: DataFrame, features: list[str], repeats: int = 5, key: str = "post_id") -> DataFrame:
     """SUP-05: mean RMSE increase when one raw column is permuted, ``repeats`` times per column.
 
-    All test rows are used. They get dense indexes 0..n-1; repeat r pairs row i with row (a_r * i + b_r) mod n
-    (gcd(a_r, n) = 1, so each repeat is a permutation); the partner values arrive by equi-joins on
-    the index. All (feature, repeat) copies are produced by one explode and scored by one transform.
+    All test rows are used, with dense indexes 0..n-1 along the key. The steps of :func:`permutation_steps` depend on n
+    alone, so reruns agree. Each row sends its features once a repeat to the index that takes them (the step's inverse),
+    one shuffle gathers a row's partners, and one join brings them to it. All (feature, repeat) copies come from one explode
+    and are scored by one transform. A test frame without rows gives no result.
     """
     idx = dense_index(test, [key], "__i", start=0)
     n = idx.count()
-    rng = np.random.RandomState(seed)
-    perms = []
-    for _ in range(repeats):
-        a = int(rng.randint(1, max(n, 2)))
-        while np.gcd(a, max(n, 1)) != 1:
-            a = int(rng.randint(1, max(n, 2)))
-        perms.append((a, int(rng.randint(0, max(n, 1)))))
-    base = idx
-    for r, (a, b) in enumerate(perms):
-        partner = idx.select(F.col("__i").alias(f"__j{r}"), F.struct(*features).alias(f"__p{r}"))
-        base = base.withColumn(f"__j{r}", F.pmod(F.lit(a) * F.col("__i") + F.lit(b), F.lit(n))).join(partner, f"__j{r}")
+    if not n:
+        return test.sparkSession.createDataFrame([], "feature string, permutation_importance double")
+    sent = [F.struct(F.lit(r).alias("rep"), F.pmod((F.col("__i") - F.lit(b)) * F.lit(pow(a, -1, n) if n > 1 else 0), F.lit(n)).alias("to"))
+            for r, (a, b) in enumerate(permutation_steps(n, repeats))]
+    partners = idx.select(F.struct(*features).alias("__p"), F.explode(F.array(*sent)).alias("__s")).groupBy(F.col("__s.to").alias("__to")).agg(
+        *[F.max_by("__p", F.when(F.col("__s.rep") == r, 1)).alias(f"__p{r}") for r in range(repeats)])
+    base = idx.join(partners, F.col("__i") == F.col("__to"))
     combos = [(fi, r) for fi in range(len(features)) for r in range(repeats)]
     pick = F.explode(F.array(*[F.struct(F.lit(fi).alias("fi"), F.lit(r).alias("rep")) for fi, r in combos]))
     stacked = base.select("*", pick.alias("__c")).select("*", "__c.fi", "__c.rep")
@@ -194,7 +203,6 @@ def train_target(data: DataFrame, target: str, seed: int = 42, n_draws: int = 8,
     scheduling latency, while at scale the partition count grows with the data. All draws of a
     fold (and the folds) are fitted concurrently.
     """
-    import math
 
     t0 = time.time()
     frame, num, cat = feature_target_split(data, target, exclude_leaky)
@@ -210,7 +218,7 @@ def train_target(data: DataFrame, target: str, seed: int = 42, n_draws: int = 8,
         "best_cv_rmse": F.lit(best_cv), "training_seconds": F.lit(round(time.time() - t0, 2)),
         "target": F.lit(target)})
     importance = feature_importance(model, scored).withColumn("target", F.lit(target))
-    perm = cut_lineage(permutation_importance(model, test, num + cat, repeats, seed))
+    perm = cut_lineage(permutation_importance(model, test, num + cat, repeats))
     drivers = signed_drivers(model, test, perm, num, cat).withColumn("target", F.lit(target))
     predictions = scored.select("post_id", F.lit(target).alias("target"), F.col("label").alias("actual"),
                                 F.col("prediction").alias("predicted"))

@@ -40,7 +40,7 @@ def register(name: str, sql: str | None = None):
 
 def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The silver plan for a table folder (fill values are computed once per session and folder)."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _SILVER_CACHE:
         _SILVER_CACHE[key] = clean.to_silver(posts_view(spark, sf_dir), cache=True)
     return _SILVER_CACHE[key]

@@ -26,7 +26,7 @@ _SCALED_CACHE: dict = {}
 
 
 def scaled(spark, sf_dir):
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _SCALED_CACHE:
         _SCALED_CACHE[key] = prep.scaled_matrix(silver(spark, sf_dir), CLUSTER_FEATURES)
     return _SCALED_CACHE[key]
@@ -426,6 +426,44 @@ drivers AS (SELECT *, greatest(permutation_importance, 0) * coalesce(sign(correl
 """)
 
 
+class MixedStandIn:
+    """A fixed model of numbers and a text, with the same value for every missing one."""
+
+    def transform(self, df):
+        parts = [F.lit(w) * F.coalesce(F.col(c).cast("double"), F.lit(0.25)) for c, w in MIXED_WEIGHTS.items()]
+        return df.withColumn("prediction", sum(parts, F.lit(0.0)) + F.coalesce(F.length("topic"), F.lit(0)) * 0.01)
+
+
+MIXED_WEIGHTS = {"sentiment_score": 0.4, "toxicity_score": -0.3, "misinformation_probability": 0.2, "engagement_velocity": 0.001}
+MIXED_FEATURES = [*MIXED_WEIGHTS, "topic", "region"]
+
+
+def _permutation(s, d):
+    frame = silver(s, d).where(F.col("credibility_score").isNotNull()).select(
+        "post_id", F.col("credibility_score").cast("double").alias("label"), *MIXED_FEATURES)
+    return supervised.permutation_importance(MixedStandIn(), frame, MIXED_FEATURES, repeats=5)
+
+
+def _permutation_sql():
+    def predicted(swapped):
+        side = {c: "p" if c == swapped else "d" for c in MIXED_FEATURES}
+        parts = [f"{w!r}::DOUBLE * coalesce(CAST({side[c]}.{c} AS DOUBLE), 0.25e0)" for c, w in MIXED_WEIGHTS.items()]
+        return " + ".join([*parts, f"coalesce(length({side['topic']}.topic), 0) * 0.01e0"])
+
+    errors = " UNION ALL ".join(f"SELECT '{c}' AS feature, r, sqrt(avg(pow({predicted(c)} - d.y, 2))) AS rmse "
+                                "FROM d, step JOIN d p ON p.i = (step.a * d.i + step.b) % step.n GROUP BY r".replace("FROM d, step JOIN d p ON", "FROM d CROSS JOIN step JOIN d p ON")
+                                for c in MIXED_FEATURES)
+    return q(f""",
+d AS (SELECT CAST(row_number() OVER (ORDER BY post_id) - 1 AS BIGINT) AS i, CAST(credibility_score AS DOUBLE) AS y, * FROM silver WHERE credibility_score IS NOT NULL),
+sizes AS (SELECT count(*) AS n FROM d),
+step AS (SELECT r, n, (SELECT min(a) FROM (SELECT unnest(generate_series(1 + 7919 * r % n, 1 + 7919 * r % n + 1000)) AS a) WHERE gcd(a, n) = 1) AS a,
+         104729 * r % n AS b FROM sizes, (SELECT unnest(generate_series(1, 5)) AS r)),
+base AS (SELECT sqrt(avg(pow({predicted(None)} - d.y, 2))) AS rmse FROM d),
+each AS ({errors})
+SELECT feature, avg(each.rmse - base.rmse) AS permutation_importance FROM each, base GROUP BY feature""")
+
+
+register("sup_05_permutation_importance", _permutation_sql())(_permutation)
 TREND_AND_DRIVERS_SQL = _drivers_sql(TREND_SQL)
 register("sup_06_signed_drivers", _drivers_sql() + "SELECT * FROM drivers")(_drivers)
 register("sup_12_recommendation", _drivers_sql() + "SELECT '" + RECOMMENDATION_TEMPLATES["credibility_score"].replace("'", "''").replace(
@@ -439,7 +477,7 @@ _MODEL_CACHE: dict = {}
 
 def small_model(s, d, target="credibility_score", trees=20):
     """A 20-tree boosted model of the target on the hash train split (explanation queries only)."""
-    key = (id(s), d, target, trees)
+    key = (s.sparkContext.applicationId, d, target, trees)
     if key not in _MODEL_CACHE:
         from pyspark.ml import Pipeline
         frame, num, cat = prep.feature_target_split(featured(s, d), target)
@@ -465,6 +503,13 @@ def _dependence(s, d):
     return explain.dependence(contrib, frame, top).withColumn("feature", F.lit(top))
 
 
+def _tree_importance(s, d):
+    """Importances of the processed features, summing to one."""
+    model, frame, _ = small_model(s, d)
+    return supervised.feature_importance(model, model.transform(frame))
+
+
+register("sup_04_tree_importance")(_tree_importance)
 register("sup_10_shapley_importance")(_shap)
 register("sup_11_shapley_dependence")(_dependence)
 

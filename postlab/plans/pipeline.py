@@ -110,6 +110,11 @@ def run_pipeline(spark: SparkSession, out_dir: str, sf_dir: str | None = None, b
                         frames = [f.withColumn("status", F.lit(status[t])) for t, f in zip(res, frames)]
                     if frames:
                         put(f"model_{k}", report.union_all(frames), ["target"])
+                # REP-02: top driver per target; REP-04: seconds of all targets together
+                if res:
+                    for r in report.top_drivers(report.union_all([r["drivers"] for r in res.values()])).collect():  # one row a target
+                        facts[f"top_driver_{r['target']}"] = r["top_driver"]
+                    facts["training_seconds_total"] = float(tables["model_metrics"].agg(F.sum("training_seconds")).first()[0] or 0.0)
                 if all(v == "trained" for v in status.values()):
                     manifest.mark("model_training", fp, outs)
 

@@ -45,6 +45,8 @@ def test_failing_target_and_saved_result(spark, monkeypatch):
     first = run_pipeline(spark, out, targets=["credibility_score", "no_such_target"], **args)
     facts = first["executive_facts"].first().asDict()
     assert "training_error_no_such_target" in facts and "recommendation_credibility_score" in facts
+    assert isinstance(facts["training_seconds_total"], float) and facts["training_seconds_total"] > 0
+    assert facts["top_driver_credibility_score"] in {r["feature"] for r in first["model_drivers"].collect()}
     assert {(r["target"], r["status"]) for r in first["model_metrics"].collect()} == {("credibility_score", "trained")}
     saved = sinks.load_model_result(spark, out, "credibility_score")
     assert saved["predictions"].count() > 0 and saved["model"] is not None
