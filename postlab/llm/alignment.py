@@ -59,6 +59,8 @@ FIGURES = ["n_a", "n_b", "n_groups", "n_links"]
 CUT = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
 BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 MARKS = frozenset(".,!?;:")
+#: In front of a unit's key; no unit but a text's first begins with two line feeds.
+MARKED, SPACED = "\n\n", "\n\n\n"
 
 
 def tokenizer_paths() -> tuple[str, str]:
@@ -189,7 +191,7 @@ class Aligner:
         self.encoders, self.limit = encoders, limit
         self.digits, self.n_digits = _digits(max(len(encoders.bytes_a), len(encoders.bytes_b)))
         #: Unit with its front -> number; by number: its groups spelled out (None if a tokenizer changes it) and figures.
-        self.number: dict[tuple[str, str], int] = {}
+        self.number: dict[str, int] = {}
         self.text: list[str | None] = []
         self.figures = {x: Growing() for x in FIGURES}
         self.first, self.pairs, self.times, self.uses = Growing(), Growing(), Growing(), Growing()
@@ -228,26 +230,29 @@ class Aligner:
             self._trim()
         return out
 
-    def _keys(self, text: str) -> list[tuple[str, str]]:
-        """A text's units with what stands in front: letters and closing marks are two units."""
+    def _keys(self, text: str) -> list[str]:
+        """A text's units with what stands in front, as one string: a unit behind a space is itself, one that a line feed
+        begins too; letters and closing marks are two units, the marks behind ``MARKED``; a first unit that begins
+        with a line feed stands behind ``SPACED``."""
         units = self.encoders.units(text)
-        out = [(units[0], " ")]
-        marks = self.encoders.marks
+        marks, stripped = self.encoders.marks, self.encoders.stripped
+        out = [SPACED + units[0] if units[0][:1] == "\n" else units[0]]
         for u in units[1:]:
-            front = "" if u[0] == "\n" else " "
             if u[-1] in marks:
-                letters = u.rstrip(self.encoders.stripped)
+                letters = u.rstrip(stripped)
                 if letters.isalpha():
-                    out += [(letters, front), (u[len(letters):], "\n")]
+                    out.append(letters)
+                    out.append(MARKED + u[len(letters):])
                     continue
-            out.append((u, front))
+            out.append(u)
         return out
 
-    def _learn(self, keys: list[tuple[str, str]]) -> None:
+    def _learn(self, keys: list[str]) -> None:
         """Encode new units, all at once."""
         if not keys:
             return
-        whole, (ids_a, ends_a, unit_a, ids_b, ends_b, unit_b) = self.encoders.encoded(keys)
+        units = [(k[3:], " ") if k.startswith(SPACED) else (k[2:], "\n") if k.startswith(MARKED) else (k, "" if k[0] == "\n" else " ") for k in keys]
+        whole, (ids_a, ends_a, unit_a, ids_b, ends_b, unit_b) = self.encoders.encoded(units)
         n = sum(whole)
         cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
         group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
