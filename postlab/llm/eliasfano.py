@@ -11,7 +11,22 @@ import numpy as np
 from postlab.llm import storage
 
 U64 = np.uint64
-BLOCK_WORDS = 8  # words of the upper bits between two entries of the rank directory
+BLOCK_WORDS = 2  # words of the upper bits between two entries of the rank directory
+BYTES = U64(0x0101010101010101)  # one in every byte
+#: Place of the k-th set bit of each byte, at 8 * byte + k.
+BIT_IN_BYTE = np.array([([i for i in range(8) if byte >> i & 1] + [0] * 8)[k] for byte in range(256) for k in range(8)], np.uint8)
+
+
+def _bit_in_word(bits: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Place of the set bit number ``which`` of each word: byte sums held side by side name the byte, a table the bit."""
+    sums = bits - ((bits >> U64(1)) & (BYTES * U64(0x55)))
+    sums = (sums & (BYTES * U64(0x33))) + ((sums >> U64(2)) & (BYTES * U64(0x33)))
+    sums = ((sums + (sums >> U64(4))) & (BYTES * U64(0x0F))) * BYTES  # byte i: set bits up to byte i
+    high = BYTES * U64(0x80)
+    # a byte keeps its high bit where its sum reaches which + 1
+    shift = (U64(8) - np.bitwise_count(((sums | high) - (which + U64(1)) * BYTES) & high)) * U64(8)
+    left = which - (((sums << U64(8)) >> shift) & U64(0xFF))
+    return shift + BIT_IN_BYTE[((((bits >> shift) & U64(0xFF)) << U64(3)) | left).astype(np.int64)]
 
 
 def _get_bits(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
@@ -37,11 +52,11 @@ def _put_bits(values: np.ndarray, width: int) -> np.ndarray:
 
 class EliasFano:
     """A non-decreasing sequence of n numbers below 2**64 in about 2 + log2(range / n) bits each: the lower bits are
-    packed, the upper ones written in unary with a sparse rank directory."""
+    packed, the upper ones written in unary with a sparse rank directory. n and the number of unary zeros are below 2**32."""
 
     def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray, rank: np.ndarray):
         self.n, self.width, self.low, self.high, self.rank = n, width, low, high, rank
-        self.rank0 = np.arange(len(rank), dtype=np.int64) * (64 * BLOCK_WORDS) - rank
+        self.rank0 = (np.arange(len(rank), dtype=np.int64) * (64 * BLOCK_WORDS) - rank).astype(np.uint32)
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -56,11 +71,12 @@ class EliasFano:
         ones[upper + np.arange(n)] = 1
         high = np.packbits(ones, bitorder="little").view("<u8").astype(U64)
         counts = np.bitwise_count(high).reshape(-1, BLOCK_WORDS).sum(axis=1, dtype=np.int64)
-        return cls(n, width, _put_bits(values & U64((1 << width) - 1), width), high, np.concatenate([[0], np.cumsum(counts)]))
+        rank = np.concatenate([[0], np.cumsum(counts)]).astype(np.uint32)
+        return cls(n, width, _put_bits(values & U64((1 << width) - 1), width), high, rank)
 
     def parts(self, name: str) -> dict[str, np.ndarray]:
         return {f"{name}.head": np.array([self.n, self.width], np.int64), f"{name}.low": self.low, f"{name}.high": self.high,
-                f"{name}.rank": self.rank.astype(np.int64)}
+                f"{name}.rank": self.rank}
 
     @classmethod
     def of(cls, arrays: dict[str, np.ndarray], name: str) -> EliasFano:
@@ -70,25 +86,28 @@ class EliasFano:
     def _select(self, which: np.ndarray, ones: bool) -> np.ndarray:
         """Bit positions of the given ones (or zeros) of the upper bits."""
         rank = self.rank if ones else self.rank0
-        block = np.searchsorted(rank, which, side="right") - 1
+        block = np.searchsorted(rank, which.astype(np.uint32), side="right") - 1
         left, word = which - rank[block], block * BLOCK_WORDS
         for _ in range(BLOCK_WORDS - 1):
             here = np.bitwise_count(self.high[word]).astype(np.int64)
             here = here if ones else 64 - here
             go = left >= here
-            if not go.any():
-                break
             left -= np.where(go, here, 0)
             word += go
         bits = self.high[word] if ones else ~self.high[word]
-        at = np.zeros(len(which), U64)
-        left = left.astype(np.int64)
-        for step in (32, 16, 8, 4, 2, 1):
-            here = np.bitwise_count((bits >> at) & U64((1 << step) - 1)).astype(np.int64)
-            go = left >= here
-            left -= np.where(go, here, 0)
-            at += np.where(go, U64(step), U64(0))
-        return word * 64 + at.astype(np.int64)
+        return word * 64 + _bit_in_word(bits, left.astype(U64)).astype(np.int64)
+
+    def _run(self, bit: np.ndarray) -> np.ndarray:
+        """How many ones stand from each position of the upper bits on."""
+        length, more = np.zeros(len(bit), np.int64), np.arange(len(bit))
+        while len(more):
+            at = bit[more] + length[more]
+            zeros = ~(self.high[at >> 6] >> (at & 63).astype(U64))
+            # above a word's end stand zeros, so a run of ones always ends
+            here = np.bitwise_count((zeros & (~zeros + U64(1))) - U64(1)).astype(np.int64)
+            length[more] += here
+            more = more[(at & 63) + here == 64]
+        return length
 
     def access(self, at: np.ndarray) -> np.ndarray:
         """The numbers at the given places."""
@@ -106,8 +125,9 @@ class EliasFano:
         inside = np.flatnonzero((values >> U64(self.width)) <= U64(top))
         x = values[inside]
         upper, lower = (x >> U64(self.width)).astype(np.int64), x & U64((1 << self.width) - 1)
-        begin = np.where(upper > 0, self._select(np.maximum(upper - 1, 0), False) - (upper - 1), 0)
-        end = self._select(upper, False) - upper
+        bit = np.where(upper > 0, self._select(np.maximum(upper - 1, 0), False) + 1, 0)
+        begin = bit - upper
+        end = begin + self._run(bit)
         lo, hi = begin.copy(), end.copy()
         while (open_ := lo < hi).any():
             mid = (lo + hi) >> 1
@@ -147,12 +167,12 @@ def mapped(uri: str) -> dict[str, np.ndarray]:
     """The arrays of a file, memory-mapped; a file in a remote store is fetched into a nameless local file first."""
     parts = urlparse(uri)
     if parts.scheme in ("", "file"):
-        data = np.memmap(parts.path, np.uint8, "r")
+        data = np.memmap(parts.path, np.uint8, "r").view(np.ndarray)
     else:
         local = tempfile.TemporaryFile()  # noqa: SIM115 - lives as long as its map
         local.write(storage.get(uri))
         local.flush()
-        data = np.memmap(local, np.uint8, "r")
+        data = np.memmap(local, np.uint8, "r").view(np.ndarray)
     size = int.from_bytes(data[:8].tobytes(), "little")
     head = json.loads(data[8:8 + size].tobytes())
     out = {}

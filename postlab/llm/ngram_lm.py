@@ -43,11 +43,11 @@ from postlab.llm.eliasfano import U64, EliasFano, mapped, quantised, save
 
 DISCOUNT = 0.5
 ADD = 0.1
-SHARD_ROWS = 1 << 17
+SHARD_ROWS = 1 << 20
 #: A context seen more often than a shard's rows divided by this is dealt over several shards.
 CONTEXT_PARTS = 8
 #: Words looked at together while counting and while scoring.
-COUNT_WORDS, SCORE_WORDS = 2_000_000, 500_000
+COUNT_WORDS, SCORE_WORDS = 2_000_000, 1_000_000
 END = xxhash.xxh3_64_intdigest(b"\n")
 NO_ID = -1
 
@@ -169,13 +169,18 @@ class Trie:
     def _find(self, level: str, context: np.ndarray, word: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, ...]:
         ids, counts, own, weight = _nothing(len(word))
         for first, arrays, at in self._by_shard(level, self.dealt(context, word, seen, len(self.firsts[level]) - 1)):
-            k, hit = arrays["contexts"].successor(context[at].astype(U64))
-            at, k = at[hit], k[hit]
-            weight[at] = arrays["weights.book"][arrays["weights.codes"][k]]
-            begin, end = arrays["pointers"].access(k).astype(np.int64), arrays["pointers"].access(k + 1).astype(np.int64)
+            # queries come sorted, so each context is looked up once
+            new = np.concatenate([[True], context[at[1:]] != context[at[:-1]]])
+            k, hit = arrays["contexts"].successor(context[at[new]].astype(U64))
+            of = np.cumsum(new) - 1
+            at, of = at[hit[of]], (np.cumsum(hit) - 1)[of[hit[of]]]
+            k = k[hit]
+            weight[at] = arrays["weights.book"][arrays["weights.codes"][k]][of]
+            bounds = arrays["pointers"].access(np.concatenate([k, k + 1])).astype(np.int64)
+            begin, end = bounds[:len(k)], bounds[len(k):]
             base = np.where(begin > 0, arrays["words"].access(np.maximum(begin - 1, 0)), U64(0))
-            place, hit = arrays["words"].successor(base + (word[at] + 1).astype(U64))
-            hit &= (place < end) & (word[at] != NO_ID)
+            place, hit = arrays["words"].successor(base[of] + (word[at] + 1).astype(U64))
+            hit &= (place < end[of]) & (word[at] != NO_ID)
             ids[at[hit]] = place[hit] + first
             own[at[hit]] = arrays["own.book"][arrays["own.codes"][place[hit]]]
             if "counts.codes" in arrays:
