@@ -128,11 +128,12 @@ class EliasFano:
         bit = np.where(upper > 0, self._select(np.maximum(upper - 1, 0), False) + 1, 0)
         begin = bit - upper
         end = begin + self._run(bit)
-        lo, hi = begin.copy(), end.copy()
-        while (open_ := lo < hi).any():
-            mid = (lo + hi) >> 1
-            below = open_ & (_get_bits(self.low, np.minimum(mid, self.n - 1), self.width) < lower)
-            lo, hi = np.where(below, mid + 1, lo), np.where(open_ & ~below, mid, hi)
+        lo, hi, open_ = begin.copy(), end.copy(), np.flatnonzero(begin < end)
+        while len(open_):
+            mid = (lo[open_] + hi[open_]) >> 1
+            below = _get_bits(self.low, mid, self.width) < lower[open_]
+            lo[open_[below]], hi[open_[~below]] = mid[below] + 1, mid[~below]
+            open_ = open_[lo[open_] < hi[open_]]
         hit = lo < end
         hit[hit] = _get_bits(self.low, lo[hit], self.width) == lower[hit]
         place[inside], equal[inside] = lo, hit

@@ -34,7 +34,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,31 +47,101 @@ SHARD_ROWS = 1 << 20
 CONTEXT_PARTS = 8
 #: Words looked at together while counting and while scoring.
 COUNT_WORDS, SCORE_WORDS = 2_000_000, 1_000_000
-END = xxhash.xxh3_64_intdigest(b"\n")
+#: Word hashes: the sum of a number for each byte (equal for A-Z and a-z) times the factor to the power of its place.
+FACTOR = 0xD1342543DE82EF95
+HASH_BYTES = 1 << 18
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+BYTE_NUMBERS = np.random.default_rng(7).integers(0, 1 << 63, 256, U64) * U64(2) + U64(1)
+BYTE_NUMBERS[ord("A"):ord("Z") + 1] = BYTE_NUMBERS[ord("a"):ord("z") + 1]
+POWERS, INVERSES = (np.cumprod(np.concatenate([np.ones(1, U64), np.full(HASH_BYTES - 1, f, U64)])) for f in (FACTOR, pow(FACTOR, -1, 1 << 64)))
 NO_ID = -1
 
 
-def hashed(text: bytes | None) -> np.ndarray:
-    """Hashes of a text's words, then the end mark."""
-    words = (text or b"").lower().split()
-    return np.fromiter((*map(xxhash.xxh3_64_intdigest, words), END), U64, len(words) + 1)
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = x.astype(U64) * U64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> U64(32))) * U64(0xD6E8FEB86659FD93)
+    return x ^ (x >> U64(29))
+
+
+def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words data[begin:end], by blocks of bytes; a word longer than a block is summed piece by piece."""
+    out, at = np.empty(len(begins), U64), 0
+    while at < len(begins):
+        first = begins[at]
+        to = int(np.searchsorted(ends, first + HASH_BYTES - 1, side="right"))
+        if to == at:
+            total = 0
+            for k in range(first, ends[at], HASH_BYTES):
+                numbers = BYTE_NUMBERS[data[k:min(k + HASH_BYTES, ends[at])]]
+                total += int((numbers * POWERS[:len(numbers)]).sum(dtype=U64)) * pow(FACTOR, int(k - first), 1 << 64)
+            out[at], to = total % (1 << 64), at + 1
+        else:
+            numbers = BYTE_NUMBERS[data[first:ends[to - 1]]]
+            numbers *= POWERS[:len(numbers)]
+            sums = np.concatenate([np.zeros(1, U64), np.cumsum(numbers)])
+            begin = begins[at:to] - first
+            out[at:to] = (sums[ends[at:to] - first] - sums[begin]) * INVERSES[begin]
+        at = to
+    return mixed(out)
+
+
+#: The end mark: the hash of what no word holds.
+END = int(word_hashes(np.frombuffer(b"\n", np.uint8), np.array([0]), np.array([1]))[0])
+
+
+def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of each text, each text closed by the end mark, and how many each text has."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0]:bounds[-1]]
+    bounds = bounds - bounds[0]
+    word = ~SPACE[data]
+    inner = bounds[(bounds > 0) & (bounds < len(data))]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    first[inner], last[inner - 1] = word[inner], word[inner - 1]
+    begins, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    counts = np.diff(np.searchsorted(begins, bounds))
+    out = np.full(len(begins) + len(texts), END, U64)
+    out[np.arange(len(begins)) + np.repeat(np.arange(len(texts)), counts)] = word_hashes(data, begins, ends)
+    return out, counts + 1
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
     """Batches together until they hold ``most`` words: (batches, all hashes, first place of each text)."""
-    held, parts, words = [], [], 0
+    held, parts, sizes, words = [], [], [], 0
+
+    def together():
+        return held, np.concatenate(parts), np.cumsum(np.concatenate([[0], *sizes]))[:-1]
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append(batch)
-        for t in batch.column(column):
-            parts.append(hashed(t.as_py()))
-            words += len(parts[-1])
+        hashes, lengths = hashed(batch.column(column))
+        held.append(batch), parts.append(hashes), sizes.append(lengths)
+        words += len(hashes)
         if words >= most:
-            yield held, np.concatenate(parts), np.cumsum([0, *map(len, parts[:-1])])
-            held, parts, words = [], [], 0
+            yield together()
+            held, parts, sizes, words = [], [], [], 0
     if held:
-        yield held, np.concatenate(parts), np.cumsum([0, *map(len, parts[:-1])])
+        yield together()
+
+
+def by_shard(shard: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Shards that have rows, and the places of each in order."""
+    order = np.argsort(shard.astype(np.uint16) if len(shard) and shard.max() < 1 << 16 else shard, kind="stable")
+    numbers, first = np.unique(shard[order], return_index=True)
+    return numbers, np.split(order, first[1:]) if len(numbers) else []
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Rising keys as differences, equal bytes of all of them side by side, so that compression finds their zeros."""
+    return np.diff(keys, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").ravel())
 
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -84,12 +153,6 @@ def shard_base(shard: int, shards: int) -> int:
     return -(-(shard << 32) // shards) << 32
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = x.astype(U64) * U64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> U64(32))) * U64(0xD6E8FEB86659FD93)
-    return x ^ (x >> U64(29))
-
-
 def coded(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
     """Values as places in the sorted book of all that occur, as narrow as their number allows."""
     book, codes = np.unique(values, return_inverse=True)
@@ -126,9 +189,8 @@ class Trie:
 
     def _by_shard(self, level: str, shard: np.ndarray) -> Iterator[tuple[int, dict, np.ndarray]]:
         """(first id, arrays, places) of each shard that has rows."""
-        order = np.argsort(shard, kind="stable")
-        numbers, first = np.unique(shard[order], return_index=True)
-        for number, at in zip(numbers.tolist(), np.split(order, first[1:]), strict=True):
+        numbers, places = by_shard(shard)
+        for number, at in zip(numbers.tolist(), places, strict=True):
             if self.firsts[level][number + 1] > self.firsts[level][number]:
                 yield int(self.firsts[level][number]), self._file(f"{level}-{number:06d}"), at
 
@@ -152,16 +214,16 @@ class Trie:
         """Shard of each pair of context and word; ``seen`` is the context's count."""
         return shard_of(mixed(context.astype(U64) + mixed(mixed(word) % (seen // self.part + 1).astype(U64))), shards)
 
-    def find(self, level: str, context: np.ndarray, word: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, ...]:
+    def find(self, level: str, context: np.ndarray, word: np.ndarray, seen: np.ndarray, which: slice = slice(0, 4)) -> tuple[np.ndarray, ...]:
         """Ids (NO_ID if not in the trie), counts (bigrams only) and discounted probabilities (0 if not in the trie) of
-        n-grams, and the back-off weights of their contexts (1 if unseen)."""
-        out = _nothing(len(word))
+        n-grams, and the back-off weights of their contexts (1 if unseen); ``which`` of these four."""
+        out = _nothing(len(word))[which]
         known = np.flatnonzero(seen)
         if level not in self.firsts or not len(known):
             return out
         _, some, place = np.unique(context[known] << self.bits | (word[known] + 1), return_index=True, return_inverse=True)
         some = known[some]
-        found = self._find(level, context[some], word[some], seen[some])
+        found = self._find(level, context[some], word[some], seen[some])[which]
         for whole, x in zip(out, found, strict=True):
             whole[known] = x[place]
         return out
@@ -223,7 +285,7 @@ def _bigrams(trie: Trie, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.nda
 def _trigrams(trie: Trie, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per word: id of the bigram before, word id, count of the bigram before (0 at the first word of a text)."""
     context, word, seen, _ = _bigrams(trie, hashes, starts)
-    ids, counts, *_ = trie.find("bigram", context, word, seen)
+    ids, counts = trie.find("bigram", context, word, seen, slice(0, 2))
     return _shifted(ids, starts, NO_ID), word, _shifted(counts, starts, 0)
 
 
@@ -245,17 +307,15 @@ def _add_level(docs: DataFrame, trie: Trie, level: str, grams_of, shard_rows: in
             keys, some, n = np.unique(context[known] << bits | word[known], return_index=True, return_counts=True)
             seen = seen[known[some]]
             shard = trie.dealt(keys >> bits, keys & ((1 << bits) - 1), seen, shards)
-            order = np.argsort(shard, kind="stable")
-            numbers, first = np.unique(shard[order], return_index=True)
-            pieces = np.split(order, first[1:]) if len(numbers) else []
+            numbers, pieces = by_shard(shard)
             yield pa.RecordBatch.from_arrays([
-                pa.array(numbers, pa.int64()), pa.array([keys[at].tobytes() for at in pieces], pa.binary()),
+                pa.array(numbers, pa.int64()), pa.array([packed(keys[at]) for at in pieces], pa.binary()),
                 pa.array([n[at].astype(np.int32).tobytes() for at in pieces], pa.binary()),
                 pa.array([_often(keys[at] >> bits, seen[at], trie.part) for at in pieces], pa.binary())],
                 names=["shard", "keys", "n", "often"])
 
     def shard_file(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        all_keys = np.frombuffer(b"".join(pdf["keys"]), np.int64)
+        all_keys = np.concatenate([unpacked(raw) for raw in pdf["keys"]])
         order = np.argsort(all_keys, kind="stable")
         all_keys = all_keys[order]
         first = np.flatnonzero(np.concatenate([[True], all_keys[1:] != all_keys[:-1]]))
@@ -333,10 +393,10 @@ def scored(docs: DataFrame, id_col: str, text_col: str, trie: Trie) -> DataFrame
             context, word, seen, count = _bigrams(trie, hashes, starts)
             p = trie.probability(count) if trie.v else np.ones(len(count))
             alone = np.log10(p)
-            for level in ("bigram", "trigram"):
-                ids, n, own, weight = trie.find(level, context, word, seen)
-                p = own + weight * p
-                context, seen = _shifted(ids, starts, NO_ID), _shifted(n, starts, 0)
+            ids, n, own, weight = trie.find("bigram", context, word, seen)
+            p = own + weight * p
+            own, weight = trie.find("trigram", _shifted(ids, starts, NO_ID), word, _shifted(n, starts, 0), slice(2, 4))
+            p = own + weight * p
             together = np.log10(p)
             ends = np.append(starts[1:], len(hashes))
             columns = [pa.array(ends - starts), pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)),
