@@ -5,8 +5,10 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import crc, empty_like, odd_docs
+from pyspark.sql import functions as F
 
 from postlab.llm import chat, mixing, ngram_lm, warc
 from postlab.llm.catalog import QUERIES
@@ -257,3 +259,24 @@ def test_lm_edges(spark):
     assert ngram_lm.score(empty_like(odd)).count() == 0
     only_held = odd.filter("crc32(cast(doc_id as string)) % 10 = 0")
     assert all(r.score == 0 and r.train_tokens == 0 for r in ngram_lm.score(only_held).collect())
+
+
+def test_lm_hashes_words_over_whole_batches():
+    def one(word):
+        total = sum(int(ngram_lm.BYTE_NUMBERS[b]) * pow(ngram_lm.FACTOR, i, 1 << 64) for i, b in enumerate(word)) % (1 << 64)
+        return int(ngram_lm.mixed(np.array([total], U64))[0])
+
+    texts = [b"A b  c", None, b"", b"x", b" y\n", b"zz\x0bq\x1f1", b"end", " Été".encode()]
+    for some in (texts, texts[3:], texts[1:3]):
+        got, lengths = ngram_lm.hashed(pa.array([b"before", *some, b"after"], pa.binary()).slice(1, len(some)))
+        words = [[*(t or b"").lower().split(), b"\n"] for t in some]
+        assert got.tolist() == [one(w) for ws in words for w in ws] and lengths.tolist() == [len(ws) for ws in words]
+    long = b"q" * (2 * ngram_lm.HASH_BYTES + 5)
+    got, _ = ngram_lm.hashed(pa.array([b"a " + long + b" b " + b"cd " * 100_000 + long, b"B"], pa.binary()))
+    assert got[1] == got[-4]
+    assert got[2] == got[-2] == one(b"b") and (got[3:100_003] == one(b"cd")).all() and ngram_lm.END not in got[:-3]
+
+
+def test_lm_packs_keys():
+    keys = np.sort(np.random.default_rng(3).integers(0, 1 << 62, 1000))
+    assert (ngram_lm.unpacked(ngram_lm.packed(keys)) == keys).all() and (ngram_lm.unpacked(ngram_lm.packed(keys[:1])) == keys[:1]).all()
