@@ -34,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +47,9 @@ SHARD_ROWS = 1 << 20
 #: A context seen more often than a shard's rows divided by this is dealt over several shards.
 CONTEXT_PARTS = 8
 #: Words looked at together while counting and while scoring.
-COUNT_WORDS, SCORE_WORDS = 2_000_000, 1_000_000
+COUNT_WORDS, SCORE_WORDS = 1_000_000, 1_000_000
+#: Texts hashed together start within so many bytes.
+PIECE_BYTES = 1 << 21
 #: Word hashes: the sum of a number for each byte (equal for A-Z and a-z) times the factor to the power of its place.
 FACTOR = 0xD1342543DE82EF95
 HASH_BYTES = 1 << 18
@@ -108,6 +111,14 @@ def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, counts + 1
 
 
+def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows with about ``PIECE_BYTES`` of text each; a longer text ends its run."""
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // PIECE_BYTES, prepend=-1))
+    for begin, end in zip(first.tolist(), [*first[1:].tolist(), batch.num_rows], strict=False):
+        yield batch.slice(begin, end - begin)
+
+
 def _texts(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
     """Batches together until they hold ``most`` words: (batches, all hashes, first place of each text)."""
     held, parts, sizes, words = [], [], [], 0
@@ -115,9 +126,7 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterato
     def together():
         return held, np.concatenate(parts), np.cumsum(np.concatenate([[0], *sizes]))[:-1]
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (piece for whole in batches for piece in _pieces(whole, column)):
         hashes, lengths = hashed(batch.column(column))
         held.append(batch), parts.append(hashes), sizes.append(lengths)
         words += len(hashes)
