@@ -53,10 +53,48 @@ def test_jaccard_small_chunks_and_edges(spark):
     assert jaccard.near_duplicates(empty_like(odd)).count() == 0 and jaccard.keep_one(empty_like(odd)).count() == 0
 
 
-def test_prefix_is_shortened_until_the_target_recall():
-    n = jaccard.prefix_length(0.8, 24, 8, 0.999)
-    assert 1 - (1 - 0.8 ** n) ** 24 >= 0.999 > 1 - (1 - 0.8 ** (n + 1)) ** 24
-    assert jaccard.prefix_length(0.8, 24, 8, 0.5) == 8
+def _recall(similarity, steps, trees=24, depth=8):
+    length, short = depth - steps // trees, steps % trees
+    return 1 - (1 - similarity ** length) ** (trees - short) * (1 - similarity ** (length - 1)) ** short
+
+
+def test_prefixes_are_shortened_until_the_target_recall():
+    for size in (1, 3, 4, 6, 7, 11, 80, 5000):
+        low, steps = jaccard.lowest_link(size), jaccard.shortenings(size)
+        linked = [k / u for k in range(1, size + 1) for u in range(size, 2 * size + 1) if 5 * k >= 4 * u] if size < 100 else [0.8]
+        assert abs(low - min(linked)) < 1e-12
+        assert _recall(low, steps) >= 0.999 and (steps == 0 or _recall(low, steps - 1) < 0.999)
+    assert jaccard.shortenings(3) == 0 and jaccard.shortenings(7) < jaccard.shortenings(6) < jaccard.shortenings(80)
+    assert jaccard.shortenings(80, target=0.5) == 0
+
+
+def test_fat_nodes_keep_the_longer_prefix(spark):
+    steps = 24 + 19  # one level everywhere, a second one in 19 of 24 trees
+    fat = {3: 70_000, 4: 500, 9: 200, 20: 129}
+    rows = [(n, steps, t, b"x", fat.get(t, 2) if n == 1 else 2) for n in (1, 2) for t in range(24) if (n, t) != (2, 23)]
+    rows.append((5, 0, 4, b"x", 10 ** 6))
+    out = jaccard.prefix_lengths(spark.createDataFrame(rows, "node long, steps int, tree int, leaf binary, members long"), 24, 8).collect()
+    got = {(r.node, r.tree): r.length for r in out}
+    assert len(out) == len(rows) and got[5, 4] == 8
+    assert {t for t in range(24) if got[1, t] == 7} == {3, 4, 9, 20, 23}
+    assert {t for t in range(23) if got[2, t] == 7} == {19, 20, 21, 22}  # the missing tree 23 is the fifth
+    assert set(got.values()) == {6, 7, 8}
+
+
+def test_forest_recall_close_to_the_threshold(spark):
+    """1,500 planted pairs at 0.80 to 0.85 among unlike texts, without other pairs to help by a common group."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(1500):
+        words = [f"a{i}b{k}" for k in range(int(rng.integers(60, 240)))]
+        n = len(words) - 4
+        new = int(rng.integers(int(n * 0.178), int(n * 0.25) + 1))  # shingles only the longer text has
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words, *(f"c{i}d{k}" for k in range(new))]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    want = jaccard_classes(dict(rows), words_of)
+    assert sum(n == 1 for _, n in want.values()) == 3000
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(docs).collect()}
+    assert sum(got[i] == want[i] for i in want) >= 0.996 * len(want)
 
 
 def _brute(ids, vecs):
