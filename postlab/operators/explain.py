@@ -1,4 +1,5 @@
-"""Model explanation (SUP-10, SUP-11): sampled-permutation Shapley values as one Spark job.
+"""Model explanation for any model with ``transform``: sampled-permutation Shapley values as one Spark job.
+Boosted trees are explained exactly by ``contributions``; the summaries (SUP-10, SUP-11) here serve both.
 
 For each explained row x and permutation m, hybrids z(m, 0..d) take the first j features of the
 permutation from x and the rest from a background row b(m, x). All hybrids come from one explode
@@ -59,10 +60,11 @@ def mean_abs_importance(contrib: DataFrame) -> DataFrame:
             .orderBy(F.desc("mean_abs_shap"), "feature"))
 
 
-def dependence(contrib: DataFrame, data: DataFrame, feature: str, bins: int = 20, key: str = "post_id") -> DataFrame:
-    """SUP-11: binned (feature value, mean contribution) for one feature."""
-    v = data.select(key, F.col(feature).cast("double").alias("value"))
-    c = contrib.where(F.col("feature") == feature).join(v, key)
+def dependence(contrib: DataFrame, data: DataFrame | None, feature: str, bins: int = 20, key: str = "post_id") -> DataFrame:
+    """SUP-11: binned (feature value, mean contribution) for one feature; without ``data``, ``contrib`` has the values."""
+    c = contrib.where(F.col("feature") == feature)
+    if data is not None:
+        c = c.join(data.select(key, F.col(feature).cast("double").alias("value")), key)
     rng = c.agg(F.min("value").alias("mn"), F.max("value").alias("mx")).first()
     mn, mx = rng["mn"], rng["mx"]
     b = F.lit(1) if mn is None or mx == mn else F.least(

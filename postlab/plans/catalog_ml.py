@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from postlab.operators import anomaly, density, eda, features, forecast, prep, segment, supervised
+from postlab.operators import anomaly, contributions, density, eda, features, forecast, prep, segment, supervised
 from postlab.operators import calendar as cal
 from postlab.plans.catalog import MONTH_CASE, featured, q, register, silver
 from postlab.plans.sqltext import cluster_metrics_cte, scaled_cte, with_posts
@@ -488,19 +488,25 @@ def small_model(s, d, target="credibility_score", trees=20):
     return _MODEL_CACHE[key]
 
 
+def _contributions(s, d):
+    """Exact contributions of the fitted trees; computed once for both rows."""
+    key = (s.sparkContext.applicationId, d, "contributions")
+    if key not in _MODEL_CACHE:
+        model, frame, _ = small_model(s, d)
+        _MODEL_CACHE[key] = cut_lineage(contributions.tree_contributions(model, frame, n_rows=500, n_background=100))
+    return _MODEL_CACHE[key]
+
+
 def _shap(s, d):
     from postlab.operators import explain
-    model, frame, feats = small_model(s, d)
-    contrib = explain.shapley_values(model, frame, feats, n_rows=500, n_background=100, permutations=20)
-    return explain.mean_abs_importance(contrib)
+    return explain.mean_abs_importance(_contributions(s, d))
 
 
 def _dependence(s, d):
     from postlab.operators import explain
-    model, frame, feats = small_model(s, d)
-    contrib = explain.shapley_values(model, frame, feats, n_rows=500, n_background=100, permutations=20)
+    contrib = _contributions(s, d)
     top = explain.mean_abs_importance(contrib).first()["feature"]
-    return explain.dependence(contrib, frame, top).withColumn("feature", F.lit(top))
+    return explain.dependence(contrib, None, top).withColumn("feature", F.lit(top))
 
 
 def _tree_importance(s, d):

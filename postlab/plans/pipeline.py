@@ -15,7 +15,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlab.operators import anomaly, clean, eda, explain, features, forecast, prep, report, segment, star, supervised
+from postlab.operators import anomaly, clean, contributions, eda, explain, features, forecast, prep, report, segment, star, supervised
 from postlab.operators import calendar as cal
 from postlab.schema import CLUSTER_FEATURES, TARGETS
 from postlab.session import prepare_session
@@ -128,7 +128,7 @@ def run_pipeline(spark: SparkSession, out_dir: str, sf_dir: str | None = None, b
                     saved = sinks.load_model_result(spark, out_dir, t)
                     if saved is not None:
                         frame, num, cat = prep.feature_target_split(featured, t)
-                        contrib = explain.shapley_values(saved["model"], frame, num + cat, seed=seed)
+                        contrib = contributions.tree_contributions(saved["model"], frame, seed=seed)
                         parts.append(explain.mean_abs_importance(contrib).withColumn("target", F.lit(t)))
                 if parts:
                     put("shap_importance", report.union_all(parts))

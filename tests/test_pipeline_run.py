@@ -1,5 +1,7 @@
 import tempfile
 
+from pyspark.sql import functions as F
+
 from postlab.operators import supervised
 from postlab.plans.pipeline import run_pipeline
 from postlab.sources import sinks
@@ -41,9 +43,11 @@ def test_failing_target_and_saved_result(spark, monkeypatch):
     draw = {"n_estimators": 3, "max_depth": 2, "learning_rate": 0.3, "subsample": 1.0, "colsample_bytree": 1.0}
     monkeypatch.setattr(supervised, "draw_params", lambda *a, **k: [draw])
     out = tempfile.mkdtemp(prefix="pipe-")
-    args = dict(sf_dir=SF, n_draws=1, permutation_repeats=1, skip=("explanation", "gold_star_schema", "clustering_training", "anomaly_detection", "forecasting"), **SMALL)
+    args = dict(sf_dir=SF, n_draws=1, permutation_repeats=1, skip=("gold_star_schema", "clustering_training", "anomaly_detection", "forecasting"), **SMALL)
     first = run_pipeline(spark, out, targets=["credibility_score", "no_such_target"], **args)
     facts = first["executive_facts"].first().asDict()
+    assert {r["target"] for r in first["shap_importance"].collect()} == {"credibility_score"}
+    assert first["shap_importance"].agg(F.max("mean_abs_shap")).first()[0] > 0
     assert "training_error_no_such_target" in facts and "recommendation_credibility_score" in facts
     assert isinstance(facts["training_seconds_total"], float) and facts["training_seconds_total"] > 0
     assert facts["top_driver_credibility_score"] in {r["feature"] for r in first["model_drivers"].collect()}
