@@ -26,6 +26,12 @@ def test_auc_with_ties_matches_mann_whitney(spark):
     assert r["roc_auc"] == pytest.approx(auc, abs=1e-6)
 
 
+def test_metrics_of_more_pairs_than_an_integer_counts(spark):
+    df = spark.range(120_000).selectExpr("int(id % 2) y_true", "double(id % 2) risk_score", "int(id % 2) y_pred")
+    r = anomaly.supervised_metrics(df).first()
+    assert (r["roc_auc"], r["average_precision"], r["tp"], r["tn"]) == (1.0, 1.0, 60_000, 60_000)
+
+
 def test_planted_outliers_score_lowest(spark):
     rng = np.random.default_rng(7)
     normal = rng.normal(0, 1, size=(1000, 10))
