@@ -47,6 +47,32 @@ def test_equals_brute_force_in_ten_features(spark, monkeypatch, chunk, cell_rows
     assert [got[i] for i in range(len(x))] == label.tolist() and label.max() >= 3
 
 
+@pytest.mark.parametrize("block_rows", [300, 1])
+def test_blocks_of_any_width_and_pairs_one_by_one_agree(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(density, "CHUNK", 16)
+    monkeypatch.setattr(density, "CELL_ROWS", 4)
+    monkeypatch.setattr(density, "MOST_AXES", 2)
+    monkeypatch.setattr(density, "BLOCK_ROWS", block_rows)
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(0, .5, (300, 3)), rng.uniform(-4, 4, (400, 3)), np.full((5, 3), 1e9)])
+    df, cols = frame(spark, x)
+    rows = density._rows(df, cols, "post_id").selectExpr("key", "x", "false AS core")
+    width = density.block_width(density.chunks(rows, [0, 1], 0.75), 2, 10 ** 6)
+    assert (width > 0) == (block_rows > 1)
+    n_near, label = brute(x, 0.75, 5)
+    got = {r.post_id: r.n_near for r in density.core_points(df, cols, 0.75, 5).collect()}
+    assert [got[i] for i in range(len(x))] == n_near.tolist()
+    got = {r.post_id: r.dbscan_cluster for r in density.dbscan(df, cols, 0.75, 5).collect()}
+    assert [got[i] for i in range(len(x))] == label.tolist()
+
+
+def test_a_chunk_goes_to_few_blocks(spark):
+    """Neighbouring cells are met in blocks, so a chunk is not copied for each of its 122 neighbours."""
+    cells = spark.range(6 ** 5).selectExpr("concat_ws(',', id % 6, floor(id / 6) % 6, floor(id / 36) % 6, floor(id / 216) % 6, floor(id / 1296)) AS cell")
+    sent = cells.select(density._blocks_of(5, 3)).count()
+    assert sent < 122 * 6 ** 5 // 10
+
+
 def test_all_noise_nulls_and_far_axes(spark):
     x = np.zeros((40, 10))
     x[:, 9] = np.arange(40) * 5.0  # equal in nine features, far apart in the tenth
