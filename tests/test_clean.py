@@ -43,3 +43,14 @@ def test_engineered_features_zero_denominators(spark):
     assert math.isclose(r["log_followers"], math.log1p(100))
     assert r["log_impressions"] == 0.0
     assert math.isclose(r["risk_minus_credibility"], -0.2)
+
+
+def test_silver_is_scanned_by_column_and_described_without_rows(spark):
+    from postlab.operators import clean, profiling
+    rows = spark.range(300).selectExpr("id AS post_id", "id % 7 AS likes", "IF(id % 5 = 0, NULL, id / 3) AS score", "timestamp'2025-01-02' AS timestamp")
+    silver = clean.to_silver(rows, cache=True)
+    plan = silver.select("likes")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "score" not in plan
+    got = {r["column_name"]: r for r in profiling.describe(silver, ["post_id", "likes"]).collect()}
+    assert (got["post_id"]["count"], got["post_id"]["p50"], got["likes"]["max"]) == (300, 149.5, 6.0)
+    assert profiling.describe(silver.limit(0), ["likes"]).count() == 0
