@@ -82,3 +82,18 @@ def test_dbscan_two_blobs(blobs):
     sets = sorted(tuple(sorted(set(r["s"]) - {-1})) for r in got)  # thin rows are noise
     assert sets == [(0,), (1,)]
     assert lab.count() == 60 and lab.filter("dbscan_cluster >= 0").count() >= 45
+
+
+def test_lloyd_of_several_k_against_numpy(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(4000, 3)), np.zeros((700, 3)), rng.integers(0, 3, (600, 3))])
+    assert len(x) > 2 * segment.BLOCK_ROWS
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double").coalesce(1)
+    starts = [x[[0, 1]], x[[5, 9, 4100]], x[[3, 2]], np.zeros((3, 3)), x[[7]]]  # equal centers: the first takes all
+    for start, (centers, cost) in zip(starts, segment.lloyd(df, ["a", "b", "c"], starts, max_iter=3, tol=0.0), strict=True):
+        want = start.astype(float)
+        for _ in range(3):
+            label = ((x[:, None] - want) ** 2).sum(2).argmin(1)
+            want = np.array([x[label == i].mean(0) if (label == i).any() else want[i] for i in range(len(want))])
+        assert np.allclose(centers, want, atol=1e-9)
+        assert np.isclose(cost, ((x[:, None] - want) ** 2).sum(2).min(1).sum())
