@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import time
 
 import pytest
 
@@ -37,3 +38,29 @@ def test_synthetic_day_uses_partial_group_limit(spark):
 def test_no_cartesian_product(spark, name):
     text = plan_text(E.queries()[name](spark, SF))
     assert "CartesianProduct" not in text
+
+
+def test_fill_table_makes_the_posts_once(spark):
+    """Every pass reads the written columns; the posts' joins and shuffles are not behind the result again."""
+    for name in ("cln_04_median_fill", "cln_05_mode_fill"):
+        df = E.queries()[name](spark, SF)
+        assert not any(f.endswith(("orders.parquet", "lineitem.parquet")) for f in df.inputFiles())
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    from pyspark.sql import functions as F
+
+    from postlab.session import CLEANUP, written
+
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffled():
+        found = files.getAllFiles()
+        return {f.getName() for f in (found.apply(i) for i in range(found.size())) if f.getName().startswith("shuffle_")}
+
+    before = shuffled()
+    table = written(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count().repartition(3))
+    until = time.time() + 10  # files go in the background
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffled() - before and table.count() == 10 and spark.conf.get(CLEANUP) == "false"
