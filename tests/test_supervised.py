@@ -51,3 +51,23 @@ def test_permutation_importance_against_numpy(spark):
     assert abs(got["a"] - np.mean([rmse(x[m, 0], x[:, 1]) - whole for m in moved])) < 1e-12
     assert abs(got["b"] - np.mean([rmse(x[:, 0], x[m, 1]) - whole for m in moved])) < 1e-12
     assert supervised.permutation_importance(Line(), df.limit(0), ["a", "b"], 3).count() == 0
+
+
+def test_registered_training_is_the_whole_search(spark, monkeypatch):
+    """Eight draws, two folds and the refit, five permutation repeats: what the pipeline does by default."""
+    import inspect
+
+    import __spark_entry__ as E
+
+    seen = {}
+    how = inspect.signature(supervised.train_target)
+
+    def spy(*args, **kw):
+        call = how.bind(*args, **kw)
+        call.apply_defaults()
+        seen.update(call.arguments)
+        return {"metrics": spark.range(1).selectExpr("id AS mae", "0 AS training_seconds")}
+
+    monkeypatch.setattr(supervised, "train_target", spy)
+    assert E.queries()["sup_07_train_target"](spark, "/root/testdata/sf0.001").columns == ["mae"]
+    assert (seen["n_draws"], seen["folds"], seen["repeats"]) == (8, 2, 5)
