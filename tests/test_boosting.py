@@ -61,3 +61,28 @@ def test_constant_labels_give_one_leaf(vectors):
     assert all(t.numNodes == 1 for t in m.trees)
     with pytest.raises(ValueError):
         make_regressor(3, PARAMS).fit(vectors.limit(0))
+
+
+def test_models_together_equal_models_one_by_one_and_dealt_among_tasks(vectors, monkeypatch):
+    several = [make_regressor(3, {**PARAMS, "max_depth": d, "n_estimators": n, "subsample": 0.8}) for d, n in ((4, 5), (2, 28), (3, 1))]
+
+    def told(models):
+        return [[r[0] for r in m.transform(vectors).orderBy("post_id").select("prediction").collect()] for m in models]
+
+    together = told(boosting.fit_together(several, vectors))
+    assert np.allclose(together[1], told([several[1].fit(vectors)])[0], atol=1e-9)
+    monkeypatch.setattr(boosting, "ALONE_ROWS", 0)
+    monkeypatch.setattr(boosting, "ONE_TASK_ROWS", 0)
+    monkeypatch.setattr(boosting, "MIN_TASK_ROWS", 1500)  # one task, so that its chunks and draws are the same
+    for a, b in zip(together, told(boosting.fit_together(several, vectors)), strict=True):
+        assert np.allclose(a, b, atol=1e-9)
+
+
+def test_a_models_task_starts_no_job_for_each_level(vectors, spark):
+    spark.sparkContext.setJobGroup("boosted", "one fit")
+    try:
+        boosting.fit_together([make_regressor(3, {**PARAMS, "n_estimators": 40})], vectors)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("boosted"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 40
